@@ -133,20 +133,23 @@ def history(
     data_id: str = "",
     param_id: str = "",
     code_id: str = "",
+    summary_key: str = "folder",
     params_key: str = "folder",
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """All runs of one type as a table, newest first.
 
     The type and id filters stand before the joins, so they reach the scan of the
-    ledger. ``keep`` names ledger columns to show besides those of the record.
+    ledger. ``summary_key`` and ``params_key`` join summaries and parameters where
+    they are not kept by folder. ``keep`` names ledger columns to show besides
+    those of the record.
     """
     chosen = filter_ids(runs.filter(F.col("ptype") == ptype), data_id, param_id, code_id)
-    table = attach_summary(chosen, summaries)
+    table = attach_summary(chosen, summaries, key=summary_key)
     if steps:
         table = attach_params(table, params, steps, key=params_key)
     table = sort_recent(table.withColumn("status", run_status()))
-    helpers = {"folder", "ptype", "has_plan", "has_record", params_key} - set(keep)
+    helpers = {"folder", "ptype", "has_plan", "has_record", summary_key, params_key} - set(keep)
     if ptype == "train":
         helpers.add("train_id")
     return display_times(shape_columns(table, ptype).drop(*helpers))

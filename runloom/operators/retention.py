@@ -53,10 +53,18 @@ def retention_plan(runs: DataFrame, limit_bytes: int) -> DataFrame:
     for level in ("_hour", "_second", "_bucket"):
         sums = (
             timed.join(F.broadcast(border), [GROUP, *passed])
-            .groupBy(GROUP, *passed, level, "_total", "_share", "_older")
-            .agg(F.sum(F.col("size_bytes").cast(EXACT)).alias("_size"))
+            .groupBy(GROUP, *passed, level)
+            .agg(
+                F.sum(F.col("size_bytes").cast(EXACT)).alias("_size"),
+                *[F.any_value(name).alias(name) for name in ("_total", "_share", "_older")],
+            )
+        )
+        # The newest value of this level whose older ones amount to less than the share.
+        border = (
+            _older_than_share(sums, level, "_size")
+            .groupBy(GROUP, *passed)
+            .agg(F.max(level).alias(level), *[F.max_by(name, level).alias(name) for name in ("_total", "_share", "_older")])
         )
-        border = _border(sums, level).select(GROUP, *passed, level, "_total", "_share", "_older")
         passed.append(level)
 
     # The last run to go, per type.
@@ -79,13 +87,6 @@ def _older_than_share(rows: DataFrame, order: str, size: str) -> DataFrame:
     )
 
 
-def _border(sums: DataFrame, level: str) -> DataFrame:
-    """The value of ``level`` in which the share is reached, or the last one that goes."""
-    inside = _older_than_share(sums, level, "_size")
-    newest = inside.groupBy(GROUP).agg(F.max(level).alias(level))
-    return inside.join(F.broadcast(newest), [GROUP, level], "left_semi")
-
-
 def apply_retention(ledger: DataFrame, plan: DataFrame, target: str, version: int) -> str:
     """Write the ledger without the planned runs as a new version and return its path."""
     path = f"{target}/version={version}"

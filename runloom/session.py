@@ -18,6 +18,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # No stream here emits rows when a watermark passes, so a batch without data does nothing.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
 
@@ -25,6 +27,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session and return it."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    # Folders are listed by a few tasks per core and not by one task each.
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * cores))
     return spark
 
 

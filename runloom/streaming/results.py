@@ -30,25 +30,33 @@ def route_failures(failures: DataFrame, state: str = "state", message: str = "me
     )
 
 
-def result_messages(results: DataFrame, summary: list[str]) -> DataFrame:
-    """The success message of each request, for both channels."""
-    return results.select(
+def result_messages(answers: DataFrame, summary: list[str]) -> DataFrame:
+    """The message of each request: its summary, or its error code if it has one.
+
+    Both channels get it. A request that fails while it is answered is still in
+    the state ``init``, so its failure goes to both as well.
+    """
+    failed = F.col("error_code").isNotNull()
+    return answers.select(
         "request_id",
-        F.explode(F.array(*[F.lit(name) for name in CHANNELS])).alias("channel"),
-        F.lit("success").alias("status"),
-        F.to_json(F.struct(*summary), {"ignoreNullFields": "false"}).alias("message"),
+        F.when(failed, "fail").otherwise("success").alias("status"),
+        F.when(failed, F.col("error_code"))
+        .otherwise(F.to_json(F.struct(*summary), {"ignoreNullFields": "false"}))
+        .alias("message"),
     )
 
 
 def write_results(messages: DataFrame, root: str, batch_id: int) -> None:
-    """Write the summary channel, then the artifacts channel.
+    """Write the messages to the summary channel, then the same to the artifacts channel.
 
     A batch owns one folder per channel and overwrites it, so a replayed batch
-    leaves the same rows.
+    leaves the same rows. The second channel is a copy of the first one's files,
+    so nothing is computed twice.
     """
-    for channel in CHANNELS:
-        part = messages.filter(F.col("channel") == channel).drop("channel")
-        part.write.mode("overwrite").parquet(f"{root}/{channel}/batch_id={batch_id}")
+    spark = messages.sparkSession
+    summary, artifacts = (f"{root}/{channel}/batch_id={batch_id}" for channel in CHANNELS)
+    messages.write.mode("overwrite").parquet(summary)
+    spark.read.schema(messages.schema).parquet(summary).write.mode("overwrite").parquet(artifacts)
 
 
 def read_channel(spark: SparkSession, root: str, channel: str) -> DataFrame:

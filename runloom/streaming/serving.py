@@ -13,7 +13,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from runloom.functions.ordered import carry_forward
 from runloom.operators.history import parameter_columns
 from runloom.streaming.requests import parse_requests, request_arguments
-from runloom.streaming.results import result_messages, route_failures, write_results
+from runloom.streaming.results import result_messages, write_results
 
 REQUESTS_PER_CHUNK = 1 << 16
 SNAPSHOT_EVERY = 16
@@ -58,42 +58,39 @@ def serve(requests: DataFrame, service: Service, checkpoint: str, delay: str = "
 
 
 def _serve_batch(batch: DataFrame, batch_id: int, service: Service) -> None:
-    spark = batch.sparkSession
     parsed = parse_requests(batch).persist(StorageLevel.MEMORY_AND_DISK)
+    own = {
+        column_name(step, name): request_arguments(step, name) for step, name, _ in parameter_columns(service.parameters)
+    }
     try:
-        own = {
-            column_name(step, name): request_arguments(step, name)
-            for step, name, _ in parameter_columns(service.parameters)
-        }
         # Parameters of a request count even if its dataset is unset.
         readable = parsed.filter("error_code IS NULL OR error_code <> 'E111'")
-        state = _read_state(spark, service, batch_id)
-        effective = _with_parameters(readable, own, state, service)
+        state = _read_state(batch.sparkSession, service, batch_id)
         _write_state(readable, own, service, batch_id)
-
-        loaded = effective.withColumn("dataset_uri", F.col("request.dataset_uri")).join(
-            service.datasets.withColumn("_loaded", F.lit(True)), "dataset_uri", "left"
-        )
-        scored = service.score(loaded)
-        verdict = (
-            F.when(F.col("error_code").isNotNull(), F.col("error_code"))
-            .when(F.col("_loaded").isNull(), "E141")
-            .when(F.col(service.summary[0]).isNull(), "E152")
-        )
-        answered = scored.withColumn("error_code", verdict)
-        failed = answered.filter("error_code IS NOT NULL").select("request_id", "error_code")
-        unread = parsed.filter("error_code = 'E111'").select("request_id", "error_code")
-        failures = failed.unionByName(unread).select(
-            "request_id", F.lit("init").alias("state"), F.col("error_code").alias("message")
-        )
-        messages = result_messages(answered.filter("error_code IS NULL"), list(service.summary)).unionByName(
-            route_failures(failures)
-        )
+        messages = _answers(parsed, _with_parameters(readable, own, state, service), service)
         write_results(messages, service.root, batch_id)
     finally:
         parsed.unpersist()
 
 
+def _answers(parsed: DataFrame, effective: DataFrame, service: Service) -> DataFrame:
+    """Load and run: the messages of all requests of a batch."""
+    loaded = effective.withColumn("dataset_uri", F.col("request.dataset_uri")).join(
+        service.datasets.withColumn("_loaded", F.lit(True)), "dataset_uri", "left"
+    )
+    verdict = (
+        F.when(F.col("error_code").isNotNull(), F.col("error_code"))
+        .when(F.col("_loaded").isNull(), "E141")
+        .when(F.col(service.summary[0]).isNull(), "E152")
+    )
+    answered = service.score(loaded).withColumn("error_code", verdict)
+    unread = parsed.filter("error_code = 'E111'").select("request_id", "error_code")
+    columns = ["request_id", "error_code", *service.summary]
+    return result_messages(
+        answered.select(*columns).unionByName(unread, allowMissingColumns=True), list(service.summary)
+    )
+
+
 def _with_parameters(
     requests: DataFrame, own: Mapping[str, F.Column], state: DataFrame | None, service: Service
 ) -> DataFrame:

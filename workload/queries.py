@@ -83,6 +83,7 @@ def a3_scan_run_records(spark, sf_dir):
         short_id(F.sha2("c_name", 256)).alias("data_id"),
     )
     root = scratch_dir(spark, "a3")
+    runs = runs.repartition(32, "folder")
     runs.filter("k % 10 <> 0").drop("k").write.partitionBy("folder").json(root)
     runs.filter("k % 10 = 0").select("folder", F.lit("name: plan").alias("value")).write.mode("append").partitionBy(
         "folder"
@@ -229,10 +230,11 @@ def c10_history(spark, sf_dir):
     """The flagship: all train runs with summary and parameters, newest first."""
     table_ = op.history(
         views.ledger(spark, sf_dir),
-        views.run_scores(spark, sf_dir),
+        views.scores(spark, sf_dir),
         _step_params(spark, sf_dir),
         SHOWN_STEPS,
         ptype="train",
+        summary_key="k",
         params_key="plan_id",
         keep=["folder"],
     )
@@ -244,9 +246,13 @@ def c10_history_inference(spark, sf_dir):
     """The inference side: with the train run of each, one data set only."""
     train = views.runs(spark, sf_dir).filter("ptype = 'train'")
     linked = op.link_train_run(_inference_runs(spark, sf_dir), train)
-    columns = ["folder", "ptype", "id", "start_time", "end_time", "data_id", "param_id", "code_id", "train_id"]
+    columns = ["k", "folder", "ptype", "id", "start_time", "end_time", "data_id", "param_id", "code_id", "train_id"]
     table_ = op.history(
-        linked.select(*columns), views.run_scores(spark, sf_dir), ptype="inference", data_id=id_of("7")
+        linked.select(*columns),
+        views.scores(spark, sf_dir),
+        ptype="inference",
+        data_id=id_of("7"),
+        summary_key="k",
     )
     return _as_text(table_)
 

@@ -339,12 +339,12 @@ ORACLE: dict[str, str] = {
                 WHERE section <> 'package' OR bare <> '')) WHERE place = 1""",
     ),
     "d5_stage_durations": """
-      WITH at AS (SELECT event_id // 5 AS run, epoch_us(max(ts) FILTER (event_id % 5 = 0)) AS s0, epoch_us(max(ts) FILTER (event_id % 5 = 1)) AS s1,
+      WITH marks AS (SELECT event_id // 5 AS run, epoch_us(max(ts) FILTER (event_id % 5 = 0)) AS s0, epoch_us(max(ts) FILTER (event_id % 5 = 1)) AS s1,
           epoch_us(max(ts) FILTER (event_id % 5 = 2)) AS s2, epoch_us(max(ts) FILTER (event_id % 5 = 3)) AS s3,
           epoch_us(max(ts) FILTER (event_id % 5 = 4)) AS s4 FROM events GROUP BY event_id // 5)
       SELECT run, ((s1 - s0 + 500) // 1000) / 1000 AS setup_seconds, ((s2 - s1 + 500) // 1000) / 1000 AS load_seconds,
         ((s3 - s2 + 500) // 1000) / 1000 AS run_seconds, ((s4 - s3 + 500) // 1000) / 1000 AS save_seconds,
-        ((s4 - s0 + 500) // 1000) / 1000 AS total_seconds FROM at""",
+        ((s4 - s0 + 500) // 1000) / 1000 AS total_seconds FROM marks""",
     "d6_latest_by_key": sql(
         "files",
         """SELECT base_dir, path, size, doc_id FROM files WHERE contains(path, '.py')

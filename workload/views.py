@@ -62,7 +62,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = {"id": "", "data_id": "", "param_id": "", "code_id": ""}
     empty |= {"start_time": "20000101T000000Z", "end_time": "20000101T000000Z"}
     return table_.withColumns({c: F.when(record, F.col(c)).otherwise(F.lit(v)) for c, v in empty.items()}).drop(
-        "k", "size_bytes", "name"
+        "size_bytes", "name"
     )
 
 
