@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runloom.constants import EMPTY_DATA_ID
 from runloom.functions.hashing import content_hash64, low64, ordered_digest, short_id
 
 
@@ -18,13 +19,14 @@ def file_hashes(files: DataFrame, content: str = "content") -> DataFrame:
 def dataset_id(files: DataFrame, by: Sequence[str] = (), path: str = "path", hash64: str = "hash64") -> DataFrame:
     """One data id per group over the file hashes in path order, with the number of files.
 
-    The hash of each file stays a row of ``files``; it is never gathered into a map.
+    Without groups it is one id over all files, zeros if there are none. The hash of
+    each file stays a row of ``files``; it is never gathered into a map.
     """
     digest = ordered_digest(files, by, [path], F.col(hash64).cast("string")).select(
         *by, short_id(F.col("digest")).alias("data_id")
     )
     if not by:
-        return digest
+        return digest.agg(F.coalesce(F.max("data_id"), F.lit(EMPTY_DATA_ID)).alias("data_id"))
     return digest.join(files.groupBy(*by).agg(F.count(F.lit(1)).alias("n_files")), list(by))
 
 

@@ -25,6 +25,13 @@ def _base_name(path: str) -> str:
     return posixpath.basename(posixpath.normpath(path))
 
 
+def below(path: Column, root: str) -> Column:
+    """The part of a file path below ``root``."""
+    bare = root.split("://", 1)[1] if "://" in root else root.removeprefix("file:")
+    marker = posixpath.normpath(bare) + "/"
+    return F.substr(path, F.locate(marker, path) + F.lit(len(marker)))
+
+
 def check_base_names(paths: str | Iterable[str] | None) -> list[str]:
     """The base names of the input paths; two paths may not share one."""
     names = [_base_name(path) for path in _as_list(paths)]
@@ -75,9 +82,7 @@ def file_manifest(spark: SparkSession, root: str, extensions: Iterable[str] = ()
         .load(root)
         .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     )
-    prefix = posixpath.normpath(root.split(":", 1)[-1].replace("//", "/")) + "/"
-    relative = F.substring_index(F.col("path"), prefix, -1)
-    return describe_files(files.withColumn("path", relative), extensions)
+    return describe_files(files.withColumn("path", below(F.col("path"), root)), extensions)
 
 
 def describe_files(files: DataFrame, extensions: Iterable[str] = (), path: Column | str = "path") -> DataFrame:
@@ -95,16 +100,23 @@ def describe_files(files: DataFrame, extensions: Iterable[str] = (), path: Colum
     return described.filter(F.col("ext").isin(*wanted)) if wanted else described
 
 
-def hash_files(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
+def hash_files(spark: SparkSession, paths: str | Iterable[str] | None) -> DataFrame:
     """Path below its base directory and 64-bit content hash of every file.
 
     ``binaryFile`` hands a file to a task as one value, which limits a single file
     to 2 GB.
     """
-    contents = load_tagged(spark, paths, fmt="binaryFile")
-    relative = F.substring_index(F.col("path"), F.concat(F.lit("/"), F.col("base_dir"), F.lit("/")), -1)
-    return contents.select(
-        "base_dir",
-        F.concat_ws("/", "base_dir", relative).alias("path"),
-        content_hash64(F.col("content")).alias("hash64"),
-    )
+    parts = []
+    check_base_names(paths)
+    for path in _as_list(paths):
+        contents = load_tagged(spark, path, fmt="binaryFile")
+        parts.append(
+            contents.select(
+                "base_dir",
+                F.concat_ws("/", "base_dir", below(F.col("path"), path)).alias("path"),
+                content_hash64(F.col("content")).alias("hash64"),
+            )
+        )
+    if not parts:
+        return spark.createDataFrame([], "base_dir string, path string, hash64 decimal(20,0)")
+    return reduce(DataFrame.unionByName, parts)
