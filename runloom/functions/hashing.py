@@ -37,10 +37,11 @@ def ordered_digest(
     order: Sequence[str],
     text: Column,
     algorithm: str = "sha256",
+    text_bytes: int | None = None,
     flat_bytes: int = FLAT_BYTES,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """One digest per group over the texts of its rows in key order.
+    """One digest per group over the texts of its rows in key order, with the number of rows.
 
     ``order`` must identify a row within its group. A group of up to
     ``flat_bytes`` is the digest of its concatenated texts. A larger one is the
@@ -59,9 +60,10 @@ def ordered_digest(
         rows = rows.withColumn("_all", F.lit(0))
 
     # At most total size / flat_bytes groups are large.
+    size = F.count(F.lit(1)) * text_bytes if text_bytes else F.sum(F.octet_length("_text"))
     large = (
         rows.groupBy(*keys)
-        .agg(F.sum(F.octet_length("_text")).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
+        .agg(size.alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_bytes") > flat_bytes)
         .select(*keys, F.greatest(F.lit(2), F.ceil(F.col("_rows") / F.lit(bucket_rows))).cast("long").alias("_fanout"))
     )
@@ -71,13 +73,15 @@ def ordered_digest(
         .withColumn("_bucket", F.coalesce(F.pmod(F.xxhash64(*order), F.col("_fanout")), F.lit(-1)))
         .withColumn("_text", F.when(F.col("_fanout").isNull(), F.col("_text")).otherwise(_digest(F.col("_text"), algorithm)))
     )
-    leaves = spread.groupBy(*keys, "_bucket").agg(_ordered_concat("_text", "_key").alias("_text"))
+    leaves = spread.groupBy(*keys, "_bucket").agg(
+        _ordered_concat("_text", "_key").alias("_text"), F.count(F.lit(1)).alias("_rows")
+    )
     roots = (
         leaves.withColumn("_text", F.when(F.col("_bucket") < 0, F.col("_text")).otherwise(_digest(F.col("_text"), algorithm)))
         .groupBy(*keys)
-        .agg(_ordered_concat("_text", "_bucket").alias("_text"))
+        .agg(_ordered_concat("_text", "_bucket").alias("_text"), F.sum("_rows").alias("n_rows"))
     )
-    return roots.select(*by, _digest(F.col("_text"), algorithm).alias("digest"))
+    return roots.select(*by, _digest(F.col("_text"), algorithm).alias("digest"), "n_rows")
 
 
 def _ordered_concat(text: str, key: str) -> Column:

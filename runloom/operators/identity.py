@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from runloom.constants import EMPTY_DATA_ID
 from runloom.functions.hashing import content_hash64, low64, ordered_digest, short_id
 
+# Longest texts: an unsigned 64-bit number, an MD5 in hex.
+HASH64_DIGITS, MD5_DIGITS = 20, 32
+
 
 def file_hashes(files: DataFrame, content: str = "content") -> DataFrame:
     """Replace the content of every file by its 64-bit hash."""
@@ -22,12 +25,13 @@ def dataset_id(files: DataFrame, by: Sequence[str] = (), path: str = "path", has
     Without groups it is one id over all files, zeros if there are none. The hash of
     each file stays a row of ``files``; it is never gathered into a map.
     """
-    digest = ordered_digest(files, by, [path], F.col(hash64).cast("string")).select(
-        *by, short_id(F.col("digest")).alias("data_id")
+    digest = ordered_digest(files, by, [path], F.col(hash64).cast("string"), text_bytes=HASH64_DIGITS)
+    if by:
+        return digest.select(*by, short_id(F.col("digest")).alias("data_id"), F.col("n_rows").alias("n_files"))
+    return digest.agg(
+        F.coalesce(F.max(short_id(F.col("digest"))), F.lit(EMPTY_DATA_ID)).alias("data_id"),
+        F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_files"),
     )
-    if not by:
-        return digest.agg(F.coalesce(F.max("data_id"), F.lit(EMPTY_DATA_ID)).alias("data_id"))
-    return digest.join(files.groupBy(*by).agg(F.count(F.lit(1)).alias("n_files")), list(by))
 
 
 def param_id(params: DataFrame, plan: str = "plan_id") -> DataFrame:
@@ -46,7 +50,7 @@ def group_digest(
 ) -> DataFrame:
     """Per step, the low 64 bits of MD5 over the digests of its ``.py`` files in name order."""
     code = files.filter(F.col(path).endswith(".py")).select(*by, path, F.md5(content).alias("file_md5"))
-    return ordered_digest(code, by, [path], F.col("file_md5"), "md5").select(
+    return ordered_digest(code, by, [path], F.col("file_md5"), "md5", text_bytes=MD5_DIGITS).select(
         *by, low64(F.col("digest")).alias("code_hash")
     )
 
@@ -54,6 +58,6 @@ def group_digest(
 def code_id(digests: DataFrame, by: Sequence[str] = (), order: Column | str = "step") -> DataFrame:
     """One code id per plan over its step digests in step order."""
     rows = digests.withColumn("_order", F.col(order) if isinstance(order, str) else order)
-    return ordered_digest(rows, by, ["_order"], F.col("code_hash").cast("string"), "md5").select(
+    return ordered_digest(rows, by, ["_order"], F.col("code_hash").cast("string"), "md5", text_bytes=HASH64_DIGITS).select(
         *by, short_id(F.col("digest")).alias("code_id")
     )

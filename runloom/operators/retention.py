@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Mapping
+from datetime import UTC, datetime
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from runloom.constants import RUN_TYPES
 from runloom.functions.times import epoch_seconds, folder_stamp
 
 GROUP = "ptype"
 EXACT = "decimal(38,0)"
+# Start times are first summed in slots of 4096 seconds.
+SLOT_BITS = 12
 
 
 def retention_plan(runs: DataFrame, limit_bytes: int) -> DataFrame:
@@ -21,70 +29,99 @@ def retention_plan(runs: DataFrame, limit_bytes: int) -> DataFrame:
     size but are never deleted. ``size * excess`` and ``older * total`` are
     compared as whole numbers.
 
-    Runs are not sorted. The border between deleted and kept runs is found from
-    sums per hour, then per second within the border hour, then per hash bucket
-    within the border second. Each step leaves one border value per type, so the
-    last ordered step sees one hash bucket of one second, and the result is a
-    filter of ``runs`` against one border row per type.
+    Runs are not sorted. The last run to go is found, per type, from sums per slot
+    of about an hour, then per second within the border slot, then per hash bucket
+    within the border second, then run by run within that bucket. Each step is a
+    small job that returns one border row per run type, so at most two rows; the
+    next one filters by it down to the scan. The result is a filter of ``runs``
+    without any shuffle.
     """
-    sized = runs.groupBy(GROUP).agg(F.sum(F.col("size_bytes").cast(EXACT)).alias("_size"))
-    everything = Window.partitionBy(F.lit(0))
-    share = (
-        sized.withColumn("_total", F.sum("_size").over(everything))
-        .filter(F.col("_total") > limit_bytes)
-        .withColumn("_share", (F.col("_size") * (F.col("_total") - F.lit(limit_bytes).cast(EXACT))).cast(EXACT))
-        .select(GROUP, F.col("_total").cast(EXACT).alias("_total"), "_share")
-    )
-
     second = epoch_seconds(folder_stamp(F.col("folder")))
     spot = F.sha2("folder", 256)
-    timed = runs.select(
-        GROUP,
-        "folder",
-        "size_bytes",
-        F.floor(second / 3600).alias("_hour"),
-        second.alias("_second"),
-        F.substring(spot, 1, 4).alias("_bucket"),
-        F.struct(second.alias("second"), spot.alias("spot"), F.col("folder").alias("folder")).alias("_place"),
-    ).filter("_second IS NOT NULL")
-
-    border = share.withColumn("_older", F.lit(0).cast(EXACT))
-    passed: list[str] = []
-    for level in ("_hour", "_second", "_bucket"):
-        sums = (
-            timed.join(F.broadcast(border), [GROUP, *passed])
-            .groupBy(GROUP, *passed, level)
-            .agg(
-                F.sum(F.col("size_bytes").cast(EXACT)).alias("_size"),
-                *[F.any_value(name).alias(name) for name in ("_total", "_share", "_older")],
-            )
-        )
-        # The newest value of this level whose older ones amount to less than the share.
-        border = (
-            _older_than_share(sums, level, "_size")
-            .groupBy(GROUP, *passed)
-            .agg(F.max(level).alias(level), *[F.max_by(name, level).alias(name) for name in ("_total", "_share", "_older")])
-        )
-        passed.append(level)
-
-    # The last run to go, per type.
-    last = (
-        _older_than_share(timed.join(F.broadcast(border), [GROUP, *passed]), "_place", "size_bytes")
-        .groupBy(GROUP)
-        .agg(F.max("_place").alias("_last"))
+    timed = runs.filter(F.col(GROUP).isin(*RUN_TYPES)).select(
+        GROUP, "folder", "size_bytes", F.col("size_bytes").cast(EXACT).alias("_size"), second.alias("_second")
     )
-    return (
-        timed.join(F.broadcast(last), GROUP).filter(F.col("_place") <= F.col("_last")).select(GROUP, "folder", "size_bytes")
+
+    border = _first_border(timed.withColumn("_level", F.shiftright("_second", SLOT_BITS)), limit_bytes)
+    inside = _at(border, lambda b: _between(b["_level"] << SLOT_BITS, (b["_level"] + 1) << SLOT_BITS))
+    border = _next_border(timed.filter(inside), F.col("_second"), border)
+    inside = _at(border, lambda b: _between(b["_level"], b["_level"] + 1))
+    last_second = {ptype: row["_level"] for ptype, row in border.items()}
+    border = _next_border(timed.filter(inside), F.substring(spot, 1, 4), border)
+    bucket = _at(border, lambda b: F.substring(spot, 1, 4) == b["_level"])
+    border = _next_border(timed.filter(inside).filter(bucket), F.struct(spot.alias("spot"), "folder"), border)
+
+    def gone(last: Mapping) -> Column:
+        at = last_second[last[GROUP]]
+        place = F.struct(F.lit(last["_level"]["spot"]), F.lit(last["_level"]["folder"]))
+        return _between(None, at) | (_between(at, at + 1) & (F.struct(spot, "folder") <= place))
+
+    return timed.filter(_at(border, gone)).select(GROUP, "folder", "size_bytes")
+
+
+def _between(begin: int | None, end: int) -> Column:
+    """Start times from ``begin`` to before ``end``.
+
+    Folder names begin with the time in a form that sorts like it, so the same
+    bounds hold for the names and prune the scan.
+    """
+    inside = (F.col("_second") < end) & (F.col("folder") < _stamp(end))
+    return inside if begin is None else inside & (F.col("_second") >= begin) & (F.col("folder") >= _stamp(begin))
+
+
+def _stamp(second: int) -> str:
+    return datetime.fromtimestamp(second, UTC).strftime("%Y%m%dT%H%M%SZ")
+
+
+def _at(border: Mapping[str, Mapping], condition: Callable[[Mapping], Column]) -> Column:
+    """A condition that depends on the border of the row's type; false without one."""
+    return reduce(or_, [(F.col(GROUP) == p) & condition(row) for p, row in border.items()], F.lit(False))
+
+
+def _first_border(slots: DataFrame, limit_bytes: int) -> dict[str, Row]:
+    """The border slot per type, with the total and the share; empty within the limit.
+
+    One row per type and slot reaches the windows: the hours of the time span.
+    """
+    sums = slots.groupBy(GROUP, "_level").agg(F.sum("_size").cast(EXACT).alias("_size"))
+    everything, per_type = Window.partitionBy(F.lit(0)), Window.partitionBy(GROUP)
+    limit = F.lit(limit_bytes).cast(EXACT)
+    shared = (
+        sums.withColumn("_total", F.sum("_size").over(everything).cast(EXACT))
+        .withColumn("_share", (F.sum("_size").over(per_type).cast(EXACT) * (F.col("_total") - limit)).cast(EXACT))
+        .filter(F.col("_total") > limit)
+        .withColumn("_older", _sum_before("_level"))
     )
+    return _newest_below_share(shared.filter(F.col("_level").isNotNull()))
+
+
+def _next_border(rows: DataFrame, level: Column, border: Mapping[str, Row]) -> dict[str, Row]:
+    """The border value of a finer level within the border so far."""
+
+    def known(name: str) -> Column:
+        return F.coalesce(*[F.when(F.col(GROUP) == p, F.lit(row[name]).cast(EXACT)) for p, row in border.items()])
+
+    if not border:
+        return {}
+    sums = rows.groupBy(GROUP, level.alias("_level")).agg(F.sum("_size").cast(EXACT).alias("_size"))
+    found = sums.withColumn("_older", (known("_older") + _sum_before("_level")).cast(EXACT))
+    return _newest_below_share(found.withColumns({"_total": known("_total"), "_share": known("_share")}))
+
+
+def _sum_before(level: str) -> Column:
+    """The size of all older values of a level within the type; no time is the newest."""
+    before = Window.partitionBy(GROUP).orderBy(F.asc_nulls_last(level)).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_size").over(before).cast(EXACT), F.lit(0).cast(EXACT))
 
 
-def _older_than_share(rows: DataFrame, order: str, size: str) -> DataFrame:
-    """Rows whose older rows amount to less than the share; ``_older`` then includes those."""
-    before = Window.partitionBy(GROUP).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    older = F.col("_older") + F.coalesce(F.sum(F.col(size).cast(EXACT)).over(before), F.lit(0).cast(EXACT))
-    return rows.withColumn("_older", older.cast(EXACT)).filter(
-        (F.col("_older") * F.col("_total")).cast(EXACT) < F.col("_share")
+def _newest_below_share(sums: DataFrame) -> dict[str, Row]:
+    """Per type, the newest row whose older ones amount to less than the share."""
+    below = sums.filter((F.col("_older") * F.col("_total")).cast(EXACT) < F.col("_share"))
+    newest = below.groupBy(GROUP).agg(
+        F.max("_level").alias("_level"),
+        *[F.max_by(name, "_level").alias(name) for name in ("_older", "_total", "_share")],
     )
+    return {row[GROUP]: row for row in newest.collect()}
 
 
 def apply_retention(ledger: DataFrame, plan: DataFrame, target: str, version: int) -> str:

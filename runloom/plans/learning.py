@@ -41,7 +41,8 @@ def fit_step(
     """Train a forest of ``n_estimators`` trees and save it below the models area.
 
     Trees grow level by level over all partitions; only split statistics reach the
-    driver.
+    driver. Training passes over the data many times, so an input of fewer
+    partitions than cores is spread first.
     """
     forest = RandomForestClassifier(
         featuresCol=FEATURES,
@@ -53,6 +54,9 @@ def fit_step(
     )
     label = StringIndexer(inputCol=y_column, outputCol=LABEL, stringOrderType="alphabetAsc", handleInvalid="skip")
     data = select_xy(df, x_columns, y_column).withColumn(y_column, F.col(y_column).cast("string"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < cores:
+        data = data.repartition(cores)
     model = Pipeline(stages=[*feature_stages(df, x_columns), label, forest]).fit(data)
     if model_path:
         model.write().overwrite().save(model_path)

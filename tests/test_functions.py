@@ -26,11 +26,11 @@ def test_content_hash_is_unsigned(spark):
 def test_small_group_is_the_digest_of_its_texts(spark):
     data = [("g", i, f"t{i}") for i in range(20)] + [("h", 1, "z")]
     df = spark.createDataFrame(data, "g string, i int, t string")
-    got = dict(rows(ordered_digest(df, ["g"], ["i"], F.col("t"))))
+    got = dict(rows(ordered_digest(df, ["g"], ["i"], F.col("t")), "g", "digest"))
     assert got["g"] == hashlib.sha256("".join(f"t{i}" for i in range(20)).encode()).hexdigest()
     assert got["h"] == hashlib.sha256(b"z").hexdigest()
     whole = ordered_digest(df.filter("g = 'g'"), [], ["i"], F.col("t"), "md5")
-    assert rows(whole) == [(hashlib.md5("".join(f"t{i}" for i in range(20)).encode()).hexdigest(),)]
+    assert rows(whole, "digest", "n_rows") == [(hashlib.md5("".join(f"t{i}" for i in range(20)).encode()).hexdigest(), 20)]
 
 
 def test_large_group_does_not_depend_on_partitions_or_order(spark):
@@ -39,14 +39,18 @@ def test_large_group_does_not_depend_on_partitions_or_order(spark):
     for seed, parts in ((1, 1), (2, 3), (3, 7)):
         random.Random(seed).shuffle(data)
         df = spark.createDataFrame(data, "g string, i int, t string").repartition(parts)
-        digests.add(tuple(rows(ordered_digest(df, ["g"], ["i"], F.col("t"), flat_bytes=100, bucket_rows=50))))
+        digest = ordered_digest(df, ["g"], ["i"], F.col("t"), flat_bytes=100, bucket_rows=50)
+        digests.add(tuple(rows(digest, "g", "digest")))
     assert len(digests) == 1
     (found,) = digests
     found = dict(found)
     assert found["cold"] == hashlib.sha256(b"c0c1c2c3c4").hexdigest()
     changed = spark.createDataFrame([(g, i, t + "!" if i == 77 else t) for g, i, t in data], "g string, i int, t string")
-    other = dict(rows(ordered_digest(changed, ["g"], ["i"], F.col("t"), flat_bytes=100, bucket_rows=50)))
+    other = dict(rows(ordered_digest(changed, ["g"], ["i"], F.col("t"), flat_bytes=100, bucket_rows=50), "g", "digest"))
     assert other["hot"] != found["hot"] and other["cold"] == found["cold"]
+    bounded = ordered_digest(changed, ["g"], ["i"], F.col("t"), text_bytes=10, flat_bytes=100, bucket_rows=50)
+    assert dict(rows(bounded, "g", "digest")) == other
+    assert dict(rows(bounded, "g", "n_rows")) == {"hot": 500, "cold": 5}
 
 
 def expected_carry(data, inclusive):

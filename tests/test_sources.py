@@ -63,8 +63,8 @@ def test_hashes_of_real_files_give_a_dataset_id(spark, tmp_path):
         ("d/b.txt", low("two")),
     ]
     wanted = hashlib.sha256(f"{low('one')}{low('two')}".encode()).hexdigest()[:12]
-    assert rows(op.dataset_id(hashed)) == [(wanted,)]
-    assert rows(op.dataset_id(sources.hash_files(spark, None))) == [("000000000000",)]
+    assert rows(op.dataset_id(hashed)) == [(wanted, 2)]
+    assert rows(op.dataset_id(sources.hash_files(spark, None))) == [("000000000000", 0)]
 
 
 def test_a_repeated_directory_name_stays_in_the_path(spark, tmp_path):

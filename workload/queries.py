@@ -41,6 +41,14 @@ def flat_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.replace(".", "__") for name in df.columns])
 
 
+def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs as a stored ledger, partitioned by type."""
+    runs = views.runs(spark, sf_dir)
+    path = scratch_dir(spark, "runs")
+    runs.write.partitionBy("ptype").parquet(path)
+    return spark.read.schema(runs.schema).parquet(path)
+
+
 def id_of(value: str) -> str:
     return hashlib.sha256(value.encode()).hexdigest()[:12]
 
@@ -120,8 +128,9 @@ def b1_content_hash64(spark, sf_dir):
 
 @query
 def b2_dataset_id(spark, sf_dir):
-    """One id per base directory and one over all of them."""
+    """One id per base directory and one over all of them, from file hashes that are stored once."""
     hashed = op.file_hashes(views.files(spark, sf_dir)).select("base_dir", "path", "hash64")
+    hashed = plans.interface(hashed, "file", "hashes")
     everything = op.dataset_id(hashed.withColumn("base_dir", F.lit("*")), ["base_dir"])
     return op.dataset_id(hashed, ["base_dir"]).unionByName(everything)
 
@@ -200,9 +209,8 @@ def c8_check_steps(spark, sf_dir):
     return op.missing_steps(steps, ["system", "assistant", "end", "score"])
 
 
-def _inference_runs(spark, sf_dir):
+def _inference_runs(runs):
     """Inference runs; some ask for the run before them, some use an external model."""
-    runs = views.runs(spark, sf_dir)
     k = F.col("k")
     before = runs.select((k + 1).alias("k"), F.col("folder").alias("_before"))
     return (
@@ -220,8 +228,8 @@ def _inference_runs(spark, sf_dir):
 
 @query
 def c9_link_train_run(spark, sf_dir):
-    train = views.runs(spark, sf_dir).filter("ptype = 'train'")
-    linked = op.link_train_run(_inference_runs(spark, sf_dir), train)
+    runs = stored_runs(spark, sf_dir)
+    linked = op.link_train_run(_inference_runs(runs), runs.filter("ptype = 'train'"))
     return linked.select("folder", "name", "end_time", "train_id")
 
 
@@ -244,8 +252,8 @@ def c10_history(spark, sf_dir):
 @query
 def c10_history_inference(spark, sf_dir):
     """The inference side: with the train run of each, one data set only."""
-    train = views.runs(spark, sf_dir).filter("ptype = 'train'")
-    linked = op.link_train_run(_inference_runs(spark, sf_dir), train)
+    runs = stored_runs(spark, sf_dir)
+    linked = op.link_train_run(_inference_runs(runs), runs.filter("ptype = 'train'"))
     columns = ["k", "folder", "ptype", "id", "start_time", "end_time", "data_id", "param_id", "code_id", "train_id"]
     table_ = op.history(
         linked.select(*columns),
@@ -262,7 +270,7 @@ def c10_history_inference(spark, sf_dir):
 
 @query
 def d1_retention_plan(spark, sf_dir):
-    return op.retention_plan(views.runs(spark, sf_dir), RETENTION_LIMIT)
+    return op.retention_plan(stored_runs(spark, sf_dir), RETENTION_LIMIT)
 
 
 @query
@@ -549,8 +557,9 @@ def g7_summarize_scores(spark, sf_dir):
 
 @query
 def g8_pick_model(spark, sf_dir):
-    inference = _inference_runs(spark, sf_dir).filter("wanted_train_id IS NOT NULL").select("folder", "wanted_train_id")
-    train = views.runs(spark, sf_dir).filter("ptype = 'train' AND has_record")
+    runs = stored_runs(spark, sf_dir)
+    inference = _inference_runs(runs).filter("wanted_train_id IS NOT NULL").select("folder", "wanted_train_id")
+    train = runs.filter("ptype = 'train' AND has_record")
     return plans.pick_models(inference, train, "history/train")
 
 
@@ -717,6 +726,6 @@ def i4_replace_prefix(spark, sf_dir):
 
 @query
 def i5_apply_retention(spark, sf_dir):
-    runs = views.runs(spark, sf_dir).select("ptype", "folder", "size_bytes", "name")
+    runs = stored_runs(spark, sf_dir).select("ptype", "folder", "size_bytes", "name")
     path = op.apply_retention(runs, op.retention_plan(runs, RETENTION_LIMIT), scratch_dir(spark, "ledger"), 2)
     return spark.read.parquet(path).select("ptype", "folder", "size_bytes")
