@@ -36,13 +36,18 @@ def feature_stages(df: DataFrame, x_columns: Sequence[str]) -> list:
 
 
 def fit_step(
-    df: DataFrame, x_columns: Sequence[str], y_column: str, params: Mapping[str, Any], model_path: str | None = None
+    df: DataFrame,
+    x_columns: Sequence[str],
+    y_column: str,
+    params: Mapping[str, Any],
+    model_path: str | None = None,
+    partitions: int | None = None,
 ) -> PipelineModel:
     """Train a forest of ``n_estimators`` trees and save it below the models area.
 
     Trees grow level by level over all partitions; only split statistics reach the
-    driver. Training passes over the data many times, so an input of fewer
-    partitions than cores is spread first.
+    driver. Training passes over the data many times: give ``partitions`` to spread
+    an input of fewer or uneven partitions first.
     """
     forest = RandomForestClassifier(
         featuresCol=FEATURES,
@@ -54,9 +59,8 @@ def fit_step(
     )
     label = StringIndexer(inputCol=y_column, outputCol=LABEL, stringOrderType="alphabetAsc", handleInvalid="skip")
     data = select_xy(df, x_columns, y_column).withColumn(y_column, F.col(y_column).cast("string"))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < cores:
-        data = data.repartition(cores)
+    if partitions:
+        data = data.repartition(partitions)
     model = Pipeline(stages=[*feature_stages(df, x_columns), label, forest]).fit(data)
     if model_path:
         model.write().overwrite().save(model_path)

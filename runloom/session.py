@@ -10,9 +10,7 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
-# Runtime settings the operators rely on. Nothing here depends on the size of the
-# cluster: the number of shuffle partitions stays with the session's owner and
-# adaptive execution merges or splits partitions from the measured sizes.
+# Runtime settings the operators rely on.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -23,12 +21,24 @@ RUNTIME_SETTINGS = {
 }
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session and return it."""
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+BYTES_PER_PARTITION = 1 << 30
+
+
+def prepare(spark: SparkSession, shuffled_bytes: int = 0) -> SparkSession:
+    """Apply the runtime settings to an existing session and return it.
+
+    Adaptive execution merges small shuffle partitions but never adds any, so a
+    shuffle starts with enough of them: two per core, or one per GiB where the
+    caller knows the largest shuffle. A number that the session's owner chose stays
+    the lower bound.
+    """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
-    # Folders are listed by a few tasks per core and not by one task each.
     cores = spark.sparkContext.defaultParallelism
+    chosen = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(INITIAL_PARTITIONS, str(max(chosen, 2 * cores, shuffled_bytes // BYTES_PER_PARTITION)))
+    # Folders are listed by a few tasks per core and not by one task each.
     spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * cores))
     return spark
 

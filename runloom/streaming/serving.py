@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
@@ -48,16 +48,23 @@ def column_name(step: str, name: str) -> str:
 def serve(requests: DataFrame, service: Service, checkpoint: str, delay: str = "30 days") -> DataStreamWriter:
     """A streaming query that answers every request once.
 
-    A request id that is seen again within ``delay`` is dropped. All requests of a
-    batch are answered by the same few joins.
+    A request id that is seen again within ``delay`` is dropped. The plans are read
+    once, when the query is built. All requests of a batch are answered by the same
+    few joins; what they need of plans, datasets and earlier parameters is selected
+    by their keys first, so a batch does not shuffle those tables.
     """
+    spark = requests.sparkSession
+    plans = _plan_columns(service)
+    plans.write.mode("overwrite").parquet(f"{service.root}/plans")
+    stored = spark.read.schema(plans.schema).parquet(f"{service.root}/plans")
     once = requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
     return once.writeStream.foreachBatch(
-        lambda batch, batch_id: _serve_batch(batch, batch_id, service)
+        lambda batch, batch_id: serve_batch(batch, batch_id, service, stored)
     ).option("checkpointLocation", checkpoint)
 
 
-def _serve_batch(batch: DataFrame, batch_id: int, service: Service) -> None:
+def serve_batch(batch: DataFrame, batch_id: int, service: Service, plans: DataFrame) -> None:
+    """Answer the requests of one batch; a replay gives the same files."""
     parsed = parse_requests(batch).persist(StorageLevel.MEMORY_AND_DISK)
     own = {
         column_name(step, name): request_arguments(step, name) for step, name, _ in parameter_columns(service.parameters)
@@ -65,19 +72,25 @@ def _serve_batch(batch: DataFrame, batch_id: int, service: Service) -> None:
     try:
         # Parameters of a request count even if its dataset is unset.
         readable = parsed.filter("error_code IS NULL OR error_code <> 'E111'")
-        state = _read_state(batch.sparkSession, service, batch_id)
         _write_state(readable, own, service, batch_id)
-        messages = _answers(parsed, _with_parameters(readable, own, state, service), service)
-        write_results(messages, service.root, batch_id)
+        state = _read_state(batch.sparkSession, service, batch_id, readable)
+        effective = _with_parameters(readable, own, state, plans, service)
+        write_results(_answers(parsed, effective, service), service.root, batch_id)
     finally:
         parsed.unpersist()
 
 
+def _needed(table: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """The rows of a table whose key occurs in the requests."""
+    return table.join(requests.select(key).distinct(), key, "left_semi")
+
+
 def _answers(parsed: DataFrame, effective: DataFrame, service: Service) -> DataFrame:
     """Load and run: the messages of all requests of a batch."""
-    loaded = effective.withColumn("dataset_uri", F.col("request.dataset_uri")).join(
-        service.datasets.withColumn("_loaded", F.lit(True)), "dataset_uri", "left"
-    )
+    asked = effective.withColumn("dataset_uri", F.col("request.dataset_uri"))
+    uris = parsed.select(F.col("request.dataset_uri").alias("dataset_uri"))
+    datasets = _needed(service.datasets.withColumn("_loaded", F.lit(True)), uris, "dataset_uri")
+    loaded = asked.join(datasets, "dataset_uri", "left")
     verdict = (
         F.when(F.col("error_code").isNotNull(), F.col("error_code"))
         .when(F.col("_loaded").isNull(), "E141")
@@ -91,38 +104,39 @@ def _answers(parsed: DataFrame, effective: DataFrame, service: Service) -> DataF
     )
 
 
+def _plan_columns(service: Service) -> DataFrame:
+    """One row per plan: the base value of every served parameter, and which steps have arguments."""
+    served = service.base.filter(F.col("step").isin(*service.parameters) & F.col("name").isNotNull())
+    values = [
+        F.max(F.when((F.col("step") == step) & (F.col("name") == name), F.col("value"))).alias(
+            f"_base_{column_name(step, name)}"
+        )
+        for step, name, _ in parameter_columns(service.parameters)
+    ]
+    steps = [F.max(F.col("step") == step).alias(f"_has_{step}") for step in service.parameters]
+    return served.groupBy("plan_id").agg(*values, *steps)
+
+
 def _with_parameters(
-    requests: DataFrame, own: Mapping[str, F.Column], state: DataFrame | None, service: Service
+    requests: DataFrame, own: Mapping[str, Column], state: DataFrame | None, plans: DataFrame, service: Service
 ) -> DataFrame:
     """Each request with the plan's parameters as they stand after it and all before it."""
     overlaid = carry_forward(
         requests, ["plan_id"], ["seq"], F.floor(F.col("seq") / REQUESTS_PER_CHUNK), own, start=state
     )
-    triples = parameter_columns(service.parameters)
-    base = (
-        service.base.filter(F.col("step").isin(*service.parameters) & F.col("name").isNotNull())
-        .groupBy("plan_id")
-        .agg(
-            *[
-                F.max(F.when((F.col("step") == step) & (F.col("name") == name), F.col("value"))).alias(f"_base_{column_name(step, name)}")
-                for step, name, _ in triples
-            ],
-            *[F.max(F.col("step") == step).alias(f"_has_{step}") for step in service.parameters],
-        )
-    )
+    joined = overlaid.join(_needed(plans, requests, "plan_id"), "plan_id", "left")
     values = {}
-    for step, name, _ in triples:
+    for step, name, _ in parameter_columns(service.parameters):
         column = column_name(step, name)
         values[column] = F.when(F.col(f"_has_{step}"), F.coalesce(column, f"_base_{column}"))
-    joined = overlaid.join(base, "plan_id", "left").withColumns(values)
-    return joined.drop(*[name for name in joined.columns if name.startswith(("_base_", "_has_"))])
+    return joined.withColumns(values).drop(*[name for name in plans.columns if name != "plan_id"])
 
 
 def _state_schema(service: Service) -> str:
     return ", ".join(["plan_id bigint", *[f"`{name}` string" for name in service.columns], "as_of bigint"])
 
 
-def _write_state(requests: DataFrame, own: Mapping[str, F.Column], service: Service, batch_id: int) -> None:
+def _write_state(requests: DataFrame, own: Mapping[str, Column], service: Service, batch_id: int) -> None:
     """The last value of every parameter that this batch touched, one row per plan."""
     touched = (
         requests.select("plan_id", "seq", *[column.alias(name) for name, column in own.items()])
@@ -133,8 +147,8 @@ def _write_state(requests: DataFrame, own: Mapping[str, F.Column], service: Serv
     touched.write.mode("overwrite").parquet(f"{service.root}/state/delta={batch_id}")
 
 
-def _read_state(spark: SparkSession, service: Service, batch_id: int) -> DataFrame | None:
-    """The parameters that requests before this batch set, one row per plan.
+def _read_state(spark: SparkSession, service: Service, batch_id: int, requests: DataFrame) -> DataFrame | None:
+    """What requests before this batch set for the plans of this batch, one row per plan.
 
     Every ``SNAPSHOT_EVERY`` batches the changes are folded into a snapshot, so a
     batch reads one snapshot and a few changes. A replayed batch reads the same.
@@ -143,17 +157,19 @@ def _read_state(spark: SparkSession, service: Service, batch_id: int) -> DataFra
         return None
     start = batch_id - batch_id % SNAPSHOT_EVERY
     if start == batch_id:
-        _fold(spark, service, start - SNAPSHOT_EVERY, batch_id).write.mode("overwrite").parquet(
-            f"{service.root}/state/snapshot={batch_id}"
-        )
-    return _fold(spark, service, start, batch_id)
+        changes = _changes(spark, service, start - SNAPSHOT_EVERY, batch_id)
+        _fold(changes, service).write.mode("overwrite").parquet(f"{service.root}/state/snapshot={batch_id}")
+    return _fold(_needed(_changes(spark, service, start, batch_id), requests, "plan_id"), service)
 
 
-def _fold(spark: SparkSession, service: Service, start: int, end: int) -> DataFrame:
+def _changes(spark: SparkSession, service: Service, start: int, end: int) -> DataFrame:
     paths = [f"{service.root}/state/delta={number}" for number in range(start, end)]
     if start > 0:
         paths.append(f"{service.root}/state/snapshot={start}")
-    changes = spark.read.schema(_state_schema(service)).parquet(*paths)
+    return spark.read.schema(_state_schema(service)).parquet(*paths)
+
+
+def _fold(changes: DataFrame, service: Service) -> DataFrame:
     return changes.groupBy("plan_id").agg(
         *[F.max_by(name, F.when(F.col(name).isNotNull(), F.col("as_of"))).alias(name) for name in service.columns],
         F.max("as_of").alias("as_of"),

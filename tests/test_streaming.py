@@ -122,8 +122,9 @@ def test_overlays_add_up_over_requests_and_restarts(spark, tmp_path, monkeypatch
 
 def test_a_replayed_batch_leaves_the_same_rows(spark, tmp_path):
     batch = spark.createDataFrame([(1, 1, 1, None, payload("s", {"a": "3"}))], streaming.REQUEST_ENVELOPE)
+    answering = service(spark, str(tmp_path))
     for _ in range(2):
-        serving._serve_batch(batch, 0, service(spark, str(tmp_path)))
+        serving.serve_batch(batch, 0, answering, serving._plan_columns(answering))
     assert summary(spark, str(tmp_path)) == {1: 103}
 
 

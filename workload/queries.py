@@ -524,7 +524,8 @@ def g4_select_xy(spark, sf_dir):
 def _fit(spark, sf_dir):
     path = scratch_dir(spark, "models")
     params = {"n_estimators": 10, "max_depth": 4}
-    return plans.fit_step(table(spark, sf_dir, "lineitem"), X_COLUMNS, Y_COLUMN, params, path), path
+    cores = spark.sparkContext.defaultParallelism
+    return plans.fit_step(table(spark, sf_dir, "lineitem"), X_COLUMNS, Y_COLUMN, params, path, cores), path
 
 
 @query
