@@ -26,7 +26,8 @@ def link_train_run(
 
     The answer depends only on plan and second, so both sides are reduced to one
     row per plan and second before any ordering. A window then sees the seconds of
-    one plan and hour, or the hours of one plan, however many runs there are.
+    one plan in a slot of 4096 seconds, or the slots of one plan, however many runs
+    there are.
     """
     second = epoch_seconds(parse_stamp(F.col("end_time")))
     trained = (
@@ -42,8 +43,8 @@ def link_train_run(
         .groupBy(plan, "_second")
         .agg(F.max("_trained").alias("_trained"))
     )
-    hour = F.floor(F.col("_second") / 3600)
-    latest = carry_forward(moments, [plan], ["_second"], hour, {"_latest": F.col("_trained")}).drop("_trained")
+    slot = F.shiftright("_second", 12)
+    latest = carry_forward(moments, [plan], ["_second"], slot, {"_latest": F.col("_trained")}).drop("_trained")
     linked = asked.join(latest, [plan, "_second"], "left")
     train_id = (
         F.when(F.col(external), F.lit(EXTERNAL_MODEL_ID))

@@ -2,7 +2,7 @@
 
 Lines stand in a table with ``file`` and one or more order columns. ``chunk`` cuts a
 file into pieces along that order; the default suits a line number, so that a piece
-holds at most ``LINES_PER_CHUNK`` lines.
+holds at most 2^16 lines.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from runloom.functions.ordered import carry_forward
 from runloom.functions.times import epoch_micros, parse_log_time
 
-LINES_PER_CHUNK = 1 << 16
+CHUNK_BITS = 16
 SERVICE_CLASSES = {"USER": "USER", "SYS": "SYS"}
 
 
 def _chunk(order: Sequence[str], chunk: Column | None) -> Column:
-    return chunk if chunk is not None else F.floor(F.col(order[0]) / LINES_PER_CHUNK)
+    return chunk if chunk is not None else F.shiftright(order[0], CHUNK_BITS)
 
 
 def show_increments(

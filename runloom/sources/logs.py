@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runloom.functions.times import parse_log_time
 
 # Fixed values: [time|service|level|file(line)|func()] message
-LOG_LINE = r"^\[([^|]*)\|([^|]*)\|([^|]*)\|([^|(]*)\((\d+)\)\|([^|]*)\(\)\] ?(.*)$"
+LOG_LINE = r"^\[[^|]*\|[^|]*\|[^|]*\|[^|(]*\(\d+\)\|[^|]*\(\)\]"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -27,19 +27,21 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_log(lines: DataFrame, text: str = "text") -> DataFrame:
-    """Add ts, service, level, source, source_line, func and message; NULL where a line has another form."""
+    """Add ts, service, level, source, source_line, func and message; NULL where a line has another form.
 
-    def part(group: int):
-        return F.when(F.col(text).rlike(LOG_LINE), F.regexp_extract(text, LOG_LINE, group))
-
-    return lines.withColumns(
+    The form is matched and the line is split once, however many columns are used.
+    """
+    split = lines.withColumn("_parts", F.when(F.col(text).rlike(LOG_LINE), F.split(text, r"\|", 5)))
+    first, place, rest = F.col("_parts")[0], F.col("_parts")[3], F.col("_parts")[4]
+    end = F.lit("()]")
+    return split.withColumns(
         {
-            "ts": parse_log_time(part(1)),
-            "service": part(2),
-            "level": part(3),
-            "source": part(4),
-            "source_line": part(5).cast("int"),
-            "func": part(6),
-            "message": part(7),
+            "ts": parse_log_time(F.substring(first, 2, 40)),
+            "service": F.col("_parts")[1],
+            "level": F.col("_parts")[2],
+            "source": F.substring_index(place, "(", 1),
+            "source_line": F.substring_index(F.substring_index(place, "(", -1), ")", 1).cast("int"),
+            "func": F.split_part(rest, end, F.lit(1)),
+            "message": F.regexp_replace(F.substr(rest, F.locate("()]", rest) + 3), "^ ", ""),
         }
-    )
+    ).drop("_parts")

@@ -15,7 +15,7 @@ from runloom.operators.history import parameter_columns
 from runloom.streaming.requests import parse_requests, request_arguments
 from runloom.streaming.results import result_messages, write_results
 
-REQUESTS_PER_CHUNK = 1 << 16
+CHUNK_BITS = 16
 SNAPSHOT_EVERY = 16
 
 
@@ -121,9 +121,7 @@ def _with_parameters(
     requests: DataFrame, own: Mapping[str, Column], state: DataFrame | None, plans: DataFrame, service: Service
 ) -> DataFrame:
     """Each request with the plan's parameters as they stand after it and all before it."""
-    overlaid = carry_forward(
-        requests, ["plan_id"], ["seq"], F.floor(F.col("seq") / REQUESTS_PER_CHUNK), own, start=state
-    )
+    overlaid = carry_forward(requests, ["plan_id"], ["seq"], F.shiftright("seq", CHUNK_BITS), own, start=state)
     joined = overlaid.join(_needed(plans, requests, "plan_id"), "plan_id", "left")
     values = {}
     for step, name, _ in parameter_columns(service.parameters):

@@ -84,10 +84,10 @@ def test_run_folders_with_and_without_record(spark, tmp_path):
         "end_time": "20240101T000100Z",
         "train_id": "t1",
     }
-    write(f"{root}/run1/log/experimental_history.json", json.dumps(record, indent=4))
+    write(f"{root}/run1/log/record.json", json.dumps(record, indent=4))
     write(f"{root}/run1/score/other.json.txt", "x")
-    write(f"{root}/run2-error/experimental_plan.yaml", "name: x")
-    df = sources.scan_run_records(spark, root, "inference", record_glob="experimental_history.json")
+    write(f"{root}/run2-error/plan.yaml", "name: x")
+    df = sources.scan_run_records(spark, root, "inference", record_glob="record.json")
     found = {r["folder"]: r for r in df.collect()}
     assert set(found) == {"run1", "run2-error"}
     assert found["run1"]["train_id"] == "t1"
