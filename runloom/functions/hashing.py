@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # A group whose text stays below this size is digested as one string. Larger groups
 # are digested bucket by bucket, so no task ever holds more than about one bucket.
 FLAT_BYTES = 1 << 24
-BUCKET_ROWS = 1 << 16
+BUCKET_ROWS = 1 << 14
 
 
 def low64(hex_digest: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from datetime import UTC, datetime
 from functools import reduce
 from operator import or_
@@ -43,41 +43,45 @@ def retention_plan(runs: DataFrame, limit_bytes: int) -> DataFrame:
     )
 
     border = _first_border(timed.withColumn("_level", F.shiftright("_second", SLOT_BITS)), limit_bytes)
-    inside = _at(border, lambda b: _between(b["_level"] << SLOT_BITS, (b["_level"] + 1) << SLOT_BITS))
-    border = _next_border(timed.filter(inside), F.col("_second"), border)
-    inside = _at(border, lambda b: _between(b["_level"], b["_level"] + 1))
-    last_second = {ptype: row["_level"] for ptype, row in border.items()}
-    border = _next_border(timed.filter(inside), F.substring(spot, 1, 4), border)
-    bucket = _at(border, lambda b: F.substring(spot, 1, 4) == b["_level"])
-    border = _next_border(timed.filter(inside).filter(bucket), F.struct(spot.alias("spot"), "folder"), border)
+    slots = {p: (row["_level"] << SLOT_BITS, (row["_level"] + 1) << SLOT_BITS) for p, row in border.items()}
+    border = _next_border(timed.filter(_within(slots)), F.col("_second"), border)
+    last_second = {p: row["_level"] for p, row in border.items()}
+    tied = timed.filter(_within({p: (at, at + 1) for p, at in last_second.items()}))
+    border = _next_border(tied, F.substring(spot, 1, 4), border)
+    bucket = _per_type({p: F.substring(spot, 1, 4) == row["_level"] for p, row in border.items()})
+    border = _next_border(tied.filter(bucket), F.struct(spot.alias("spot"), "folder"), border)
 
-    def gone(last: Mapping) -> Column:
-        at = last_second[last[GROUP]]
-        place = F.struct(F.lit(last["_level"]["spot"]), F.lit(last["_level"]["folder"]))
-        return _between(None, at) | (_between(at, at + 1) & (F.struct(spot, "folder") <= place))
+    place = {p: F.struct(F.lit(row["_level"]["spot"]), F.lit(row["_level"]["folder"])) for p, row in border.items()}
+    gone = _per_type({p: (F.col("_second") < at) | (F.struct(spot, "folder") <= place[p]) for p, at in last_second.items()})
+    up_to_last = _within({p: (None, at + 1) for p, at in last_second.items()})
+    return timed.filter(up_to_last & gone).select(GROUP, "folder", "size_bytes")
 
-    return timed.filter(_at(border, gone)).select(GROUP, "folder", "size_bytes")
 
+def _per_type(conditions: Mapping[str, Column]) -> Column:
+    """The condition of the row's type; false where a type has none."""
+    return reduce(or_, [(F.col(GROUP) == p) & condition for p, condition in conditions.items()], F.lit(False))
 
-def _between(begin: int | None, end: int) -> Column:
-    """Start times from ``begin`` to before ``end``.
 
-    Folder names begin with the time in a form that sorts like it, so the same
-    bounds hold for the names and prune the scan.
+def _within(spans: Mapping[str, tuple[int | None, int]]) -> Column:
+    """Start times of each type's span, from its begin to before its end.
+
+    Folder names begin with the time in a form that sorts like it, so the widest
+    bounds also hold for the names and prune the scan.
     """
-    inside = (F.col("_second") < end) & (F.col("folder") < _stamp(end))
-    return inside if begin is None else inside & (F.col("_second") >= begin) & (F.col("folder") >= _stamp(begin))
+    if not spans:
+        return F.lit(False)
+    second, begins = F.col("_second"), [begin for begin, _ in spans.values()]
+    inside = {p: (second < end) if begin is None else second.between(begin, end - 1) for p, (begin, end) in spans.items()}
+    named = F.col("folder") < _stamp(max(end for _, end in spans.values()))
+    if None not in begins:
+        named &= F.col("folder") >= _stamp(min(begins))
+    return named & _per_type(inside)
 
 
 def _stamp(second: int) -> str:
     return datetime.fromtimestamp(second, UTC).strftime("%Y%m%dT%H%M%SZ")
 
 
-def _at(border: Mapping[str, Mapping], condition: Callable[[Mapping], Column]) -> Column:
-    """A condition that depends on the border of the row's type; false without one."""
-    return reduce(or_, [(F.col(GROUP) == p) & condition(row) for p, row in border.items()], F.lit(False))
-
-
 def _first_border(slots: DataFrame, limit_bytes: int) -> dict[str, Row]:
     """The border slot per type, with the total and the share; empty within the limit.
 

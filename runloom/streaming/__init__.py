@@ -1,7 +1,14 @@
 """The request loop as Structured Streaming queries."""
 
-from runloom.streaming.requests import REQUEST_ENVELOPE, drain, parse_requests, request_arguments, request_stream
-from runloom.streaming.results import read_channel, result_messages, route_failures, write_results
+from runloom.streaming.requests import (
+    REQUEST_ENVELOPE,
+    drain,
+    parse_requests,
+    queued_requests,
+    request_arguments,
+    request_stream,
+)
+from runloom.streaming.results import progress, read_channel, result_messages, route_failures, write_results
 from runloom.streaming.serving import Service, serve
 from runloom.streaming.status import enrich_errors, error_table, latest_status, status_stream
 
@@ -13,6 +20,8 @@ __all__ = [
     "error_table",
     "latest_status",
     "parse_requests",
+    "progress",
+    "queued_requests",
     "read_channel",
     "request_arguments",
     "request_stream",

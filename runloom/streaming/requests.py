@@ -33,6 +33,22 @@ def request_stream(
     return reader.load(source)
 
 
+def queued_requests(records: DataFrame) -> DataFrame:
+    """The request columns of records from a partitioned queue source.
+
+    The record key is the plan, so all requests of a plan stand in one partition
+    and ``offset`` is their order. Partition and offset identify a request.
+    """
+    place = F.shiftleft(F.col("partition").cast("bigint"), 48)
+    return records.select(
+        place.bitwiseOR(F.col("offset")).alias("request_id"),
+        F.col("offset").alias("seq"),
+        F.col("key").cast("string").try_cast("bigint").alias("plan_id"),
+        F.col("timestamp").alias("ts"),
+        F.col("value").cast("string").alias("payload"),
+    )
+
+
 def parse_requests(requests: DataFrame, ptype: str = "inference") -> DataFrame:
     """Add ``request``, the part of the payload for one run type, and ``error_code``.
 

@@ -62,3 +62,14 @@ def write_results(messages: DataFrame, root: str, batch_id: int) -> None:
 def read_channel(spark: SparkSession, root: str, channel: str) -> DataFrame:
     schema = MESSAGE.replace("channel string, ", "") + ", batch_id bigint"
     return spark.read.schema(schema).parquet(f"{root}/{channel}").withColumn("channel", F.lit(channel))
+
+
+def progress(requests: DataFrame, root: str) -> DataFrame:
+    """How far each request has got: ``init``, ``summary`` or ``artifacts``."""
+    spark = requests.sparkSession
+    reached = requests.select("request_id")
+    for channel in CHANNELS:
+        ids = read_channel(spark, root, channel).select("request_id", F.lit(True).alias(channel))
+        reached = reached.join(ids, "request_id", "left")
+    state = F.when(F.col(ARTIFACTS_CHANNEL), "artifacts").when(F.col(SUMMARY_CHANNEL), "summary").otherwise("init")
+    return reached.select("request_id", state.alias("state"))

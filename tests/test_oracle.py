@@ -19,6 +19,11 @@ def test_every_query_is_covered():
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"h3_result_sinks", "g5_fit_step"}))
 def test_query(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("CartesianProduct", "BroadcastNestedLoopJoin"))
+    # The id over everything ends in one row of bounded size.
+    assert name == "b2_dataset_id" or "SinglePartition" not in plan
+    assert name == "g2_user_step" or not any(node in plan for node in ("EvalPython", "InPandas", "InArrow"))
     if name in ORACLE:
         con = database(sf_dir)
         assert isinstance(con, duckdb.DuckDBPyConnection)

@@ -120,6 +120,24 @@ def test_overlays_add_up_over_requests_and_restarts(spark, tmp_path, monkeypatch
     assert os.path.isdir(f"{root}/out/state/snapshot=2") and os.path.isdir(f"{root}/out/state/snapshot=4")
 
 
+def test_queue_records_become_requests(spark):
+    data = [(bytearray(b"7"), bytearray(b"{}"), 0, 5, None), (bytearray(b"8"), None, 1, 5, None)]
+    records = spark.createDataFrame(data, "key binary, value binary, partition int, offset bigint, timestamp timestamp")
+    got = streaming.queued_requests(records)
+    found = {(r["request_id"], r["seq"], r["plan_id"], r["payload"]) for r in got.collect()}
+    assert found == {(5, 5, 7, "{}"), ((1 << 48) + 5, 5, 8, None)}
+    assert [name for name, _ in got.dtypes] == ["request_id", "seq", "plan_id", "ts", "payload"]
+
+
+def test_progress(spark, tmp_path):
+    schema = "request_id bigint, status string, message string"
+    first = spark.createDataFrame([(1, "success", "x"), (2, "success", "y")], schema)
+    first.write.parquet(f"{tmp_path}/{SUMMARY_CHANNEL}/batch_id=0")
+    first.filter("request_id = 1").write.parquet(f"{tmp_path}/{ARTIFACTS_CHANNEL}/batch_id=0")
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "request_id bigint")
+    assert rows(streaming.progress(asked, str(tmp_path))) == [(1, "artifacts"), (2, "summary"), (3, "init")]
+
+
 def test_a_replayed_batch_leaves_the_same_rows(spark, tmp_path):
     batch = spark.createDataFrame([(1, 1, 1, None, payload("s", {"a": "3"}))], streaming.REQUEST_ENVELOPE)
     answering = service(spark, str(tmp_path))
