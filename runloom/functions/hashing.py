@@ -48,38 +48,40 @@ def ordered_digest(
     digest of its bucket digests: rows are spread over enough hash buckets of the
     order key to keep each near ``bucket_rows`` rows, a bucket is the digest of
     the ordered row digests. The choice depends only on the data, never on how it
-    is partitioned.
+    is partitioned. Give ``text_bytes``, the longest possible text, where texts are
+    costly to compute: sizes then come from the row counts alone. Without groups
+    the size of the whole, one row, is computed at once.
     """
-    algorithm = algorithm.lower()
+    algorithm, by = algorithm.lower(), list(by)
     if algorithm not in ("sha256", "md5"):
         raise ValueError(f"unknown digest algorithm: {algorithm}")
-    by = list(by)
-    keys = by or ["_all"]
     rows = df.select(*by, *order, text.alias("_text"))
-    if not by:
-        rows = rows.withColumn("_all", F.lit(0))
-
-    # At most total size / flat_bytes groups are large.
-    size = F.count(F.lit(1)) * text_bytes if text_bytes else F.sum(F.octet_length("_text"))
-    large = (
-        rows.groupBy(*keys)
-        .agg(size.alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_bytes") > flat_bytes)
-        .select(*keys, F.greatest(F.lit(2), F.ceil(F.col("_rows") / F.lit(bucket_rows))).cast("long").alias("_fanout"))
+    n_rows = F.count(F.lit(1))
+    size = n_rows * text_bytes if text_bytes else F.sum(F.octet_length("_text"))
+    fanout = F.when(size > flat_bytes, F.greatest(F.lit(2), F.ceil(n_rows / F.lit(bucket_rows))).cast("long"))
+    if by:
+        # At most total size / flat_bytes groups are large.
+        large = rows.groupBy(*by).agg(fanout.alias("_fanout")).filter("_fanout IS NOT NULL")
+        rows = rows.join(large, by, "left")
+    else:
+        rows = rows.withColumn("_fanout", F.lit(rows.agg(fanout).first()[0]).cast("long"))
+
+    row_text = F.when(F.col("_fanout").isNull(), F.col("_text")).otherwise(_digest(F.col("_text"), algorithm))
+    spread = rows.select(
+        *by,
+        F.coalesce(F.pmod(F.xxhash64(*order), F.col("_fanout")), F.lit(-1)).alias("_bucket"),
+        F.struct(*order).alias("_key"),
+        row_text.alias("_text"),
     )
-    spread = (
-        rows.join(large, keys, "left")
-        .withColumn("_key", F.struct(*order))
-        .withColumn("_bucket", F.coalesce(F.pmod(F.xxhash64(*order), F.col("_fanout")), F.lit(-1)))
-        .withColumn("_text", F.when(F.col("_fanout").isNull(), F.col("_text")).otherwise(_digest(F.col("_text"), algorithm)))
-    )
-    leaves = spread.groupBy(*keys, "_bucket").agg(
+    leaves = spread.groupBy(*by, "_bucket").agg(
         _ordered_concat("_text", "_key").alias("_text"), F.count(F.lit(1)).alias("_rows")
     )
+    leaf_text = F.when(F.col("_bucket") < 0, F.col("_text")).otherwise(_digest(F.col("_text"), algorithm))
     roots = (
-        leaves.withColumn("_text", F.when(F.col("_bucket") < 0, F.col("_text")).otherwise(_digest(F.col("_text"), algorithm)))
-        .groupBy(*keys)
+        leaves.withColumn("_text", leaf_text)
+        .groupBy(*by)
         .agg(_ordered_concat("_text", "_bucket").alias("_text"), F.sum("_rows").alias("n_rows"))
+        .filter("n_rows > 0")
     )
     return roots.select(*by, _digest(F.col("_text"), algorithm).alias("digest"), "n_rows")
 

@@ -51,6 +51,9 @@ def test_large_group_does_not_depend_on_partitions_or_order(spark):
     bounded = ordered_digest(changed, ["g"], ["i"], F.col("t"), text_bytes=10, flat_bytes=100, bucket_rows=50)
     assert dict(rows(bounded, "g", "digest")) == other
     assert dict(rows(bounded, "g", "n_rows")) == {"hot": 500, "cold": 5}
+    alone = ordered_digest(changed.filter("g = 'hot'"), [], ["i"], F.col("t"), flat_bytes=100, bucket_rows=50)
+    assert rows(alone, "digest", "n_rows") == [(other["hot"], 500)]
+    assert ordered_digest(changed.limit(0), [], ["i"], F.col("t")).count() == 0
 
 
 def expected_carry(data, inclusive):

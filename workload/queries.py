@@ -131,7 +131,7 @@ def b2_dataset_id(spark, sf_dir):
     """One id per base directory and one over all of them, from file hashes that are stored once."""
     hashed = op.file_hashes(views.files(spark, sf_dir)).select("base_dir", "path", "hash64")
     hashed = plans.interface(hashed, "file", "hashes")
-    everything = op.dataset_id(hashed.withColumn("base_dir", F.lit("*")), ["base_dir"])
+    everything = op.dataset_id(hashed).withColumn("base_dir", F.lit("*"))
     return op.dataset_id(hashed, ["base_dir"]).unionByName(everything)
 
 
