@@ -19,6 +19,7 @@ from runloom.operators.history import (
     filter_ids,
     history,
     missing_steps,
+    parameter_names,
     run_status,
     shape_columns,
     sort_recent,
@@ -78,6 +79,7 @@ __all__ = [
     "overlay_params",
     "overlay_paths",
     "param_id",
+    "parameter_names",
     "replace_prefix",
     "retention_plan",
     "run_id",

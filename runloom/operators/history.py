@@ -32,6 +32,19 @@ def parameter_columns(steps: Mapping[str, Sequence[str]]) -> list[tuple[str, str
     return [(step, name, f"{step}.{name}") for step, names in steps.items() for name in names]
 
 
+def parameter_names(params: DataFrame, steps: Iterable[str], limit: int = 1000) -> dict[str, list[str]]:
+    """The parameter names of the given steps over all plans.
+
+    They become columns, so more than ``limit`` of them is an error.
+    """
+    wanted = list(dict.fromkeys(steps))
+    pairs = params.filter(F.col("step").isin(wanted) & F.col("name").isNotNull()).select("step", "name").distinct()
+    found = pairs.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"the steps {wanted} have more than {limit} parameters; name the ones to show")
+    return {step: sorted(row["name"] for row in found if row["step"] == step) for step in wanted}
+
+
 def attach_params(
     runs: DataFrame,
     params: DataFrame,
@@ -128,7 +141,7 @@ def history(
     runs: DataFrame,
     summaries: DataFrame,
     params: DataFrame | None = None,
-    steps: Mapping[str, Sequence[str]] | None = None,
+    steps: Mapping[str, Sequence[str]] | Iterable[str] | None = None,
     ptype: str = "train",
     data_id: str = "",
     param_id: str = "",
@@ -139,13 +152,18 @@ def history(
 ) -> DataFrame:
     """All runs of one type as a table, newest first.
 
-    The type and id filters stand before the joins, so they reach the scan of the
+    ``steps`` chooses parameters to show: a mapping names them, a list of steps
+    takes all parameters of these steps and raises if a plan lacks one of them. The
+    type and id filters stand before the joins, so they reach the scan of the
     ledger. ``summary_key`` and ``params_key`` join summaries and parameters where
     they are not kept by folder. ``keep`` names ledger columns to show besides
     those of the record.
     """
     chosen = filter_ids(runs.filter(F.col("ptype") == ptype), data_id, param_id, code_id)
     table = attach_summary(chosen, summaries, key=summary_key)
+    if steps and not isinstance(steps, Mapping):
+        check_steps(params, steps, plan=params_key)
+        steps = parameter_names(params, steps)
     if steps:
         table = attach_params(table, params, steps, key=params_key)
     table = sort_recent(table.withColumn("status", run_status()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -60,16 +61,21 @@ def local_session(cores: str | int = "*", name: str = "runloom", **settings: str
     return spark
 
 
+@cache
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="runloom-")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the checkpoint folder of the session.
+    """A new folder below the checkpoint folder that the session names.
 
     A cluster must name a folder that all executors reach. Only a local master,
     as in tests, falls back to a temporary folder of this machine.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="runloom-")
-        spark.conf.set(CHECKPOINT_SETTING, root)
+        root = _local_root(context.applicationId)
     return os.path.join(root, f"{label}-{uuid.uuid4().hex[:12]}")

@@ -47,6 +47,17 @@ def test_history_table(spark):
     assert found[1]["probability"] == {"1": 0.5}
 
 
+def test_steps_alone_show_all_their_parameters(spark):
+    args = runs(spark), summaries(spark), params(spark)
+    df = op.history(*args, ["train"], "train")
+    assert [c for c in df.columns if c.startswith("train.")] == ["train.depth", "train.rate"]
+    with pytest.raises(ValueError, match="b-error: input"):
+        op.history(*args, ["train", "input"], "train")
+    assert op.parameter_names(params(spark), ["input", "nothing"]) == {"input": ["cols"], "nothing": []}
+    with pytest.raises(ValueError, match="more than 1"):
+        op.parameter_names(params(spark), ["train"], limit=1)
+
+
 def test_inference_history_ends_with_the_train_id(spark):
     df = op.history(runs(spark), summaries(spark), ptype="inference")
     assert df.columns[:13] == [*HISTORY_COLUMNS, "train_id"]
