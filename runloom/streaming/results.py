@@ -55,7 +55,8 @@ def write_results(messages: DataFrame, root: str, batch_id: int) -> None:
     """
     spark = messages.sparkSession
     summary, artifacts = (f"{root}/{channel}/batch_id={batch_id}" for channel in CHANNELS)
-    messages.write.mode("overwrite").parquet(summary)
+    # A stream keeps its number of state partitions; the files follow the size of the batch.
+    messages.hint("rebalance").write.mode("overwrite").parquet(summary)
     spark.read.schema(messages.schema).parquet(summary).write.mode("overwrite").parquet(artifacts)
 
 

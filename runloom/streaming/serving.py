@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
@@ -64,20 +63,30 @@ def serve(requests: DataFrame, service: Service, checkpoint: str, delay: str = "
 
 
 def serve_batch(batch: DataFrame, batch_id: int, service: Service, plans: DataFrame) -> None:
-    """Answer the requests of one batch; a replay gives the same files."""
-    parsed = parse_requests(batch).persist(StorageLevel.MEMORY_AND_DISK)
-    own = {
-        column_name(step, name): request_arguments(step, name) for step, name, _ in parameter_columns(service.parameters)
-    }
-    try:
-        # Parameters of a request count even if its dataset is unset.
-        readable = parsed.filter("error_code IS NULL OR error_code <> 'E111'")
-        _write_state(readable, own, service, batch_id)
-        state = _read_state(batch.sparkSession, service, batch_id, readable)
-        effective = _with_parameters(readable, own, state, plans, service)
-        write_results(_answers(parsed, effective, service), service.root, batch_id)
-    finally:
-        parsed.unpersist()
+    """Answer the requests of one batch; a replay gives the same files.
+
+    The parsed requests are written first. All else reads them back in the session
+    of the service, where adaptive execution is on; a stream's own session, which
+    keeps state, has it off.
+    """
+    path = f"{service.root}/requests/batch_id={batch_id}"
+    own = [
+        request_arguments(step, name).alias(f"_own_{column_name(step, name)}")
+        for step, name, _ in parameter_columns(service.parameters)
+    ]
+    parsed = parse_requests(batch).select(
+        "request_id", "seq", "plan_id", "error_code", F.col("request.dataset_uri").alias("dataset_uri"), *own
+    )
+    parsed.write.mode("overwrite").parquet(path)
+    requests = plans.sparkSession.read.schema(parsed.schema).parquet(path)
+
+    # Parameters of a request count even if its dataset is unset.
+    readable = requests.filter("error_code IS NULL OR error_code <> 'E111'")
+    _write_state(readable, service, batch_id)
+    state = _read_state(service, batch_id, readable)
+    effective = _with_parameters(readable, state, plans, service)
+    unread = requests.filter("error_code = 'E111'")
+    write_results(_answers(effective, unread, service), service.root, batch_id)
 
 
 def _needed(table: DataFrame, requests: DataFrame, key: str) -> DataFrame:
@@ -85,22 +94,20 @@ def _needed(table: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     return table.join(requests.select(key).distinct(), key, "left_semi")
 
 
-def _answers(parsed: DataFrame, effective: DataFrame, service: Service) -> DataFrame:
+def _answers(effective: DataFrame, unread: DataFrame, service: Service) -> DataFrame:
     """Load and run: the messages of all requests of a batch."""
-    asked = effective.withColumn("dataset_uri", F.col("request.dataset_uri"))
-    uris = parsed.select(F.col("request.dataset_uri").alias("dataset_uri"))
-    datasets = _needed(service.datasets.withColumn("_loaded", F.lit(True)), uris, "dataset_uri")
-    loaded = asked.join(datasets, "dataset_uri", "left")
+    datasets = _needed(service.datasets.withColumn("_loaded", F.lit(True)), effective, "dataset_uri")
+    loaded = effective.join(datasets, "dataset_uri", "left")
     verdict = (
         F.when(F.col("error_code").isNotNull(), F.col("error_code"))
         .when(F.col("_loaded").isNull(), "E141")
         .when(F.col(service.summary[0]).isNull(), "E152")
     )
     answered = service.score(loaded).withColumn("error_code", verdict)
-    unread = parsed.filter("error_code = 'E111'").select("request_id", "error_code")
-    columns = ["request_id", "error_code", *service.summary]
+    columns = ["request_id", "error_code"]
     return result_messages(
-        answered.select(*columns).unionByName(unread, allowMissingColumns=True), list(service.summary)
+        answered.select(*columns, *service.summary).unionByName(unread.select(*columns), allowMissingColumns=True),
+        list(service.summary),
     )
 
 
@@ -117,10 +124,9 @@ def _plan_columns(service: Service) -> DataFrame:
     return served.groupBy("plan_id").agg(*values, *steps)
 
 
-def _with_parameters(
-    requests: DataFrame, own: Mapping[str, Column], state: DataFrame | None, plans: DataFrame, service: Service
-) -> DataFrame:
+def _with_parameters(requests: DataFrame, state: DataFrame | None, plans: DataFrame, service: Service) -> DataFrame:
     """Each request with the plan's parameters as they stand after it and all before it."""
+    own = {name: F.col(f"_own_{name}") for name in service.columns}
     overlaid = carry_forward(requests, ["plan_id"], ["seq"], F.shiftright("seq", CHUNK_BITS), own, start=state)
     joined = overlaid.join(_needed(plans, requests, "plan_id"), "plan_id", "left")
     values = {}
@@ -134,18 +140,19 @@ def _state_schema(service: Service) -> str:
     return ", ".join(["plan_id bigint", *[f"`{name}` string" for name in service.columns], "as_of bigint"])
 
 
-def _write_state(requests: DataFrame, own: Mapping[str, Column], service: Service, batch_id: int) -> None:
+def _write_state(requests: DataFrame, service: Service, batch_id: int) -> None:
     """The last value of every parameter that this batch touched, one row per plan."""
-    touched = (
-        requests.select("plan_id", "seq", *[column.alias(name) for name, column in own.items()])
-        .groupBy("plan_id")
-        .agg(*[F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name) for name in own])
-        .withColumn("as_of", F.lit(batch_id).cast("bigint"))
+    touched = requests.groupBy("plan_id").agg(
+        *[
+            F.max_by(f"_own_{name}", F.when(F.col(f"_own_{name}").isNotNull(), F.col("seq"))).alias(name)
+            for name in service.columns
+        ],
+        F.lit(batch_id).cast("bigint").alias("as_of"),
     )
     touched.write.mode("overwrite").parquet(f"{service.root}/state/delta={batch_id}")
 
 
-def _read_state(spark: SparkSession, service: Service, batch_id: int, requests: DataFrame) -> DataFrame | None:
+def _read_state(service: Service, batch_id: int, requests: DataFrame) -> DataFrame | None:
     """What requests before this batch set for the plans of this batch, one row per plan.
 
     Every ``SNAPSHOT_EVERY`` batches the changes are folded into a snapshot, so a
@@ -153,6 +160,7 @@ def _read_state(spark: SparkSession, service: Service, batch_id: int, requests:
     """
     if batch_id == 0:
         return None
+    spark = requests.sparkSession
     start = batch_id - batch_id % SNAPSHOT_EVERY
     if start == batch_id:
         changes = _changes(spark, service, start - SNAPSHOT_EVERY, batch_id)

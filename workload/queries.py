@@ -479,22 +479,22 @@ def g1_run_steps(spark, sf_dir):
     return result
 
 
-def _banded(frame: pd.DataFrame, width: int) -> pd.DataFrame:
-    band = (frame["l_quantity"] // width).astype("int64")
-    return pd.DataFrame({"l_returnflag": frame["l_returnflag"], "band": band})
-
-
-def _discounted(frame: pd.DataFrame, percent: int) -> pd.Series:
-    return (frame["l_discount"] * 100).round().ge(percent)
-
-
 @query
 def g2_user_step(spark, sf_dir):
     """User code over pandas batches between native steps."""
+
+    # Defined here, so that they travel to the executors by value.
+    def discounted(frame: pd.DataFrame, percent: int) -> pd.Series:
+        return (frame["l_discount"] * 100).round().ge(percent)
+
+    def banded(frame: pd.DataFrame, width: int) -> pd.DataFrame:
+        band = (frame["l_quantity"] // width).astype("int64")
+        return pd.DataFrame({"l_returnflag": frame["l_returnflag"], "band": band})
+
     steps = [
-        Step("cheap", plans.vector_step("cheap", _discounted, "boolean", ["l_discount"]), {"percent": 5}),
+        Step("cheap", plans.vector_step("cheap", discounted, "boolean", ["l_discount"]), {"percent": 5}),
         Step("keep", plans.native_step(lambda df: df.filter("cheap"))),
-        Step("band", plans.pandas_step(_banded, "l_returnflag string, band bigint"), {"width": 10}),
+        Step("band", plans.pandas_step(banded, "l_returnflag string, band bigint"), {"width": 10}),
         Step(
             "count",
             plans.native_step(lambda df: df.groupBy("l_returnflag", "band").agg(F.count(F.lit(1)).alias("n_lines"))),
