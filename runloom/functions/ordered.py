@@ -19,6 +19,8 @@ def carry_forward(
 ) -> DataFrame:
     """Add, per row, the newest non-null value at or before it within its key.
 
+    ``keys`` hold no NULL, and ``order`` identifies a row within its key.
+
     A plain window over ``keys`` puts a hot key on one task. Here a key is cut
     into chunks along its order, where ``chunk`` must not fall as ``order``
     rises. One aggregation with map-side partials gives the newest value of each

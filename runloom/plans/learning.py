@@ -8,11 +8,12 @@ from typing import Any
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-FEATURES, LABEL, PREDICTION, RESULT = "features", "label", "prediction", "predicted"
+FEATURES, LABEL, PREDICTION, RESULT, PROBABILITIES = "features", "label", "prediction", "predicted", "probabilities"
 
 
 def select_xy(df: DataFrame, x_columns: Sequence[str], y_column: str | None = None) -> DataFrame:
@@ -76,40 +77,46 @@ def _indexes_label(stage) -> bool:
 
 
 def score_step(df: DataFrame, model: PipelineModel | str) -> DataFrame:
-    """Add the predicted class as text and its probability vector. No label is needed."""
+    """Add the predicted class as text and the probability of each class as a map. No label is needed."""
     model = load_model(model) if isinstance(model, str) else model
     indexer = next(stage for stage in model.stages if _indexes_label(stage))
     scorer = PipelineModel([stage for stage in model.stages if stage is not indexer])
     names = F.array(*[F.lit(name) for name in indexer.labels])
-    return scorer.transform(df).withColumn(RESULT, F.element_at(names, F.col(PREDICTION).cast("int") + 1))
+    return scorer.transform(df).withColumns(
+        {
+            RESULT: F.element_at(names, F.col(PREDICTION).cast("int") + 1),
+            PROBABILITIES: F.map_from_arrays(names, vector_to_array("probability")),
+        }
+    )
 
 
 def summarize_scores(
     predictions: DataFrame,
     run: str = "run",
     label: str = "label",
-    weight: Column | None = None,
+    probabilities: str | None = None,
     note: Column | None = None,
     date: str = "",
     version: str = "1.0",
 ) -> DataFrame:
     """One summary per run: probability per class, the likeliest class and its probability.
 
-    The probability of a class is its share of the run's rows, or of ``weight``.
-    Ties go to the smallest class. ``score`` is rounded to 6 decimals.
+    The probability of a class is its share of the run's rows, or the mean over a
+    map of ``probabilities`` that names every class in every row. Ties go to the
+    smallest class. ``score`` is rounded to 6 decimals.
     """
-    amount = weight if weight is not None else F.lit(1)
-    counts = predictions.groupBy(run, F.col(label).cast("string").alias("result")).agg(
-        F.sum(amount).alias("_w"), F.count(F.lit(1)).alias("_n")
-    )
+    if probabilities:
+        votes = predictions.select(run, F.explode(probabilities).alias("result", "_vote"))
+    else:
+        votes = predictions.select(run, F.col(label).cast("string").alias("result"), F.lit(1).alias("_vote"))
+    counts = votes.groupBy(run, "result").agg(F.sum("_vote").alias("_w"), F.count(F.lit(1)).alias("_n"))
+    n_rows = F.max("_n") if probabilities else F.sum("_n")
     # One row per run and class from here on.
     shares = counts.withColumn("_share", F.col("_w") / F.sum("_w").over(Window.partitionBy(run)))
     best = F.min(F.struct((-F.col("_share")).alias("s"), F.col("result").alias("r")))
-    probabilities = F.sort_array(
-        F.collect_list(F.struct(F.col("result"), F.round("_share", 6).alias("share")))
-    )
+    per_class = F.sort_array(F.collect_list(F.struct(F.col("result"), F.round("_share", 6).alias("share"))))
     summary = shares.groupBy(run).agg(
-        best.alias("_best"), F.map_from_entries(probabilities).alias("probability"), F.sum("_n").alias("_rows")
+        best.alias("_best"), F.map_from_entries(per_class).alias("probability"), n_rows.alias("_rows")
     )
     text = note if note is not None else F.concat(F.lit("n"), F.col("_rows").cast("string"))
     return summary.select(

@@ -110,6 +110,22 @@ def test_summary_of_scores(spark):
     assert (got["q"]["result"], got["q"]["score"], got["q"]["note"]) == ("y", 0.666667, "n3")
 
 
+def test_summary_of_probabilities(spark):
+    data = [("r", {"a": 0.25, "b": 0.75}), ("r", {"a": 0.5, "b": 0.5}), ("q", {"a": 1.0, "b": 0.0})]
+    df = spark.createDataFrame(data, "run string, p map<string,double>")
+    got = {r["run"]: r for r in plans.summarize_scores(df, probabilities="p").collect()}
+    assert (got["r"]["result"], got["r"]["score"], got["r"]["probability"]) == ("b", 0.625, {"a": 0.375, "b": 0.625})
+    assert (got["q"]["result"], got["q"]["note"], got["r"]["note"]) == ("a", "n1", "n2")
+
+
+def test_scores_feed_the_summary(spark):
+    df = training(spark)
+    model = plans.fit_step(df, ["x", "word"], "y", {"n_estimators": 3, "max_depth": 3})
+    scored = plans.score_step(df.withColumn("run", F.lit("r")), model)
+    summary = plans.summarize_scores(scored, probabilities="probabilities").first()
+    assert set(summary["probability"]) == {"low", "high"} and abs(sum(summary["probability"].values()) - 1) < 1e-5
+
+
 def test_model_choice(spark):
     train = spark.createDataFrame([("t1",), ("t2",)], "folder string")
     assert plans.pick_model(train, "t1", "history/train") == "history/train/t1/models/"
