@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # are digested bucket by bucket, so no task ever holds more than about one bucket.
 FLAT_BYTES = 1 << 24
 BUCKET_ROWS = 1 << 14
+# Up to this many large groups, a key and a number each, are broadcast.
+BROADCAST_GROUPS = 10_000
 
 
 def low64(hex_digest: Column) -> Column:
@@ -49,8 +51,8 @@ def ordered_digest(
     order key to keep each near ``bucket_rows`` rows, a bucket is the digest of
     the ordered row digests. The choice depends only on the data, never on how it
     is partitioned. Give ``text_bytes``, the longest possible text, where texts are
-    costly to compute: sizes then come from the row counts alone. Without groups
-    the size of the whole, one row, is computed at once.
+    costly to compute: sizes then come from the row counts alone. The sizes are
+    checked by a small job when this is called.
     """
     algorithm, by = algorithm.lower(), list(by)
     if algorithm not in ("sha256", "md5"):
@@ -60,9 +62,13 @@ def ordered_digest(
     size = n_rows * text_bytes if text_bytes else F.sum(F.octet_length("_text"))
     fanout = F.when(size > flat_bytes, F.greatest(F.lit(2), F.ceil(n_rows / F.lit(bucket_rows))).cast("long"))
     if by:
-        # At most total size / flat_bytes groups are large.
+        # Few groups are large, most often none: their number is checked before the join.
         large = rows.groupBy(*by).agg(fanout.alias("_fanout")).filter("_fanout IS NOT NULL")
-        rows = rows.join(large, by, "left")
+        n_large = large.limit(BROADCAST_GROUPS + 1).count()
+        if n_large == 0:
+            rows = rows.withColumn("_fanout", F.lit(None).cast("long"))
+        else:
+            rows = rows.join(F.broadcast(large) if n_large <= BROADCAST_GROUPS else large, by, "left")
     else:
         rows = rows.withColumn("_fanout", F.lit(rows.agg(fanout).first()[0]).cast("long"))
 
