@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm import bpe, mixing, quality_rules, sharding
-from runloom.llm.common import ship, table
+from runloom.llm import bpe, mixing, quality_classifier, quality_rules, sharding, topk, toxicity, warc
+from runloom.llm.common import ship, stored, table
 from runloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,12 +41,31 @@ def op3_mix_sources(spark, sf_dir):
     return mixing.score(table(spark, sf_dir, "documents"), weights=(1, 2, 3), share=1.0, max_epochs=3)
 
 
+@query
+def op4_top_k(spark, sf_dir):
+    """The 5 best candidates of every 50th vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 @query
 def op5_bpe(spark, sf_dir):
     """Digests of the ids and of the decoded text of every document."""
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op6_warc(spark, sf_dir):
+    """All pages written as archives and read back from the stored archives."""
+    archives = stored(warc.write(table(spark, sf_dir, "pages"), min_bytes=0), "warc")
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    """The toxicity of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_quality_rules(spark, sf_dir):
     """Word measures and the verdict of the line rules for every document."""
@@ -55,4 +74,10 @@ def op8_quality_rules(spark, sf_dir):
     )
 
 
+@query
+def op9_quality(spark, sf_dir):
+    """The quality of every document."""
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 __all__ = ["QUERIES"]
