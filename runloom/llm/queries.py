@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm import bpe, mixing, quality_classifier, quality_rules, sharding, topk, toxicity, warc
+from runloom.llm import bpe, mixing, ngram_join, quality_classifier, quality_rules, sharding, topk, toxicity, warc
 from runloom.llm.common import ship, stored, table
 from runloom.session import prepare
 
@@ -35,6 +35,12 @@ def op1_shard(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents"), shards=16)
 
 
+@query
+def op2_ngram_join(spark, sf_dir):
+    """The near-copy group of every document: five-word shingles, similarity of 0.75 and more."""
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 @query
 def op3_mix_sources(spark, sf_dir):
     """All documents mixed to weights 1, 2, 3 with at most 3 epochs of a source."""
