@@ -69,37 +69,27 @@ def water_level(sources: DataFrame, share: float = 1.0, max_epochs: int = 3) ->
 
 def _choose(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.assign(size_class=np.frexp(rows["size"].to_numpy(float))[1])
-    rows = rows.sort_values(["size_class", "luck", "doc_key"], ascending=[False, True, True], kind="stable")
+    rows = rows.sort_values(["size_class", "luck", "doc_key", "text_key"], ascending=[False, True, True, True], kind="stable")
     account, more = 0.0, []
     for size, part in zip(rows["size"].tolist(), rows["fraction"].tolist(), strict=True):
         account += size * part
         taken = size > 0 and part > 0 and account >= size / 2
         account -= size * taken
         more.append(int(taken))
-    return rows.assign(times=rows["whole"] + np.array(more, np.int64))[["row", "size", "source_size", "target", "times"]]
+    return rows.assign(times=rows["whole"] + np.array(more, np.int64))[["doc_id", "source", "text_key", "size", "source_size", "target", "times"]]
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = 3, seed: int = 7, carry: tuple[str, ...] = ("doc_id",)
-) -> DataFrame:
-    """row (a struct of the carried columns), size, source_size, target, times.
-
-    times: how often the mix takes the document.
-    """
+def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The slim table of documents, and per source its target, whole epochs and fraction."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     sized = stored(
-        docs.select(
-            F.struct(*[docs[c] for c in carry]).alias("row"),
-            key.alias("doc_key"),
-            F.col("source").alias("source"),
-            word_count(F.col("text")).alias("size"),
-        ),
+        docs.select(F.col("doc_id").alias("doc_id"), key.alias("doc_key"), F.xxhash64(key, text).alias("text_key"), F.col("source").alias("source"), word_count(text).alias("size")),
         "mix-sized",
     )
     sources = source_table(sized, weights)
     level = water_level(sources, share, max_epochs)
-    most = F.col("source_size") * float(max_epochs)
-    target = F.least(F.col("weight") * F.lit(level), most)
+    target = F.least(F.col("weight") * F.lit(level), F.col("source_size") * float(max_epochs))
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = sources.withColumn("target", target).select(
         F.col("source").alias("_source"),
@@ -108,20 +98,49 @@ def mix(
         F.floor(epochs).cast("long").alias("whole"),
         (epochs - F.floor(epochs)).alias("fraction"),
     )
-    luck = F.xxhash64(F.lit(seed), F.col("doc_key"), F.col("size"))
-    cells = in_cells(sized.withColumn("luck", luck).withColumn("_cut", F.xxhash64("luck")), "source", "_cut", CELL_ROWS)
+    luck = F.xxhash64(F.lit(seed), "doc_key", "text_key")
+    return sized.withColumn("luck", luck).withColumn("_cut", F.xxhash64("luck")), plan
+
+
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = 3, seed: int = 7
+) -> DataFrame:
+    """doc_id, text_key, size, source_size, target, times: how often the mix takes each row of the documents.
+
+    text_key is a hash of the id and the text.
+    """
+    sized, plan = _plan(docs, weights, share, max_epochs, seed)
+    cells = in_cells(sized, "source", "_cut", CELL_ROWS)
     full = cells.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_cut")
-    kind = full.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, size long, source_size long, target double, times long"
+    kind = full.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, source string, text_key long, size long, source_size long, target double, times long"
     return full.groupBy("source", "cell").applyInPandas(_choose, schema)
 
 
 def score(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and the words that the mix takes of the document."""
     mixed = mix(docs, **options)
-    return mixed.select(
-        F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times"
-    )
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times")
+
 
+def repeat(docs: DataFrame, **options) -> DataFrame:
+    """The documents with all their columns, each as often as the mix takes it.
 
-__all__ = ["mix", "score", "source_table", "water_level"]
+    Rows that repeat id, source and text share their copies evenly: each gets the whole number, and the rest goes to
+    as many of them as there are copies left. Only documents that are taken are joined back.
+    """
+    taken = mix(docs, **options).groupBy("text_key", F.col("source").alias("_source")).agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    taken = stored(taken.where("_times > 0"), "mix-taken").withColumnRenamed("text_key", "_key")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("_from"), F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), text).alias("_hash"))
+    joined = rows.join(taken, (F.col("_hash") == F.col("_key")) & F.col("_from").eqNullSafe(F.col("_source")))
+    several = joined.where("_rows > 1")
+    copies = F.expr("explode(array_repeat(0, cast(_n AS int)))")
+    single = joined.where("_rows = 1").withColumn("_n", F.col("_times"))
+    at = F.row_number().over(Window.partitionBy("_key", "_source").orderBy("_hash"))
+    shared = several.withColumn("_at", at).withColumn("_n", F.expr("_times div _rows + IF(_at <= _times % _rows, 1, 0)"))
+    pick = lambda part: part.select("row", copies.alias("_copy")).select("row.*")
+    return pick(single).union(pick(shared))
+
+
+__all__ = ["mix", "repeat", "score", "source_table", "water_level"]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.llm import bpe, mixing, ngram_join, quality_classifier, quality_rules, sharding, topk, toxicity, warc
+from runloom.llm import bpe, language_model, mixing, ngram_join, quality_classifier, quality_rules, sharding, topk, toxicity, warc
 from runloom.llm.common import ship, stored, table
 from runloom.session import prepare
 
@@ -86,4 +86,10 @@ def op9_quality(spark, sf_dir):
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op10_language_model(spark, sf_dir):
+    """All texts under the model of those that are not held out."""
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["QUERIES"]
