@@ -58,16 +58,17 @@ def class_key(found: np.ndarray) -> bytes:
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set)."""
+    """doc_id, text_key (a hash of the text), n_shingles, class (null for an empty set)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py(), n) for t in batch.column(1)]
+            found = [shingles(t.as_py(), n) for t in batch.column(2)]
             sizes, keys = [len(f) for f in found], [class_key(f) if len(f) else None for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "text_key", "n_shingles", "class"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(apply, "doc_id long, n_shingles long, class binary")
+    text = F.col("text").cast("string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return slim.mapInArrow(apply, "doc_id long, text_key long, n_shingles long, class binary")
 
 
 def _packed(block: np.ndarray, keys: np.ndarray, sizes: np.ndarray, owner: np.ndarray, columns: dict[str, np.ndarray], named: str) -> pa.RecordBatch:
@@ -75,7 +76,7 @@ def _packed(block: np.ndarray, keys: np.ndarray, sizes: np.ndarray, owner: np.nd
     order = np.lexsort((owner, block))
     block, owner = block[order], owner[order]
     starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.array([], int)
-    ends = np.append(starts[1:], len(block))
+    ends = np.append(starts[1:], [len(block)] * min(1, len(block))).astype(int)
     out: dict[str, list] = {named: block[starts].tolist(), "keys": [], "sizes": [], "counts": []} | {c: [] for c in columns}
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         owners, counts = np.unique(owner[a:b], return_counts=True)
@@ -277,7 +278,7 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, star_rounds: int = S
 
 
 def near_groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_key (a hash of the text)."""
     rows = stored(sets_of(docs, n), "join-rows")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     known = linked_classes(candidates(docs, total, n, percent), percent) if total else None
@@ -286,20 +287,24 @@ def near_groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Data
     smallest = stored(placed.groupBy("comp").agg(F.min("first_id").alias("component_id")), "join-smallest")
     ids = stored(placed.join(smallest, "comp").select(F.col("class").alias("_c"), F.col("component_id").alias("_id")), "join-ids")
     joined = rows.join(ids, F.col("class") == F.col("_c"), "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("_id")).alias("component_id"), F.hex("class").alias("class_key"))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("_id")).alias("component_id"), "text_key")
 
 
 def keep_one(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest id.
 
-    Rows that repeat an id and its text count as one document. Documents with an empty set all stay.
+    Rows that repeat an id and its text count as one document. Documents with an empty set all stay, and so do the
+    different texts of a group in which no row has an id.
     """
     groups = stored(near_groups(docs, n, percent), "join-groups")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    often = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("_doc"), docs["text"].alias("_text"))
-    left = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_id")), "left_anti")
-    same = F.col("_doc").eqNullSafe(F.col("_id"))
+    named = groups.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays"))
+    gone = named.where("NOT stays").select("_id", "_key").distinct()
+    often = named.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_key")
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(docs["text"].cast("string")).alias("_text")
+    )
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    left = rows.join(gone, same, "left_anti")
     if often.isEmpty():
         return left.select("row.*")
     single, several = left.join(often, same, "left_anti"), left.join(often, same, "left_semi")
