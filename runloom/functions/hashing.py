@@ -7,12 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A group whose text stays below this size is digested as one string. Larger groups
-# are digested bucket by bucket, so no task ever holds more than about one bucket.
-FLAT_BYTES = 1 << 24
-BUCKET_ROWS = 1 << 14
-# Up to this many large groups, a key and a number each, are broadcast.
-BROADCAST_GROUPS = 10_000
+# Hex digits of the key's MD5 that name the nodes of the digest tree, leaves first.
+TREE_DIGITS = (4, 2)
 
 
 def low64(hex_digest: Column) -> Column:
@@ -34,64 +30,39 @@ def _digest(text: Column, algorithm: str) -> Column:
 
 
 def ordered_digest(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    text: Column,
-    algorithm: str = "sha256",
-    text_bytes: int | None = None,
-    flat_bytes: int = FLAT_BYTES,
-    bucket_rows: int = BUCKET_ROWS,
+    df: DataFrame, by: Sequence[str], order: Sequence[str], text: Column, algorithm: str = "sha256"
 ) -> DataFrame:
-    """One digest per group over the texts of its rows in key order, with the number of rows.
-
-    ``order`` must identify a row within its group. A group of up to
-    ``flat_bytes`` is the digest of its concatenated texts. A larger one is the
-    digest of its bucket digests: rows are spread over enough hash buckets of the
-    order key to keep each near ``bucket_rows`` rows, a bucket is the digest of
-    the ordered row digests. The choice depends only on the data, never on how it
-    is partitioned. Give ``text_bytes``, the longest possible text, where texts are
-    costly to compute: sizes then come from the row counts alone. The sizes are
-    checked by a small job when this is called.
+    """One digest per group over the texts of its rows, with the number of rows.
+
+    ``order`` must identify a row within its group. The digest is that of a fixed tree, the
+    same for groups of any size: the MD5 of the key's values, joined by dots, says to which of
+    65,536 leaves a row belongs. A leaf is the digest of its rows' texts in key order, an inner
+    node that of its leaves in order, and the root that of the inner nodes. Nodes without rows
+    do not appear, so a small group costs as many digests as it has rows. A task holds one
+    leaf at most. Nothing runs when this is called.
     """
     algorithm, by = algorithm.lower(), list(by)
     if algorithm not in ("sha256", "md5"):
         raise ValueError(f"unknown digest algorithm: {algorithm}")
-    rows = df.select(*by, *order, text.alias("_text"))
-    n_rows = F.count(F.lit(1))
-    size = n_rows * text_bytes if text_bytes else F.sum(F.octet_length("_text"))
-    fanout = F.when(size > flat_bytes, F.greatest(F.lit(2), F.ceil(n_rows / F.lit(bucket_rows))).cast("long"))
-    if by:
-        # Few groups are large, most often none: their number is checked before the join.
-        large = rows.groupBy(*by).agg(fanout.alias("_fanout")).filter("_fanout IS NOT NULL")
-        n_large = large.limit(BROADCAST_GROUPS + 1).count()
-        if n_large == 0:
-            rows = rows.withColumn("_fanout", F.lit(None).cast("long"))
-        else:
-            rows = rows.join(F.broadcast(large) if n_large <= BROADCAST_GROUPS else large, by, "left")
-    else:
-        rows = rows.withColumn("_fanout", F.lit(rows.agg(fanout).first()[0]).cast("long"))
-
-    row_text = F.when(F.col("_fanout").isNull(), F.col("_text")).otherwise(_digest(F.col("_text"), algorithm))
-    spread = rows.select(
-        *by,
-        F.coalesce(F.pmod(F.xxhash64(*order), F.col("_fanout")), F.lit(-1)).alias("_bucket"),
-        F.struct(*order).alias("_key"),
-        row_text.alias("_text"),
-    )
-    leaves = spread.groupBy(*by, "_bucket").agg(
-        _ordered_concat("_text", "_key").alias("_text"), F.count(F.lit(1)).alias("_rows")
-    )
-    leaf_text = F.when(F.col("_bucket") < 0, F.col("_text")).otherwise(_digest(F.col("_text"), algorithm))
-    roots = (
-        leaves.withColumn("_text", leaf_text)
-        .groupBy(*by)
-        .agg(_ordered_concat("_text", "_bucket").alias("_text"), F.sum("_rows").alias("n_rows"))
-        .filter("n_rows > 0")
+    leaf, inner = TREE_DIGITS
+    place = F.substring(F.md5(F.concat_ws(".", *[F.col(name).cast("string") for name in order])), 1, leaf)
+    rows = df.select(*by, place.alias("_node"), F.struct(*order).alias("_key"), text.alias("_text"))
+    leaves = rows.groupBy(*by, "_node").agg(
+        _ordered_concat("_text", "_key").alias("_text"), F.count(F.lit(1)).alias("n_rows")
     )
+    nodes = _level(leaves, by, algorithm, F.substring("_node", 1, inner))
+    roots = _level(nodes, by, algorithm, None).filter("n_rows > 0")
     return roots.select(*by, _digest(F.col("_text"), algorithm).alias("digest"), "n_rows")
 
 
+def _level(nodes: DataFrame, by: list[str], algorithm: str, above: Column | None) -> DataFrame:
+    """The digests of the nodes, joined in order within the node above, or within the group."""
+    digests = nodes.withColumn("_text", _digest(F.col("_text"), algorithm))
+    keys = [*by, *([above.alias("_above")] if above is not None else [])]
+    joined = digests.groupBy(*keys).agg(_ordered_concat("_text", "_node").alias("_text"), F.sum("n_rows").alias("n_rows"))
+    return joined.withColumnRenamed("_above", "_node")
+
+
 def _ordered_concat(text: str, key: str) -> Column:
     pairs = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(text).alias("t"))))
     return F.array_join(F.transform(pairs, lambda pair: pair["t"]), "")

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from runloom.constants import EMPTY_DATA_ID
 from runloom.functions.hashing import content_hash64, low64, ordered_digest, short_id
 
-# Longest texts: an unsigned 64-bit number, an MD5 in hex.
-HASH64_DIGITS, MD5_DIGITS = 20, 32
-
 
 def file_hashes(files: DataFrame, content: str = "content") -> DataFrame:
     """Replace the content of every file by its 64-bit hash."""
@@ -25,7 +22,7 @@ def dataset_id(files: DataFrame, by: Sequence[str] = (), path: str = "path", has
     Without groups it is one id over all files, zeros if there are none. The hash of
     each file stays a row of ``files``; it is never gathered into a map.
     """
-    digest = ordered_digest(files, by, [path], F.col(hash64).cast("string"), text_bytes=HASH64_DIGITS)
+    digest = ordered_digest(files, by, [path], F.col(hash64).cast("string"))
     if by:
         return digest.select(*by, short_id(F.col("digest")).alias("data_id"), F.col("n_rows").alias("n_files"))
     return digest.agg(
@@ -50,14 +47,24 @@ def group_digest(
 ) -> DataFrame:
     """Per step, the low 64 bits of MD5 over the digests of its ``.py`` files in name order."""
     code = files.filter(F.col(path).endswith(".py")).select(*by, path, F.md5(content).alias("file_md5"))
-    return ordered_digest(code, by, [path], F.col("file_md5"), "md5", text_bytes=MD5_DIGITS).select(
+    return ordered_digest(code, by, [path], F.col("file_md5"), "md5").select(
         *by, low64(F.col("digest")).alias("code_hash")
     )
 
 
 def code_id(digests: DataFrame, by: Sequence[str] = (), order: Column | str = "step") -> DataFrame:
-    """One code id per plan over its step digests in step order."""
-    rows = digests.withColumn("_order", F.col(order) if isinstance(order, str) else order)
-    return ordered_digest(rows, by, ["_order"], F.col("code_hash").cast("string"), "md5", text_bytes=HASH64_DIGITS).select(
-        *by, short_id(F.col("digest")).alias("code_id")
+    """One code id per plan over its step digests in step order, with the digest of each step.
+
+    ``order`` is the place of a step in its plan, where the table has one; else steps go by name.
+    The id is the digest of the step digests joined in that order. A plan has few steps, so they
+    are gathered as one map.
+    """
+    place = F.col(order) if isinstance(order, str) else order
+    steps = F.sort_array(F.collect_list(F.struct(place.alias("at"), F.col("step"), F.col("code_hash"))))
+    gathered = digests.groupBy(*by).agg(steps.alias("_steps")).filter(F.size("_steps") > 0)
+    joined = F.array_join(F.transform("_steps", lambda s: s["code_hash"].cast("string")), "")
+    return gathered.select(
+        *by,
+        short_id(F.md5(joined)).alias("code_id"),
+        F.map_from_entries(F.transform("_steps", lambda s: F.struct(s["step"], s["code_hash"]))).alias("code_id_description"),
     )

@@ -1,5 +1,4 @@
 import hashlib
-import random
 
 import pytest
 from conftest import rows
@@ -23,37 +22,37 @@ def test_content_hash_is_unsigned(spark):
         assert int(one(spark, content_hash64(F.col("x")), content)) == wanted
 
 
-def test_small_group_is_the_digest_of_its_texts(spark):
+def tree(texts, algorithm="sha256"):
+    """The digest of (key, text) pairs: leaves by 4 hex digits of the key's MD5, nodes by 2, the root."""
+    digest = lambda parts: hashlib.new(algorithm, "".join(parts).encode()).hexdigest()
+    leaves, nodes = {}, {}
+    for key, text in sorted(texts):
+        leaves.setdefault(hashlib.md5(str(key).encode()).hexdigest()[:4], []).append(text)
+    for leaf in sorted(leaves):
+        nodes.setdefault(leaf[:2], []).append(digest(leaves[leaf]))
+    return digest(digest(nodes[node]) for node in sorted(nodes))
+
+
+def test_digest_is_that_of_the_tree(spark):
     data = [("g", i, f"t{i}") for i in range(20)] + [("h", 1, "z")]
     df = spark.createDataFrame(data, "g string, i int, t string")
     got = dict(rows(ordered_digest(df, ["g"], ["i"], F.col("t")), "g", "digest"))
-    assert got["g"] == hashlib.sha256("".join(f"t{i}" for i in range(20)).encode()).hexdigest()
-    assert got["h"] == hashlib.sha256(b"z").hexdigest()
+    assert got["g"] == tree([(i, f"t{i}") for i in range(20)])
+    assert got["h"] == tree([(1, "z")])
     whole = ordered_digest(df.filter("g = 'g'"), [], ["i"], F.col("t"), "md5")
-    assert rows(whole, "digest", "n_rows") == [(hashlib.md5("".join(f"t{i}" for i in range(20)).encode()).hexdigest(), 20)]
-
-
-def test_large_group_does_not_depend_on_partitions_or_order(spark):
-    data = [("hot", i, f"t{i}") for i in range(500)] + [("cold", i, f"c{i}") for i in range(5)]
-    digests = set()
-    for seed, parts in ((1, 1), (2, 3), (3, 7)):
-        random.Random(seed).shuffle(data)
-        df = spark.createDataFrame(data, "g string, i int, t string").repartition(parts)
-        digest = ordered_digest(df, ["g"], ["i"], F.col("t"), flat_bytes=100, bucket_rows=50)
-        digests.add(tuple(rows(digest, "g", "digest")))
-    assert len(digests) == 1
-    (found,) = digests
-    found = dict(found)
-    assert found["cold"] == hashlib.sha256(b"c0c1c2c3c4").hexdigest()
-    changed = spark.createDataFrame([(g, i, t + "!" if i == 77 else t) for g, i, t in data], "g string, i int, t string")
-    other = dict(rows(ordered_digest(changed, ["g"], ["i"], F.col("t"), flat_bytes=100, bucket_rows=50), "g", "digest"))
-    assert other["hot"] != found["hot"] and other["cold"] == found["cold"]
-    bounded = ordered_digest(changed, ["g"], ["i"], F.col("t"), text_bytes=10, flat_bytes=100, bucket_rows=50)
-    assert dict(rows(bounded, "g", "digest")) == other
-    assert dict(rows(bounded, "g", "n_rows")) == {"hot": 500, "cold": 5}
-    alone = ordered_digest(changed.filter("g = 'hot'"), [], ["i"], F.col("t"), flat_bytes=100, bucket_rows=50)
-    assert rows(alone, "digest", "n_rows") == [(other["hot"], 500)]
-    assert ordered_digest(changed.limit(0), [], ["i"], F.col("t")).count() == 0
+    assert rows(whole, "digest", "n_rows") == [(tree([(i, f"t{i}") for i in range(20)], "md5"), 20)]
+
+
+def test_large_groups_have_the_same_tree(spark):
+    """So many rows that leaves hold several; nothing depends on partitions or the order of the rows."""
+    wanted = tree([(i, f"t{i}") for i in range(100_000)])
+    for parts in (1, 5):
+        df = spark.range(100_000, numPartitions=parts).select(F.col("id").alias("i"), F.concat(F.lit("t"), "id").alias("t"))
+        df = df.orderBy(F.xxhash64("i", F.lit(parts)))
+        assert rows(ordered_digest(df, [], ["i"], F.col("t")), "digest", "n_rows") == [(wanted, 100_000)]
+    plan = ordered_digest(df, [], ["i"], F.col("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+    assert ordered_digest(df.limit(0), [], ["i"], F.col("t")).count() == 0
 
 
 def expected_carry(data, inclusive):

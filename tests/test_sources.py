@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from runloom import operators as op
 from runloom import sources
 
+from test_functions import tree
+
 
 def write(path, text):
     os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -62,7 +64,7 @@ def test_hashes_of_real_files_give_a_dataset_id(spark, tmp_path):
         ("d/a.txt", low("one")),
         ("d/b.txt", low("two")),
     ]
-    wanted = hashlib.sha256(f"{low('one')}{low('two')}".encode()).hexdigest()[:12]
+    wanted = tree([("d/a.txt", str(low("one"))), ("d/b.txt", str(low("two")))])[:12]
     assert rows(op.dataset_id(hashed)) == [(wanted, 2)]
     assert rows(op.dataset_id(sources.hash_files(spark, None))) == [("000000000000", 0)]
 

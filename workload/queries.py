@@ -148,7 +148,12 @@ def b4_group_digest(spark, sf_dir):
 
 @query
 def b5_code_id(spark, sf_dir):
-    return op.code_id(op.group_digest(views.files(spark, sf_dir), ["base_dir", "step"]), ["base_dir"])
+    """Steps in the order of a plan that runs them from the last name to the first."""
+    digests = op.group_digest(views.files(spark, sf_dir), ["base_dir", "step"])
+    position = F.lit(4) - F.array_position(F.array(*map(F.lit, ["de", "en", "es", "fr"])), F.col("step"))
+    ids = op.code_id(digests, ["base_dir"], position)
+    steps = F.array_sort(F.transform(F.map_entries("code_id_description"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return ids.select("base_dir", "code_id", F.array_join(steps, ",").alias("steps"))
 
 
 # --- C: history -----------------------------------------------------------------

@@ -31,6 +31,17 @@ def params_view(name: str, condition: str) -> str:
         FROM events WHERE {condition}) GROUP BY ALL)"""
 
 
+def tree(source: str, by: list[str], order: list[str], text: str, algorithm: str = "sha256") -> str:
+    """(by, digest, n_rows): digests of leaves by 4 hex digits of the key's MD5, of nodes by 2, of the root."""
+    group = "".join(f"{name}, " for name in by)
+    whole = f"GROUP BY {', '.join(by)}" if by else "HAVING sum(n) > 0"
+    key = f"md5(concat_ws('.', {', '.join(order)}))"
+    return f"""SELECT {group}{algorithm}(string_agg(d, '' ORDER BY node)) AS digest, sum(n)::BIGINT AS n_rows FROM (
+        SELECT {group}left(leaf, 2) AS node, {algorithm}(string_agg(d, '' ORDER BY leaf)) AS d, sum(n) AS n FROM (
+          SELECT {group}left({key}, 4) AS leaf, {algorithm}(string_agg({text}, '' ORDER BY {', '.join(order)})) AS d, count(*) AS n
+          FROM {source} GROUP BY {group}leaf) GROUP BY {group}node) {whole}"""
+
+
 VIEWS = {
     "runs": f"""runs AS (
       SELECT *, start_time || '-' || lpad(k::VARCHAR, 8, '0') || '-' || name AS id,
@@ -88,8 +99,8 @@ VIEWS = {
       FROM (SELECT *, ['.py', '.csv', '.png', '.jpg', '.svg', '.txt'][doc_id % 6 + 1] AS ext FROM documents))""",
     "hashed": f"hashed AS (SELECT base_dir, path, {low64('sha256(content)')} AS hash64 FROM files)",
     "digests": f"""digests AS (
-      SELECT base_dir, step, {low64("md5(string_agg(md5(content), '' ORDER BY path))")} AS code_hash
-      FROM files WHERE ext = '.py' GROUP BY base_dir, step)""",
+      SELECT base_dir, step, {low64("digest")} AS code_hash
+      FROM ({tree("(SELECT * FROM files WHERE ext = '.py')", ["base_dir", "step"], ["path"], "md5(content)", "md5")}))""",
     "lines": f"""lines AS (
       SELECT user_id AS file, event_id AS line_no, event_type, ts, {LOG_T} AS t, {K_TEXT}::INT AS n,
         CASE event_type WHEN 'view' THEN '[' || {LOG_T} || '|SYS|INFO|run.py(1)|run()] current step: s' || ({K_TEXT}::INT % 5)
@@ -240,19 +251,25 @@ ORACLE: dict[str, str] = {
     "b1_content_hash64": f"SELECT doc_id, {low64('sha256(text)')} AS hash64 FROM documents",
     "b2_dataset_id": sql(
         "files hashed",
-        """SELECT base_dir, left(sha256(string_agg(hash64, '' ORDER BY path)), 12) AS data_id, count(*) AS n_files
-             FROM hashed GROUP BY base_dir
-           UNION ALL SELECT '*', left(sha256(string_agg(hash64, '' ORDER BY path)), 12), count(*) FROM hashed""",
+        f"""SELECT base_dir, left(digest, 12) AS data_id, n_rows AS n_files FROM ({tree("hashed", ["base_dir"], ["path"], "hash64")})
+           UNION ALL SELECT '*', left(digest, 12), n_rows FROM ({tree("hashed", [], ["path"], "hash64")})""",
     ),
     "b3_param_id": sql(
         "params",
-        """SELECT plan_id, left(sha256(string_agg(pipeline || '.' || step || '.' || name || '=' || coalesce(value, 'None') || chr(10),
-             '' ORDER BY pipeline, step, name)), 12) AS param_id FROM params GROUP BY plan_id""",
+        "SELECT plan_id, left(digest, 12) AS param_id FROM ("
+        + tree(
+            "params",
+            ["plan_id"],
+            ["pipeline", "step", "name"],
+            "pipeline || '.' || step || '.' || name || '=' || coalesce(value, 'None') || chr(10)",
+        )
+        + ")",
     ),
     "b4_group_digest": sql("files digests", "SELECT base_dir, step, code_hash FROM digests"),
     "b5_code_id": sql(
         "files digests",
-        "SELECT base_dir, left(md5(string_agg(code_hash, '' ORDER BY step)), 12) AS code_id FROM digests GROUP BY base_dir",
+        """SELECT base_dir, left(md5(string_agg(code_hash, '' ORDER BY step DESC)), 12) AS code_id,
+             string_agg(step || '=' || code_hash, ',' ORDER BY step) AS steps FROM digests GROUP BY base_dir""",
     ),
     "c1_attach_summary": sql(
         "runs scores",
