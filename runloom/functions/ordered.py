@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runloom.session import scratch_dir
+
 
 def carry_forward(
     df: DataFrame,
@@ -65,3 +67,23 @@ def carry_forward(
         for name in values
     }
     return joined.select(*df.columns, *[column.alias(name) for name, column in found.items()])
+
+
+def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """The rows with their place in a total order, gapless from 0, without one task for all rows.
+
+    Rows are sorted by ranges and written with the number of their range and their place in it;
+    the sizes of the ranges before, one number per partition, are then added.
+    """
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, "ranked")
+    df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.schema(f"{df.select('*')._jdf.schema().toDDL()}, _id bigint").parquet(path)
+    part = F.shiftright("_id", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    starts, total = [], 0
+    for row in sizes:
+        starts.append((row["_part"], total))
+        total += row["n"]
+    before = F.broadcast(spark.createDataFrame(starts, "_part bigint, _start bigint"))
+    place = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(before, "_part").withColumn(name, place).drop("_part", "_start", "_id")

@@ -20,6 +20,7 @@ from runloom.operators.history import (
     history,
     missing_steps,
     parameter_names,
+    rank_recent,
     run_status,
     shape_columns,
     sort_recent,
@@ -83,6 +84,7 @@ __all__ = [
     "replace_prefix",
     "retention_plan",
     "run_id",
+    "rank_recent",
     "run_status",
     "select_ui_args",
     "shape_columns",

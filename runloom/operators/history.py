@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runloom.constants import HISTORY_COLUMNS, HISTORY_DROPPED
+from runloom.functions.ordered import with_rank
 from runloom.functions.times import display_stamp
 
 SUMMARY_TEXTS = ("date", "file_path", "note", "result", "version")
@@ -32,11 +33,13 @@ def parameter_columns(steps: Mapping[str, Sequence[str]]) -> list[tuple[str, str
     return [(step, name, f"{step}.{name}") for step, names in steps.items() for name in names]
 
 
-def parameter_names(params: DataFrame, steps: Iterable[str], limit: int = 1000) -> dict[str, list[str]]:
+def parameter_names(params: DataFrame, steps: Iterable[str], limit: int | None = None) -> dict[str, list[str]]:
     """The parameter names of the given steps over all plans.
 
-    They become columns, so more than ``limit`` of them is an error.
+    They become columns, so more than ``limit`` of them is an error; without one the
+    session's own limit for pivots holds.
     """
+    limit = int(params.sparkSession.conf.get("spark.sql.pivotMaxValues")) if limit is None else limit
     wanted = list(dict.fromkeys(steps))
     pairs = params.filter(F.col("step").isin(wanted) & F.col("name").isNotNull()).select("step", "name").distinct()
     found = pairs.limit(limit + 1).collect()
@@ -112,6 +115,11 @@ def sort_recent(df: DataFrame, end_time: str = "end_time", tie: str = "folder")
     return df.orderBy(F.desc(end_time), F.asc(tie))
 
 
+def rank_recent(df: DataFrame, end_time: str = "end_time", tie: str = "folder", rank: str = "rank") -> DataFrame:
+    """The rows with their place in the order of ``sort_recent``, from 0."""
+    return with_rank(df, [F.desc(end_time), F.asc(tie)], rank)
+
+
 def missing_steps(params: DataFrame, steps: Iterable[str], plan: str = "plan_id") -> DataFrame:
     """(plan, step) for every wanted step that a plan does not have.
 
@@ -149,6 +157,7 @@ def history(
     summary_key: str = "folder",
     params_key: str = "folder",
     keep: Sequence[str] = (),
+    limit: int | None = None,
 ) -> DataFrame:
     """All runs of one type as a table, newest first.
 
@@ -163,7 +172,7 @@ def history(
     table = attach_summary(chosen, summaries, key=summary_key)
     if steps and not isinstance(steps, Mapping):
         check_steps(params, steps, plan=params_key)
-        steps = parameter_names(params, steps)
+        steps = parameter_names(params, steps, limit)
     if steps:
         table = attach_params(table, params, steps, key=params_key)
     table = sort_recent(table.withColumn("status", run_status()))

@@ -25,17 +25,18 @@ def _chunk(order: Sequence[str], chunk: Column | None) -> Column:
 
 def show_increments(
     lines: DataFrame,
-    classes: Mapping[str, str] | None = None,
+    classes: Mapping[str, str],
     text: str = "text",
     order: Sequence[str] = ("line_no",),
     chunk: Column | None = None,
 ) -> DataFrame:
     """Lines that start with ``[SHOW``, with the seconds since the previous one of their class.
 
-    ``classes`` maps a field of the line to its class, the first match wins. The
+    ``classes`` maps a field of the line to its class, the first match wins; lines of no class are
+    not timed. The
     first line of a class in a file has the increment 0.
     """
-    classes = dict(classes or SERVICE_CLASSES)
+    classes = dict(classes)
     fields = F.split(text, r"\|")
     kind = F.lit(None).cast("string")
     for field, name in reversed(classes.items()):

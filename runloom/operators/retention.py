@@ -36,12 +36,20 @@ def retention_plan(runs: DataFrame, limit_bytes: int) -> DataFrame:
     next one filters by it down to the scan. The result is a filter of ``runs``
     without any shuffle.
     """
+    timed = _timed(runs)
+    return timed.filter(_gone(timed, limit_bytes)).select(GROUP, "folder", "size_bytes")
+
+
+def _timed(runs: DataFrame) -> DataFrame:
     second = epoch_seconds(folder_stamp(F.col("folder")))
-    spot = F.sha2("folder", 256)
-    timed = runs.filter(F.col(GROUP).isin(*RUN_TYPES)).select(
+    return runs.filter(F.col(GROUP).isin(*RUN_TYPES)).select(
         GROUP, "folder", "size_bytes", F.col("size_bytes").cast(EXACT).alias("_size"), second.alias("_second")
     )
 
+
+def _gone(timed: DataFrame, limit_bytes: int) -> Column:
+    """The condition of a run to delete, on its type, folder and ``_second``."""
+    spot = F.sha2("folder", 256)
     border = _first_border(timed.withColumn("_level", F.shiftright("_second", SLOT_BITS)), limit_bytes)
     slots = {p: (row["_level"] << SLOT_BITS, (row["_level"] + 1) << SLOT_BITS) for p, row in border.items()}
     border = _next_border(timed.filter(_within(slots)), F.col("_second"), border)
@@ -54,7 +62,7 @@ def retention_plan(runs: DataFrame, limit_bytes: int) -> DataFrame:
     place = {p: F.struct(F.lit(row["_level"]["spot"]), F.lit(row["_level"]["folder"])) for p, row in border.items()}
     gone = _per_type({p: (F.col("_second") < at) | (F.struct(spot, "folder") <= place[p]) for p, at in last_second.items()})
     up_to_last = _within({p: (None, at + 1) for p, at in last_second.items()})
-    return timed.filter(up_to_last & gone).select(GROUP, "folder", "size_bytes")
+    return up_to_last & gone
 
 
 def _per_type(conditions: Mapping[str, Column]) -> Column:
@@ -88,12 +96,13 @@ def _first_border(slots: DataFrame, limit_bytes: int) -> dict[str, Row]:
     One row per type and slot reaches the windows: the hours of the time span.
     """
     sums = slots.groupBy(GROUP, "_level").agg(F.sum("_size").cast(EXACT).alias("_size"))
-    everything, per_type = Window.partitionBy(F.lit(0)), Window.partitionBy(GROUP)
-    limit = F.lit(limit_bytes).cast(EXACT)
+    total = sums.agg(F.sum("_size")).first()[0] or 0
+    if total <= limit_bytes:
+        return {}
+    per_type, limit = Window.partitionBy(GROUP), F.lit(limit_bytes).cast(EXACT)
     shared = (
-        sums.withColumn("_total", F.sum("_size").over(everything).cast(EXACT))
+        sums.withColumn("_total", F.lit(total).cast(EXACT))
         .withColumn("_share", (F.sum("_size").over(per_type).cast(EXACT) * (F.col("_total") - limit)).cast(EXACT))
-        .filter(F.col("_total") > limit)
         .withColumn("_older", _sum_before("_level"))
     )
     return _newest_below_share(shared.filter(F.col("_level").isNotNull()))
@@ -128,9 +137,15 @@ def _newest_below_share(sums: DataFrame) -> dict[str, Row]:
     return {row[GROUP]: row for row in newest.collect()}
 
 
-def apply_retention(ledger: DataFrame, plan: DataFrame, target: str, version: int) -> str:
-    """Write the ledger without the planned runs as a new version and return its path."""
+def apply_retention(ledger: DataFrame, limit_bytes: int, target: str, version: int) -> str:
+    """Write the ledger without the runs that retention deletes as a new version and return its path.
+
+    The runs to delete are a condition on a row of the ledger, so the ledger is neither joined nor
+    shuffled by key.
+    """
     path = f"{target}/version={version}"
-    kept = ledger.join(plan.select(GROUP, "folder"), [GROUP, "folder"], "left_anti")
+    second = epoch_seconds(folder_stamp(F.col("folder")))
+    gone = F.col(GROUP).isin(*RUN_TYPES) & _gone(_timed(ledger), limit_bytes)
+    kept = ledger.withColumn("_second", second).filter(~F.coalesce(gone, F.lit(False))).drop("_second")
     kept.write.mode("overwrite").partitionBy(GROUP).parquet(path)
     return path

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom.constants import ARTIFACT_AREAS
 
-LEDGER_PARTITIONS = ("ptype",)
+LEDGER_PARTITIONS = ("ptype", "month")
 PREFIX_COLUMNS = ("name", "version", "pipeline", "area")
 
 
@@ -50,7 +50,10 @@ def run_id(start_time: Column, number: Column, name: Column) -> Column:
 
 
 def append_run(records: DataFrame, ledger: str, number: Column | None = None) -> str:
-    """Append run records to the ledger, partitioned by type.
+    """Append run records to the ledger, partitioned by type and month, in the order of their folders.
+
+    Folders begin with the start time, so a reader that bounds them skips months and, within a file, row
+    groups.
 
     ``records`` has ptype, start_time, name and failed. The id ends in a random
     number unless one is given; the folder of a failed run ends in ``-error``.
@@ -59,7 +62,9 @@ def append_run(records: DataFrame, ledger: str, number: Column | None = None) ->
     rows = records.withColumn("id", run_id(F.col("start_time"), drawn, F.col("name"))).withColumn(
         "folder", F.concat("id", F.when(F.col("failed"), F.lit("-error")).otherwise(F.lit("")))
     )
-    balanced(rows, LEDGER_PARTITIONS).write.mode("append").partitionBy(*LEDGER_PARTITIONS).parquet(ledger)
+    rows = rows.withColumn("month", F.substring("folder", 1, 6))
+    ordered = balanced(rows, LEDGER_PARTITIONS).sortWithinPartitions(*LEDGER_PARTITIONS, "folder")
+    ordered.write.mode("append").partitionBy(*LEDGER_PARTITIONS).parquet(ledger)
     return ledger
 
 

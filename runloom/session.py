@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -23,27 +23,45 @@ RUNTIME_SETTINGS = {
 
 
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-BYTES_PER_PARTITION = 1 << 30
+BYTES_PER_PARTITION = 1 << 27
 
 
 def prepare(spark: SparkSession, shuffled_bytes: int = 0) -> SparkSession:
     """Apply the runtime settings to an existing session and return it.
 
     Adaptive execution merges small shuffle partitions but never adds any, so a
-    shuffle starts with enough of them: two per core, or one per GiB where the
+    shuffle starts with enough of them: two per core, or one per 128 MiB where the
     caller knows the largest shuffle. A number that the session's owner chose stays
-    the lower bound.
+    the lower bound. ``sized_for`` raises the number by the size of the inputs.
     """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     cores = spark.sparkContext.defaultParallelism
-    chosen = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chosen = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(INITIAL_PARTITIONS, None) or 0))
     spark.conf.set(INITIAL_PARTITIONS, str(max(chosen, 2 * cores, shuffled_bytes // BYTES_PER_PARTITION)))
     # Folders are listed by a few tasks per core and not by one task each.
     spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * cores))
     return spark
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of a frame's inputs as the optimizer estimates it; for files that of their listing."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def sized_for(df: DataFrame, size: int | None = None) -> DataFrame:
+    """The same frame, after shuffles were set to start with one partition per 128 MiB of it.
+
+    Texts are larger in a shuffle than in a compressed file; a merge of partitions that turn out too
+    small costs little.
+    """
+    conf = df.sparkSession.conf
+    needed = (input_bytes(df) if size is None else size) // BYTES_PER_PARTITION
+    if needed > int(conf.get(INITIAL_PARTITIONS, None) or conf.get("spark.sql.shuffle.partitions")):
+        conf.set(INITIAL_PARTITIONS, str(needed))
+    return df
+
+
 def local_session(cores: str | int = "*", name: str = "runloom", **settings: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (

@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from runloom import operators as op
+from runloom.operators.logs import SERVICE_CLASSES
 from runloom.sources import parse_log
 
 
@@ -72,7 +73,7 @@ def test_retention_is_a_pushed_filter(spark, tmp_path):
 def test_apply_retention_writes_a_version(spark, tmp_path):
     data = [("train", f"2024010{i}T000000Z-00000001-p", 10) for i in range(1, 5)]
     ledger = spark.createDataFrame(data, "ptype string, folder string, size_bytes bigint")
-    path = op.apply_retention(ledger, op.retention_plan(ledger, 20), str(tmp_path), 3)
+    path = op.apply_retention(ledger, 20, str(tmp_path), 3)
     assert path.endswith("version=3")
     assert rows(spark.read.parquet(path), "folder") == [(data[2][1],), (data[3][1],)]
 
@@ -96,7 +97,7 @@ def test_show_lines(spark):
         ],
     )
     for size in (1, 2, 100):
-        got = op.show_increments(lines, chunk=F.floor(F.col("line_no") / size))
+        got = op.show_increments(lines, SERVICE_CLASSES, chunk=F.floor(F.col("line_no") / size))
         assert rows(got, "line_no", "class", "seconds") == [
             (0, "USER", 0.0),
             (2, "SYS", 0.0),

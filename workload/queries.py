@@ -14,6 +14,7 @@ from runloom import plans, sources, streaming
 from runloom.constants import ARTIFACTS_CHANNEL, IMAGE_EXTENSIONS, SUMMARY_CHANNEL
 from runloom.functions.hashing import content_hash64, short_id
 from runloom.functions.text import base_name
+from runloom.operators.logs import SERVICE_CLASSES
 from runloom.plans import Step
 from runloom.session import prepare, scratch_dir
 from workload import views
@@ -45,7 +46,7 @@ def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs as a stored ledger, partitioned by type."""
     runs = views.runs(spark, sf_dir)
     path = scratch_dir(spark, "runs")
-    runs.write.partitionBy("ptype").parquet(path)
+    runs.hint("rebalance", "ptype").sortWithinPartitions("ptype", "folder").write.partitionBy("ptype").parquet(path)
     return spark.read.schema(runs.schema).parquet(path)
 
 
@@ -73,7 +74,12 @@ def a2_file_manifest(spark, sf_dir):
 
 @query
 def a2_file_manifest_scan(spark, sf_dir):
-    return sources.file_manifest(spark, sf_dir).select("path", "name", "ext", "size")
+    """The files of a folder that was written from the documents, one file per language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    root = scratch_dir(spark, "a2")
+    docs.repartition("lang").write.partitionBy("lang").csv(root)
+    found = sources.file_manifest(spark, root, [".csv"])
+    return found.groupBy("folder", "ext").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("size"))
 
 
 @query
@@ -205,7 +211,8 @@ def c6_filter_ids(spark, sf_dir):
 
 @query
 def c7_sort_recent(spark, sf_dir):
-    return op.sort_recent(views.ledger(spark, sf_dir).select("folder", "end_time"))
+    """The rank makes the order part of the result."""
+    return op.rank_recent(views.ledger(spark, sf_dir).select("folder", "end_time"))
 
 
 @query
@@ -280,7 +287,7 @@ def d1_retention_plan(spark, sf_dir):
 
 @query
 def d2_show_increments(spark, sf_dir):
-    return op.show_increments(views.log_lines(spark, sf_dir))
+    return op.show_increments(views.log_lines(spark, sf_dir), SERVICE_CLASSES)
 
 
 @query
@@ -526,30 +533,38 @@ def g4_select_xy(spark, sf_dir):
     return plans.select_xy(table(spark, sf_dir, "lineitem"), X_COLUMNS, Y_COLUMN)
 
 
+HELD_OUT = "l_orderkey % 5 = 0"
+
+
 def _fit(spark, sf_dir):
+    """A forest of as many trees as the sample plan has, trained on the orders that are not held out."""
     path = scratch_dir(spark, "models")
-    params = {"n_estimators": 10, "max_depth": 4}
-    cores = spark.sparkContext.defaultParallelism
-    return plans.fit_step(table(spark, sf_dir, "lineitem"), X_COLUMNS, Y_COLUMN, params, path, cores), path
+    lines = table(spark, sf_dir, "lineitem").filter(f"NOT ({HELD_OUT})")
+    return plans.fit_step(lines, X_COLUMNS, Y_COLUMN, {"n_estimators": 100, "max_depth": 4}, path), path
 
 
 @query
 def g5_fit_step(spark, sf_dir):
-    """The importance of each feature in the trained forest."""
+    """What SQL can say of the trained forest: its trees, classes, features and the sum of their importance."""
     model, _ = _fit(spark, sf_dir)
-    forest = model.stages[-1]
-    rows = [(name, float(value)) for name, value in zip(X_COLUMNS, forest.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double").withColumn(
-        "n_trees", F.lit(forest.getNumTrees)
-    )
+    forest, labels = model.stages[-1], model.stages[-2].labels
+    total = round(float(sum(forest.featureImportances.toArray())), 6)
+    row = (forest.getNumTrees, ",".join(labels), forest.numFeatures, total)
+    return spark.createDataFrame([row], "n_trees int, labels string, n_features int, importance double")
 
 
 @query
 def g6_score_step(spark, sf_dir):
-    """Predicted against true class with the saved model."""
-    _, path = _fit(spark, sf_dir)
-    scored = plans.score_step(table(spark, sf_dir, "lineitem"), path)
-    return scored.groupBy(F.col(Y_COLUMN).alias("truth"), "predicted").agg(F.count(F.lit(1)).alias("n_lines"))
+    """Held-out lines with the saved model: per true class the lines, those with a known class, and the probabilities."""
+    model, path = _fit(spark, sf_dir)
+    scored = plans.score_step(table(spark, sf_dir, "lineitem").filter(HELD_OUT), path)
+    known = F.col("predicted").isin(*model.stages[-2].labels)
+    total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda s, p: s + p)
+    return scored.groupBy(F.col(Y_COLUMN).alias("truth")).agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count(F.when(known, 1)).alias("n_predicted"),
+        F.round(F.avg(total), 6).alias("probability"),
+    )
 
 
 @query
@@ -733,5 +748,5 @@ def i4_replace_prefix(spark, sf_dir):
 @query
 def i5_apply_retention(spark, sf_dir):
     runs = stored_runs(spark, sf_dir).select("ptype", "folder", "size_bytes", "name")
-    path = op.apply_retention(runs, op.retention_plan(runs, RETENTION_LIMIT), scratch_dir(spark, "ledger"), 2)
+    path = op.apply_retention(runs, RETENTION_LIMIT, scratch_dir(spark, "ledger"), 2)
     return spark.read.parquet(path).select("ptype", "folder", "size_bytes")

@@ -219,6 +219,9 @@ ORACLE: dict[str, str] = {
         "files",
         "SELECT path, size, base_dir || '/' || step AS folder, name, ext FROM files WHERE ext IN ('.jpg', '.jpeg', '.png', '.svg')",
     ),
+    "a2_file_manifest_scan": """
+      SELECT 'lang=' || lang AS folder, '.csv' AS ext, 1::BIGINT AS n_files, sum(length(doc_id::VARCHAR) + 1)::BIGINT AS size
+      FROM documents GROUP BY lang""",
     "a3_scan_run_records": f"""
       WITH r AS (SELECT c_custkey AS k, c_name, strftime(to_timestamp(1704067200 + c_custkey) AT TIME ZONE 'UTC', {STAMP}) AS t,
           strftime(to_timestamp(1704067200 + c_custkey) AT TIME ZONE 'UTC', {STAMP}) || '-' || lpad(c_custkey::VARCHAR, 8, '0') || '-' || lower(c_mktsegment) AS folder
@@ -304,7 +307,9 @@ ORACLE: dict[str, str] = {
         "runs",
         f"SELECT folder, data_id, param_id, code_id FROM runs WHERE data_id = '{id_of('7')}' AND param_id = '{id_of('p3')}'",
     ),
-    "c7_sort_recent": sql("runs ledger", "SELECT folder, end_time FROM ledger ORDER BY end_time DESC, folder"),
+    "c7_sort_recent": sql(
+        "runs ledger", "SELECT folder, end_time, row_number() OVER (ORDER BY end_time DESC, folder) - 1 AS rank FROM ledger"
+    ),
     "c8_check_steps": sql(
         "steps",
         """SELECT plan_id, w.step FROM (SELECT DISTINCT plan_id FROM steps), (VALUES ('system'), ('assistant'), ('end'), ('score')) w(step)
@@ -486,6 +491,12 @@ ORACLE: dict[str, str] = {
       WHERE round(l_discount * 100) >= 5 GROUP BY ALL""",
     "g3_interface_mode": LINE_TOTALS.format(more=""),
     "g4_select_xy": "SELECT l_quantity, l_extendedprice, l_discount, l_linestatus, l_returnflag FROM lineitem",
+    "g5_fit_step": """
+      SELECT 100::INT AS n_trees, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS labels, 4::INT AS n_features,
+        1.0::DOUBLE AS importance FROM lineitem WHERE l_orderkey % 5 <> 0""",
+    "g6_score_step": """
+      SELECT l_returnflag AS truth, count(*) AS n_lines, count(*) AS n_predicted, 1.0::DOUBLE AS probability
+      FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY l_returnflag""",
     "g7_summarize_scores": """
       WITH c AS (SELECT lang AS run, quality || '/' || toxic AS result, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL),
         s AS (SELECT *, n / sum(n) OVER (PARTITION BY run) AS share FROM c)

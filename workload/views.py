@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from runloom.constants import PLAN_KEYS, STAMP_FORMAT
 from runloom.functions.hashing import short_id
+from runloom.session import sized_for
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return sized_for(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def text(column) -> F.Column:
