@@ -6,11 +6,12 @@
    counts in how many classes its hashes occur. Only hashes of two classes or more go back to their class.
 3. Prefixes: two sets that reach the similarity share one of the rarest n - ceil(s * n) + 1 hashes of each. Hashes of
    one class alone come first in that order, so an unrelated document has no prefix left and drops out.
-4. Tiles: a tile holds the classes of a size band and of the band below that have one prefix hash in common. First every class is
-   compared with one other of its tiles only, the one it meets most often, which joins groups of copies at linear cost. Then,
-   in tiles that still hold several components, pairs of different components are compared, if their sizes and
-   the bit counts of their signatures allow the similarity.
-5. Every pair left is decided by intersecting the two sorted arrays.
+4. Stars: classes with the same least hash under a seed are likely similar. Each is compared with one centre of
+   its groups, the one with the most similar signature, which joins near copies at linear cost; a few rounds of it.
+5. Tiles: a tile holds the classes of a size band and of the band below that have one prefix hash in common. In tiles that
+   still hold several components, all pairs of different components are compared, if their sizes and the bit
+   counts of their signatures allow the similarity. This finds every link between components that the stars missed.
+6. Every pair left is decided by intersecting the two sorted arrays.
 
 A signature has a bit per hashed position, flipped by every hash that falls there; two signatures differ in at
 most as many bits as the sets differ in hashes, so overlap <= (sizes - differing bits) / 2.
@@ -38,7 +39,7 @@ PERCENT = 75
 #: Hashes per block while counting, and the least number of blocks.
 BLOCK_HASHES, MIN_BLOCKS = 1_000_000, 64
 SIGNATURE_WORDS = 16
-STAR_ROUNDS = 2
+STAR_ROUNDS, STAR_SEEDS = 3, 9
 _SENT_HASHES = 1_000_000
 _KEY = np.dtype("V16")
 
@@ -170,14 +171,15 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(percent: int):
-    """Per class that may have a partner: its shared hashes, sorted, its signature and its prefix."""
+    """Per class that may have a partner: its shared hashes, sorted, its signature, its prefix and its least hash per seed."""
+    seeds = mixed(np.arange(1, STAR_ROUNDS * STAR_SEEDS + 1, dtype=np.uint64))
 
     def apply(table: pa.Table) -> pa.Table:
         keys, sizes, owner, columns = _unpacked(table, {"hashes": "<u8", "steps": "u1"})
         order = np.lexsort((columns["hashes"], columns["steps"], owner))
         hashes = columns["hashes"][order]
         ends = np.cumsum(np.bincount(owner, minlength=len(keys)))
-        out: dict[str, list] = {"class": [], "n": [], "shared": [], "sig": [], "prefix": []}
+        out: dict[str, list] = {"class": [], "n": [], "shared": [], "sig": [], "prefix": [], "least": []}
         for k, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
             own = hashes[(ends[k - 1] if k else 0) : end]
             # n - ceil(s * n) + 1 hashes, less those that only this class has and which come first.
@@ -188,17 +190,18 @@ def _prefixes(percent: int):
                 out["shared"].append(np.sort(own).tobytes())
                 out["sig"].append(signature(own))
                 out["prefix"].append(own[:left].view("<i8"))
-        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                out["least"].append(np.array([mixed(own ^ seed).min() for seed in seeds], "<u8").view("<i8"))
+        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return apply
 
 
 def candidates(docs: DataFrame, total: int, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """class, n, shared, sig, prefix of the classes that share a prefix hash with another class."""
+    """class, n, shared, sig, prefix, least of the classes that share a prefix hash with another class."""
     blocks = max(MIN_BLOCKS, -(-total // BLOCK_HASHES))
     counted = _dealt(docs, n, blocks).groupBy("block").applyInArrow(_counted(blocks), "part long, keys binary, sizes binary, counts binary, hashes binary, steps binary")
-    made = counted.groupBy("part").applyInArrow(_prefixes(percent), "class binary, n long, shared binary, sig array<long>, prefix array<long>")
+    made = counted.groupBy("part").applyInArrow(_prefixes(percent), "class binary, n long, shared binary, sig array<long>, prefix array<long>, least array<long>")
     return stored(made, "join-sets")
 
 
@@ -229,14 +232,29 @@ def _with_component(classes: DataFrame, known: DataFrame | None, key: str = "cla
     return classes.join(known, F.col(key) == F.col("node"), "left").withColumn("comp", F.coalesce("component", key)).drop("node", "component")
 
 
-def _star_pairs(tokens: DataFrame, turn: int) -> DataFrame:
-    """For each class the one other it meets most often as the first of a tile, from another component."""
-    rank = F.struct(F.xxhash64(F.lit(turn), "comp").alias("h"), F.col("class").alias("c"), F.col("comp").alias("p"))
-    firsts = tokens.groupBy("token", "band").agg(F.min(rank).alias("first")).select(F.col("token").alias("_t"), F.col("band").alias("_b"), "first")
-    met = tokens.join(firsts, (F.col("token") == F.col("_t")) & (F.col("band") == F.col("_b"))).where(F.col("comp") != F.col("first.p"))
-    counted = met.groupBy("class", F.col("first.c").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("class").agg(F.max(F.struct("n", "other")).alias("best"))
-    return best.select(F.col("class").alias("a"), F.col("best.other").alias("b"))
+def _differ(left: str, right: str) -> Column:
+    """Bits in which two signatures differ."""
+    return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+
+
+def _star_pairs(sets: DataFrame, known: DataFrame | None, turn: int) -> DataFrame:
+    """For each class one of another component.
+
+    Classes with the same least hash under a seed form a group; its centre is a member of the component that has
+    most members there. Of the centres that a class meets, the one whose signature differs least is taken.
+    """
+    least = F.explode(F.slice("least", turn * STAR_SEEDS + 1, STAR_SEEDS))
+    signs = sets.select(F.col("class").alias("_c"), "sig")
+    rows = _with_component(sets.select("class", least.alias("least")), known)
+    members = rows.groupBy("least", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("class", "least"), "class")).alias("m"))
+    centres = members.groupBy("least").agg(F.max(F.struct("n", "comp", F.col("m.class").alias("centre"))).alias("first"))
+    centres = centres.select(F.col("least").alias("_l"), "first")
+    met = rows.join(centres, F.col("least") == F.col("_l")).where(F.col("comp") != F.col("first.comp"))
+    met = met.select("class", F.col("first.centre").alias("centre")).distinct()
+    met = met.join(signs, F.col("class") == F.col("_c")).drop("_c").withColumnRenamed("sig", "own")
+    met = met.join(signs, F.col("centre") == F.col("_c"))
+    best = met.groupBy("class").agg(F.min(F.struct(_differ("own", "sig").alias("d"), "centre")).alias("best"))
+    return best.select(F.col("class").alias("a"), F.col("best.centre").alias("b"))
 
 
 def _tile_pairs(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,8 +267,7 @@ def _tile_pairs(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = F.array("band", F.col("band") + 1)
     guests = open_rows.select("token", F.explode(both).alias("tile"), F.col("band").alias("band_a"), *[F.col(c).alias(f"{c}_a") for c in ("class", "comp", "n", "m", "sig")])
     met = guests.join(own, ["token", "tile"])
-    differ = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    most = (F.col("m_a") + F.col("m_b") - differ) / 2
+    most = (F.col("m_a") + F.col("m_b") - _differ("sig_a", "sig_b")) / 2
     fits = F.col("n_a") + F.col("n_b")
     met = met.where(
         (F.col("comp_a") != F.col("comp_b"))
@@ -267,8 +284,10 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, star_rounds: int = S
     found: DataFrame | None = None
     known: DataFrame | None = None
     for turn in range(star_rounds + 1):
-        tokens = _with_component(bands, known)
-        pairs = _star_pairs(tokens, turn) if turn < star_rounds else _tile_pairs(tokens, sets, percent)
+        if turn < star_rounds:
+            pairs = _star_pairs(sets, known, turn)
+        else:
+            pairs = _tile_pairs(_with_component(bands, known), sets, percent)
         edges = stored(links(stored(pairs, "join-pairs"), sets, percent), "join-edges")
         if edges.isEmpty():
             continue
