@@ -93,6 +93,16 @@ def write_vocabulary(counts: DataFrame, folder: str) -> list[tuple[int, int, int
     return [tuple(r) for r in found.orderBy("first").collect()]
 
 
+def _by_piece(piece: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each piece with the wanted rows that it holds."""
+    rows = np.flatnonzero(wanted)
+    rows = rows[np.argsort(piece[rows].astype(np.uint32), kind="stable")]
+    held = piece[rows]
+    starts = np.flatnonzero(np.append(True, held[1:] != held[:-1])) if len(rows) else []
+    for part in np.split(rows, starts[1:]) if len(rows) else []:
+        yield int(piece[part[0]]), part
+
+
 class Vocabulary:
     """Level 1, mapped. A word's id is its place among all sorted hashes; the id after the last is the start of a text."""
 
@@ -108,8 +118,7 @@ class Vocabulary:
         """Ids of hashes; -1 for words that training has not seen."""
         out = np.full(len(hashes), -1, np.int64)
         piece = np.searchsorted(self.firsts, hashes, side="right") - 1
-        for p in np.unique(piece[piece >= 0]).tolist():
-            rows = np.flatnonzero(piece == p)
+        for p, rows in _by_piece(piece, piece >= 0):
             known = self.pieces[p]["hashes"]
             at = np.minimum(np.searchsorted(known, hashes[rows]), len(known) - 1)
             hit = known[at] == hashes[rows]
@@ -119,8 +128,7 @@ class Vocabulary:
     def _of(self, ids: np.ndarray, column: str) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
         piece = np.searchsorted(self.starts, ids, side="right") - 1
-        for p in np.unique(piece[(ids >= 0) & (ids < self.size)]).tolist():
-            rows = np.flatnonzero((piece == p) & (ids >= 0))
+        for p, rows in _by_piece(piece, (ids >= 0) & (ids < self.size)):
             out[rows] = self.pieces[p][column][ids[rows] - self.starts[p]] + (self.tokens[p] if column == "before" else 0)
         return out
 
