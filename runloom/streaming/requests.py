@@ -11,14 +11,20 @@ from runloom.functions.text import comma_list
 
 REQUEST_ENVELOPE = "request_id bigint, seq bigint, plan_id bigint, ts timestamp, payload string"
 
+STEPS = "array<struct<step: string, args: map<string,string>>>"
 REQUEST_PAYLOAD = (
     "solution_metadata struct<metadata_version: string, pipeline: array<struct<"
     "type: string, "
-    "parameters: struct<selected_user_parameters: array<struct<step: string, args: map<string,string>>>>, "
+    f"parameters: struct<selected_user_parameters: {STEPS}>, "
     "dataset_uri: string, artifact_uri: string, model_uri: string>>>"
 )
 
 
+# The same sections as maps, to tell a key that is null from one that is not there.
+SECTION_KEYS = "solution_metadata struct<pipeline: array<map<string,string>>>"
+PATHS = ("dataset_uri", "artifact_uri", "model_uri")
+
+
 def request_stream(
     spark: SparkSession, source: str, fmt: str = "json", max_files: int | None = None, schema: str = REQUEST_ENVELOPE
 ) -> DataFrame:
@@ -52,18 +58,31 @@ def queued_requests(records: DataFrame) -> DataFrame:
 def parse_requests(requests: DataFrame, ptype: str = "inference") -> DataFrame:
     """Add ``request``, the part of the payload for one run type, and ``error_code``.
 
-    A payload that cannot be read or has no pipeline section gets E111, one
-    without a dataset E122. A bad request is a row like any other, so it cannot
-    stop the stream.
+    Every pipeline section of the type counts, one after the other: steps are joined, and a path
+    that several sections name is that of the last one. A payload that cannot be read or has no
+    pipeline section gets E111, one whose dataset is null or empty E122. A dataset that no section
+    names is NULL without an error: the plan's last one holds. A bad request is a row like any other, so
+    it cannot stop the stream.
     """
-    payload = F.from_json("payload", REQUEST_PAYLOAD)
-    sections = payload["solution_metadata"]["pipeline"]
-    wanted = F.try_element_at(F.filter(sections, lambda section: section["type"] == ptype), F.lit(-1))
-    parsed = requests.withColumn("request", wanted).withColumn("_readable", sections.isNotNull())
-    unset = F.coalesce(F.col("request.dataset_uri"), F.lit("")) == ""
-    return parsed.withColumn(
-        "error_code", F.when(~F.col("_readable"), "E111").when(unset, "E122")
-    ).drop("_readable")
+    sections = F.from_json("payload", REQUEST_PAYLOAD)["solution_metadata"]["pipeline"]
+    named = F.from_json("payload", SECTION_KEYS)["solution_metadata"]["pipeline"]
+    wanted = F.filter(sections, lambda section: section["type"] == ptype)
+    keys = F.filter(named, lambda section: section["type"] == ptype)
+    steps = F.transform(wanted, lambda section: F.coalesce(section["parameters"]["selected_user_parameters"], F.array().cast(STEPS)))
+
+    def last_named(name: str) -> Column:
+        holders = F.filter(keys, lambda section: F.map_contains_key(section, name))
+        return F.try_element_at(F.try_element_at(holders, F.lit(-1)), F.lit(name))
+
+    request = F.struct(
+        F.struct(F.flatten(steps).alias("selected_user_parameters")).alias("parameters"),
+        *[last_named(name).alias(name) for name in PATHS],
+    )
+    parsed = requests.withColumn("request", request).withColumns(
+        {"_readable": sections.isNotNull(), "_named": F.exists(keys, lambda section: F.map_contains_key(section, "dataset_uri"))}
+    )
+    unset = F.col("_named") & (F.coalesce(F.col("request.dataset_uri"), F.lit("")) == "")
+    return parsed.withColumn("error_code", F.when(~F.col("_readable"), "E111").when(unset, "E122")).drop("_readable", "_named")
 
 
 def clean_argument(value: Column) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -16,6 +18,8 @@ from runloom.streaming.results import result_messages, write_results
 
 CHUNK_BITS = 16
 SNAPSHOT_EVERY = 16
+# Errors of the cluster, not of a request.
+LOST = ("ExecutorLostFailure", "FetchFailed", "cancelled", "Connection refused")
 
 
 @dataclass(frozen=True)
@@ -40,14 +44,20 @@ class Service:
         return [column_name(step, name) for step, name, _ in parameter_columns(self.parameters)]
 
 
+    @property
+    def carried(self) -> list[str]:
+        """What a plan keeps from request to request: its parameters and the path of its dataset."""
+        return [*self.columns, "dataset_uri"]
+
+
 def column_name(step: str, name: str) -> str:
     return f"{step}__{name}"
 
 
-def serve(requests: DataFrame, service: Service, checkpoint: str, delay: str = "30 days") -> DataStreamWriter:
-    """A streaming query that answers every request once.
+def serve(requests: DataFrame, service: Service, checkpoint: str) -> DataStreamWriter:
+    """A streaming query that answers every request once, however late it comes.
 
-    A request id that is seen again within ``delay`` is dropped. The plans are read
+    A request that is delivered again, with the same id and time, is dropped. The plans are read
     once, when the query is built. All requests of a batch are answered by the same
     few joins; what they need of plans, datasets and earlier parameters is selected
     by their keys first, so a batch does not shuffle those tables.
@@ -56,8 +66,7 @@ def serve(requests: DataFrame, service: Service, checkpoint: str, delay: str = "
     plans = _plan_columns(service)
     plans.write.mode("overwrite").parquet(f"{service.root}/plans")
     stored = spark.read.schema(plans.schema).parquet(f"{service.root}/plans")
-    once = requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
-    return once.writeStream.foreachBatch(
+    return requests.writeStream.foreachBatch(
         lambda batch, batch_id: serve_batch(batch, batch_id, service, stored)
     ).option("checkpointLocation", checkpoint)
 
@@ -70,12 +79,18 @@ def serve_batch(batch: DataFrame, batch_id: int, service: Service, plans: DataFr
     keeps state, has it off.
     """
     path = f"{service.root}/requests/batch_id={batch_id}"
+    batch = _unanswered(batch, batch_id, service, plans.sparkSession)
     own = [
         request_arguments(step, name).alias(f"_own_{column_name(step, name)}")
         for step, name, _ in parameter_columns(service.parameters)
     ]
     parsed = parse_requests(batch).select(
-        "request_id", "seq", "plan_id", "error_code", F.col("request.dataset_uri").alias("dataset_uri"), *own
+        "request_id",
+        "seq",
+        "plan_id",
+        "error_code",
+        F.nullif(F.col("request.dataset_uri"), F.lit("")).alias("_own_dataset_uri"),
+        *own,
     )
     parsed.write.mode("overwrite").parquet(path)
     requests = plans.sparkSession.read.schema(parsed.schema).parquet(path)
@@ -86,7 +101,58 @@ def serve_batch(batch: DataFrame, batch_id: int, service: Service, plans: DataFr
     state = _read_state(service, batch_id, readable)
     effective = _with_parameters(readable, state, plans, service)
     unread = requests.filter("error_code = 'E111'")
-    write_results(_answers(effective, unread, service), service.root, batch_id)
+    write_results(_isolated(effective, unread, service, batch_id), service.root, batch_id)
+
+
+def _unanswered(batch: DataFrame, batch_id: int, service: Service, spark: SparkSession) -> DataFrame:
+    """The requests of a batch that no earlier batch holds, once each.
+
+    Ids are kept by the day of the request, and only the days of this batch are read.
+    """
+    day = F.coalesce(F.date_format("ts", "yyyyMMdd"), F.lit("none"))
+    path = f"{service.root}/seen/batch_id={batch_id}"
+    once = batch.withColumn("day", day).dropDuplicates(["request_id"])
+    once.select("request_id", "day").write.mode("overwrite").partitionBy("day").parquet(path)
+    if batch_id == 0:
+        return once.drop("day")
+    days = [row["day"] for row in once.select("day").distinct().collect()]
+    seen = spark.read.schema("request_id bigint, batch_id bigint, day string").parquet(f"{service.root}/seen")
+    earlier = seen.filter(F.col("day").isin(days) & (F.col("batch_id") < batch_id)).select("request_id")
+    return once.drop("day").join(earlier, "request_id", "left_anti")
+
+
+def _isolated(effective: DataFrame, unread: DataFrame, service: Service, batch_id: int) -> DataFrame:
+    """The messages of a batch, where an error while scoring fails its own request only.
+
+    If the batch fails it is answered in halves by the hash of the request id, and so on until the requests
+    that raise stand alone; these get E152. One bad request so costs two small jobs per doubling of the
+    batch. Lost executors are not a request's fault and end the batch, which then runs again.
+    """
+    spark, place = effective.sparkSession, F.xxhash64("request_id")
+    parts: list[DataFrame] = []
+
+    def answer(rows: DataFrame, rest: DataFrame, name: str, depth: int) -> None:
+        path = f"{service.root}/answers/batch_id={batch_id}/{name}"
+        messages = _answers(rows, rest, service)
+        try:
+            messages.write.mode("overwrite").parquet(path)
+        except PySparkException as error:
+            if any(text in str(error) for text in LOST):
+                raise
+            if depth == 64 or rows.limit(2).count() < 2:
+                code = F.coalesce("error_code", F.lit("E152")).alias("error_code")
+                failed = rows.select("request_id", code).unionByName(rest.select("request_id", "error_code"))
+                empty = failed.withColumns({name: F.lit(None) for name in service.summary})
+                result_messages(empty, list(service.summary)).write.mode("overwrite").parquet(path)
+            else:
+                for bit in (0, 1):
+                    half = F.shiftright(place, depth).bitwiseAND(F.lit(1)) == bit
+                    answer(rows.filter(half), rest.filter(half), f"{name}{bit}", depth + 1)
+                return
+        parts.append(spark.read.schema(messages.schema).parquet(path))
+
+    answer(effective, unread, "part", 0)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _needed(table: DataFrame, requests: DataFrame, key: str) -> DataFrame:
@@ -126,18 +192,20 @@ def _plan_columns(service: Service) -> DataFrame:
 
 def _with_parameters(requests: DataFrame, state: DataFrame | None, plans: DataFrame, service: Service) -> DataFrame:
     """Each request with the plan's parameters as they stand after it and all before it."""
-    own = {name: F.col(f"_own_{name}") for name in service.columns}
+    own = {name: F.col(f"_own_{name}") for name in service.carried}
     overlaid = carry_forward(requests, ["plan_id"], ["seq"], F.shiftright("seq", CHUNK_BITS), own, start=state)
     joined = overlaid.join(_needed(plans, requests, "plan_id"), "plan_id", "left")
     values = {}
     for step, name, _ in parameter_columns(service.parameters):
         column = column_name(step, name)
         values[column] = F.when(F.col(f"_has_{step}"), F.coalesce(column, f"_base_{column}"))
+    unset = F.col("dataset_uri").isNull() & F.col("error_code").isNull()
+    values["error_code"] = F.when(unset, "E122").otherwise(F.col("error_code"))
     return joined.withColumns(values).drop(*[name for name in plans.columns if name != "plan_id"])
 
 
 def _state_schema(service: Service) -> str:
-    return ", ".join(["plan_id bigint", *[f"`{name}` string" for name in service.columns], "as_of bigint"])
+    return ", ".join(["plan_id bigint", *[f"`{name}` string" for name in service.carried], "as_of bigint"])
 
 
 def _write_state(requests: DataFrame, service: Service, batch_id: int) -> None:
@@ -145,7 +213,7 @@ def _write_state(requests: DataFrame, service: Service, batch_id: int) -> None:
     touched = requests.groupBy("plan_id").agg(
         *[
             F.max_by(f"_own_{name}", F.when(F.col(f"_own_{name}").isNotNull(), F.col("seq"))).alias(name)
-            for name in service.columns
+            for name in service.carried
         ],
         F.lit(batch_id).cast("bigint").alias("as_of"),
     )
@@ -177,6 +245,6 @@ def _changes(spark: SparkSession, service: Service, start: int, end: int) -> Dat
 
 def _fold(changes: DataFrame, service: Service) -> DataFrame:
     return changes.groupBy("plan_id").agg(
-        *[F.max_by(name, F.when(F.col(name).isNotNull(), F.col("as_of"))).alias(name) for name in service.columns],
+        *[F.max_by(name, F.when(F.col(name).isNotNull(), F.col("as_of"))).alias(name) for name in service.carried],
         F.max("as_of").alias("as_of"),
     )

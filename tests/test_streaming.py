@@ -41,7 +41,7 @@ def test_bad_requests_become_rows(spark):
         payload("s", {}, dataset=""),
         payload("s", {}, ptype="train"),
     )
-    assert [r["error_code"] for r in df.orderBy("seq").collect()] == [None, "E111", "E111", "E111", "E122", "E122", "E122"]
+    assert [r["error_code"] for r in df.orderBy("seq").collect()] == [None, "E111", "E111", "E111", "E122", "E122", None]
 
 
 @pytest.mark.parametrize(
@@ -120,6 +120,53 @@ def test_overlays_add_up_over_requests_and_restarts(spark, tmp_path, monkeypatch
     assert os.path.isdir(f"{root}/out/state/snapshot=2") and os.path.isdir(f"{root}/out/state/snapshot=4")
 
 
+def sections(*parts, ptype="inference"):
+    return json.dumps({"solution_metadata": {"pipeline": [{"type": ptype, **part} for part in parts]}})
+
+
+def chosen(step, args):
+    return {"parameters": {"selected_user_parameters": [{"step": step, "args": args}]}}
+
+
+def test_every_section_counts(spark):
+    df = parsed(spark, sections({**chosen("s", {"a": "1"}), "dataset_uri": "d1"}, {**chosen("s", {"b": "2"})}, {**chosen("s", {"a": "3"})}))
+    got = df.select("request.dataset_uri", streaming.request_arguments("s", "a").alias("a"), streaming.request_arguments("s", "b").alias("b"))
+    assert tuple(got.first()) == ("d1", "3", "2")
+
+
+def test_late_requests_and_kept_datasets(spark, tmp_path):
+    source, root = f"{tmp_path}/in", str(tmp_path)
+    for name, (number, month, text) in enumerate(
+        [
+            (1, 6, sections(chosen("s", {}))),  # no dataset yet
+            (2, 6, sections({**chosen("s", {}), "dataset_uri": "d2"})),
+            (3, 1, sections(chosen("s", {}))),  # months late, and the dataset of request 2 holds
+            (4, 6, sections({"dataset_uri": ""})),
+            (5, 6, sections({})),
+            (2, 6, sections({**chosen("s", {"a": "9"}), "dataset_uri": "d2"})),  # delivered again
+        ]
+    ):
+        land(source, str(name), [{**request(number, text), "ts": f"2024-{month:02}-01T00:00:00Z"}])
+        serve_all(spark, source, root)
+    expected = {1: "E122", 2: 201, 3: 201, 4: "E122", 5: 201}
+    assert summary(spark, f"{root}/out") == expected == summary(spark, f"{root}/out", ARTIFACTS_CHANNEL)
+
+
+def test_a_request_that_raises_fails_alone(spark, tmp_path):
+    answering = service(spark, str(tmp_path))
+
+    def score(df):
+        raised = F.when(F.col("s__b") == "boom", F.raise_error(F.lit("no"))).otherwise(F.col("amount"))
+        return df.withColumn("score", raised.cast("bigint"))
+
+    asked = [(n, n, 10 + n, None, payload("s", {"b": "boom" if n == 2 else "x"})) for n in range(1, 4)]
+    base = spark.createDataFrame([(10 + n, "s", "b", "1") for n in range(1, 4)], "plan_id bigint, step string, name string, value string")
+    answering = serving.Service(base, answering.datasets, answering.parameters, score, answering.summary, answering.root)
+    batch = spark.createDataFrame(asked, streaming.REQUEST_ENVELOPE)
+    serving.serve_batch(batch, 0, answering, serving._plan_columns(answering))
+    assert summary(spark, str(tmp_path)) == {1: 100, 2: "E152", 3: 100}
+
+
 def test_queue_records_become_requests(spark):
     data = [(bytearray(b"7"), bytearray(b"{}"), 0, 5, None), (bytearray(b"8"), None, 1, 5, None)]
     records = spark.createDataFrame(data, "key binary, value binary, partition int, offset bigint, timestamp timestamp")

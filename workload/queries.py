@@ -624,7 +624,7 @@ def h1_request_stream(spark, sf_dir):
             "plan_id",
             "error_code",
             F.col("request.dataset_uri").alias("dataset_uri"),
-            F.col("request.parameters.selected_user_parameters")[0]["step"].alias("step"),
+            F.nullif(F.array_join("request.parameters.selected_user_parameters.step", ","), F.lit("")).alias("steps"),
         ),
         "h1",
     )

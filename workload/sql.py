@@ -512,7 +512,7 @@ ORACLE: dict[str, str] = {
     "h1_request_stream": sql(
         "requests",
         """SELECT request_id, request_id AS seq, plan_id, error_code, dataset_uri,
-             CASE WHEN error_code IS DISTINCT FROM 'E111' THEN step END AS step FROM requests""",
+             CASE WHEN error_code IS DISTINCT FROM 'E111' THEN step END AS steps FROM requests""",
     ),
     "h2_serve": sql(
         "base requests served",
