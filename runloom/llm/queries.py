@@ -38,7 +38,8 @@ def op1_shard(spark, sf_dir):
 @query
 def op2_ngram_join(spark, sf_dir):
     """The near-copy group of every document: five-word shingles, similarity of 0.75 and more."""
-    return ngram_join.near_groups(table(spark, sf_dir, "documents"), n=5, percent=75)
+    groups = ngram_join.near_groups(table(spark, sf_dir, "documents"), n=5, percent=75)
+    return groups.select("doc_id", "n_shingles", "component_id")
 
 
 @query

@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+from runloom.llm import quality_rules as rules
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def quoted(texts: list[str]) -> str:
+    return ", ".join("'" + text.replace("'", "''") + "'" for text in texts)
+
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op4_top_k"] = """
@@ -19,3 +28,77 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored
 QUALIFY rank <= 5
 """
+
+ORACLE["op2_ngram_join"] = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+    HAVING 100 * count(*) >= 75 * ((SELECT n FROM sizes WHERE doc_id = a.doc_id) + (SELECT n FROM sizes WHERE doc_id = b.doc_id) - count(*))
+), reach AS (
+    SELECT x AS doc_id, x AS other FROM links
+    UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM words LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Each five hex digits are four characters.
+_QUADS = " || ".join(
+    f"substr('{BASE32}', (('0x' || substr(h, {5 * i + 1}, 5))::INTEGER >> {shift}) % 32 + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0)
+)
+ORACLE["op6_warc"] = f"""
+WITH payloads AS (
+    SELECT page_id, url, sha1(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+), newest AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM payloads)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_QUADS} AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to, url
+FROM newest
+"""
+
+ORACLE["op8_quality_rules"] = f"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+           [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '{WORD}')] AS lines
+    FROM documents
+), windows AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) AS times FROM (
+        SELECT doc_id, unnest(range(len(w) - 2)) AS i, unnest([x[1] || ' ' || x[2] || ' ' || x[3] FOR x IN list_zip(w, w[2:], w[3:])][:-3]) AS three
+        FROM texts WHERE len(w) >= 3)
+), repeated AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range(3) o(k) WHERE times > 1 GROUP BY doc_id
+), line_rules AS (
+    SELECT doc_id, sum(chars) AS chars, sum(chars) FILTER (NOT fails) AS kept_chars FROM (
+        SELECT doc_id, length(line) AS chars,
+               (bars >= {rules.NAV_SEPARATORS} AND length(line) <= bars * {rules.NAV_CHARS})
+               OR symbols * 100 > length(line) * {rules.MAX_SYMBOL_PERCENT}
+               OR (length(line) <= {rules.BOILERPLATE_CHARS} AND regexp_matches(lower(line), '{rules.BOILERPLATE}'))
+               OR NOT (last IN ({quoted(rules.CLOSING)}) OR regexp_matches(last, '[\\p{{L}}\\p{{N}}]')) AS fails
+        FROM (SELECT doc_id, line, length(line) - length(replace(line, '|', '')) AS bars,
+                     length(line) - length(regexp_replace(line, '{rules.SYMBOLS}', '', 'g')) AS symbols, right(rtrim(line, ' '), 1) AS last
+              FROM (SELECT doc_id, unnest(lines) AS line FROM texts)))
+    GROUP BY doc_id
+), measured AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+           (length(t) - length(regexp_replace(t, '{rules.SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,
+           (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+           coalesce(chars, 0) AS chars, (coalesce(chars, 0) - coalesce(kept_chars, 0))::BIGINT AS lost_chars
+    FROM texts LEFT JOIN repeated r USING (doc_id) LEFT JOIN line_rules USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEATED_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEATED_PERCENT} * n_words)
+         AND lost_chars * 100 <= chars * {rules.MAX_LOST_PERCENT} AS kept,
+       lost_chars
+FROM measured
+"""
