@@ -9,7 +9,7 @@ from runloom.sources.datasets import (
     load_tagged,
 )
 from runloom.sources.logs import parse_log, read_log
-from runloom.sources.records import RUN_RECORD, RUN_SUMMARY, scan_run_records
+from runloom.sources.records import RUN_RECORD, RUN_SUMMARY, run_documents, run_folders, scan_run_records, scan_run_summaries
 from runloom.sources.uris import classify_uris, profile_uris
 
 __all__ = [
@@ -25,5 +25,8 @@ __all__ = [
     "parse_log",
     "profile_uris",
     "read_log",
+    "run_documents",
+    "run_folders",
     "scan_run_records",
+    "scan_run_summaries",
 ]

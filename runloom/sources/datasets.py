@@ -52,17 +52,20 @@ def load_tagged(
     paths: str | Iterable[str] | None,
     fmt: str = "parquet",
     schema: StructType | str | None = None,
+    partitioned: bool = False,
     **options: str,
 ) -> DataFrame:
     """Read one or more directories as one dataset, each row tagged with ``base_dir``.
 
     The tag is a literal per path, so a filter on it drops the other scans.
-    Files in sub-directories belong to the path they were found under.
+    Files in sub-directories belong to the path they were found under. With
+    ``partitioned`` the sub-directories are ``name=value`` and become columns, whose
+    filters skip directories.
     """
     paths = _as_list(paths)
     if not paths:
         return empty_dataset(spark, schema)
-    reader = spark.read.format(fmt).option("recursiveFileLookup", "true").options(**options)
+    reader = spark.read.format(fmt).option("recursiveFileLookup", str(not partitioned).lower()).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     parts = [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.constants import EMPTY_STAMP, NO_TRAIN_ID
@@ -17,45 +17,62 @@ RUN_SUMMARY = (
     "result string, score double, version string"
 )
 
+# Where a run folder keeps its record and, as JSON, its summary.
+RECORD_PATH = "log/experimental_history.json"
+SUMMARY_PATH = "score/run_summary.json"
+
 # A run folder is the directory right below the root, plain or as a partition value.
 FOLDER_BELOW = r"/(?:folder=)?([^/]+)/"
 
 
+def run_documents(spark: SparkSession, root: str, schema: str, path: str) -> DataFrame:
+    """The JSON documents at ``<root>/<folder>/<path>``, with their run folder.
+
+    Only that place counts; other documents of a run are not its record.
+    """
+    return (
+        spark.read.schema(schema)
+        .option("multiLine", "true")
+        .json(f"{root.rstrip('/')}/*/{path}")
+        .withColumn("folder", _folder(F.col("_metadata.file_path"), root))
+    )
+
+
+def run_folders(spark: SparkSession, root: str) -> DataFrame:
+    """The run folders below ``root`` that hold files, from one listing of them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(_folder(F.col("path"), root).alias("folder")).filter("folder <> ''").distinct()
+
+
+def _folder(path: Column, root: str) -> Column:
+    return F.regexp_extract(F.substring_index(path, root.rstrip("/"), -1), "^" + FOLDER_BELOW, 1)
+
+
 def scan_run_records(
     spark: SparkSession,
     root: str,
     ptype: str,
-    record_glob: str = "*.json",
+    record_path: str = RECORD_PATH,
     extra_columns: str | None = None,
+    folders: DataFrame | None = None,
 ) -> DataFrame:
-    """All run folders below ``root`` with their records.
+    """All run folders below ``root`` with their records, one row per folder.
 
-    A folder that holds files but no record gets empty ids and the empty time
-    stamp, so that it sorts last; inference runs then have no train run.
+    A folder without a record gets empty ids and the empty time stamp, so that it sorts last; inference
+    runs then have no train run. A listing shows only folders that hold files: give ``folders``, a table of
+    them, where empty ones count or where they are too many to list.
     """
     schema = RUN_RECORD + (f", {extra_columns}" if extra_columns else "")
-    folder = F.regexp_extract(
-        F.substring_index(F.col("_metadata.file_path"), root.rstrip("/"), -1), "^" + FOLDER_BELOW, 1
-    )
-    records = (
-        spark.read.schema(schema)
-        .option("multiLine", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", record_glob)
-        .json(root)
-        .withColumn("folder", folder)
-    )
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(folder.alias("folder"))
-        .filter("folder <> ''")
-        .distinct()
-    )
+    records = run_documents(spark, root, schema, record_path)
+    listed = folders.select("folder").distinct() if folders is not None else run_folders(spark, root)
     return fill_missing_records(listed.join(records, "folder", "left"), ptype)
 
 
+def scan_run_summaries(spark: SparkSession, root: str, summary_path: str = SUMMARY_PATH) -> DataFrame:
+    """The summaries of the run folders below ``root`` that have one, kept as JSON."""
+    return run_documents(spark, root, RUN_SUMMARY, summary_path)
+
+
 def fill_missing_records(runs: DataFrame, ptype: str) -> DataFrame:
     """Sentinels for runs whose record is absent."""
     empty = {name: "" for name in ("data_id", "param_id", "code_id", "id")}

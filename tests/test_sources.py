@@ -87,16 +87,31 @@ def test_run_folders_with_and_without_record(spark, tmp_path):
         "train_id": "t1",
     }
     write(f"{root}/run1/log/record.json", json.dumps(record, indent=4))
-    write(f"{root}/run1/score/other.json.txt", "x")
+    write(f"{root}/run1/score/run_summary.json", json.dumps({"result": "ok", "score": 0.5}))
+    write(f"{root}/run1/output/record.json", json.dumps(record | {"id": "not the record"}))
     write(f"{root}/run2-error/plan.yaml", "name: x")
-    df = sources.scan_run_records(spark, root, "inference", record_glob="record.json")
+    df = sources.scan_run_records(spark, root, "inference", record_path="log/record.json")
     found = {r["folder"]: r for r in df.collect()}
     assert set(found) == {"run1", "run2-error"}
     assert found["run1"]["train_id"] == "t1"
     assert int(found["run1"]["data_id_description"]["a"]) == 18446744073709551615
     missing = found["run2-error"]
     assert (missing["id"], missing["end_time"], missing["train_id"]) == ("", "20000101T000000Z", "none")
-    assert "train_id" not in sources.scan_run_records(spark, root, "train").columns
+    assert "train_id" not in sources.scan_run_records(spark, root, "train", "log/record.json").columns
+    listed = spark.createDataFrame([("run1",), ("run3-empty",)], "folder string")
+    given = sources.scan_run_records(spark, root, "inference", "log/record.json", folders=listed)
+    assert rows(given, "folder", "id") == [("run1", "run1"), ("run3-empty", "")]
+    summaries = sources.scan_run_summaries(spark, root)
+    assert rows(summaries, "folder", "result", "score") == [("run1", "ok", 0.5)]
+    known = df.withColumn("ptype", F.lit("inference")).withColumn("has_plan", F.lit(False))
+    shown = op.history(known, summaries, ptype="inference", keep=["folder"])
+    assert [(r["folder"], r["status"], r["result"]) for r in shown.collect()] == [("run1", "success", "ok"), ("run2-error", "error", "")]
+
+
+def test_partitioned_directories_become_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "v int, part string").write.partitionBy("part").parquet(f"{tmp_path}/in")
+    got = sources.load_tagged(spark, f"{tmp_path}/in", partitioned=True)
+    assert rows(got, "v", "part", "base_dir") == [(1, "a", "in"), (2, "b", "in")]
 
 
 def test_log_lines(spark):

@@ -59,11 +59,14 @@ def id_of(value: str) -> str:
 
 @query
 def a1_load_tagged(spark, sf_dir):
-    runs = views.runs(spark, sf_dir).select("k", "ptype", "folder", "size_bytes")
+    """Two directories, each partitioned by year."""
+    year = F.substring("folder", 1, 4).alias("year")
+    runs = views.runs(spark, sf_dir).select("k", "ptype", "folder", "size_bytes", year)
     root = scratch_dir(spark, "a1")
     for ptype in ("train", "inference"):
-        runs.filter(F.col("ptype") == ptype).drop("ptype").write.parquet(f"{root}/{ptype}")
-    return sources.load_tagged(spark, [f"{root}/train", f"{root}/inference/"])
+        runs.filter(F.col("ptype") == ptype).drop("ptype").write.partitionBy("year").parquet(f"{root}/{ptype}")
+    loaded = sources.load_tagged(spark, [f"{root}/train", f"{root}/inference/"], partitioned=True)
+    return loaded.withColumn("year", text(F.col("year")))
 
 
 @query
@@ -99,10 +102,14 @@ def a3_scan_run_records(spark, sf_dir):
     root = scratch_dir(spark, "a3")
     runs = runs.repartition(32, "folder")
     runs.filter("k % 10 <> 0").drop("k").write.partitionBy("folder").json(root)
+    # Other documents of a run, which are not its record.
+    runs.filter("k % 4 = 0").select("folder", F.lit("output").alias("area"), F.lit("x").alias("id")).write.mode(
+        "append"
+    ).partitionBy("folder", "area").json(root)
     runs.filter("k % 10 = 0").select("folder", F.lit("name: plan").alias("value")).write.mode("append").partitionBy(
         "folder"
     ).text(root)
-    found = sources.scan_run_records(spark, root, "train")
+    found = sources.scan_run_records(spark, root, "train", record_path="*.json")
     return found.select(
         "folder",
         "id",

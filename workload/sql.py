@@ -214,7 +214,7 @@ RETENTION = f"""totals AS (SELECT ptype, sum(size_bytes)::HUGEINT AS size FROM r
 LEVEL_OF = "CASE event_type WHEN 'view' THEN 'INFO' WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'MSG' END"
 
 ORACLE: dict[str, str] = {
-    "a1_load_tagged": sql("runs", "SELECT k, folder, size_bytes, ptype AS base_dir FROM runs"),
+    "a1_load_tagged": sql("runs", "SELECT k, folder, size_bytes, left(folder, 4) AS year, ptype AS base_dir FROM runs"),
     "a2_file_manifest": sql(
         "files",
         "SELECT path, size, base_dir || '/' || step AS folder, name, ext FROM files WHERE ext IN ('.jpg', '.jpeg', '.png', '.svg')",
