@@ -73,26 +73,26 @@ def overlay_params(base: DataFrame, override: DataFrame, keys: Sequence[str] = S
     """
     keys = list(keys)
     names = [*keys, "name"]
-    with_args = base.filter(F.col("name").isNotNull()).select(*keys).distinct()
-    wanted = (
-        override.filter(F.col("name").isNotNull())
-        .withColumn("_new", cleaned_value(F.col("value")))
-        .filter("_new IS NOT NULL")
-        .select(*names, "_new")
-        .join(with_args, keys, "left_semi")
+    wanted = override.filter(F.col("name").isNotNull()).withColumn("_new", cleaned_value(F.col("value")))
+    none = F.lit(None).cast("string")
+    both = base.select(*names, "value", none.alias("_new"), F.lit(True).alias("_in_base")).unionByName(
+        wanted.filter("_new IS NOT NULL").select(*names, none.alias("value"), "_new", F.lit(False).alias("_in_base"))
     )
-    merged = (
-        base.filter(F.col("name").isNotNull())
-        .withColumn("_in_base", F.lit(True))
-        .join(wanted, names, "full")
-        .select(
-            *names,
-            F.coalesce("_new", "value").alias("value"),
-            F.when(F.col("_new").isNull(), "base").when(F.col("_in_base"), "override").otherwise("added").alias("origin"),
-        )
+    # One row per parameter; both branches below read this one exchange.
+    merged = both.groupBy(*names).agg(
+        F.max("value").alias("value"),
+        F.max("_new").alias("_new"),
+        F.max("_in_base").alias("_in_base"),
+        F.max(F.col("_in_base") & F.col("name").isNotNull()).alias("_has_args"),
     )
-    bare = base.filter(F.col("name").isNull()).select(*names, "value", F.lit("base").alias("origin"))
-    return merged.unionByName(bare)
+    result = [
+        *names,
+        F.coalesce("_new", "value").alias("value"),
+        F.when(F.col("_new").isNull(), "base").when(F.col("_in_base"), "override").otherwise("added").alias("origin"),
+    ]
+    with_args = merged.filter("_has_args").select(*keys).distinct()
+    added = merged.filter("NOT _in_base").join(with_args, keys, "left_semi")
+    return merged.filter("_in_base").unionByName(added).select(*result)
 
 
 def overlay_paths(base: DataFrame, override: DataFrame, plan: str = "plan_id") -> DataFrame:

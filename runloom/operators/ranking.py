@@ -42,21 +42,20 @@ def first_wins(requirements: DataFrame, step_no: str = "step_no", pos: str = "po
         .when(F.replace(raw, F.lit(" "), F.lit("")).contains(FORCE_MARKER), "force-reinstall")
         .otherwise("package")
     )
-    rows = requirements.withColumn("section", section)
-    packages = (
-        rows.filter((F.col("section") == "package") & (bare != ""))
-        .withColumns({"key": requirement_key(bare), "requirement": bare})
-        .groupBy("section", "key")
-        .agg(F.min(F.struct(step_no, pos, "requirement")).alias("first"))
-        .select("section", "key", f"first.{step_no}", f"first.{pos}", "first.requirement")
+    # Packages compete by name over all steps, marker lines by their text within a step.
+    rows = requirements.select(step_no, pos, raw.alias("_raw"), bare.alias("_bare"), section.alias("section"))
+    is_package = F.col("section") == "package"
+    competing = rows.filter(~is_package | (F.col("_bare") != "")).select(
+        "section",
+        F.when(is_package, requirement_key(F.col("_bare"))).otherwise(F.col("_raw")).alias("key"),
+        F.when(~is_package, F.col(step_no)).alias("_within"),
+        F.struct(step_no, pos, F.when(is_package, F.col("_bare")).otherwise(F.col("_raw")).alias("requirement")).alias("_row"),
     )
-    markers = (
-        rows.filter(F.col("section") != "package")
-        .groupBy("section", step_no, line)
-        .agg(F.min(pos).alias(pos))
-        .select("section", raw.alias("key"), step_no, pos, raw.alias("requirement"))
+    return (
+        competing.groupBy("section", "key", "_within")
+        .agg(F.min("_row").alias("first"))
+        .select("section", "key", f"first.{step_no}", f"first.{pos}", "first.requirement")
     )
-    return packages.unionByName(markers)
 
 
 def stage_durations(marks: DataFrame, key: str = "run", stage: str = "stage", time: str = "ts") -> DataFrame:
