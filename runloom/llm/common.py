@@ -126,8 +126,10 @@ def _package() -> str:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Spark hand this package to the Python workers, wherever they run."""
+    """Let Spark hand this package to the Python workers, and whole texts to them in small batches."""
     spark.sparkContext.addPyFile(_package())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     return spark
 
 

@@ -67,7 +67,6 @@ def scorer(docs: DataFrame, model: dict[str, np.ndarray], judge_of: Callable) ->
         for batch in texts:
             yield pd.Series([judge(t) for t in batch], dtype=float)
 
-    score.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return score
 
 
