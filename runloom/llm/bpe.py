@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = 1 << 62
 _PLACE = 1 << 32
-_CACHED_PIECES = 400_000
+_CACHED_PIECES = 600_000
 
 
 def byte_chars() -> list[str]:
@@ -88,19 +89,26 @@ def merge(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) ->
 
 
 class _Pieces(dict):
-    """The ids of a piece of text, as bytes of 32 bits each, kept for pieces met lately."""
+    """The ids of a piece of text, as bytes of 32 bits each, kept for pieces met lately.
+
+    When it is full its pieces become the older ones; of these only what is met again comes back.
+    """
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _CACHED_PIECES:
-            self.clear()
-        codec = self.codec
-        ids = merge([codec.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")], codec.pairs)
-        value = np.array(ids, "<u4").tobytes()
+        value = self.older.pop(piece, None)
+        if value is None:
+            codec = self.codec
+            ids = merge([codec.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")], codec.pairs)
+            value = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
+            if len(self) >= _CACHED_PIECES:
+                self.older = dict(self)
+                self.clear()
             self[piece] = value
         return value
 
