@@ -65,24 +65,30 @@ def check_keys(
     """
     template = list(template)
     allowed = [*template, *optional]
-    has = [F.coalesce(F.max(F.col(key) == name), F.lit(False)).alias(f"_has_{i}") for i, name in enumerate(template)]
+    child = F.substring_index(key, ":", -1)
+    known = F.col(key).isin(*allowed) | (F.col(key).contains(":") & child.isin(*UNCHECKED_PLAN_KEYS))
+    # One row per plan and unknown key, with the template keys seen beside it; both branches read this one exchange.
+    has = [f"_has_{i}" for i in range(len(template))]
+    marked = (
+        found.withColumn("_unknown", F.when(~known, F.col(key)))
+        .groupBy(plan, "_unknown")
+        .agg(
+            *[F.coalesce(F.max(F.col(key) == name), F.lit(False)).alias(flag) for flag, name in zip(has, template)],
+            F.max(F.col("_unknown").isNotNull()).alias("_is_unknown"),
+        )
+    )
     absent = F.filter(
-        F.array(*[F.when(~F.col(f"_has_{i}"), F.lit(name)) for i, name in enumerate(template)]),
+        F.array(*[F.when(~F.col(flag), F.lit(name)) for flag, name in zip(has, template)]),
         lambda name: name.isNotNull(),
     )
     missing = (
-        found.groupBy(plan)
-        .agg(*has)
+        marked.groupBy(plan)
+        .agg(*[F.max(flag).alias(flag) for flag in has])
         .select(plan, F.explode(absent).alias(key))
         .withColumn("problem", F.when(F.col(key).startswith("control:"), "defaulted").otherwise("missing"))
     )
-    child = F.substring_index(key, ":", -1)
-    unknown = (
-        found.filter(F.col(key).isNotNull() & ~F.col(key).isin(*allowed))
-        .filter(~(F.col(key).contains(":") & child.isin(*UNCHECKED_PLAN_KEYS)))
-        .select(plan, key)
-        .distinct()
-        .withColumn("problem", F.lit("not_allowed"))
+    unknown = marked.filter("_is_unknown").select(
+        plan, F.col("_unknown").alias(key), F.lit("not_allowed").alias("problem")
     )
     return missing.unionByName(unknown).select(plan, "problem", key)
 
