@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runloom.llm.common import in_cells, stored, word_count
+from runloom.llm.common import in_cells, ranked, stored, word_count
 
 WEIGHTS = (1, 2, 3)
 CELL_ROWS = 1000
@@ -132,13 +132,15 @@ def repeat(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options).groupBy("text_key", F.col("source").alias("_source")).agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
     taken = stored(taken.where("_times > 0"), "mix-taken").withColumnRenamed("text_key", "_key")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("_from"), F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), text).alias("_hash"))
+    rows = docs.select(F.struct("*").alias("row"), docs["source"].alias("_from"), F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), text).alias("_hash"))
+    rows = rows.withColumn("_row_id", F.monotonically_increasing_id())
     joined = rows.join(taken, (F.col("_hash") == F.col("_key")) & F.col("_from").eqNullSafe(F.col("_source")))
-    several = joined.where("_rows > 1")
+    # Rows are numbered as they are scanned, so that even a third of all rows with one id is cut into cells.
+    several = joined.where("_rows > 1").withColumn("_group", F.xxhash64("_key", "_source")).withColumn("_luck", F.xxhash64("_row_id"))
     copies = F.expr("explode(array_repeat(0, cast(_n AS int)))")
     single = joined.where("_rows = 1").withColumn("_n", F.col("_times"))
-    at = F.row_number().over(Window.partitionBy("_key", "_source").orderBy("_hash"))
-    shared = several.withColumn("_at", at).withColumn("_n", F.expr("_times div _rows + IF(_at <= _times % _rows, 1, 0)"))
+    numbered = ranked(several, "_group", "_luck", ["_luck", "_row_id"])
+    shared = numbered.withColumn("_n", F.expr("_times div _rows + IF(rank < _times % _rows, 1, 0)"))
     pick = lambda part: part.select("row", copies.alias("_copy")).select("row.*")
     return pick(single).union(pick(shared))
 

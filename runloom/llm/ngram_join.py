@@ -320,7 +320,7 @@ def keep_one(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFra
     gone = named.where("NOT stays").select("_id", "_key").distinct()
     often = named.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_key")
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(docs["text"].cast("string")).alias("_text")
+        F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(docs["text"].cast("string")).alias("_text")
     )
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
     left = rows.join(gone, same, "left_anti")

@@ -166,7 +166,7 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
 
     The row travels as one struct beside the measures, so its column names cannot clash.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_id"), docs[text].alias("text"))
+    rows = docs.select(F.struct("*").alias("doc_id"), docs[text].alias("text"))
     return score(rows).where("kept").select("doc_id.*")
 
 

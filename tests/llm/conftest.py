@@ -11,7 +11,7 @@ DOC = StructType(
     ]
 )
 #: Names that operators use inside; as columns of an input they must do no harm.
-CLASHES = ("size", "rank", "cell", "arc", "row", "token", "class", "comp", "block", "score", "n", "a", "b", "hash", "_text", "_id")
+CLASHES = ("size", "rank", "cell", "arc", "row", "token", "class", "comp", "block", "score", "n", "a", "b", "hash", "_text", "_id", "a.b")
 
 
 @pytest.fixture(scope="session")
