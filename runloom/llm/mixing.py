@@ -135,14 +135,15 @@ def repeat(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), docs["source"].alias("_from"), F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), text).alias("_hash"))
     rows = rows.withColumn("_row_id", F.monotonically_increasing_id())
     joined = rows.join(taken, (F.col("_hash") == F.col("_key")) & F.col("_from").eqNullSafe(F.col("_source")))
-    # Rows are numbered as they are scanned, so that even a third of all rows with one id is cut into cells.
-    several = joined.where("_rows > 1").withColumn("_group", F.xxhash64("_key", "_source")).withColumn("_luck", F.xxhash64("_row_id"))
     copies = F.expr("explode(array_repeat(0, cast(_n AS int)))")
-    single = joined.where("_rows = 1").withColumn("_n", F.col("_times"))
-    numbered = ranked(several, "_group", "_luck", ["_luck", "_row_id"])
-    shared = numbered.withColumn("_n", F.expr("_times div _rows + IF(rank < _times % _rows, 1, 0)"))
     pick = lambda part: part.select("row", copies.alias("_copy")).select("row.*")
-    return pick(single).union(pick(shared))
+    single = pick(joined.where("_rows = 1").withColumn("_n", F.col("_times")))
+    if taken.where("_rows > 1").isEmpty():
+        return single
+    # Rows are numbered as they are scanned, so that even a third of all rows with one id is cut into cells.
+    several = joined.where("_rows > 1").withColumn("_same", F.xxhash64("_key", "_source")).withColumn("_luck", F.xxhash64("_row_id"))
+    numbered = ranked(several, "_same", "_luck", ["_luck", "_row_id"])
+    return single.union(pick(numbered.withColumn("_n", F.expr("_times div _rows + IF(rank < _times % _rows, 1, 0)"))))
 
 
 __all__ = ["mix", "repeat", "score", "source_table", "water_level"]
