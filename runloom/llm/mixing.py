@@ -141,9 +141,10 @@ def repeat(docs: DataFrame, **options) -> DataFrame:
     if taken.where("_rows > 1").isEmpty():
         return single
     # Rows are numbered as they are scanned, so that even a third of all rows with one id is cut into cells.
-    several = joined.where("_rows > 1").withColumn("_same", F.xxhash64("_key", "_source")).withColumn("_luck", F.xxhash64("_row_id"))
+    same, luck = F.xxhash64("_key", "_source").alias("_same"), F.xxhash64("_row_id").alias("_luck")
+    several = joined.where("_rows > 1").select("row", "_times", F.col("_rows").alias("_of"), "_row_id", same, luck)
     numbered = ranked(several, "_same", "_luck", ["_luck", "_row_id"])
-    return single.union(pick(numbered.withColumn("_n", F.expr("_times div _rows + IF(rank < _times % _rows, 1, 0)"))))
+    return single.union(pick(numbered.withColumn("_n", F.expr("_times div _of + IF(rank < _times % _of, 1, 0)"))))
 
 
 __all__ = ["mix", "repeat", "score", "source_table", "water_level"]
