@@ -11,9 +11,10 @@ p(w) = (n(w) + 0.1) / (N + 0.1 * (V + 1)) also covers one unknown word. Pairs th
 word follow from the same formula with a count of 0; after an unknown word it is p(w).
 
 Level 2 is cut into blocks of about equally many pairs of the corpus, along (context, word); a frequent context spans several blocks.
-Texts are read in batches; each batch sends a block its pairs once, and the task of a block counts the pairs of training texts, builds and
-maps its part of the trie, and answers the pairs of all texts. So counts and answers share one shuffle, no task holds more than
-a block, and nothing is broadcast.
+Texts are read in batches; each batch sends a block its distinct pairs with their counts in training texts, and the task of a block
+adds the counts up, builds and maps its part of the trie, and answers each pair once per batch. The sums per text are made with the batch, which
+keeps for each token the place of its pair. So counts and answers share one shuffle, a pair weighs at most one entry per batch
+in its block however often it occurs, and nothing is broadcast.
 
 Defined results: null and empty texts are the end token alone. A row without id belongs to the training part, as one that is not held
 out. Repeated rows are texts of their own. An empty table gives an empty table; without training rows all scores are 0.
@@ -214,11 +215,11 @@ def _widen(width: int, data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel().astype(np.int64)
 
 
-_SENT = "block long, batch long, width int, keys binary, owners binary, counts binary, doc_id array<long>, held array<boolean>, tokens array<long>, known array<long>, base array<double>, rest array<double>"
+_SENT = "block long, batch long, width int, keys binary, count_width int, counts binary, owners binary, doc_id array<long>, held array<boolean>, tokens array<long>, known array<long>, base array<double>, rest array<double>"
 
 
 def _batch(rows: list[tuple], batch: int, words: Vocabulary, block_pairs: int, prior: float) -> pa.RecordBatch:
-    """Rows for the blocks and one row (with a block of its own, below 0) of what is known of the texts themselves."""
+    """Rows for the blocks and one row (with a block of its own, below 0) of what is known of the texts themselves, with the place of each token's pair."""
     ids_of, hashes, held = [r[0] for r in rows], [r[2] for r in rows], np.array([r[1] for r in rows], bool)
     lengths = np.array([len(h) for h in hashes])
     values, at = np.unique(np.concatenate(hashes).view(np.int64), return_inverse=True)
@@ -234,12 +235,15 @@ def _batch(rows: list[tuple], batch: int, words: Vocabulary, block_pairs: int, p
     rest[routed] = 0
     sums = lambda weights: np.bincount(owner, weights, len(rows))
     contexts, successors, owner_routed = contexts[routed], ids[routed], owner[routed]
+    learn = ~held[owner_routed]
+    pairs, at = np.unique(contexts * max(words.size, 1) + successors, return_inverse=True)
+    counts = np.bincount(at, learn, len(pairs)).astype(np.int64)
+    contexts, successors = pairs // max(words.size, 1), pairs % max(words.size, 1)
     place = words.before(contexts) + (words.counts(contexts) * (successors / max(words.size, 1))).astype(np.int64)
+    # Places rise with the pairs, so the blocks of sorted pairs are sorted.
     block = place // block_pairs
-    order = np.lexsort((owner_routed, block))
-    block, contexts, successors, owner_routed = block[order], contexts[order], successors[order], owner_routed[order]
     starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.array([], int)
-    out: list[list] = [[] for _ in range(12)]
+    out: list[list] = [[] for _ in range(13)]
 
     def add(*row) -> None:
         for column, value in zip(out, row, strict=True):
@@ -247,13 +251,12 @@ def _batch(rows: list[tuple], batch: int, words: Vocabulary, block_pairs: int, p
 
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=False):
         number = int(block[a])
-        width, keys = _narrow((contexts[a:b] - words.context_at(number * block_pairs)) * words.size + successors[a:b])
-        owners, counts = np.unique(owner_routed[a:b], return_counts=True)
-        owners = (owners * 2 + ~held[owners]).astype("<u4")
-        add(number, batch, width, keys, owners.tobytes(), counts.astype("<u4").tobytes(), *[None] * 6)
+        keys = (contexts[a:b] - words.context_at(number * block_pairs)) * words.size + successors[a:b]
+        add(number, batch, *_narrow(keys), *_narrow(counts[a:b]), *[None] * 7)
     known = sums((ids >= 0).astype(float)).astype(np.int64)
-    add(-1 - batch, batch, *[None] * 4, ids_of, held.tolist(), lengths.tolist(), known.tolist(), sums(base).tolist(), sums(rest).tolist())
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    routed_tokens = np.bincount(owner_routed, minlength=len(rows)).astype("<u4").tobytes()
+    add(-1 - batch, batch, *_narrow(at), None, None, routed_tokens, ids_of, held.tolist(), lengths.tolist(), known.tolist(), sums(base).tolist(), sums(rest).tolist())
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
     names = [part.split()[0] for part in _SENT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
 
@@ -278,49 +281,43 @@ def _deal(texts: DataFrame, load, block_pairs: int, prior: float) -> DataFrame:
     return texts.mapInArrow(apply, _SENT)
 
 
-_ANSWERED = "batch long, at binary, score binary, doc_id array<long>, held array<boolean>, tokens array<long>, known array<long>, base array<double>, rest array<double>"
-_TEXT_COLUMNS = ["doc_id", "held", "tokens", "known", "base", "rest"]
+_ANSWERED = "batch long, block long, score binary, width int, keys binary, owners binary, doc_id array<long>, held array<boolean>, tokens array<long>, known array<long>, base array<double>, rest array<double>"
+_TEXT_COLUMNS = ["width", "keys", "owners", "doc_id", "held", "tokens", "known", "base", "rest"]
 
 
 def _answer(load, folder: str, block_pairs: int, prior: float):
-    """The task of a block: count, build, write, map, and answer per batch and text."""
+    """The task of a block: count, build, write, map, and answer per batch and distinct pair."""
 
     def apply(table: pa.Table) -> pa.Table:
         names = [part.split()[0] for part in _ANSWERED.split(", ")]
         block = table.column("block")[0].as_py()
         if block < 0:
-            empty = pa.nulls(table.num_rows, pa.binary())
-            return pa.table([table.column("batch"), empty, empty, *[table.column(c) for c in _TEXT_COLUMNS]], names=names)
+            return pa.table([table.column("batch"), table.column("block"), pa.nulls(table.num_rows, pa.binary()), *[table.column(c) for c in _TEXT_COLUMNS]], names=names)
         words = load()
-        sent = [_widen(w, k) for w, k in zip(table.column("width").to_pylist(), table.column("keys").to_pylist(), strict=True)]
-        owners = [np.frombuffer(o, "<u4") for o in table.column("owners").to_pylist()]
-        counts = [np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()]
+        both = lambda width, data: [_widen(w, d) for w, d in zip(table.column(width).to_pylist(), table.column(data).to_pylist(), strict=True)]
+        sent, counts = both("width", "keys"), both("count_width", "counts")
         keys, at = np.unique(np.concatenate(sent), return_inverse=True)
-        learn = np.concatenate([np.repeat(o & 1, c) for o, c in zip(owners, counts, strict=True)])
-        seen = np.bincount(at, learn, len(keys)).astype(np.int64)
+        seen = np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
         name, files = f"pairs-{block}", SharedFolder(folder)
         files.write(name, build_block(keys[seen > 0], seen[seen > 0], words.context_at(block * block_pairs), words, prior))
         value = Block(files.map(name)).log_probability(keys, words, prior)[at]
         ends = np.cumsum([len(s) for s in sent])
-        scores = []
-        for end, s, c in zip(ends.tolist(), sent, counts, strict=True):
-            part = value[end - len(s) : end]
-            scores.append(np.add.reduceat(part, (np.cumsum(c) - c).astype(np.int64)).astype("<f8").tobytes())
+        scores = [value[end - len(s) : end].astype("<f8").tobytes() for end, s in zip(ends.tolist(), sent, strict=True)]
         texts = [pa.nulls(table.num_rows, table.schema.field(c).type) for c in _TEXT_COLUMNS]
-        ats = pa.array([(o >> 1).astype("<u4").tobytes() for o in owners], pa.binary())
-        return pa.table([table.column("batch"), ats, pa.array(scores, pa.binary()), *texts], names=names)
+        return pa.table([table.column("batch"), table.column("block"), pa.array(scores, pa.binary()), *texts], names=names)
 
     return apply
 
 
 def _assemble(table: pa.Table) -> pa.Table:
-    """The texts of one batch with the sums of all blocks."""
-    rows = table.to_pylist()
-    texts = next(r for r in rows if r["doc_id"] is not None)
-    score = np.array(texts["rest"], float)
-    # Block by block in a fixed order, so that sums do not depend on the shuffle.
-    for row in sorted((r for r in rows if r["at"] is not None), key=lambda r: (r["at"], r["score"])):
-        score[np.frombuffer(row["at"], "<u4")] += np.frombuffer(row["score"], "<f8")
+    """The texts of one batch with the sums over their tokens, in the order of the text whatever the shuffle did."""
+    blocks = table.column("block").to_numpy()
+    own = int(np.flatnonzero(blocks < 0)[0])
+    texts = {c: table.column(c)[own].as_py() for c in _TEXT_COLUMNS}
+    answers = table.column("score")
+    value = np.concatenate([np.zeros(0), *[np.frombuffer(answers[int(k)].as_py(), "<f8") for k in np.argsort(blocks) if blocks[k] >= 0]])
+    owner = np.repeat(np.arange(len(texts["rest"])), np.frombuffer(texts["owners"], "<u4"))
+    score = np.array(texts["rest"], float) + np.bincount(owner, value[_widen(texts["width"], texts["keys"])], len(texts["rest"]))
     columns = [texts["doc_id"], texts["held"], texts["tokens"], texts["known"], texts["base"], score.tolist()]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])

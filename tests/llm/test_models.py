@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runloom.llm import elias_fano, language_model, ngram_join, quality_classifier, toxicity
 from runloom.llm.components import components
@@ -185,6 +186,16 @@ def test_language_model(documents, monkeypatch, clash):
         assert o[6] == pytest.approx(w[6], abs=0.02 * w[2])
 
 
+def test_a_frequent_pair_is_sent_once_per_batch(documents, tmp_path):
+    docs = documents([(i, "hot " * 3000 + f"w{i}") for i in range(20)]).withColumn("held_out", F.lit(False)).select("doc_id", "held_out", "text").coalesce(1)
+    pieces = tuple(language_model.write_vocabulary(language_model.count_words(docs.select("text")), str(tmp_path)))
+    sent = language_model._deal(docs, lambda: language_model.Vocabulary(str(tmp_path), pieces, 20), 1000, 50.0).where("block >= 0").collect()
+    assert len({r.batch for r in sent}) == 1
+    # <s> hot, hot hot, and of each text hot w and w </s>.
+    assert sum(len(r["keys"]) // r.width for r in sent) == 42
+    assert sum(int(language_model._widen(r.count_width, r.counts).sum()) for r in sent) == 20 * 3002
+
+
 def test_language_model_without_training(documents):
     assert language_model.score(documents([])).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
