@@ -3,8 +3,9 @@
 A document is the set of its terms: words in lower case without punctuation around them, their beginnings,
 and marks for shouting, hashed. The machine adds a weight per term and, for each pair of terms, the product of their short vectors, so that an
 insult beside the mention of a group can weigh more than both alone. Terms are those that go with the label
-by more than chance (a two-sided z-score over the labelled sample); the others cannot carry weight in
-long texts. It is learnt on a bounded labelled sample by stochastic gradients with per-weight rates.
+by more than chance (a two-sided z-score over the labelled sample), and those that do so among the documents of a term already
+found, however neutral they are elsewhere; the others cannot carry weight in long texts. A pair whose terms are both neutral
+is not found. It is learnt on a bounded labelled sample by stochastic gradients with per-weight rates.
 
 Defined results: a null or empty text has no terms and gets the score of the bias. Repeated rows get equal
 scores, other columns are ignored, an empty table gives an empty table. Without labelled rows every score
@@ -27,6 +28,8 @@ THRESHOLD = 0.3
 FACTORS = 4
 MIN_DOCUMENTS = 5
 MIN_Z = 4.0
+#: For a term beside another one. There are many more pairs than terms, so chance reaches further.
+MIN_PAIR_Z = 8.0
 EPOCHS = 12
 RATE, BIAS_RATE, DECAY = 0.15, 0.03, 1e-4
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -76,14 +79,38 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, np.ones(len(at))
 
 
+def _beyond_chance(toxic: np.ndarray, every: np.ndarray, rate: float, least: float, floor: float) -> np.ndarray:
+    """Where the toxic share differs from the rate by `least` times the spread or more; `floor` bounds the spread from below."""
+    spread = np.maximum(np.sqrt(every * rate * (1 - rate)), floor)
+    return (every >= MIN_DOCUMENTS) & (np.abs(toxic - every * rate) >= least * spread)
+
+
 def _chosen(y: np.ndarray, examples: list) -> np.ndarray:
-    """Terms whose share among toxic documents differs from that among the others beyond chance."""
-    toxic = np.bincount(np.concatenate([a for (a, _), label in zip(examples, y, strict=True) if label] or [np.array([], np.int64)]), minlength=DIMENSIONS)
-    every = np.bincount(np.concatenate([a for a, _ in examples] or [np.array([], np.int64)]), minlength=DIMENSIONS)
+    """Terms whose share among toxic documents differs from that among the others beyond chance, alone or beside such a term."""
+    none = np.array([], np.int64)
+    every = np.bincount(np.concatenate([a for a, _ in examples] or [none]), minlength=DIMENSIONS)
     known = np.flatnonzero(every >= MIN_DOCUMENTS)
-    rate = y.mean() if len(y) else 0.0
-    spread = np.sqrt(every[known] * rate * (1 - rate)) + 1e-9
-    return known[np.abs(toxic[known] - every[known] * rate) >= MIN_Z * spread]
+    at = places(known)
+    rows = [(r := at[a])[r >= 0] for a, _ in examples]
+
+    def count(some: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([rows[k] for k in some] or [none]), minlength=len(known))
+
+    found = _beyond_chance(count(np.flatnonzero(y)), every[known], y.mean() if len(y) else 0.0, MIN_Z, 1e-9)
+    new = np.flatnonzero(found)
+    while len(new):
+        # The documents of each term found last.
+        is_new = np.zeros(len(known), bool)
+        is_new[new] = True
+        held = [r[is_new[r]] for r in rows]
+        terms_held, documents = np.concatenate(held), np.repeat(np.arange(len(rows)), [len(h) for h in held])
+        order = np.argsort(terms_held, kind="stable")
+        ends = np.searchsorted(terms_held[order], new, side="right")
+        before = found.copy()
+        for part in np.split(documents[order], ends[:-1]):
+            found |= _beyond_chance(count(part[y[part] > 0]), count(part), y[part].mean(), MIN_PAIR_Z, 1.0)
+        new = np.flatnonzero(found & ~before)
+    return known[found]
 
 
 def learn(y: np.ndarray, examples: list) -> dict[str, np.ndarray]:

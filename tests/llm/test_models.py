@@ -221,6 +221,25 @@ def test_factorization_machine_learns_pairs():
     assert margin(one, two) > 0 > max(margin(one), margin(two))
 
 
+def test_factorization_machine_keeps_a_neutral_term_that_matters_in_a_pair():
+    """Term 2 has the base rate by itself; beside term 1 it is always toxic, elsewhere never."""
+    draw = np.random.default_rng(2)
+    examples, labels = [], []
+    for k in range(6000):
+        one, two, other = k % 10 == 0, k // 10 % 10 == 0, k // 100 % 10 == 0
+        examples.append((np.array([1] * one + [2] * two + [int(draw.integers(10, 200))], np.int64), np.ones(1 + one + two)))
+        labels.append(float(one if two else other))
+    y = np.array(labels)
+    assert y[[2 in a for a, _ in examples]].mean() == pytest.approx(y.mean())
+    model = toxicity.learn(y, examples)
+    known = model["known"].tolist()
+    assert {1, 2} <= set(known)
+    one, two = known.index(1), known.index(2)
+    vectors = model["vectors"].reshape(-1, toxicity.FACTORS)
+    margin = lambda *r: model["bias"][0] + model["weights"][list(r)].sum() + (vectors[one] @ vectors[two] if len(r) == 2 else 0)
+    assert margin(one, two) > 0 > max(margin(one), margin(two))
+
+
 @pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality_classifier, "quality")])
 def test_held_out_accuracy(llm, module, label):
     sf = "/root/testdata/sf0.1"
