@@ -6,9 +6,12 @@ what is left over is dealt again among the others by weight, until no part is to
 a source divided by its size is its number of epochs: every document is taken the whole number of
 times, and a seeded choice of documents once more for the fraction.
 
-The choice is made per cell of a source: its documents, large ones first and in seeded order within a
-size class, each add the fraction of their size to an account, and a document is taken when the account
-holds half its size. What a cell takes so differs from its target by about its smallest document.
+The choice is made in three parts of a source, by size and then in seeded order. The CELL_ROWS largest documents each add the
+fraction of their size to an account, large size classes first and in seeded order within one, and a document is taken when the account
+holds half its size. What the account is left with is dealt among the other documents: those between are taken at even steps of
+their rank from a seeded start, which is off by about the largest of them, and the CELL_ROWS smallest settle by the account
+what all others left. So a source differs from its target by about its smallest document; where the small ones cannot make up for it,
+by about its largest document past the first CELL_ROWS, or by what the first ones left if there is nothing else.
 
 Defined results: null and empty texts have size 0 and are taken as often as the whole epochs say, which
 adds no words. Null is a source of its own. Repeated rows are documents of their own. If all sizes
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runloom.llm.common import in_cells, ranked, stored, word_count
+from runloom.llm.common import ranked, stored, word_count
 
 WEIGHTS = (1, 2, 3)
 CELL_ROWS = 1000
@@ -68,15 +71,36 @@ def water_level(sources: DataFrame, share: float = 1.0, max_epochs: int = 3) ->
 
 
 def _choose(rows: pd.DataFrame) -> pd.DataFrame:
+    """The account over the rows of one source, from `start` on. `left` is what it holds at the end."""
     rows = rows.assign(size_class=np.frexp(rows["size"].to_numpy(float))[1])
     rows = rows.sort_values(["size_class", "luck", "doc_key", "text_key"], ascending=[False, True, True, True], kind="stable")
-    account, more = 0.0, []
+    account, more = float(rows["start"].iloc[0]), []
     for size, part in zip(rows["size"].tolist(), rows["fraction"].tolist(), strict=True):
         account += size * part
         taken = size > 0 and part > 0 and account >= size / 2
         account -= size * taken
         more.append(int(taken))
-    return rows.assign(times=rows["whole"] + np.array(more, np.int64))[["doc_id", "source", "text_key", "size", "source_size", "target", "times"]]
+    return rows.assign(times=rows["whole"] + np.array(more, np.int64), left=account)[[*_CHOSEN, "left"]]
+
+
+_CHOSEN = ["doc_id", "source", "text_key", "size", "source_size", "target", "times"]
+
+
+def _by_rank(sized: DataFrame) -> DataFrame:
+    """Add `rank` from 0 by falling size within each source, and `_rows` of the source, without one task for a source."""
+    order = [F.col("source"), F.col("size").desc(), F.col("luck"), F.col("doc_key"), F.col("text_key"), F.col("_row_id")]
+    rows = sized.withColumn("_row_id", F.monotonically_increasing_id())
+    # Sorting deals rows out by ranges; an id has its range in the upper 31 bits.
+    placed = stored(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "mix-ranks")
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    counts = placed.groupBy("source", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    source = Window.partitionBy("source")
+    before = source.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        F.col("source").alias("_of"), F.col("_part").alias("_at"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(source).alias("_rows")
+    )
+    joined = placed.join(starts, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_at")))
+    return joined.withColumn("rank", F.col("_start") + F.col("_id") - F.col("_first")).drop("_of", "_at", "_first", "_start", "_id", "_part", "_row_id")
 
 
 def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +123,7 @@ def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, max_epochs: i
         (epochs - F.floor(epochs)).alias("fraction"),
     )
     luck = F.xxhash64(F.lit(seed), "doc_key", "text_key")
-    return sized.withColumn("luck", luck).withColumn("_cut", F.xxhash64("luck")), plan
+    return sized.withColumn("luck", luck), plan
 
 
 def mix(
@@ -110,11 +134,34 @@ def mix(
     text_key is a hash of the id and the text.
     """
     sized, plan = _plan(docs, weights, share, max_epochs, seed)
-    cells = in_cells(sized, "source", "_cut", CELL_ROWS)
-    full = cells.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_cut")
+    with_plan = lambda rows: rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    beside = lambda rows, sums: rows.join(sums, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
+    empty = with_plan(sized.where("size = 0")).withColumn("times", F.col("whole"))
+    full = with_plan(_by_rank(sized.where("size > 0")))
     kind = full.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, source string, text_key long, size long, source_size long, target double, times long"
-    return full.groupBy("source", "cell").applyInPandas(_choose, schema)
+    schema = f"doc_id {kind}, source string, text_key long, size long, source_size long, target double, times long, left double"
+    of = F.col("source").alias("_of")
+
+    def settled(rows: DataFrame) -> DataFrame:
+        return stored(rows.groupBy("source").applyInPandas(_choose, schema), "mix-settled")
+
+    large = settled(full.where(F.col("rank") < CELL_ROWS).withColumn("start", F.lit(0.0)))
+    rest = full.where(F.col("rank") >= CELL_ROWS)
+    over = large.groupBy(of).agg(F.first("left").alias("_left"))
+    words = rest.groupBy(of).agg(F.sum("size").alias("_words"))
+    dealt = stored(over.join(words.withColumnRenamed("_of", "_other"), F.col("_of").eqNullSafe(F.col("_other"))).drop("_other"), "mix-left")
+    share = F.least(F.greatest(F.col("fraction") + F.col("_left") / F.col("_words"), F.lit(0.0)), F.lit(1.0))
+    rest = beside(rest, dealt).withColumn("_share", F.when(F.col("fraction") > 0, share).otherwise(F.lit(0.0)))
+    # Even steps of the rank from a seeded start.
+    first = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 20)) / (1 << 20)
+    step = lambda k: F.floor(k * F.col("_share") + first)
+    is_small = F.col("rank") >= F.col("_rows") - CELL_ROWS
+    between = rest.where(~is_small).withColumn("times", F.col("whole") + step(F.col("rank") + 1) - step(F.col("rank")))
+    took = F.sum(F.col("size") * (F.col("fraction") - (F.col("times") - F.col("whole"))))
+    carried = stored(between.groupBy(of).agg(took.alias("_between")), "mix-between")
+    start = F.col("_left") + F.coalesce("_between", F.lit(0.0))
+    small = settled(beside(rest.where(is_small), carried).withColumn("start", start))
+    return large.select(*_CHOSEN).unionByName(small.select(*_CHOSEN)).unionByName(between.select(*_CHOSEN)).unionByName(empty.select(*_CHOSEN))
 
 
 def score(docs: DataFrame, **options) -> DataFrame:

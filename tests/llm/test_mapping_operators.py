@@ -104,6 +104,18 @@ def test_mix(documents, clash):
     assert sorted(map(str, got)) == sorted(map(str, mixing.score(documents(rows)).collect()))
 
 
+@pytest.mark.parametrize("cell_rows", [25, 100])
+def test_mix_settles_long_documents_over_a_whole_source(documents, monkeypatch, cell_rows):
+    """Every hundredth text has as many words as 400 others; what one lacks, others of the source make up for."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", cell_rows)
+    draw = random.Random(8)
+    rows = [(i, "w " * (4000 if i % 100 == 0 else draw.randrange(5, 15)), "a") for i in range(3000)]
+    got = mixing.score(documents(rows), share=0.45).collect()
+    assert len(got) == len(rows) and all(r.times in (0, 1) for r in got)
+    # 25 rows do not hold all 30 long texts: the others are off by one of them at most.
+    assert abs(sum(r.taken for r in got) - got[0].target) <= (15 if cell_rows == 100 else 4000)
+
+
 def test_repeat(documents):
     rows = EDGE + [(10 + i, f"w{i} " * (i % 9 + 1), "abc"[i % 3]) for i in range(300)]
     docs = documents(rows, clash=True)
