@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runloom.llm import bpe, language_model, mixing, ngram_join, quality_classifier, quality_rules, sharding, topk, toxicity, warc
+from runloom.llm import bpe, conversation_trie, language_model, mixing, ngram_join, quality_classifier, quality_rules, sharding, topk, toxicity, warc
 from runloom.llm.common import ship, stored, table
 from runloom.session import prepare
 
@@ -93,4 +94,15 @@ def op10_language_model(spark, sf_dir):
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_conversation_trie(spark, sf_dir):
+    """All prefixes of the conversations after each took its first turns from the first of its group of five."""
+    turns = stored(conversation_trie.turns_of(table(spark, sf_dir, "conversations")), "turns")
+    rebuilt, lengths = conversation_trie.branched(turns, group=5, head=F.crc32(F.col("conv_id").cast("string")) % 9, most=8)
+    nodes, ends = conversation_trie.trie(stored(rebuilt, "rebuilt"), lengths)
+    return conversation_trie.described(nodes, ends).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens"), "ends_sha256"
+    )
+
+
 __all__ = ["QUERIES"]

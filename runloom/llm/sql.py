@@ -102,3 +102,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        lost_chars
 FROM measured
 """
+
+#: crc32 of a short text: per byte an exclusive or, then eight shifts (the entries -1).
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR ch IN string_split({text}, '')])),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295::BIGINT)"""
+
+
+def crc32(text: str) -> str:
+    return _CRC.format(text=text)
+
+
+ORACLE["op11_conversation_trie"] = f"""
+WITH own AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+    FROM conversations WHERE conv_id IS NOT NULL
+), plan AS (
+    SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, any_value({crc32("conv_id::VARCHAR")}) % 9 AS h FROM own GROUP BY conv_id
+), rebuilt AS (
+    SELECT p.conv_id, o.i AS place, o.role, o.text FROM plan p JOIN own o ON o.conv_id = p.base AND o.i <= p.h
+    UNION ALL
+    SELECT p.conv_id, o.i - p.h + least(p.h, coalesce(b.n, 0)), o.role, o.text
+    FROM plan p JOIN own o ON o.conv_id = p.conv_id AND o.i > p.h LEFT JOIN plan b ON b.conv_id = p.base
+), lists AS (
+    SELECT p.conv_id, coalesce(list(sha256(length(role) || ':' || role || text) ORDER BY place) FILTER (place IS NOT NULL), []) AS t,
+           list(octet_length(encode(text)) ORDER BY place) FILTER (place IS NOT NULL) AS bytes
+    FROM plan p LEFT JOIN rebuilt r USING (conv_id) GROUP BY p.conv_id
+), prefixes AS (
+    SELECT conv_id, d, coalesce(array_to_string(t[1:d], ''), '') AS path, coalesce(bytes[d], 0) AS bytes, d = len(t) AS is_end
+    FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM lists)
+), nodes AS (
+    SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+    FROM prefixes GROUP BY path, d
+), children AS (SELECT substr(path, 1, 64 * (d - 1)) AS up, count(*) AS n FROM nodes WHERE d > 0 GROUP BY up),
+full_nodes AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.up = n.path),
+subtrees AS (
+    SELECT substr(path, 1, 64 * e) AS top, sum((n_convs - 1) * bytes) AS saved, count(*) FILTER (n_children = 0) AS leaves
+    FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM full_nodes) GROUP BY top
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN subtrees s ON s.top = n.path LEFT JOIN nodes p ON n.d > 0 AND p.path = substr(n.path, 1, 64 * (n.d - 1))
+"""
