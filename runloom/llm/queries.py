@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import bpe, conversation_trie, language_model, mixing, ngram_join, quality_classifier, quality_rules, sharding, topk, toxicity, warc
-from runloom.llm.common import ship, stored, table
+from runloom.llm import bpe, conversation_trie, language_model, merkle_manifest, mixing, ngram_join, quality_classifier, quality_rules, sharding, topk, toxicity, warc
+from runloom.llm.common import crc_rest, ship, stored, table
 from runloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,4 +105,20 @@ def op11_conversation_trie(spark, sf_dir):
     )
 
 
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    """The manifest of all documents by source, and what the proofs say of texts of which a fifth was lower-cased afterwards."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = merkle_manifest.leaf([*fields, F.translate("text", upper, upper.lower())])
+    rows = docs.select(
+        merkle_manifest.group_key(F.col("source")).alias("g"), F.col("doc_id").cast("long").alias("id"),
+        merkle_manifest.leaf([*fields, F.col("text")]).alias("leaf"), F.when(crc_rest(F.col("doc_id"), 5) == 0, tampered).alias("claimed"),
+    )
+    rows = stored(rows.withColumn("claimed", F.coalesce("claimed", "leaf")), "leaves")
+    proofs = merkle_manifest.manifest(rows, {"claimed": "binary"})
+    return merkle_manifest.verified(proofs, "claimed").select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 __all__ = ["QUERIES"]

@@ -143,3 +143,58 @@ subtrees AS (
 SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
 FROM full_nodes n JOIN subtrees s ON s.top = n.path LEFT JOIN nodes p ON n.d > 0 AND p.path = substr(n.path, 1, 64 * (n.d - 1))
 """
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(({value})::VARCHAR)) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+def _levels(prefix: str, count: int) -> str:
+    """CTEs {prefix}0..{prefix}{count}: the nodes of each level with the digests before and after them in their run."""
+    parts = []
+    for k in range(count + 1):
+        if k:
+            parts.append(f"""{prefix}{k}_bare AS (
+    SELECT g, i // 16 AS i, CASE WHEN n > 1 THEN (n + 15) // 16 ELSE 1 END AS n,
+           CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h
+    FROM {prefix}{k - 1}_bare o GROUP BY g, o.i // 16, n)""")
+        parts.append(f"""{prefix}{k} AS (
+    SELECT *, coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+           coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+    FROM {prefix}{k}_bare)""")
+    return ",\n".join(parts)
+
+
+def _climb(start: str, source: str, prefix: str, count: int, place: str) -> str:
+    """CTEs {start}0..{start}{count}: `node` and `proof` of the rows of `source`, level by level."""
+    parts = [f"{start}0 AS (SELECT * FROM {source})"]
+    for k in range(count):
+        parts.append(f"""{start}{k + 1} AS (
+    SELECT s.* REPLACE (CASE WHEN l.n > 1 THEN sha256(l.before || s.node || l.after) ELSE s.node END AS node,
+                        s.proof || CASE WHEN l.n > 1 THEN l.before || l.after ELSE '' END AS proof)
+    FROM {start}{k} s JOIN {prefix}{k} l ON l.g = s.{"g" if prefix == "l" else "everything"} AND l.i = s.{place} // {16**k})""")
+    return ",\n".join(parts)
+
+
+#: Levels of the largest group and of the groups: up to 16 ** 6 rows and 16 ** 3 groups.
+ORACLE["op12_merkle_manifest"] = f"""
+WITH rows AS (
+    SELECT doc_id, coalesce('=' || source, '') AS g, {_leaf("text")} AS leaf,
+           CASE WHEN {crc32("doc_id::VARCHAR")} % 5 = 0
+                THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS claimed
+    FROM documents
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM rows
+), l0_bare AS (SELECT g, i, n, leaf AS h FROM placed),
+{_levels("l", 6)},
+t0_bare AS (SELECT '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n, h, g AS name FROM l6),
+{_levels("t", 3)},
+starts AS (SELECT p.*, p.claimed AS node, '' AS proof, '' AS everything, t.i AS group_at, t.h AS subroot FROM placed p JOIN t0_bare t ON t.name = p.g),
+{_climb("a", "starts", "l", 6, "i")},
+{_climb("b", "a6", "t", 3, "group_at")}
+SELECT doc_id, leaf, subroot, t3.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = t3.h AS verified FROM b3, t3
+"""
