@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import bpe, conversation_trie, language_model, merkle_manifest, mixing, ngram_join, quality_classifier, quality_rules, sharding, topk, toxicity, warc
+from runloom.llm import (
+    bpe,
+    conversation_trie,
+    language_id,
+    language_model,
+    merkle_manifest,
+    mixing,
+    ngram_join,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    topk,
+    toxicity,
+    warc,
+)
 from runloom.llm.common import crc_rest, ship, stored, table
 from runloom.session import prepare
 
@@ -121,4 +135,10 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle_manifest.verified(proofs, "claimed").select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+@query
+def op13_language_id(spark, sf_dir):
+    """The language of every document."""
+    return language_id.score(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["QUERIES"]
