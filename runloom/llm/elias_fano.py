@@ -77,15 +77,19 @@ class EliasFano:
         low = values & np.uint64((1 << self.low_bits) - 1)
         first, last = self.bucket((values >> np.uint64(self.low_bits)).astype(np.int64))
         at, last = np.maximum(first, start), np.minimum(last, end)
+        # The low bits are sorted within a bucket: halve until the first one that is not smaller is left.
+        below, left = np.maximum(last - at, 0), np.flatnonzero(at < last)
+        while len(left):
+            half = below[left] >> 1
+            middle = at[left] + half
+            smaller = self.low(middle) < low[left]
+            at[left] = np.where(smaller, middle + 1, at[left])
+            below[left] = np.where(smaller, below[left] - half - 1, half)
+            left = left[below[left] > 0]
+        inside = np.flatnonzero(at < last)
+        hit = inside[self.low(at[inside]) == low[inside]]
         found = np.full(len(values), -1, np.int64)
-        active = np.flatnonzero(at < last)
-        while len(active):
-            here = self.low(at[active])
-            same = here == low[active]
-            found[active[same]] = at[active[same]]
-            active = active[here < low[active]]
-            at[active] += 1
-            active = active[at[active] < last[active]]
+        found[hit] = at[hit]
         return found
 
 

@@ -153,6 +153,20 @@ def test_elias_fano(n, universe):
         assert made.find(asked, start, end).tolist() == [p if len(values) // 3 <= p < end[0] else -1 for p in want]
 
 
+def test_a_frequent_context_is_searched_by_halves(monkeypatch):
+    # One context with very many successors beside very many rare ones: all its values fall into few buckets.
+    values = np.concatenate([np.arange(40_000) * 3, (np.arange(1, 40_000) << 24)]).astype(np.uint64)
+    made, asked = elias_fano.EliasFano(elias_fano.encode(values, 1 << 40)), []
+    low = made.low
+    monkeypatch.setattr(made, "low", lambda at: asked.append(len(at)) or low(at))
+    n = np.full(len(values), len(values), np.int64)
+    assert (made.find(values, np.zeros_like(n), n) == np.arange(len(values))).all()
+    missing = made.find(values + np.uint64(1), np.zeros_like(n), n)
+    assert (missing == -1).all()
+    assert sum(asked) <= 2 * len(values) * 18
+
+
+
 def expected(rows, prior):
     texts = [(i, (t or "").encode().lower().split() + [None]) for i, t, *_ in rows]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
