@@ -17,15 +17,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runloom.session import scratch_dir
+from runloom.session import BYTES_PER_PARTITION, input_bytes, scratch_dir, sized_for
 
 #: Words are what lies between these characters. bytes.split() of Python cuts at the same six.
 BLANKS = r"[\x20\x09-\x0D]+"
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 150_000
+SHUFFLE_BYTES = 1 << 24
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), kept for words met lately."""
+    """64-bit hashes of words (bytes), kept for words met lately. Each task makes its own, so that they end with it."""
 
     def __init__(self, normal=None):
         super().__init__()
@@ -71,7 +72,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder and read again, which cuts the lineage."""
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return sized(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
+def sized(df: DataFrame, size: int | None = None) -> DataFrame:
+    """The same frame; shuffles from now on start with a partition per 16 MiB of it, beyond 1 TiB per 128 MiB.
+
+    Without a size that of its files counts.
+    """
+    size = input_bytes(df) if size is None else size
+    return sized_for(df, min(size // SHUFFLE_BYTES, (1 << 16) + size // BYTES_PER_PARTITION) * BYTES_PER_PARTITION)
 
 
 def word_count(text: Column) -> Column:
@@ -128,10 +138,10 @@ def _package() -> str:
 def ship(spark: SparkSession) -> SparkSession:
     """Let Spark hand this package to the Python workers, and whole texts to them in small batches."""
     spark.sparkContext.addPyFile(_package())
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return sized(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.common import WordHashes, crc_rest, lower_words, stored
+from runloom.llm.common import WordHashes, crc_rest, lower_words, sized, stored
 from runloom.llm.elias_fano import EliasFano, encode, from_buffer, nested, to_bytes
 from runloom.llm.shared_files import SharedFolder
 from runloom.session import scratch_dir
@@ -41,13 +41,10 @@ ADDED = 0.1
 #: Pairs of a block, the least number of blocks, and tokens that a batch of texts sends at once.
 BLOCK_PAIRS, MIN_BLOCKS, BATCH_TOKENS = 2_000_000, 64, 1_000_000
 
-_hashes = WordHashes()
-#: No word is empty, so this hash is free for the end of a text.
-END = _hashes[b""]
 
-
-def token_hashes(text: str | None) -> np.ndarray:
-    return _hashes.of([*lower_words(text), b""])
+def token_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """Hashes of the words and of the end, which is the empty word, as no other word is."""
+    return hashes.of([*lower_words(text), b""])
 
 
 # --- Level 1 ----------------------------------------------------------------------
@@ -57,7 +54,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     """hash, n over all tokens of the column `text`."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
+        held, total, words = [], 0, WordHashes()
 
         def send() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -65,7 +62,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                held.append(token_hashes(text.as_py()))
+                held.append(token_hashes(text.as_py(), words))
                 total += len(held[-1])
                 if total >= 4 * BATCH_TOKENS:
                     yield send()
@@ -265,12 +262,12 @@ def _deal(texts: DataFrame, load, block_pairs: int, prior: float) -> DataFrame:
     """texts: doc_id, held_out, text."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rows, total, sent = load(), [], 0, 0
+        words, hashes, rows, total, sent = load(), WordHashes(), [], 0, 0
         # Batches are numbered apart by task: up to 2^24 of each.
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
             for doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append((doc_id, held, token_hashes(text)))
+                rows.append((doc_id, held, token_hashes(text, hashes)))
                 total += len(rows[-1][2])
                 if total >= BATCH_TOKENS:
                     yield _batch(rows, number + sent, words, block_pairs, prior)
@@ -342,6 +339,7 @@ def score(docs: DataFrame, prior: float = PRIOR, folder: str | None = None) -> D
     def load() -> Vocabulary:
         return vocabulary(folder, pieces, n_texts)
 
+    sized(texts, 8 * (total + n_texts))
     sent = _deal(texts, load, block_pairs, prior)
     answered = sent.groupBy("block").applyInArrow(_answer(load, folder, block_pairs, prior), _ANSWERED)
     scored = answered.groupBy("batch").applyInArrow(_assemble, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.common import WordHashes, lower_words, mixed, n_grams, stored
+from runloom.llm.common import WordHashes, lower_words, mixed, n_grams, sized, stored
 from runloom.llm.components import components
 
 NGRAM = 5
@@ -40,18 +40,16 @@ PERCENT = 75
 BLOCK_HASHES, MIN_BLOCKS = 1_000_000, 64
 SIGNATURE_WORDS = 16
 STAR_ROUNDS, STAR_SEEDS = 3, 9
-_SENT_HASHES = 1_000_000
+_SENT_HASHES = 500_000
 _KEY = np.dtype("V16")
 
-_hashes = WordHashes()
 
-
-def shingles(text: str | None, n: int = NGRAM) -> np.ndarray:
+def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of a text's word n-grams."""
     words = lower_words(text)
     if not words:
         return np.array([], np.uint64)
-    return np.unique(n_grams(_hashes.of(words), min(n, len(words))))
+    return np.unique(n_grams(hashes.of(words), min(n, len(words))))
 
 
 def class_key(found: np.ndarray) -> bytes:
@@ -62,8 +60,9 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, text_key (a hash of the text), n_shingles, class (null for an empty set)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            found = [shingles(t.as_py(), n) for t in batch.column(2)]
+            found = [shingles(t.as_py(), n, hashes) for t in batch.column(2)]
             sizes, keys = [len(f) for f in found], [class_key(f) if len(f) else None for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "text_key", "n_shingles", "class"])
 
@@ -107,7 +106,7 @@ def _dealt(docs: DataFrame, n: int, blocks: int) -> DataFrame:
     """The hashes of each class in packed rows by block; 48 bits of a hash travel, the block implies others."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        words, seen = WordHashes(), set()
         held: list[np.ndarray] = []
         keys: list[bytes] = []
 
@@ -120,12 +119,12 @@ def _dealt(docs: DataFrame, n: int, blocks: int) -> DataFrame:
         total = 0
         for batch in batches:
             for text in batch.column(0):
-                found = shingles(text.as_py(), n)
+                found = shingles(text.as_py(), n, words)
                 key = class_key(found)
                 # Copies within a task are sent once; the counts are of classes, so others do no harm.
                 if not len(found) or key in seen:
                     continue
-                if len(seen) >= 1_000_000:
+                if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(key)
                 held.append(found)
@@ -200,6 +199,7 @@ def _prefixes(percent: int):
 def candidates(docs: DataFrame, total: int, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """class, n, shared, sig, prefix, least of the classes that share a prefix hash with another class."""
     blocks = max(MIN_BLOCKS, -(-total // BLOCK_HASHES))
+    sized(docs, 8 * total)
     counted = _dealt(docs, n, blocks).groupBy("block").applyInArrow(_counted(blocks), "part long, keys binary, sizes binary, counts binary, hashes binary, steps binary")
     made = counted.groupBy("part").applyInArrow(_prefixes(percent), "class binary, n long, shared binary, sig array<long>, prefix array<long>, least array<long>")
     return stored(made, "join-sets")

@@ -27,24 +27,28 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
 REPEAT = np.uint64(0x5265706561746564)
 
-_words = WordHashes()
-_ends = WordHashes(lambda word: b"end" + word[len(word.rstrip(PUNCTUATION)) :])
-_NO_END = _ends[b""]
-
-
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    words = lower_words(text)
-    if not words:
-        return np.array([], np.int64), np.array([])
-    raw = _words.of(words)
-    repeated = np.zeros(len(raw), bool)
-    for back in (1, 2, 3):
-        repeated[back:] |= raw[back:] == raw[:-back]
-    marked = np.where(repeated, REPEAT, raw)
-    ends = _ends.of(words)
-    every = np.concatenate([n_grams(marked, 1), n_grams(marked, 2), n_grams(ends[ends != np.uint64(_NO_END)], 1)])
-    at, counts = np.unique(every % np.uint64(DIMENSIONS), return_counts=True)
-    return at.astype(np.int64), np.sqrt(counts / len(words))
+
+class Features:
+    """The features of texts; hashes of words are kept as long as this object is."""
+
+    def __init__(self):
+        self.words = WordHashes()
+        self.ends = WordHashes(lambda word: b"end" + word[len(word.rstrip(PUNCTUATION)) :])
+        self.no_end = np.uint64(self.ends[b""])
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words = lower_words(text)
+        if not words:
+            return np.array([], np.int64), np.array([])
+        raw = self.words.of(words)
+        repeated = np.zeros(len(raw), bool)
+        for back in (1, 2, 3):
+            repeated[back:] |= raw[back:] == raw[:-back]
+        marked = np.where(repeated, REPEAT, raw)
+        ends = self.ends.of(words)
+        every = np.concatenate([n_grams(marked, 1), n_grams(marked, 2), n_grams(ends[ends != self.no_end], 1)])
+        at, counts = np.unique(every % np.uint64(DIMENSIONS), return_counts=True)
+        return at.astype(np.int64), np.sqrt(counts / len(words))
 
 
 def learn(y: np.ndarray, examples: list) -> dict[str, np.ndarray]:
@@ -78,6 +82,7 @@ def learn(y: np.ndarray, examples: list) -> dict[str, np.ndarray]:
 def judge(model: dict[str, np.ndarray]):
     dense, bias = np.zeros(DIMENSIONS), float(model["bias"][0])
     dense[model["known"]] = model["weights"]
+    features = Features()
 
     def score(text: str | None) -> float:
         at, values = features(text)
@@ -91,7 +96,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
-    model = fit(labelled_sample(docs, labels, "quality", ~held_out(F.col("doc_id")), sample_rows), features, learn)
+    model = fit(labelled_sample(docs, labels, "quality", ~held_out(F.col("doc_id")), sample_rows), Features, learn)
     return model or learn(np.array([]), [])
 
 

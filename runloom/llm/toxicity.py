@@ -36,6 +36,8 @@ PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Lengths in bytes of the beginnings of words that are terms as well; inflected forms of an insult share them.
 STEMS = (4, 5, 6, 7)
+#: Words whose terms a task keeps; a word with its terms takes about 500 bytes.
+CACHED_WORDS = 60_000
 
 
 def hashed(term: bytes) -> int:
@@ -63,20 +65,22 @@ class _ByWord(dict):
         self.function = function
 
     def __missing__(self, word: bytes):
-        if len(self) >= 400_000:
+        if len(self) >= CACHED_WORDS:
             self.clear()
         value = self[word] = self.function(word)
         return value
 
 
-_terms = _ByWord(word_terms)
+class Terms:
+    """The distinct hashed terms of texts, each with the value 1; terms of words are kept as long as this object is."""
 
+    def __init__(self):
+        self.known = _ByWord(word_terms)
 
-def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashed terms, each with the value 1."""
-    found = {*chain.from_iterable(map(_terms.__getitem__, set(lower_words(text)))), *shouted(text or "")}
-    at = np.array(sorted(found), np.int64)
-    return at, np.ones(len(at))
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        found = {*chain.from_iterable(map(self.known.__getitem__, set(lower_words(text)))), *shouted(text or "")}
+        at = np.array(sorted(found), np.int64)
+        return at, np.ones(len(at))
 
 
 def _beyond_chance(toxic: np.ndarray, every: np.ndarray, rate: float, least: float, floor: float) -> np.ndarray:
@@ -163,7 +167,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
-    model = fit(labelled_sample(docs, labels, "toxic", ~held_out(F.col("doc_id")), sample_rows), terms, learn)
+    model = fit(labelled_sample(docs, labels, "toxic", ~held_out(F.col("doc_id")), sample_rows), Terms, learn)
     return model or learn(np.array([]), [])
 
 

@@ -18,7 +18,8 @@ SAMPLE_ROWS = 12_000
 DIMENSIONS = 1 << 22
 _STEPS = 1 << 30
 
-Features = Callable[[str | None], tuple[np.ndarray, np.ndarray]]
+#: Called without arguments in each task, this makes the function from a text to its features.
+Features = Callable[[], Callable[[str | None], tuple[np.ndarray, np.ndarray]]]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS, seed: int = 11) -> DataFrame:
@@ -39,8 +40,9 @@ def fit(sample: DataFrame, features: Features, learner: Callable[[np.ndarray, li
     """Features are made in parallel; the bounded sample is then learnt in one task, in an order that the ids fix."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = features()
         for batch in batches:
-            made = [features(t) for t in batch.column(1).to_pylist()]
+            made = [of(t) for t in batch.column(1).to_pylist()]
             at = pa.array([i.astype("<u4").tobytes() for i, _ in made], pa.binary())
             values = pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), at, values], names=["key", "label", "at", "val"])
