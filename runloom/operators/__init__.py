@@ -41,8 +41,8 @@ from runloom.operators.params import (
     unknown_ui_args,
 )
 from runloom.operators.ranking import first_wins, latest_by_key, stage_durations
-from runloom.operators.retention import apply_retention, retention_plan
-from runloom.operators.sinks import append_run, replace_prefix, run_id, write_artifacts, write_output
+from runloom.operators.retention import apply_retention, finish_retention, retention_plan
+from runloom.operators.sinks import append_run, read_ledger, replace_prefix, run_id, write_artifacts, write_ledger, write_output
 
 __all__ = [
     "append_run",
@@ -67,6 +67,7 @@ __all__ = [
     "fill_defaults",
     "filter_ids",
     "find_duplicates",
+    "finish_retention",
     "first_wins",
     "flatten_params",
     "group_digest",
@@ -85,6 +86,7 @@ __all__ = [
     "retention_plan",
     "run_id",
     "rank_recent",
+    "read_ledger",
     "run_status",
     "select_ui_args",
     "shape_columns",
@@ -93,5 +95,6 @@ __all__ = [
     "stage_durations",
     "unknown_ui_args",
     "write_artifacts",
+    "write_ledger",
     "write_output",
 ]

@@ -7,16 +7,20 @@ from datetime import UTC, datetime
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runloom.constants import RUN_TYPES
 from runloom.functions.times import epoch_seconds, folder_stamp
+from runloom.operators.sinks import LEDGER_PARTITIONS, MONTH_DIGITS, read_ledger, write_ledger
+from runloom.session import exists, remove
 
 GROUP = "ptype"
 EXACT = "decimal(38,0)"
 # Start times are first summed in slots of 4096 seconds.
 SLOT_BITS = 12
+# Where a trimming keeps what it has decided; readers skip names with an underscore.
+PENDING = "_retention"
 
 
 def retention_plan(runs: DataFrame, limit_bytes: int) -> DataFrame:
@@ -37,7 +41,7 @@ def retention_plan(runs: DataFrame, limit_bytes: int) -> DataFrame:
     without any shuffle.
     """
     timed = _timed(runs)
-    return timed.filter(_gone(timed, limit_bytes)).select(GROUP, "folder", "size_bytes")
+    return timed.filter(_gone(_last_runs(timed, limit_bytes))).select(GROUP, "folder", "size_bytes")
 
 
 def _timed(runs: DataFrame) -> DataFrame:
@@ -47,22 +51,25 @@ def _timed(runs: DataFrame) -> DataFrame:
     )
 
 
-def _gone(timed: DataFrame, limit_bytes: int) -> Column:
-    """The condition of a run to delete, on its type, folder and ``_second``."""
+def _last_runs(timed: DataFrame, limit_bytes: int) -> dict[str, tuple[int, str, str]]:
+    """Per type the last run to go, as its second, the hash of its folder and its folder."""
     spot = F.sha2("folder", 256)
     border = _first_border(timed.withColumn("_level", F.shiftright("_second", SLOT_BITS)), limit_bytes)
     slots = {p: (row["_level"] << SLOT_BITS, (row["_level"] + 1) << SLOT_BITS) for p, row in border.items()}
     border = _next_border(timed.filter(_within(slots)), F.col("_second"), border)
-    last_second = {p: row["_level"] for p, row in border.items()}
-    tied = timed.filter(_within({p: (at, at + 1) for p, at in last_second.items()}))
+    seconds = {p: row["_level"] for p, row in border.items()}
+    tied = timed.filter(_within({p: (at, at + 1) for p, at in seconds.items()}))
     border = _next_border(tied, F.substring(spot, 1, 4), border)
     bucket = _per_type({p: F.substring(spot, 1, 4) == row["_level"] for p, row in border.items()})
     border = _next_border(tied.filter(bucket), F.struct(spot.alias("spot"), "folder"), border)
+    return {p: (seconds[p], row["_level"]["spot"], row["_level"]["folder"]) for p, row in border.items()}
+
 
-    place = {p: F.struct(F.lit(row["_level"]["spot"]), F.lit(row["_level"]["folder"])) for p, row in border.items()}
-    gone = _per_type({p: (F.col("_second") < at) | (F.struct(spot, "folder") <= place[p]) for p, at in last_second.items()})
-    up_to_last = _within({p: (None, at + 1) for p, at in last_second.items()})
-    return up_to_last & gone
+def _gone(last: Mapping[str, tuple[int, str, str]]) -> Column:
+    """The condition of a run to delete, on its type, folder and ``_second``."""
+    place = F.struct(F.sha2("folder", 256), "folder")
+    up_to = {p: (F.col("_second") < at) | (place <= F.struct(F.lit(spot), F.lit(folder))) for p, (at, spot, folder) in last.items()}
+    return _within({p: (None, at + 1) for p, (at, _, _) in last.items()}) & _per_type(up_to)
 
 
 def _per_type(conditions: Mapping[str, Column]) -> Column:
@@ -137,15 +144,44 @@ def _newest_below_share(sums: DataFrame) -> dict[str, Row]:
     return {row[GROUP]: row for row in newest.collect()}
 
 
-def apply_retention(ledger: DataFrame, limit_bytes: int, target: str, version: int) -> str:
-    """Write the ledger without the runs that retention deletes as a new version and return its path.
+def apply_retention(spark: SparkSession, ledger: str, limit_bytes: int) -> str:
+    """Trim the ledger at this path and return the path. It is the ledger that ``append_run`` writes, with ``size_bytes``.
 
-    The runs to delete are a condition on a row of the ledger, so the ledger is neither joined nor
-    shuffled by key.
+    Newer partitions are not touched. Those whose runs all go are removed, and those that keep some, as the
+    border month of a run type does, are written anew in the same layout, by Spark's dynamic partition overwrite.
+
+    What stays of the latter is first written beside the ledger, and then, as its last step, which partitions go.
+    A call that stops before that has changed nothing; one that stops later is finished by the next call. Until then a
+    partition may be missing, so runs are appended and read between calls, not during one.
     """
-    path = f"{target}/version={version}"
-    second = epoch_seconds(folder_stamp(F.col("folder")))
-    gone = F.col(GROUP).isin(*RUN_TYPES) & _gone(_timed(ledger), limit_bytes)
-    kept = ledger.withColumn("_second", second).filter(~F.coalesce(gone, F.lit(False))).drop("_second")
-    kept.write.mode("overwrite").partitionBy(GROUP).parquet(path)
-    return path
+    finish_retention(spark, ledger)
+    runs = read_ledger(spark, ledger)
+    timed = _timed(runs)
+    last = _last_runs(timed, limit_bytes)
+    if not last:
+        return ledger
+    newest = _stamp(max(at for at, _, _ in last.values()))[:MONTH_DIGITS]
+    old = runs.filter(F.col(GROUP).isin(*last) & (F.col("month") <= newest)).withColumn("_second", epoch_seconds(folder_stamp(F.col("folder"))))
+    gone = F.coalesce(_gone(last), F.lit(False))
+    counts = old.groupBy(*LEDGER_PARTITIONS).agg(F.count_if(gone).alias("gone"), F.count_if(~gone).alias("kept")).filter("gone > 0")
+    # One row per month and run type.
+    touched = [(row["ptype"], row["month"], row["kept"]) for row in counts.collect()]
+    mixed = [F.struct(F.lit(p), F.lit(month)) for p, month, kept in touched if kept]
+    kept = old.filter(F.struct(*LEDGER_PARTITIONS).isin(*mixed) & ~gone) if mixed else old.limit(0)
+    pending = f"{ledger}/{PENDING}"
+    write_ledger(kept.drop("_second"), f"{pending}/rows", "overwrite")
+    removed = [(p, month) for p, month, n in touched if not n]
+    spark.createDataFrame(removed, "ptype string, month string").coalesce(1).write.mode("overwrite").json(f"{pending}/removed")
+    return finish_retention(spark, ledger)
+
+
+def finish_retention(spark: SparkSession, ledger: str) -> str:
+    """Carry out a trimming that was decided, if there is one; each part of it may be done again."""
+    pending = f"{ledger}/{PENDING}"
+    if exists(spark, f"{pending}/removed/_SUCCESS"):
+        rows = read_ledger(spark, f"{pending}/rows", like=ledger)
+        write_ledger(rows, ledger, "overwrite")
+        for row in spark.read.schema("ptype string, month string").json(f"{pending}/removed").collect():
+            remove(spark, f"{ledger}/ptype={row['ptype']}/month={row['month']}")
+    remove(spark, pending)
+    return ledger

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from runloom.constants import ARTIFACT_AREAS
 
 LEDGER_PARTITIONS = ("ptype", "month")
+# A folder begins with its start time, so its first digits are the month.
+MONTH_DIGITS = 6
 PREFIX_COLUMNS = ("name", "version", "pipeline", "area")
 
 
@@ -62,12 +65,27 @@ def append_run(records: DataFrame, ledger: str, number: Column | None = None) ->
     rows = records.withColumn("id", run_id(F.col("start_time"), drawn, F.col("name"))).withColumn(
         "folder", F.concat("id", F.when(F.col("failed"), F.lit("-error")).otherwise(F.lit("")))
     )
-    rows = rows.withColumn("month", F.substring("folder", 1, 6))
-    ordered = balanced(rows, LEDGER_PARTITIONS).sortWithinPartitions(*LEDGER_PARTITIONS, "folder")
-    ordered.write.mode("append").partitionBy(*LEDGER_PARTITIONS).parquet(ledger)
+    return write_ledger(rows, ledger, "append")
+
+
+def write_ledger(rows: DataFrame, ledger: str, mode: str) -> str:
+    """Write runs in the layout of the ledger; with ``overwrite`` only the partitions that the rows hold are replaced."""
+    placed = rows.withColumn("month", F.substring("folder", 1, MONTH_DIGITS))
+    ordered = balanced(placed, LEDGER_PARTITIONS).sortWithinPartitions(*LEDGER_PARTITIONS, "folder")
+    ordered.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*LEDGER_PARTITIONS).parquet(ledger)
     return ledger
 
 
+def read_ledger(spark: SparkSession, ledger: str, like: str | None = None) -> DataFrame:
+    """The runs of a ledger. The month stays text, whatever it looks like.
+
+    With ``like`` the columns are those of another ledger, for one that may have no rows.
+    """
+    fields = spark.read.parquet(like or ledger).schema.fields
+    named = [StructField(f.name, StringType()) if f.name in LEDGER_PARTITIONS else f for f in fields]
+    return spark.read.schema(StructType(named)).parquet(ledger)
+
+
 def replace_prefix(df: DataFrame, root: str, keep: bool = False, columns: Sequence[str] = PREFIX_COLUMNS) -> str:
     """Replace the published content below the prefixes that ``df`` holds.
 

@@ -97,3 +97,20 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
         root = _local_root(context.applicationId)
     return os.path.join(root, f"{label}-{uuid.uuid4().hex[:12]}")
+
+
+def _path(spark: SparkSession, path: str):
+    """A path and its file system as Spark's own readers find them."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found, store = _path(spark, path)
+    return store.exists(found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path with all below it; nothing happens if it is not there."""
+    found, store = _path(spark, path)
+    store.delete(found, True)

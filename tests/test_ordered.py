@@ -1,12 +1,17 @@
 import hashlib
+import os
 import random
 from collections import defaultdict
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from runloom import operators as op
+from runloom.operators import retention
 from runloom.operators.logs import SERVICE_CLASSES
+from runloom.operators.sinks import write_ledger
+from runloom.session import remove
 from runloom.sources import parse_log
 
 
@@ -70,12 +75,99 @@ def test_retention_is_a_pushed_filter(spark, tmp_path):
     assert "LessThan(folder,20240102T000001Z)" in plan.split("PushedFilters: [")[1].split("]")[0]
 
 
-def test_apply_retention_writes_a_version(spark, tmp_path):
-    data = [("train", f"2024010{i}T000000Z-00000001-p", 10) for i in range(1, 5)]
-    ledger = spark.createDataFrame(data, "ptype string, folder string, size_bytes bigint")
-    path = op.apply_retention(ledger, 20, str(tmp_path), 3)
-    assert path.endswith("version=3")
-    assert rows(spark.read.parquet(path), "folder") == [(data[2][1],), (data[3][1],)]
+def appended(spark, ledger, stamps, size=10):
+    """Runs of (type, start time), appended to the ledger; returns what retention sees of them."""
+    schema = "ptype string, start_time string, name string, failed boolean, size_bytes bigint, n bigint"
+    records = spark.createDataFrame([(p, stamp, "p", False, size, i) for i, (p, stamp) in enumerate(stamps)], schema)
+    op.append_run(records, ledger, number=records["n"])
+    return [(p, f"{stamp}-{i:08}-p", size) for i, (p, stamp) in enumerate(stamps)]
+
+
+def files_of(ledger):
+    found = {}
+    for folder, _, names in os.walk(ledger):
+        found |= {f"{folder}/{n}": os.stat(f"{folder}/{n}").st_ino for n in names if n.endswith(".parquet")}
+    return found
+
+
+def ledger_rows(spark, ledger):
+    return sorted(rows(op.read_ledger(spark, ledger), "ptype", "folder", "size_bytes"))
+
+
+def without(data, gone):
+    return sorted(set(data) - set(gone))
+
+
+def months(first, count):
+    return [(p, f"2024{first + k:02}0{d}T000000Z") for p in ("train", "inference") for k in range(count) for d in range(1, 4)]
+
+
+def test_append_and_trim_in_turn(spark, tmp_path):
+    ledger = f"{tmp_path}/ledger"
+    held = appended(spark, ledger, [*months(1, 4), ("train", "202401-odd")])
+    for first, limit in ((5, 150), (7, 95)):
+        before = files_of(ledger)
+        gone = by_rule(held, limit)
+        op.apply_retention(spark, ledger, limit)
+        held = without(held, gone)
+        assert ledger_rows(spark, ledger) == held
+        after = files_of(ledger)
+        # Only months that keep some of their runs are written anew; newer ones keep their files.
+        partly = {(p, f[:6]) for p, f, _ in gone} & {(p, f[:6]) for p, f, _ in held}
+        anew = {tuple(part.split("=")[1] for part in name.split("/")[-3:-1]) for name in set(after) - set(before)}
+        assert anew == partly and gone
+        assert {name: inode for name, inode in before.items() if name in after} == {n: i for n, i in after.items() if n in before}
+        held = sorted(held + appended(spark, ledger, months(first, 2)))
+        assert ledger_rows(spark, ledger) == held
+    op.apply_retention(spark, ledger, 10**6)
+    assert ledger_rows(spark, ledger) == held
+
+
+def by_rule(data, limit):
+    """The runs to go; names of no valid time count but stay."""
+    size, gone = defaultdict(int), []
+    for p, _, n in data:
+        size[p] += n
+    total = sum(size.values())
+    for p in size:
+        older = 0
+        for f, n in sorted((f, n) for q, f, n in data if q == p and "odd" not in f):
+            if total <= limit or older * total >= size[p] * (total - limit):
+                break
+            gone.append((p, f, n))
+            older += n
+    return sorted(gone)
+
+
+@pytest.mark.parametrize("stop", ["decide", "overwrite", "remove"])
+def test_a_stopped_trimming_ends_with_the_same_rows(spark, tmp_path, monkeypatch, stop):
+    ledger = f"{tmp_path}/ledger"
+    held = appended(spark, ledger, months(1, 4))
+    gone = by_rule(held, 130)
+
+    def fail(*args, **kwargs):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patched:
+        if stop == "decide":
+            patched.setattr(retention, "finish_retention", lambda *a: None if not os.path.exists(f"{ledger}/_retention") else fail())
+        elif stop == "overwrite":
+            patched.setattr(retention, "write_ledger", lambda rows, path, mode: fail() if path == ledger else write_ledger(rows, path, mode))
+        else:
+            patched.setattr(retention, "remove", lambda spark, path: fail() if "month=" in path else remove(spark, path))
+        with pytest.raises(RuntimeError):
+            op.apply_retention(spark, ledger, 130)
+    op.finish_retention(spark, ledger)
+    assert ledger_rows(spark, ledger) == without(held, gone)
+    assert not os.path.exists(f"{ledger}/_retention")
+
+
+def test_a_decision_that_was_not_finished_changes_nothing(spark, tmp_path, monkeypatch):
+    ledger = f"{tmp_path}/ledger"
+    held = appended(spark, ledger, months(1, 2))
+    os.makedirs(f"{ledger}/_retention/rows")
+    op.finish_retention(spark, ledger)
+    assert ledger_rows(spark, ledger) == sorted(held) and not os.path.exists(f"{ledger}/_retention")
 
 
 def logs(spark, lines):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from runloom.constants import ERROR_CODES, PLAN_KEYS, CONTROL_DEFAULTS
-from workload.queries import RETENTION_LIMIT, id_of
+from workload.queries import RETENTION_HALF, RETENTION_LIMIT, id_of
 from workload.views import STATUSES
 
 
@@ -201,16 +201,21 @@ LINE_TOTALS = """SELECT l_returnflag, l_linestatus, sum(floor(l_extendedprice *
     sum(floor(l_quantity))::BIGINT AS quantity, count(*) AS n_lines{more}
   FROM lineitem WHERE l_quantity >= 10 GROUP BY ALL"""
 
-RETENTION = f"""totals AS (SELECT ptype, sum(size_bytes)::HUGEINT AS size FROM runs GROUP BY ptype),
-  whole AS (SELECT sum(size)::HUGEINT AS total FROM totals),
-  ordered AS (
+
+
+def retention(runs: str, gone: str) -> str:
+    """CTEs up to `gone`, the runs that go of the table `runs`."""
+    return f"""{gone}_totals AS (SELECT ptype, sum(size_bytes)::HUGEINT AS size FROM {runs} GROUP BY ptype),
+  {gone}_whole AS (SELECT sum(size)::HUGEINT AS total FROM {gone}_totals),
+  {gone}_ordered AS (
     SELECT ptype, folder, size_bytes, coalesce(sum(size_bytes) OVER (PARTITION BY ptype
       ORDER BY start_time, sha256(folder), folder ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS older
-    FROM runs),
-  gone AS (
-    SELECT ptype, folder, size_bytes FROM ordered JOIN totals USING (ptype), whole
+    FROM {runs}),
+  {gone} AS (
+    SELECT ptype, folder, size_bytes FROM {gone}_ordered JOIN {gone}_totals USING (ptype), {gone}_whole
     WHERE total > {RETENTION_LIMIT} AND older * total < size * (total - {RETENTION_LIMIT}))"""
 
+
 LEVEL_OF = "CASE event_type WHEN 'view' THEN 'INFO' WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'MSG' END"
 
 ORACLE: dict[str, str] = {
@@ -329,7 +334,7 @@ ORACLE: dict[str, str] = {
         "runs scores inference_runs linked",
         f"SELECT {HISTORY_BODY}, l.train_id FROM linked l LEFT JOIN scores s USING (k) WHERE l.data_id = '{id_of('7')}'",
     ),
-    "d1_retention_plan": "WITH " + VIEWS["runs"] + ", " + RETENTION + " SELECT * FROM gone",
+    "d1_retention_plan": "WITH " + VIEWS["runs"] + ", " + retention("runs", "gone") + " SELECT * FROM gone",
     "d2_show_increments": sql(
         "lines",
         """SELECT file, line_no, class, text, coalesce((micros - lag(micros) OVER (PARTITION BY file, class ORDER BY line_no)) / 1000000, 0)::DOUBLE AS seconds
@@ -548,7 +553,9 @@ ORACLE: dict[str, str] = {
       FROM conversations, range(2) copy(c) WHERE c = 0 OR role = 'system'""",
     "i5_apply_retention": "WITH "
     + VIEWS["runs"]
-    + ", "
-    + RETENTION
-    + " SELECT ptype, folder, size_bytes FROM runs WHERE folder NOT IN (SELECT folder FROM gone)",
+    + f", early AS (SELECT * FROM runs WHERE start_time < '{RETENTION_HALF}'), "
+    + retention("early", "gone_first")
+    + f""", later AS (SELECT * FROM runs WHERE start_time >= '{RETENTION_HALF}' OR folder NOT IN (SELECT folder FROM gone_first)), """
+    + retention("later", "gone_then")
+    + " SELECT ptype, folder, size_bytes FROM later WHERE folder NOT IN (SELECT folder FROM gone_then)",
 }
