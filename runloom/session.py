@@ -110,6 +110,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(found)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    found, store = _path(spark, path)
+    store.create(found, True).close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path with all below it; nothing happens if it is not there."""
     found, store = _path(spark, path)

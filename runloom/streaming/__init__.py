@@ -1,5 +1,6 @@
 """The request loop as Structured Streaming queries."""
 
+from runloom.streaming.outbox import guarded
 from runloom.streaming.requests import (
     REQUEST_ENVELOPE,
     drain,
@@ -8,8 +9,8 @@ from runloom.streaming.requests import (
     request_arguments,
     request_stream,
 )
-from runloom.streaming.results import progress, read_channel, result_messages, route_failures, write_results
-from runloom.streaming.serving import Service, serve
+from runloom.streaming.results import progress, read_channel, route_failures, success_messages
+from runloom.streaming.serving import Service, read_artifacts, serve
 from runloom.streaming.status import enrich_errors, error_table, latest_status, status_stream
 
 __all__ = [
@@ -18,16 +19,17 @@ __all__ = [
     "drain",
     "enrich_errors",
     "error_table",
+    "guarded",
     "latest_status",
     "parse_requests",
     "progress",
     "queued_requests",
+    "read_artifacts",
     "read_channel",
     "request_arguments",
     "request_stream",
-    "result_messages",
     "route_failures",
     "serve",
     "status_stream",
-    "write_results",
+    "success_messages",
 ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,34 +32,10 @@ def route_failures(failures: DataFrame, state: str = "state", message: str = "me
     )
 
 
-def result_messages(answers: DataFrame, summary: list[str]) -> DataFrame:
-    """The message of each request: its summary, or its error code if it has one.
-
-    Both channels get it. A request that fails while it is answered is still in
-    the state ``init``, so its failure goes to both as well.
-    """
-    failed = F.col("error_code").isNotNull()
-    return answers.select(
-        "request_id",
-        F.when(failed, "fail").otherwise("success").alias("status"),
-        F.when(failed, F.col("error_code"))
-        .otherwise(F.to_json(F.struct(*summary), {"ignoreNullFields": "false"}))
-        .alias("message"),
-    )
-
-
-def write_results(messages: DataFrame, root: str, batch_id: int) -> None:
-    """Write the messages to the summary channel, then the same to the artifacts channel.
-
-    A batch owns one folder per channel and overwrites it, so a replayed batch
-    leaves the same rows. The second channel is a copy of the first one's files,
-    so nothing is computed twice.
-    """
-    spark = messages.sparkSession
-    summary, artifacts = (f"{root}/{channel}/batch_id={batch_id}" for channel in CHANNELS)
-    # A stream keeps its number of state partitions; the files follow the size of the batch.
-    messages.hint("rebalance").write.mode("overwrite").parquet(summary)
-    spark.read.schema(messages.schema).parquet(summary).write.mode("overwrite").parquet(artifacts)
+def success_messages(answers: DataFrame, summary: Sequence[str]) -> DataFrame:
+    """The message of each request that has a summary."""
+    text = F.to_json(F.struct(*summary), {"ignoreNullFields": "false"})
+    return answers.select("request_id", F.lit("success").alias("status"), text.alias("message"))
 
 
 def read_channel(spark: SparkSession, root: str, channel: str) -> DataFrame:

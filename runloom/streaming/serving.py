@@ -1,25 +1,36 @@
-"""Serve requests: overlay, load, run, save, batch by batch."""
+"""Serve requests: overlay, load, run, save, batch by batch.
+
+Two of Spark's stateful operators keep what outlives a batch, in RocksDB: the ids of all requests answered, and per plan
+what its requests have set so far. A batch so costs the same however many came before it.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.errors import PySparkException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from runloom.constants import ARTIFACTS_CHANNEL, SUMMARY_CHANNEL
 from runloom.functions.ordered import carry_forward
 from runloom.operators.history import parameter_columns
+from runloom.streaming.outbox import Outbox
 from runloom.streaming.requests import parse_requests, request_arguments
-from runloom.streaming.results import result_messages, write_results
+from runloom.streaming.results import route_failures, success_messages
 
 CHUNK_BITS = 16
-SNAPSHOT_EVERY = 16
-# Errors of the cluster, not of a request.
-LOST = ("ExecutorLostFailure", "FetchFailed", "cancelled", "Connection refused")
+# Before all requests of a batch.
+_FIRST = -(1 << 63)
+# Folders of a batch: what it needs until it is done, and the artifacts it has written.
+WORK, ARTIFACTS = "work", "artifacts"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 @dataclass(frozen=True)
@@ -29,7 +40,12 @@ class Service:
     ``base`` has the plans' parameters as (plan_id, step, name, value), ``datasets``
     one row per ``dataset_uri``. ``parameters`` names the parameters that the
     scoring reads. ``score`` maps requests with dataset and parameter columns to a
-    frame with the ``summary`` columns; a NULL first one is a failed run.
+    frame with the ``summary`` columns; where the first one is NULL there is no summary. A column ``error`` that is not
+    NULL says that the run failed (see ``guarded``).
+
+    ``artifacts`` maps the requests that have a summary to the rows of their artifacts, with ``request_id``; they are
+    written compressed by ``codec``. A request that gets no row, or one whose ``error`` is not NULL, has no
+    artifacts. Without ``artifacts`` there are none to write.
     """
 
     base: DataFrame
@@ -38,17 +54,22 @@ class Service:
     score: Callable[[DataFrame], DataFrame]
     summary: Sequence[str]
     root: str
+    artifacts: Callable[[DataFrame], DataFrame] | None = None
+    codec: str = "gzip"
 
     @property
     def columns(self) -> list[str]:
         return [column_name(step, name) for step, name, _ in parameter_columns(self.parameters)]
 
-
     @property
     def carried(self) -> list[str]:
         """What a plan keeps from request to request: its parameters and the path of its dataset."""
         return [*self.columns, "dataset_uri"]
 
+    @property
+    def own(self) -> list[str]:
+        return [f"_own_{name}" for name in self.carried]
+
 
 def column_name(step: str, name: str) -> str:
     return f"{step}__{name}"
@@ -57,102 +78,141 @@ def column_name(step: str, name: str) -> str:
 def serve(requests: DataFrame, service: Service, checkpoint: str) -> DataStreamWriter:
     """A streaming query that answers every request once, however late it comes.
 
-    A request that is delivered again, with the same id and time, is dropped. The plans are read
+    A request that is delivered again, with the same id, is dropped. The plans are read
     once, when the query is built. All requests of a batch are answered by the same
-    few joins; what they need of plans, datasets and earlier parameters is selected
+    few joins; what they need of plans and datasets is selected
     by their keys first, so a batch does not shuffle those tables.
     """
     spark = requests.sparkSession
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
     plans = _plan_columns(service)
     plans.write.mode("overwrite").parquet(f"{service.root}/plans")
     stored = spark.read.schema(plans.schema).parquet(f"{service.root}/plans")
-    return requests.writeStream.foreachBatch(
-        lambda batch, batch_id: serve_batch(batch, batch_id, service, stored)
-    ).option("checkpointLocation", checkpoint)
+    rows = with_earlier(read_requests(requests.dropDuplicates(["request_id"]), service), service)
+    return rows.writeStream.foreachBatch(lambda batch, batch_id: serve_batch(batch, batch_id, service, stored)).option(
+        "checkpointLocation", checkpoint
+    )
+
+
+def read_requests(requests: DataFrame, service: Service) -> DataFrame:
+    """The requests with what each sets itself."""
+    own = [request_arguments(step, name).alias(f"_own_{column_name(step, name)}") for step, name, _ in parameter_columns(service.parameters)]
+    return parse_requests(requests).select(
+        "request_id", "seq", "plan_id", "error_code", F.nullif(F.col("request.dataset_uri"), F.lit("")).alias("_own_dataset_uri"), *own
+    )
+
+
+def with_earlier(rows: DataFrame, service: Service) -> DataFrame:
+    """The rows of a stream, and before those of each plan one with what earlier batches set for it (``is_state``).
+
+    The state of a plan is the newest value of each thing it keeps. Rows pass in pieces, so that a plan with very many
+    requests takes no more memory than others. Whole numbers pass as text, since pandas has no nulls among them.
+    """
+    own = service.own
+
+    def remember(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = list(state.get) if state.exists else [None] * len(own)
+        yield pd.DataFrame([[True, None, None, key[0], None, *kept]], columns=names).astype(object)
+        newest = [(_FIRST - 1, value) for value in kept]
+        for frame in frames:
+            counts = frame[frame["error_code"] != "E111"]
+            order = [int(seq) if isinstance(seq, str) else _FIRST for seq in counts["seq"]]
+            for k, name in enumerate(own):
+                given = [(seq, value) for seq, value in zip(order, counts[name], strict=True) if isinstance(value, str)]
+                newest[k] = max([newest[k], *given], key=lambda found: found[0])
+            frame.insert(0, "is_state", False)
+            yield frame[names]
+        state.update(tuple(value for _, value in newest))
+
+    texts = ["request_id", "seq", "plan_id", "error_code", *own]
+    names = ["is_state", *texts]
+    as_text = rows.select(*[F.col(name).cast("string") for name in texts])
+    passed = as_text.groupBy("plan_id").applyInPandasWithState(
+        remember, "is_state boolean, " + ", ".join(f"`{n}` string" for n in texts), ", ".join(f"`{n}` string" for n in own), "append", GroupStateTimeout.NoTimeout
+    )
+    return passed.select("is_state", *[F.col(name).cast(rows.schema[name].dataType) for name in texts])
 
 
 def serve_batch(batch: DataFrame, batch_id: int, service: Service, plans: DataFrame) -> None:
-    """Answer the requests of one batch; a replay gives the same files.
+    """Answer the requests of one batch in steps; one that runs again goes on where it stopped.
 
-    The parsed requests are written first. All else reads them back in the session
+    Summaries go to the first channel, then artifacts are written, then the second channel tells of them. What
+    fails before its summary fails in both channels, what fails after it only in the second.
+
+    The requests are written first. All else reads them back in the session
     of the service, where adaptive execution is on; a stream's own session, which
     keeps state, has it off.
     """
-    path = f"{service.root}/requests/batch_id={batch_id}"
-    batch = _unanswered(batch, batch_id, service, plans.sparkSession)
-    own = [
-        request_arguments(step, name).alias(f"_own_{column_name(step, name)}")
-        for step, name, _ in parameter_columns(service.parameters)
-    ]
-    parsed = parse_requests(batch).select(
-        "request_id",
-        "seq",
-        "plan_id",
-        "error_code",
-        F.nullif(F.col("request.dataset_uri"), F.lit("")).alias("_own_dataset_uri"),
-        *own,
-    )
-    parsed.write.mode("overwrite").parquet(path)
-    requests = plans.sparkSession.read.schema(parsed.schema).parquet(path)
-
+    spark = plans.sparkSession
+    outbox = Outbox(spark, service.root, batch_id)
+    if outbox.done(ARTIFACTS_CHANNEL):
+        outbox.close()
+        return
+    rows = outbox.step(f"{WORK}/requests", batch)
+    requests = rows.filter("NOT is_state").drop("is_state")
+    state = rows.filter("is_state").select("plan_id", *[F.col(f"_own_{name}").alias(name) for name in service.carried])
+    answered = _answered(requests, state, plans, service, outbox)
+    failed = F.col("error_code").isNotNull()
+    early = route_failures(answered.filter(failed).select("request_id", F.lit("init").alias("state"), "error_code"), message="error_code")
+    summaries = success_messages(answered.filter(~failed), service.summary)
+    columns = ["request_id", "status", "message"]
+    # The files of a channel follow the size of the batch.
+    to = lambda channel, sent, *failures: sent.select(*columns).unionByName(
+        _union([f.filter(F.col("channel") == channel).select(*columns) for f in failures])
+    ).hint("rebalance")
+    sent = outbox.step(SUMMARY_CHANNEL, to(SUMMARY_CHANNEL, summaries, early))
+    if service.artifacts is None:
+        outbox.step(ARTIFACTS_CHANNEL, sent)
+    else:
+        saved = _saved(answered.filter(~failed), service, outbox)
+        late = summaries.join(saved, "request_id", "left_anti").select("request_id", F.lit("summary").alias("state"), F.lit("E162").alias("message"))
+        outbox.step(ARTIFACTS_CHANNEL, to(ARTIFACTS_CHANNEL, summaries.join(saved, "request_id", "left_semi"), early, route_failures(late)))
+    outbox.close()
+
+
+def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """The artifacts of all batches."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/{ARTIFACTS}")
+
+
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    first, *others = frames
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
+def _answered(requests: DataFrame, state: DataFrame, plans: DataFrame, service: Service, outbox: Outbox) -> DataFrame:
+    """The requests with error_code and the columns of the scoring, summaries among them."""
     # Parameters of a request count even if its dataset is unset.
     readable = requests.filter("error_code IS NULL OR error_code <> 'E111'")
-    _write_state(readable, service, batch_id)
-    state = _read_state(service, batch_id, readable)
     effective = _with_parameters(readable, state, plans, service)
-    unread = requests.filter("error_code = 'E111'")
-    write_results(_isolated(effective, unread, service, batch_id), service.root, batch_id)
+    unread = requests.filter("error_code = 'E111'").select("request_id", "error_code")
 
+    def make(rows: DataFrame) -> DataFrame:
+        return _verdict(service.score(_loaded(rows, service)), service)
 
-def _unanswered(batch: DataFrame, batch_id: int, service: Service, spark: SparkSession) -> DataFrame:
-    """The requests of a batch that no earlier batch holds, once each.
+    def failed(rows: DataFrame) -> DataFrame:
+        code = F.coalesce("error_code", F.lit("E152"))
+        return make(rows.limit(0)).unionByName(rows.select("request_id", code.alias("error_code")), allowMissingColumns=True)
+
+    scored = outbox.isolated(f"{WORK}/answers", effective, make, failed)
+    return scored.unionByName(unread, allowMissingColumns=True)
 
-    Ids are kept by the day of the request, and only the days of this batch are read.
-    """
-    day = F.coalesce(F.date_format("ts", "yyyyMMdd"), F.lit("none"))
-    path = f"{service.root}/seen/batch_id={batch_id}"
-    once = batch.withColumn("day", day).dropDuplicates(["request_id"])
-    once.select("request_id", "day").write.mode("overwrite").partitionBy("day").parquet(path)
-    if batch_id == 0:
-        return once.drop("day")
-    days = [row["day"] for row in once.select("day").distinct().collect()]
-    seen = spark.read.schema("request_id bigint, batch_id bigint, day string").parquet(f"{service.root}/seen")
-    earlier = seen.filter(F.col("day").isin(days) & (F.col("batch_id") < batch_id)).select("request_id")
-    return once.drop("day").join(earlier, "request_id", "left_anti")
-
-
-def _isolated(effective: DataFrame, unread: DataFrame, service: Service, batch_id: int) -> DataFrame:
-    """The messages of a batch, where an error while scoring fails its own request only.
-
-    If the batch fails it is answered in halves by the hash of the request id, and so on until the requests
-    that raise stand alone; these get E152. One bad request so costs two small jobs per doubling of the
-    batch. Lost executors are not a request's fault and end the batch, which then runs again.
-    """
-    spark, place = effective.sparkSession, F.xxhash64("request_id")
-    parts: list[DataFrame] = []
-
-    def answer(rows: DataFrame, rest: DataFrame, name: str, depth: int) -> None:
-        path = f"{service.root}/answers/batch_id={batch_id}/{name}"
-        messages = _answers(rows, rest, service)
-        try:
-            messages.write.mode("overwrite").parquet(path)
-        except PySparkException as error:
-            if any(text in str(error) for text in LOST):
-                raise
-            if depth == 64 or rows.limit(2).count() < 2:
-                code = F.coalesce("error_code", F.lit("E152")).alias("error_code")
-                failed = rows.select("request_id", code).unionByName(rest.select("request_id", "error_code"))
-                empty = failed.withColumns({name: F.lit(None) for name in service.summary})
-                result_messages(empty, list(service.summary)).write.mode("overwrite").parquet(path)
-            else:
-                for bit in (0, 1):
-                    half = F.shiftright(place, depth).bitwiseAND(F.lit(1)) == bit
-                    answer(rows.filter(half), rest.filter(half), f"{name}{bit}", depth + 1)
-                return
-        parts.append(spark.read.schema(messages.schema).parquet(path))
-
-    answer(effective, unread, "part", 0)
-    return reduce(DataFrame.unionByName, parts)
+
+def _saved(answered: DataFrame, service: Service, outbox: Outbox) -> DataFrame:
+    """The ids of requests whose artifacts are written."""
+
+    def make(rows: DataFrame) -> DataFrame:
+        made = service.artifacts(rows)
+        return made if "error" in made.columns else made.withColumn("error", F.lit(None).cast("string"))
+
+    def failed(rows: DataFrame) -> DataFrame:
+        return make(rows.limit(0)).unionByName(rows.select("request_id", F.lit("raised").alias("error")), allowMissingColumns=True)
+
+    written = outbox.isolated(ARTIFACTS, answered, make, failed, service.codec)
+    return written.groupBy("request_id").agg(F.max(F.col("error").isNotNull()).alias("bad")).filter("NOT bad").select("request_id")
 
 
 def _needed(table: DataFrame, requests: DataFrame, key: str) -> DataFrame:
@@ -160,21 +220,21 @@ def _needed(table: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     return table.join(requests.select(key).distinct(), key, "left_semi")
 
 
-def _answers(effective: DataFrame, unread: DataFrame, service: Service) -> DataFrame:
-    """Load and run: the messages of all requests of a batch."""
+def _loaded(effective: DataFrame, service: Service) -> DataFrame:
+    """The requests with the columns of their dataset."""
     datasets = _needed(service.datasets.withColumn("_loaded", F.lit(True)), effective, "dataset_uri")
-    loaded = effective.join(datasets, "dataset_uri", "left")
+    return effective.join(datasets, "dataset_uri", "left")
+
+
+def _verdict(scored: DataFrame, service: Service) -> DataFrame:
+    raised = F.col("error").isNotNull() if "error" in scored.columns else F.lit(False)
     verdict = (
         F.when(F.col("error_code").isNotNull(), F.col("error_code"))
         .when(F.col("_loaded").isNull(), "E141")
-        .when(F.col(service.summary[0]).isNull(), "E152")
-    )
-    answered = service.score(loaded).withColumn("error_code", verdict)
-    columns = ["request_id", "error_code"]
-    return result_messages(
-        answered.select(*columns, *service.summary).unionByName(unread.select(*columns), allowMissingColumns=True),
-        list(service.summary),
+        .when(raised, "E152")
+        .when(F.col(service.summary[0]).isNull(), "E161")
     )
+    return scored.withColumn("error_code", verdict).drop("_loaded")
 
 
 def _plan_columns(service: Service) -> DataFrame:
@@ -202,49 +262,3 @@ def _with_parameters(requests: DataFrame, state: DataFrame | None, plans: DataFr
     unset = F.col("dataset_uri").isNull() & F.col("error_code").isNull()
     values["error_code"] = F.when(unset, "E122").otherwise(F.col("error_code"))
     return joined.withColumns(values).drop(*[name for name in plans.columns if name != "plan_id"])
-
-
-def _state_schema(service: Service) -> str:
-    return ", ".join(["plan_id bigint", *[f"`{name}` string" for name in service.carried], "as_of bigint"])
-
-
-def _write_state(requests: DataFrame, service: Service, batch_id: int) -> None:
-    """The last value of every parameter that this batch touched, one row per plan."""
-    touched = requests.groupBy("plan_id").agg(
-        *[
-            F.max_by(f"_own_{name}", F.when(F.col(f"_own_{name}").isNotNull(), F.col("seq"))).alias(name)
-            for name in service.carried
-        ],
-        F.lit(batch_id).cast("bigint").alias("as_of"),
-    )
-    touched.write.mode("overwrite").parquet(f"{service.root}/state/delta={batch_id}")
-
-
-def _read_state(service: Service, batch_id: int, requests: DataFrame) -> DataFrame | None:
-    """What requests before this batch set for the plans of this batch, one row per plan.
-
-    Every ``SNAPSHOT_EVERY`` batches the changes are folded into a snapshot, so a
-    batch reads one snapshot and a few changes. A replayed batch reads the same.
-    """
-    if batch_id == 0:
-        return None
-    spark = requests.sparkSession
-    start = batch_id - batch_id % SNAPSHOT_EVERY
-    if start == batch_id:
-        changes = _changes(spark, service, start - SNAPSHOT_EVERY, batch_id)
-        _fold(changes, service).write.mode("overwrite").parquet(f"{service.root}/state/snapshot={batch_id}")
-    return _fold(_needed(_changes(spark, service, start, batch_id), requests, "plan_id"), service)
-
-
-def _changes(spark: SparkSession, service: Service, start: int, end: int) -> DataFrame:
-    paths = [f"{service.root}/state/delta={number}" for number in range(start, end)]
-    if start > 0:
-        paths.append(f"{service.root}/state/snapshot={start}")
-    return spark.read.schema(_state_schema(service)).parquet(*paths)
-
-
-def _fold(changes: DataFrame, service: Service) -> DataFrame:
-    return changes.groupBy("plan_id").agg(
-        *[F.max_by(name, F.when(F.col(name).isNotNull(), F.col("as_of"))).alias(name) for name in service.carried],
-        F.max("as_of").alias("as_of"),
-    )

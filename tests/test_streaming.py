@@ -1,5 +1,7 @@
 import json
 import os
+import statistics
+import time
 
 import pytest
 from conftest import rows
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from runloom import streaming
 from runloom.constants import ARTIFACTS_CHANNEL, ERROR_CODES, SUMMARY_CHANNEL
 from runloom.streaming import serving
+from runloom.streaming.outbox import Outbox, caused_by_a_row
 
 
 def payload(step, args, dataset="d1", ptype="inference"):
@@ -87,8 +90,13 @@ def serve_all(spark, source, root):
     streaming.drain(streaming.serve(stream, service(spark, f"{root}/out"), f"{root}/checkpoint"))
 
 
-def test_overlays_add_up_over_requests_and_restarts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(serving, "SNAPSHOT_EVERY", 2)
+def served_batch(spark, batch, answering, batch_id=0):
+    """One batch without a stream before it."""
+    rows = serving.read_requests(batch, answering).withColumn("is_state", F.lit(False))
+    serving.serve_batch(rows, batch_id, answering, serving._plan_columns(answering))
+
+
+def test_overlays_add_up_over_requests_and_restarts(spark, tmp_path):
     source, root = f"{tmp_path}/in", str(tmp_path)
     expected = {}
 
@@ -104,7 +112,7 @@ def test_overlays_add_up_over_requests_and_restarts(spark, tmp_path, monkeypatch
 
     land(source, "2", [request(7, payload("s", {"a": "8"}, "nowhere")), request(8, payload("s", {"b": "fail"})), request(9, payload("s", {"b": "1"}))])
     serve_all(spark, source, root)
-    expected |= {7: "E141", 8: "E152", 9: 108}
+    expected |= {7: "E141", 8: "E161", 9: 108}
 
     # another plan has its own parameters; a request that comes again is answered once
     land(source, "3", [request(10, payload("s", {"b": "1"}), plan=2), request(9, payload("s", {"a": "1000"}))])
@@ -117,7 +125,7 @@ def test_overlays_add_up_over_requests_and_restarts(spark, tmp_path, monkeypatch
     serve_all(spark, source, root)
     assert summary(spark, f"{root}/out") == expected
     assert summary(spark, f"{root}/out", ARTIFACTS_CHANNEL) == expected
-    assert os.path.isdir(f"{root}/out/state/snapshot=2") and os.path.isdir(f"{root}/out/state/snapshot=4")
+    assert os.listdir(f"{root}/out/work") == []
 
 
 def sections(*parts, ptype="inference"):
@@ -163,7 +171,7 @@ def test_a_request_that_raises_fails_alone(spark, tmp_path):
     base = spark.createDataFrame([(10 + n, "s", "b", "1") for n in range(1, 4)], "plan_id bigint, step string, name string, value string")
     answering = serving.Service(base, answering.datasets, answering.parameters, score, answering.summary, answering.root)
     batch = spark.createDataFrame(asked, streaming.REQUEST_ENVELOPE)
-    serving.serve_batch(batch, 0, answering, serving._plan_columns(answering))
+    served_batch(spark, batch, answering)
     assert summary(spark, str(tmp_path)) == {1: 100, 2: "E152", 3: 100}
 
 
@@ -189,7 +197,7 @@ def test_a_replayed_batch_leaves_the_same_rows(spark, tmp_path):
     batch = spark.createDataFrame([(1, 1, 1, None, payload("s", {"a": "3"}))], streaming.REQUEST_ENVELOPE)
     answering = service(spark, str(tmp_path))
     for _ in range(2):
-        serving.serve_batch(batch, 0, answering, serving._plan_columns(answering))
+        served_batch(spark, batch, answering)
     assert summary(spark, str(tmp_path)) == {1: 103}
 
 
@@ -217,3 +225,160 @@ def test_error_codes(spark):
     assert got == [(1, "PipelineDataLoadError"), (2, None), (3, None)]
     assert streaming.error_table(spark).count() == len(ERROR_CODES) == 11
     assert "BroadcastHashJoin" in streaming.enrich_errors(events)._jdf.queryExecution().executedPlan().toString()
+
+
+def answering_with(spark, root, score, artifacts=None):
+    plain = service(spark, root)
+    return streaming.Service(plain.base, plain.datasets, plain.parameters, score, plain.summary, root, artifacts)
+
+
+def asked(spark, values):
+    """Requests of plan 1 that set s.a."""
+    data = [(n, n, 1, None, payload("s", {"a": value})) for n, value in enumerate(values)]
+    return spark.createDataFrame(data, streaming.REQUEST_ENVELOPE)
+
+
+def test_errors_are_values(spark, tmp_path):
+    calls = []
+
+    def score(frame):
+        if (frame["s__a"] == "boom").any():
+            raise ValueError("no")
+        return frame["s__a"].astype(float).astype(int).to_frame("score")
+
+    values = ["boom" if n in (3, 77) else str(n) for n in range(100)]
+    answering = answering_with(spark, str(tmp_path), streaming.guarded(score, "score bigint"))
+    isolated = Outbox.isolated
+    Outbox.isolated = lambda self, step, rows, make, *rest: isolated(self, step, rows, lambda r: calls.append(1) or make(r), *rest)
+    try:
+        served_batch(spark, asked(spark, values), answering)
+    finally:
+        Outbox.isolated = isolated
+    wanted = {n: "E152" if value == "boom" else n for n, value in enumerate(values)}
+    assert summary(spark, str(tmp_path)) == wanted == summary(spark, str(tmp_path), ARTIFACTS_CHANNEL)
+    # The scoring was planned for all requests at once, and no job was spent on finding the bad ones.
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("error", [MemoryError("full"), OSError(28, "No space left on device")])
+def test_a_failing_machine_ends_the_batch(spark, tmp_path, error):
+    state = tmp_path / "broken"
+    state.touch()
+
+    def score(frame):
+        if os.path.exists(state):
+            raise error
+        return frame["amount"].to_frame("score")
+
+    answering = answering_with(spark, f"{tmp_path}/out", streaming.guarded(score, "score bigint"))
+    with pytest.raises(Exception, match=type(error).__name__):
+        served_batch(spark, asked(spark, ["1", "2"]), answering)
+    state.unlink()
+    served_batch(spark, asked(spark, ["1", "2"]), answering)
+    assert summary(spark, f"{tmp_path}/out") == {0: 100, 1: 100}
+
+
+def test_whose_fault(spark):
+    def error(column):
+        with pytest.raises(Exception) as caught:
+            spark.range(3).select(column).collect()
+        return caught.value
+
+    def raising(problem):
+        @F.pandas_udf("long")
+        def fail(values):
+            raise problem
+
+        return fail("id")
+
+    assert caused_by_a_row(error(F.lit(1) / F.col("id")))
+    assert caused_by_a_row(error(F.concat(F.lit("a"), "id").cast("int")))
+    assert caused_by_a_row(error(F.raise_error(F.lit("no"))))
+    assert caused_by_a_row(error(raising(ValueError("no"))))
+    assert not caused_by_a_row(error(raising(MemoryError())))
+    assert not caused_by_a_row(error(raising(OSError(28, "No space left on device"))))
+    assert not caused_by_a_row(error("missing"))
+    assert not caused_by_a_row(RuntimeError("22"))
+
+
+def test_artifacts_come_after_the_summary(spark, tmp_path):
+    def artifacts(df):
+        bad = F.when(F.col("score") == 103, "not made").alias("error")
+        return df.filter("score <> 102").select("request_id", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("name"), bad)
+
+    plain = service(spark, str(tmp_path))
+    answering = answering_with(spark, str(tmp_path), plain.score, artifacts)
+    served_batch(spark, asked(spark, ["1", "2", "3"]), answering)
+    assert summary(spark, str(tmp_path)) == {0: 101, 1: 102, 2: 103}
+    assert summary(spark, str(tmp_path), ARTIFACTS_CHANNEL) == {0: 101, 1: "E162", 2: "E162"}
+    assert rows(streaming.read_artifacts(spark, str(tmp_path)).filter("error IS NULL"), "request_id", "name") == [(0, "x"), (0, "y")]
+    assert all(name.endswith(".gz.parquet") for _, _, names in os.walk(tmp_path / "artifacts") for name in names if name.endswith(".parquet"))
+    assert rows(streaming.progress(spark.range(4).toDF("request_id"), str(tmp_path))) == [(0, "artifacts"), (1, "artifacts"), (2, "artifacts"), (3, "init")]
+
+
+def test_an_artifact_that_raises_fails_alone(spark, tmp_path):
+    def artifacts(df):
+        return df.select("request_id", F.when(F.col("score") == 102, F.raise_error(F.lit("no"))).otherwise(F.col("score")).cast("bigint").alias("size"))
+
+    answering = answering_with(spark, str(tmp_path), service(spark, "").score, artifacts)
+    served_batch(spark, asked(spark, ["1", "2", "3"]), answering)
+    assert summary(spark, str(tmp_path), ARTIFACTS_CHANNEL) == {0: 101, 1: "E162", 2: 103}
+
+
+def test_a_stopped_batch_goes_on_where_it_was(spark, tmp_path):
+    broken, scored = tmp_path / "broken", []
+    broken.touch()
+
+    def artifacts(df):
+        if os.path.exists(broken):
+            raise RuntimeError("the store is gone")
+        return df.select("request_id")
+
+    def score(df):
+        scored.append(1)
+        return service(spark, "").score(df).withColumn("score", F.col("score") + F.floor(F.rand() * 1000))
+
+    root = str(tmp_path / "out")
+    answering = answering_with(spark, root, score, artifacts)
+    with pytest.raises(RuntimeError):
+        served_batch(spark, asked(spark, ["1", "2"]), answering)
+    sent = summary(spark, root)
+    assert len(sent) == 2 and not os.path.exists(f"{root}/{ARTIFACTS_CHANNEL}")
+    broken.unlink()
+    served_batch(spark, asked(spark, ["1", "2"]), answering)
+    # The summary that was sent stays, and the second message repeats it.
+    assert summary(spark, root) == sent == summary(spark, root, ARTIFACTS_CHANNEL)
+    served_batch(spark, asked(spark, ["1", "2"]), answering)
+    assert summary(spark, root) == sent
+
+
+def test_a_batch_costs_the_same_after_many(spark, tmp_path):
+    """SERVED_BATCHES=200 runs it for longer."""
+    count = int(os.environ.get("SERVED_BATCHES", "24"))
+    source, root = f"{tmp_path}/in", str(tmp_path)
+    for n in range(count):
+        land(source, f"{n:04}", [request(n, payload("s", {"a": str(n)} if n % 2 == 0 else {})), request(0, payload("s", {"a": "1000"}))])
+        os.utime(f"{source}/{n:04}.json", (n + 10**9, n + 10**9))
+    seconds, listed = [], []
+    inner = serving.serve_batch
+
+    def timed(batch, batch_id, answering, plans):
+        begin = time.monotonic()
+        inner(batch, batch_id, answering, plans)
+        seconds.append(time.monotonic() - begin)
+        listed.append(sum(len(names) for folder, _, names in os.walk(f"{root}/out") if f"batch_id={batch_id}" in folder or "batch_id" not in folder))
+
+    stream = streaming.request_stream(spark, source, max_files=1)
+    answering = service(spark, f"{root}/out")
+    serving.serve_batch = timed
+    try:
+        streaming.drain(streaming.serve(stream, answering, f"{root}/checkpoint"))
+    finally:
+        serving.serve_batch = inner
+    assert len(seconds) == count
+    # Request 0 came with every file and was answered once; each plan's last value holds.
+    assert summary(spark, f"{root}/out") == {n: 100 + n - n % 2 for n in range(count)}
+    print(f"{count} batches: median seconds {statistics.median(seconds[2 : count // 2]):.2f}, {statistics.median(seconds[count // 2 :]):.2f}")
+    assert statistics.median(seconds[count // 2 :]) < 2 * statistics.median(seconds[2 : count // 2])
+    assert max(listed[2:]) <= 1.5 * min(listed[2:])
+    assert os.listdir(f"{root}/out/work") == []

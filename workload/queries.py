@@ -648,16 +648,17 @@ def _score(loaded: DataFrame) -> DataFrame:
     return loaded.withColumn("score", score).withColumn("result", F.when(score >= 200, "high").otherwise("low"))
 
 
-def _served(spark, sf_dir) -> str:
+def _served(spark, sf_dir, score=_score, artifacts=None) -> str:
     base = views.params(spark, sf_dir, "base").filter("pipeline = 'inference'").drop("pipeline")
     root = scratch_dir(spark, "serve")
     service = streaming.Service(
         base=base,
         datasets=views.datasets(spark, sf_dir),
         parameters=SERVED,
-        score=_score,
+        score=score,
         summary=["score", "result"],
         root=root,
+        artifacts=artifacts,
     )
     streaming.drain(streaming.serve(_requests(spark, sf_dir), service, f"{root}/checkpoint"))
     return root
@@ -672,12 +673,26 @@ def h2_serve(spark, sf_dir):
 
 @query
 def h3_result_sinks(spark, sf_dir):
-    """Messages per channel: successes go to both, and so do failures of the first state."""
-    root = _served(spark, sf_dir)
+    """Messages per channel, where some requests get no summary and some no artifacts, with the artifacts that were written.
+
+    Every 11th score is no summary, every 7th has no artifacts, and every 5th has one that could not be made.
+    """
+
+    def score(loaded: DataFrame) -> DataFrame:
+        return _score(loaded).withColumn("score", F.when(F.col("score") % 11 != 0, F.col("score")))
+
+    def artifacts(answered: DataFrame) -> DataFrame:
+        files = F.explode(F.sequence(F.lit(0), F.col("score") % 3)).alias("file")
+        bad = F.when(F.col("score") % 5 == 0, "not made").alias("error")
+        return answered.filter("score % 7 <> 0").select("request_id", files, F.col("dataset_uri").alias("content"), bad)
+
+    root = _served(spark, sf_dir, score, artifacts)
     both = streaming.read_channel(spark, root, SUMMARY_CHANNEL).unionByName(
         streaming.read_channel(spark, root, ARTIFACTS_CHANNEL)
     )
-    return both.select("request_id", "channel", "status")
+    files = streaming.read_artifacts(spark, root).filter("error IS NULL").groupBy("request_id").agg(F.count(F.lit(1)).alias("n_files"))
+    code = F.when(F.col("status") == "fail", F.col("message")).alias("code")
+    return both.select("request_id", "channel", "status", code).join(files, "request_id", "left")
 
 
 def _status_stream(spark, sf_dir):

@@ -527,8 +527,14 @@ ORACLE: dict[str, str] = {
     ),
     "h3_result_sinks": sql(
         "base requests served",
-        """SELECT request_id, channel, CASE WHEN error_code IS NULL THEN 'success' ELSE 'fail' END AS status
-           FROM served, (VALUES ('inference_summary'), ('inference_artifacts')) c(channel)""",
+        """, coded AS (
+             SELECT request_id, score, coalesce(error_code, CASE WHEN score % 11 = 0 THEN 'E161' END) AS early FROM served
+           ), late AS (
+             SELECT *, coalesce(early, CASE WHEN score % 7 = 0 OR score % 5 = 0 THEN 'E162' END) AS code FROM coded
+           ), files AS (SELECT request_id, score % 3 + 1 AS n_files FROM late WHERE code IS NULL)
+           SELECT request_id, channel, CASE WHEN c.code IS NULL THEN 'success' ELSE 'fail' END AS status, c.code, n_files
+           FROM (SELECT request_id, 'inference_summary' AS channel, early AS code FROM late
+                 UNION ALL SELECT request_id, 'inference_artifacts', code FROM late) c LEFT JOIN files USING (request_id)""",
     ),
     "h4_route_failures": f"""
       SELECT event_id AS request_id, channel, 'fail' AS status,
