@@ -8,6 +8,7 @@ from runloom.sources.datasets import (
     hash_files,
     load_tagged,
 )
+from runloom.sources.files import digest_files, list_files, list_folders
 from runloom.sources.logs import parse_log, read_log
 from runloom.sources.records import RUN_RECORD, RUN_SUMMARY, run_documents, run_folders, scan_run_records, scan_run_summaries
 from runloom.sources.uris import classify_uris, profile_uris
@@ -18,9 +19,12 @@ __all__ = [
     "check_base_names",
     "classify_uris",
     "describe_files",
+    "digest_files",
     "empty_dataset",
     "file_manifest",
     "hash_files",
+    "list_files",
+    "list_folders",
     "load_tagged",
     "parse_log",
     "profile_uris",

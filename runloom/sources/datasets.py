@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from runloom.functions.hashing import content_hash64
+from runloom.functions.hashing import low64
 from runloom.functions.text import extension
+from runloom.sources.files import digest_files, list_files
 
 
 def _as_list(paths: str | Iterable[str] | None) -> list[str]:
@@ -77,14 +78,9 @@ def load_tagged(
 def file_manifest(spark: SparkSession, root: str, extensions: Iterable[str] = ()) -> DataFrame:
     """List all files below ``root``: path, sub-folder, name, extension, size.
 
-    Only the listing is used; the contents are pruned from the scan.
+    Tasks list the folders level by level; the driver holds no listing and no file is opened.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    )
+    files = list_files(spark, root)
     return describe_files(files.withColumn("path", below(F.col("path"), root)), extensions)
 
 
@@ -104,20 +100,19 @@ def describe_files(files: DataFrame, extensions: Iterable[str] = (), path: Colum
 
 
 def hash_files(spark: SparkSession, paths: str | Iterable[str] | None) -> DataFrame:
-    """Path below its base directory and 64-bit content hash of every file.
+    """Path below its base directory and 64-bit content hash of every file, of whatever size.
 
-    ``binaryFile`` hands a file to a task as one value, which limits a single file
-    to 2 GB.
+    Files are spread over tasks by their path and read in pieces.
     """
     parts = []
-    check_base_names(paths)
-    for path in _as_list(paths):
-        contents = load_tagged(spark, path, fmt="binaryFile")
+    for path, base in zip(_as_list(paths), check_base_names(paths), strict=True):
+        files = list_files(spark, path)
+        spread = files.select("path").repartition(4 * spark.sparkContext.defaultParallelism, "path")
         parts.append(
-            contents.select(
-                "base_dir",
-                F.concat_ws("/", "base_dir", below(F.col("path"), path)).alias("path"),
-                content_hash64(F.col("content")).alias("hash64"),
+            digest_files(spread).select(
+                F.lit(base).alias("base_dir"),
+                F.concat_ws("/", F.lit(base), below(F.col("path"), path)).alias("path"),
+                low64(F.col("sha256")).alias("hash64"),
             )
         )
     if not parts:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.constants import EMPTY_STAMP, NO_TRAIN_ID
+from runloom.sources.files import list_folders, read_small
 
 RUN_RECORD = (
     "data_id_description map<string,decimal(20,0)>, data_id string, param_id string, "
@@ -21,31 +22,25 @@ RUN_SUMMARY = (
 RECORD_PATH = "log/experimental_history.json"
 SUMMARY_PATH = "score/run_summary.json"
 
-# A run folder is the directory right below the root, plain or as a partition value.
-FOLDER_BELOW = r"/(?:folder=)?([^/]+)/"
-
-
-def run_documents(spark: SparkSession, root: str, schema: str, path: str) -> DataFrame:
-    """The JSON documents at ``<root>/<folder>/<path>``, with their run folder.
+def run_documents(spark: SparkSession, folders: DataFrame, schema: str, path: str) -> DataFrame:
+    """The JSON documents at ``<folder>/<path>``, with their run folder. ``folders`` has path and folder.
 
     Only that place counts; other documents of a run are not its record.
     """
-    return (
-        spark.read.schema(schema)
-        .option("multiLine", "true")
-        .json(f"{root.rstrip('/')}/*/{path}")
-        .withColumn("folder", _folder(F.col("_metadata.file_path"), root))
-    )
+    found = read_small(folders, path, folders.count())
+    document = F.from_json("content", schema).alias("document")
+    named = found.select(_name(F.col("path")).alias("folder"), document)
+    return named.select("document.*", "folder")
 
 
 def run_folders(spark: SparkSession, root: str) -> DataFrame:
-    """The run folders below ``root`` that hold files, from one listing of them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(_folder(F.col("path"), root).alias("folder")).filter("folder <> ''").distinct()
+    """The run folders below ``root``, empty ones too: path and folder. A task lists them; the driver does not."""
+    return list_folders(spark, root).select("path", _name(F.col("path")).alias("folder"))
 
 
-def _folder(path: Column, root: str) -> Column:
-    return F.regexp_extract(F.substring_index(path, root.rstrip("/"), -1), "^" + FOLDER_BELOW, 1)
+def _name(path: Column) -> Column:
+    """The name of a run folder, plain or a partition value."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), "^folder=", "")
 
 
 def scan_run_records(
@@ -59,18 +54,21 @@ def scan_run_records(
     """All run folders below ``root`` with their records, one row per folder.
 
     A folder without a record gets empty ids and the empty time stamp, so that it sorts last; inference
-    runs then have no train run. A listing shows only folders that hold files: give ``folders``, a table of
-    them, where empty ones count or where they are too many to list.
+    runs then have no train run. The folders are listed by a task and their records read by tasks, unless
+    ``folders``, a table of their names, is given.
     """
     schema = RUN_RECORD + (f", {extra_columns}" if extra_columns else "")
-    records = run_documents(spark, root, schema, record_path)
-    listed = folders.select("folder").distinct() if folders is not None else run_folders(spark, root)
-    return fill_missing_records(listed.join(records, "folder", "left"), ptype)
+    if folders is None:
+        listed = run_folders(spark, root)
+    else:
+        listed = folders.select("folder").distinct().select(F.concat(F.lit(root.rstrip("/") + "/"), "folder").alias("path"), "folder")
+    records = run_documents(spark, listed, schema, record_path)
+    return fill_missing_records(listed.select("folder").join(records, "folder", "left"), ptype)
 
 
 def scan_run_summaries(spark: SparkSession, root: str, summary_path: str = SUMMARY_PATH) -> DataFrame:
     """The summaries of the run folders below ``root`` that have one, kept as JSON."""
-    return run_documents(spark, root, RUN_SUMMARY, summary_path)
+    return run_documents(spark, run_folders(spark, root), RUN_SUMMARY, summary_path)
 
 
 def fill_missing_records(runs: DataFrame, ptype: str) -> DataFrame:

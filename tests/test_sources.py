@@ -51,8 +51,7 @@ def test_manifest_lists_recursively(spark, tmp_path):
         ("s/t/b.png", "s/t", "b.png", ".png", 1),
     ]
     assert rows(sources.file_manifest(spark, f"{tmp_path}/r", [".png"]), "path") == [("s/t/b.png",)]
-    scanned = df._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in scanned
+    assert sources.list_files(spark, f"{tmp_path}/nowhere").count() == 0
 
 
 def test_hashes_of_real_files_give_a_dataset_id(spark, tmp_path):
@@ -153,3 +152,41 @@ def test_uris(spark):
     assert found["x/s3:/odd"][0] == "s3" and found["x/s3:/odd"][4] is True
     assert found["/abs/path"][:3] == ("absolute", "", "abs/path")
     assert [found[u][3] for u in ("a/b/", "./x", "x", "~/x")] == [False, True, True, True]
+
+
+def test_a_file_larger_than_the_memory_of_a_task(spark, tmp_path):
+    path = tmp_path / "d" / "large.bin"
+    path.parent.mkdir()
+    size = 3 << 30
+    with open(path, "wb") as file:
+        # A sparse file: 3 GB that take no room on the disk.
+        file.seek(size - 4)
+        file.write(b"tail")
+    expected, left = hashlib.sha256(), size - 4
+    while left:
+        expected.update(bytes(min(left, 1 << 24)))
+        left -= min(left, 1 << 24)
+    expected.update(b"tail")
+    found = sources.hash_files(spark, str(path.parent)).first()
+    assert int(found["hash64"]) == int(expected.hexdigest(), 16) & ((1 << 64) - 1)
+
+
+def test_empty_run_folders_count(spark, tmp_path):
+    root = f"{tmp_path}/history"
+    os.makedirs(f"{root}/run1/log")
+    os.makedirs(f"{root}/run2")
+    os.makedirs(f"{root}/_hidden")
+    found = sources.scan_run_records(spark, root, "train")
+    assert rows(found, "folder", "id") == [("run1", ""), ("run2", "")]
+
+
+def test_levels_are_listed_by_tasks(spark, tmp_path):
+    for a in range(30):
+        for b in range(20):
+            write(f"{tmp_path}/r/a{a}/b{b}/{a * b}.txt", "x" * b)
+    os.makedirs(f"{tmp_path}/r/a0/empty")
+    write(f"{tmp_path}/r/a0/_SUCCESS", "")
+    found = sources.list_files(spark, f"{tmp_path}/r")
+    assert rows(found, "path", "size") == sorted((f"{tmp_path}/r/a{a}/b{b}/{a * b}.txt", b) for a in range(30) for b in range(20))
+    # The plan reads a written listing, no index of the listed files.
+    assert "a1/b1" not in found._jdf.queryExecution().toString()
