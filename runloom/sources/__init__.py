@@ -10,6 +10,7 @@ from runloom.sources.datasets import (
 )
 from runloom.sources.files import digest_files, list_files, list_folders
 from runloom.sources.logs import parse_log, read_log
+from runloom.sources.queue import enqueue, queue_stream, trim
 from runloom.sources.records import RUN_RECORD, RUN_SUMMARY, run_documents, run_folders, scan_run_records, scan_run_summaries
 from runloom.sources.uris import classify_uris, profile_uris
 
@@ -21,6 +22,7 @@ __all__ = [
     "describe_files",
     "digest_files",
     "empty_dataset",
+    "enqueue",
     "file_manifest",
     "hash_files",
     "list_files",
@@ -28,9 +30,11 @@ __all__ = [
     "load_tagged",
     "parse_log",
     "profile_uris",
+    "queue_stream",
     "read_log",
     "run_documents",
     "run_folders",
     "scan_run_records",
     "scan_run_summaries",
+    "trim",
 ]

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runloom import operators as op
@@ -639,6 +639,21 @@ def h1_request_stream(spark, sf_dir):
     )
 
 
+@query
+def h1_queue_source(spark, sf_dir):
+    """The requests through a queue of four partitions, put in by two producers: what each plan asks, in its order."""
+    asked = views.request_events(spark, sf_dir).select(F.col("plan_id").cast("string").alias("key"), F.col("payload").alias("value"), "seq")
+    root = scratch_dir(spark, "queue")
+    half = F.expr("bigint(seq) < 500")
+    sources.enqueue(asked.filter(half), root, ["seq"], 4)
+    sources.enqueue(asked.filter(~half), root, ["seq"], 4)
+    requests = streaming.queued_requests(sources.queue_stream(spark, root))
+    parsed = streaming.parse_requests(requests).select("plan_id", "seq", "error_code", F.col("request.dataset_uri").alias("dataset_uri"))
+    read = _drained(parsed, "h1-queue")
+    place = F.row_number().over(Window.partitionBy("plan_id").orderBy("seq")).alias("place")
+    return read.select("plan_id", place, "error_code", "dataset_uri")
+
+
 def _number(column: str) -> F.Column:
     return F.coalesce(F.when(F.col(column).rlike("^[0-9]+$"), F.col(column).cast("bigint")), F.lit(0))
 

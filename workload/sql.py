@@ -519,6 +519,10 @@ ORACLE: dict[str, str] = {
         """SELECT request_id, request_id AS seq, plan_id, error_code, dataset_uri,
              CASE WHEN error_code IS DISTINCT FROM 'E111' THEN step END AS steps FROM requests""",
     ),
+    "h1_queue_source": sql(
+        "requests",
+        "SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY request_id)::INTEGER AS place, error_code, dataset_uri FROM requests",
+    ),
     "h2_serve": sql(
         "base requests served",
         """SELECT request_id, CASE WHEN error_code IS NULL THEN 'success' ELSE 'fail' END AS status,
