@@ -19,6 +19,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # No stream here emits rows when a watermark passes, so a batch without data does nothing.
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    # State that outlives a batch lies on disk; a batch writes its changes only.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

@@ -11,11 +11,12 @@ from runloom.streaming.requests import (
 )
 from runloom.streaming.results import progress, read_channel, route_failures, success_messages
 from runloom.streaming.serving import Service, read_artifacts, serve
-from runloom.streaming.status import enrich_errors, error_table, latest_status, status_stream
+from runloom.streaming.status import current_status, enrich_errors, error_table, latest_status, status_stream
 
 __all__ = [
     "REQUEST_ENVELOPE",
     "Service",
+    "current_status",
     "drain",
     "enrich_errors",
     "error_table",

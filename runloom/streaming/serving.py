@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from runloom.constants import ARTIFACTS_CHANNEL, SUMMARY_CHANNEL
 from runloom.functions.ordered import carry_forward
 from runloom.operators.history import parameter_columns
+from runloom.session import prepare
 from runloom.streaming.outbox import Outbox
 from runloom.streaming.requests import parse_requests, request_arguments
 from runloom.streaming.results import route_failures, success_messages
@@ -27,10 +28,6 @@ CHUNK_BITS = 16
 _FIRST = -(1 << 63)
 # Folders of a batch: what it needs until it is done, and the artifacts it has written.
 WORK, ARTIFACTS = "work", "artifacts"
-STATE_SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-}
 
 
 @dataclass(frozen=True)
@@ -83,9 +80,7 @@ def serve(requests: DataFrame, service: Service, checkpoint: str) -> DataStreamW
     few joins; what they need of plans and datasets is selected
     by their keys first, so a batch does not shuffle those tables.
     """
-    spark = requests.sparkSession
-    for key, value in STATE_SETTINGS.items():
-        spark.conf.set(key, value)
+    spark = prepare(requests.sparkSession)
     plans = _plan_columns(service)
     plans.write.mode("overwrite").parquet(f"{service.root}/plans")
     stored = spark.read.schema(plans.schema).parquet(f"{service.root}/plans")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom import streaming
 from runloom.constants import ARTIFACTS_CHANNEL, ERROR_CODES, SUMMARY_CHANNEL
-from runloom.streaming import serving
+from runloom.streaming import serving, status
 from runloom.streaming.outbox import Outbox, caused_by_a_row
 
 
@@ -211,14 +211,47 @@ def test_latest_status(spark, tmp_path):
             f.writelines(json.dumps(dict(zip(("run", "seq", "status"), e))) + "\n" for e in events)
         stream = streaming.request_stream(spark, source, schema=schema)
         streaming.drain(streaming.status_stream(stream, f"{root}/rows", f"{root}/checkpoint"))
-        changes = spark.read.schema(schema).parquet(f"{root}/rows/batch_id=*")
-        return rows(streaming.latest_status(changes), "run", "status")
+        return rows(streaming.current_status(spark, f"{root}/rows"), "run", "status")
 
     assert run("0", [(1, 1, "setup"), (1, 2, "load"), (2, 1, "booting")]) == [(1, "load"), (2, "booting")]
     assert run("1", [(1, 5, "save"), (1, 4, "run.train")]) == [(1, "save"), (2, "booting")]
     assert run("2", [(1, 3, "run")]) == [(1, "save"), (2, "booting")]
 
 
+def test_state_of_runs_that_ended_goes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(status, "FOLD_EVERY", 4)
+    source, root, schema = f"{tmp_path}/in", str(tmp_path), "run bigint, seq bigint, status string"
+    os.makedirs(source)
+    for n, events in enumerate([[(r, 1, "run") for r in range(40)], [(r, 2, "save") for r in range(30)], [(99, 1, "load"), (3, 1, "setup")], *[[(99, 2 + k, "run")] for k in range(7)]]):
+        with open(f"{source}/{n:03}.json", "w") as f:
+            f.writelines(json.dumps(dict(zip(("run", "seq", "status"), e))) + "\n" for e in events)
+        os.utime(f"{source}/{n:03}.json", (n + 10**9, n + 10**9))
+    stream = streaming.request_stream(spark, source, max_files=1, schema=schema)
+    query = streaming.drain(streaming.status_stream(stream, f"{root}/rows", f"{root}/checkpoint"))
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+    # Run 3 ended; what came late for it is state again until it times out.
+    assert held[0] == 40 and held[1] == 10 and held[-1] == 12
+    found = {r["run"]: (r["status"], r["seq"]) for r in streaming.current_status(spark, f"{root}/rows").collect()}
+    assert found == {r: ("save", 2) if r < 30 else ("run", 1) for r in range(40)} | {99: ("run", 8)}
+    assert os.listdir(f"{root}/rows/table") == ["upto=7"] and sorted(os.listdir(f"{root}/rows/changes")) == ["batch_id=8", "batch_id=9"]
+
+
+def test_state_of_silent_runs_goes(spark, tmp_path):
+    source, root, schema = f"{tmp_path}/in", str(tmp_path), "run bigint, seq bigint, status string"
+
+    def run(name, events):
+        os.makedirs(source, exist_ok=True)
+        with open(f"{source}/{name}.json", "w") as f:
+            f.writelines(json.dumps(dict(zip(("run", "seq", "status"), e))) + "\n" for e in events)
+        stream = streaming.request_stream(spark, source, schema=schema)
+        query = streaming.drain(streaming.status_stream(stream, f"{root}/rows", f"{root}/checkpoint", keep="1 second"))
+        return query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+
+    assert run("0", [(r, 1, "run") for r in range(20)]) == 20
+    time.sleep(1.5)
+    assert run("1", [(50, 1, "run")]) == 1
+
+
 def test_error_codes(spark):
     events = spark.createDataFrame([(1, "E141"), (2, "E000"), (3, None)], "request_id bigint, code string")
     got = rows(streaming.enrich_errors(events), "request_id", "error_name")

@@ -723,9 +723,8 @@ def h4_route_failures(spark, sf_dir):
 @query
 def h5_status_stream(spark, sf_dir):
     root = scratch_dir(spark, "h5")
-    streaming.drain(streaming.status_stream(_status_stream(spark, sf_dir), f"{root}/rows", f"{root}/checkpoint"))
-    changes = spark.read.schema("run bigint, status string, seq bigint").parquet(f"{root}/rows/batch_id=*")
-    return streaming.latest_status(changes)
+    streaming.drain(streaming.status_stream(_status_stream(spark, sf_dir), f"{root}/status", f"{root}/checkpoint"))
+    return streaming.current_status(spark, f"{root}/status")
 
 
 @query
