@@ -4,7 +4,8 @@ A text is cut into lines. Rules look at one line at a time and remove those that
 that loses too much of its text is rejected. Nothing is shuffled: every rule reads its own row.
 
 Defined results: a null text counts as an empty one and is rejected for having too few words. Blank
-lines belong to no rule and carry no weight. Repeated rows get the same verdict, other columns are
+lines belong to no rule and carry no weight. Blanks at the end of a line, the `\\r` of other systems among them, do not count. Scripts
+are equal: letters, marks, digits and punctuation are those of Unicode. Repeated rows get the same verdict, other columns are
 ignored, an empty table gives an empty table.
 """
 
@@ -32,8 +33,15 @@ BOILERPLATE = (
     "all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|uses cookies|enable javascript"
     "|javascript is disabled|lorem ipsum|sign up for|subscribe to|log ?in to|click here|read more|share this|skip to (main )?content"
 )
-#: Characters that may close a sentence or what stands around it.
-CLOSING = [".", "!", "?", "…", ":", ";", ",", '"', "'", ")", "]", "»", "”", "’", "。", "！", "？"]
+#: What stands between menu entries: signs of their own, or dashes and slashes between blanks.
+SEPARATORS = "[|·•›>]| [/–—-] "
+#: A line may end in a letter, a mark, a digit, a picture or a punctuation mark of any script, but not in one of these.
+ENDINGS, NO_ENDINGS = r"[\p{L}\p{M}\p{N}\p{P}\p{So}]", r"[#%&*@/\\_·•–—›‹«-]"
+PUNCTUATION = r"\p{P}"
+#: So many lines in a row, of so few words and characters and without a punctuation mark at the end, are a menu.
+MENU_LINES, MENU_WORDS, MENU_CHARS = 4, 4, 30
+#: The blanks that may follow the last character of a line.
+LINE_ENDS = " \t\r\x0b\x0c"
 
 
 def _text(text: Column) -> Column:
@@ -45,26 +53,52 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(_text(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
+def _ends(line: Column, pattern: str) -> Column:
+    last = F.right(F.rtrim(line, F.lit(LINE_ENDS)), F.lit(1))
+    return last.rlike(pattern) & ~last.rlike(NO_ENDINGS)
+
+
 def line_passes(line: Column) -> Column:
-    """True if no rule removes the line.
+    """True if no rule that looks at the line alone removes it.
 
-    Navigation: menu entries between separators. Symbols: more than MAX_SYMBOL_PERCENT of its
-    characters. Boilerplate: a short line with a phrase of page furniture. Punctuation: a line of
-    four words and more that ends in a symbol instead of a letter, a digit or a closing character.
+    Navigation: menu entries between separators; closing quotation marks are none. Symbols: more than MAX_SYMBOL_PERCENT
+    of its characters. Boilerplate: a short line with a phrase of page furniture. Punctuation: the line ends in a
+    symbol, whatever its length.
     """
     chars = F.length(line)
-    separators = chars - F.length(F.replace(line, F.lit("|"), F.lit("")))
+    quotes = F.regexp_count(line, F.lit("»")) - F.regexp_count(line, F.lit("«"))
+    separators = F.regexp_count(line, F.lit(SEPARATORS)) + F.greatest(quotes, F.lit(0))
     navigation = (separators >= NAV_SEPARATORS) & (chars <= separators * NAV_CHARS)
     symbols = (chars - F.length(F.regexp_replace(line, SYMBOLS, ""))) * 100 > chars * MAX_SYMBOL_PERCENT
     boilerplate = (chars <= BOILERPLATE_CHARS) & F.lower(line).rlike(BOILERPLATE)
-    last = F.right(F.rtrim(line), F.lit(1))
-    unfinished = ~(last.isin(*CLOSING) | last.rlike(r"[\p{L}\p{N}]"))
-    return ~(navigation | symbols | boilerplate | unfinished)
+    return _ends(line, ENDINGS) & ~(navigation | symbols | boilerplate)
+
+
+def menu_entry(line: Column) -> Column:
+    """True for a short line of few words that no punctuation mark ends; several in a row are a menu."""
+    few = F.size(F.filter(F.split(line, BLANKS), lambda w: w != "")) <= MENU_WORDS
+    return (F.length(line) <= MENU_CHARS) & few & ~_ends(line, PUNCTUATION)
+
+
+def passing(lines: Column) -> Column:
+    """The lines that no rule removes, those of menus gone too.
+
+    Each line is a digit, 1 for an entry; a line belongs to a menu if MENU_LINES ones follow each other among the digits
+    around it.
+    """
+    row, edge = "1" * MENU_LINES, "0" * (MENU_LINES - 1)
+
+    def kept(digits: Column) -> Column:
+        around = lambda i: F.substr(digits, i + 1, F.lit(2 * MENU_LINES - 1))
+        return F.filter(lines, lambda line, i: line_passes(line) & ~F.contains(around(i), F.lit(row)))
+
+    digits = F.array_join(F.transform(lines, lambda line: F.when(menu_entry(line), "1").otherwise("0")), "")
+    return _let(F.concat(F.lit(edge), digits, F.lit(edge)), kept)
 
 
 def clean_text(text: Column) -> Column:
     """The text without the lines that fail a rule."""
-    return F.array_join(F.filter(lines_of(text), line_passes), "\n")
+    return F.array_join(_let(lines_of(text), passing), "\n")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -123,7 +157,7 @@ def _line_measures(lines: Column) -> Column:
     return F.struct(
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.length(F.array_join(lines, "")).cast("long").alias("chars"),
-        F.length(F.array_join(F.filter(lines, line_passes), "")).cast("long").alias("left"),
+        F.length(F.array_join(passing(lines), "")).cast("long").alias("left"),
     )
 
 
@@ -170,4 +204,4 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     return score(rows).where("kept").select("doc_id.*")
 
 
-__all__ = ["clean_text", "keep", "line_passes", "lines_of", "measures", "score"]
+__all__ = ["clean_text", "keep", "line_passes", "lines_of", "measures", "menu_entry", "passing", "score"]

@@ -78,15 +78,24 @@ WITH texts AS (
 ), repeated AS (
     SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range(3) o(k) WHERE times > 1 GROUP BY doc_id
 ), line_rules AS (
-    SELECT doc_id, sum(chars) AS chars, sum(chars) FILTER (NOT fails) AS kept_chars FROM (
-        SELECT doc_id, length(line) AS chars,
-               (bars >= {rules.NAV_SEPARATORS} AND length(line) <= bars * {rules.NAV_CHARS})
-               OR symbols * 100 > length(line) * {rules.MAX_SYMBOL_PERCENT}
-               OR (length(line) <= {rules.BOILERPLATE_CHARS} AND regexp_matches(lower(line), '{rules.BOILERPLATE}'))
-               OR NOT (last IN ({quoted(rules.CLOSING)}) OR regexp_matches(last, '[\\p{{L}}\\p{{N}}]')) AS fails
-        FROM (SELECT doc_id, line, length(line) - length(replace(line, '|', '')) AS bars,
-                     length(line) - length(regexp_replace(line, '{rules.SYMBOLS}', '', 'g')) AS symbols, right(rtrim(line, ' '), 1) AS last
-              FROM (SELECT doc_id, unnest(lines) AS line FROM texts)))
+    SELECT doc_id, sum(chars) AS chars, sum(chars) FILTER (NOT fails AND NOT contains(substr(digits, line_no, {2 * rules.MENU_LINES - 1}), '{"1" * rules.MENU_LINES}')) AS kept_chars
+    FROM (
+        SELECT *, '{"0" * (rules.MENU_LINES - 1)}' || string_agg(entry, '' ORDER BY line_no) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+               || '{"0" * (rules.MENU_LINES - 1)}' AS digits
+        FROM (
+            SELECT doc_id, line_no, length(line) AS chars,
+                   (seps >= {rules.NAV_SEPARATORS} AND length(line) <= seps * {rules.NAV_CHARS})
+                   OR symbols * 100 > length(line) * {rules.MAX_SYMBOL_PERCENT}
+                   OR (length(line) <= {rules.BOILERPLATE_CHARS} AND regexp_matches(lower(line), '{rules.BOILERPLATE}'))
+                   OR NOT (regexp_matches(last, '{rules.ENDINGS}') AND NOT regexp_matches(last, '{rules.NO_ENDINGS}')) AS fails,
+                   CASE WHEN length(line) <= {rules.MENU_CHARS} AND len(regexp_extract_all(line, '{WORD}')) <= {rules.MENU_WORDS}
+                        AND NOT (regexp_matches(last, '{rules.PUNCTUATION}') AND NOT regexp_matches(last, '{rules.NO_ENDINGS}')) THEN '1' ELSE '0' END AS entry
+            FROM (SELECT doc_id, line, line_no,
+                         len(regexp_extract_all(line, '{rules.SEPARATORS}'))
+                           + greatest(0, len(regexp_extract_all(line, '»')) - len(regexp_extract_all(line, '«'))) AS seps,
+                         length(line) - length(regexp_replace(line, '{rules.SYMBOLS}', '', 'g')) AS symbols,
+                         right(rtrim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)), 1) AS last
+                  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS line_no FROM texts))))
     GROUP BY doc_id
 ), measured AS (
     SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,

@@ -171,6 +171,41 @@ def test_line_rules(documents):
     assert kept.columns == documents(rows, clash=True).columns and kept.count() == 3
 
 
+def test_sound_texts_of_all_scripts_pass(documents):
+    prose = [" ".join(f"word{i}{k}" for i in range(16)) + "." for k in range(6)]
+    texts = {
+        1: "\n".join(prose),
+        2: "\r\n".join(prose),
+        3: "\n".join(" ".join(f"शब्द{i}{k}" for i in range(16)) + "।" for k in range(6)),
+        4: "\n".join(" ".join(f"mot{i}{k}e\u0301" for i in range(16)) for k in range(6)),  # marks at the end
+        5: "\n".join(" ".join(f"كلمة{i}{k}" for i in range(16)) + "؟" for k in range(6)),
+        6: "\n".join(" ".join(f"« mot{i}{k} »" for i in range(4)) + " " + " ".join(f"suite{i}{k}" for i in range(9)) + "." for k in range(6)),
+        7: "\n".join(" ".join(f"wrapped{i}{k}" for i in range(12)) for k in range(6)),  # cut at a width
+        8: "\n".join(line for k, p in enumerate(prose) for line in (f"Heading {k}", p)),
+    }
+    got = {r.doc_id: (r.kept, r.lost_chars) for r in quality_rules.score(documents(list(texts.items()))).collect()}
+    assert got == dict.fromkeys(texts, (True, 0))
+
+
+def test_menus_fail(documents):
+    texts = {
+        1: "\n".join(f"Section{k} · Topic{k} · More{k} · Contact{k} · Page{k}" for k in range(12)),
+        2: "\n".join(f"Item {k}\nGo {k} now\n" for k in range(30)),
+        3: "\n".join(f"Home{k} / Products{k} / Shoes{k} / Men{k} / Sale{k}" for k in range(12)),
+        4: "\n".join(f"Home{k} » Shop{k} » Men{k} » Shoes{k} » Sale{k}" for k in range(12)),
+        5: "\n".join(f"Page{k} > Next{k} > Last{k} > All{k} > None{k}" for k in range(12)),
+        6: "\n".join(f"About us {k}\r" for k in range(40)),
+    }
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.score(documents(list(texts.items()))).collect()}
+    assert got == dict.fromkeys(texts, (False, False))
+
+
+def test_a_menu_is_as_long_as_the_rule_says(documents):
+    lines = ["Home", "About us", "A sentence that stands between the entries.", "News", "Shop", "Cart", "Login here", "", "Help", "The end."]
+    df = documents([(1, "\n".join(lines))])
+    assert df.select(quality_rules.clean_text(df["text"]).alias("t")).first().t.split("\n") == [*lines[:3], "The end."]
+
+
 def test_rules_stay_in_the_jvm(documents):
     plan = quality_rules.score(documents(EDGE))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
