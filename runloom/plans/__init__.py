@@ -11,8 +11,10 @@ from runloom.plans.learning import (
     summarize_scores,
 )
 from runloom.plans.steps import Step, StepError, interface, native_step, pandas_step, run_steps, vector_step
+from runloom.plans.trees import Forest, read_forest
 
 __all__ = [
+    "Forest",
     "Step",
     "StepError",
     "feature_stages",
@@ -23,6 +25,7 @@ __all__ = [
     "pandas_step",
     "pick_model",
     "pick_models",
+    "read_forest",
     "run_steps",
     "score_step",
     "select_xy",

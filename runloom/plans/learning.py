@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from runloom.session import BYTES_PER_PARTITION, input_bytes
+from runloom.session import BYTES_PER_PARTITION, input_bytes, scratch_dir
 
 FEATURES, LABEL, PREDICTION, RESULT, PROBABILITIES = "features", "label", "prediction", "predicted", "probabilities"
 
@@ -49,13 +49,10 @@ def fit_step(
     """Train a forest of ``n_estimators`` trees and save it below the models area.
 
     Trees grow level by level over all partitions; only split statistics reach the
-    driver. Training passes over the data many times, so the input is spread first: over
+    driver. Training passes over the data many times, so the input is written once, spread over
     ``partitions``, or over one partition per 128 MiB and two per core at least. A row without a
     label is an error, never left out.
     """
-    unlabelled = df.filter(F.col(y_column).isNull()).limit(1).count()
-    if unlabelled:
-        raise ValueError(f"training rows without a label in {y_column}")
     forest = RandomForestClassifier(
         featuresCol=FEATURES,
         labelCol=LABEL,
@@ -67,7 +64,11 @@ def fit_step(
     label = StringIndexer(inputCol=y_column, outputCol=LABEL, stringOrderType="alphabetAsc", handleInvalid="error")
     data = select_xy(df, x_columns, y_column).withColumn(y_column, F.col(y_column).cast("string"))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    data = data.repartition(partitions or max(2 * cores, input_bytes(data) // BYTES_PER_PARTITION))
+    path, schema = scratch_dir(df.sparkSession, "training"), data.schema
+    data.repartition(partitions or max(2 * cores, input_bytes(data) // BYTES_PER_PARTITION)).write.parquet(path)
+    data = df.sparkSession.read.schema(schema).parquet(path)
+    if not data.filter(F.col(y_column).isNull()).isEmpty():
+        raise ValueError(f"training rows without a label in {y_column}")
     model = Pipeline(stages=[*feature_stages(df, x_columns), label, forest]).fit(data)
     if model_path:
         model.write().overwrite().save(model_path)

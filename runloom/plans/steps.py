@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from types import MappingProxyType
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from runloom.constants import INTERFACE_MODES
-from runloom.session import scratch_dir
+from runloom.session import exists, scratch_dir
 
 Config = Mapping[str, Any]
 StepCode = Callable[[DataFrame, Mapping[str, Any], Config], "DataFrame | tuple[DataFrame, Config]"]
@@ -36,11 +37,15 @@ def run_steps(
     names: str | Iterable[str] = "all",
     config: Config | None = None,
     mode: str = "memory",
+    root: str | None = None,
 ) -> tuple[DataFrame, Config]:
     """Chain steps into one plan: all in plan order, one by name, or a list in its own order.
 
     Nothing is computed here in memory mode. Config is read-only for a step; a
     step that changes it returns a new mapping.
+
+    With ``root`` in file mode the result and the config of each step stay below it, and a run of the same plan goes on
+    behind the last step that is whole there. The config must then be what JSON can hold.
     """
     by_name = {step.name: step for step in steps}
     if len(by_name) < len(steps):
@@ -51,31 +56,50 @@ def run_steps(
         raise ValueError(f"unknown steps {unknown}, the plan has {list(by_name)}")
 
     shared: Config = MappingProxyType(dict(config or {}))
-    for name in wanted:
-        step = by_name[name]
+    for number, name in enumerate(wanted):
+        step, place = by_name[name], f"{root}/{number:03}-{name}" if root and mode == "file" else None
+        if place and (known := _finished(data.sparkSession, place)):
+            data, shared = known
+            continue
         try:
             result = step.code(data, MappingProxyType(dict(step.args or {})), shared)
             data, new_config = result if isinstance(result, tuple) else (result, shared)
-            data = interface(data, mode, name)
+            data = interface(data, mode, name, place)
         except Exception as error:
             raise StepError(f"step {name} failed: {error}") from error
         shared = MappingProxyType(dict(new_config))
+        if place:
+            said = data.sparkSession.createDataFrame([(json.dumps(dict(shared)), data.schema.json())], HANDOVER)
+            said.coalesce(1).write.mode("overwrite").json(f"{place}/handover")
     return data, shared
 
 
-def interface(data: DataFrame, mode: str, label: str = "step") -> DataFrame:
+# What a step hands over beside its rows.
+HANDOVER = "config string, schema string"
+
+
+def _finished(spark: SparkSession, place: str) -> tuple[DataFrame, Config] | None:
+    """The rows and the config of a step that is whole: the config is written last."""
+    if not exists(spark, f"{place}/handover/_SUCCESS"):
+        return None
+    said = spark.read.schema(HANDOVER).json(f"{place}/handover").first()
+    rows = spark.read.schema(StructType.fromJson(json.loads(said["schema"]))).parquet(f"{place}/rows")
+    return rows, MappingProxyType(json.loads(said["config"]))
+
+
+def interface(data: DataFrame, mode: str, label: str = "step", place: str | None = None) -> DataFrame:
     """Hand a frame to the next step: as a plan, or written and read back.
 
     ``file`` cuts the lineage and survives lost executors; the files go to the
-    shared scratch folder.
+    shared scratch folder, or to ``place``.
     """
     if mode not in INTERFACE_MODES:
         raise ValueError(f"mode must be one of {INTERFACE_MODES}")
     if mode == "memory":
         return data
     spark = data.sparkSession
-    path = scratch_dir(spark, f"interface-{label}")
-    data.write.parquet(path)
+    path = f"{place}/rows" if place else scratch_dir(spark, f"interface-{label}")
+    data.write.mode("overwrite").parquet(path)
     return spark.read.schema(data.schema).parquet(path)
 
 

@@ -63,6 +63,26 @@ def test_both_modes_give_the_same(spark):
         plans.run_steps(data(spark), STEPS, mode="disk")
 
 
+def test_a_failed_run_goes_on_behind_its_last_whole_step(spark, tmp_path):
+    ran = []
+
+    def step(name, fails=False):
+        def code(data, args, config):
+            ran.append(name)
+            if fails:
+                raise RuntimeError("no")
+            return data.withColumn(name, F.lit(config["n"])), {"n": config["n"] + 1}
+
+        return Step(name, code)
+
+    root = f"{tmp_path}/steps"
+    with pytest.raises(StepError):
+        plans.run_steps(data(spark), [step("a"), step("b"), step("c", True)], config={"n": 1}, mode="file", root=root)
+    result, config = plans.run_steps(data(spark), [step("a"), step("b"), step("c")], config={"n": 1}, mode="file", root=root)
+    assert ran == ["a", "b", "c", "c"] and config == {"n": 4}
+    assert rows(result.select("a", "b", "c").distinct()) == [(1, 2, 3)]
+
+
 def test_python_steps_do_not_depend_on_batches(spark):
     def batch(frame: pd.DataFrame, factor: int) -> pd.DataFrame:
         return pd.DataFrame({"w": frame["v"] * factor})
@@ -95,6 +115,31 @@ def test_model_is_saved_and_scores_the_same(spark, tmp_path):
     assert rows(later.filter("(x < 5) <> (predicted = 'low')"), "x") == []
 
 
+def test_trees_as_expressions_and_sql(spark, tmp_path):
+    import duckdb
+
+    df = spark.range(600).select(
+        (F.col("id") % 7).alias("a"),
+        (F.col("id") % 3).cast("double").alias("b"),
+        F.when(F.col("id") % 5 < 2, "x'").when(F.col("id") % 5 < 4, "y").otherwise("z").alias("word"),
+        F.when(F.col("id") % 7 < 3, "p").when(F.col("id") % 5 < 2, "q").otherwise("r'").alias("label_"),
+    )
+    plans.fit_step(df.filter("a <> 6"), ["a", "b", "word"], "label_", {"n_estimators": 7, "max_depth": 4}, f"{tmp_path}/m")
+    unseen = df.union(df.limit(5).withColumn("word", F.lit("new")).select(df.columns))
+    scored = plans.score_step(unseen, f"{tmp_path}/m")
+    forest = plans.read_forest(spark, f"{tmp_path}/m")
+    both = forest.add_prediction(scored, "by_trees")
+    assert both.filter("predicted <> by_trees").count() == 0 and both.count() == 605
+    # An accuracy floor: the label follows from the features.
+    assert both.filter("predicted = label_ AND a <> 6").count() >= 0.9 * both.filter("a <> 6").count()
+    small = plans.fit_step(df, ["a", "b", "word"], "label_", {"n_estimators": 2, "max_depth": 3}, f"{tmp_path}/small")
+    wanted = rows(plans.score_step(unseen, small), "a", "b", "word", "predicted")
+    con = duckdb.connect()
+    con.register("unseen", unseen.toPandas())
+    found = con.sql(f"SELECT a, b, word, {plans.read_forest(spark, f'{tmp_path}/small').sql()} AS predicted FROM unseen").fetchall()
+    assert sorted(map(str, found)) == sorted(map(str, wanted))
+
+
 def test_select_xy(spark):
     df = training(spark)
     assert plans.select_xy(df, ["x"], "y").columns == ["x", "y"]

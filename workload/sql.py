@@ -494,7 +494,7 @@ ORACLE: dict[str, str] = {
     "g1_run_steps": LINE_TOTALS.format(more=", 2 AS used"),
     "g2_user_step": """SELECT l_returnflag, floor(l_quantity / 10)::BIGINT AS band, count(*) AS n_lines FROM lineitem
       WHERE round(l_discount * 100) >= 5 GROUP BY ALL""",
-    "g3_interface_mode": LINE_TOTALS.format(more=""),
+    "g3_interface_mode": LINE_TOTALS.format(more=", 2 AS used"),
     "g4_select_xy": "SELECT l_quantity, l_extendedprice, l_discount, l_linestatus, l_returnflag FROM lineitem",
     "g5_fit_step": """
       SELECT 100::INT AS n_trees, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS labels, 4::INT AS n_features,
