@@ -41,26 +41,36 @@ def ordered_digest(
     do not appear, so a small group costs as many digests as it has rows. A task holds one
     leaf at most. Nothing runs when this is called.
     """
-    algorithm, by = algorithm.lower(), list(by)
+    algorithm = algorithm.lower()
     if algorithm not in ("sha256", "md5"):
         raise ValueError(f"unknown digest algorithm: {algorithm}")
-    leaf, inner = TREE_DIGITS
-    place = F.substring(F.md5(F.concat_ws(".", *[F.col(name).cast("string") for name in order])), 1, leaf)
-    rows = df.select(*by, place.alias("_node"), F.struct(*order).alias("_key"), text.alias("_text"))
-    leaves = rows.groupBy(*by, "_node").agg(
-        _ordered_concat("_text", "_key").alias("_text"), F.count(F.lit(1)).alias("n_rows")
-    )
-    nodes = _level(leaves, by, algorithm, F.substring("_node", 1, inner))
-    roots = _level(nodes, by, algorithm, None).filter("n_rows > 0")
-    return roots.select(*by, _digest(F.col("_text"), algorithm).alias("digest"), "n_rows")
+    return digest_of_leaves(leaf_digests(df, by, order, text, algorithm), by, algorithm)
+
+
+def leaf_of(order: Sequence[str]) -> Column:
+    """The leaf that a row belongs to."""
+    return F.substring(F.md5(F.concat_ws(".", *[F.col(name).cast("string") for name in order])), 1, TREE_DIGITS[0])
+
+
+def leaf_digests(df: DataFrame, by: Sequence[str], order: Sequence[str], text: Column, algorithm: str = "sha256") -> DataFrame:
+    """leaf, digest and n_rows of the leaves of each group's tree."""
+    rows = df.select(*by, leaf_of(order).alias("leaf"), F.struct(*order).alias("_key"), text.alias("_text"))
+    joined = rows.groupBy(*by, "leaf").agg(_ordered_concat("_text", "_key").alias("_text"), F.count(F.lit(1)).alias("n_rows"))
+    return joined.select(*by, "leaf", _digest(F.col("_text"), algorithm).alias("digest"), "n_rows")
+
+
+def digest_of_leaves(leaves: DataFrame, by: Sequence[str], algorithm: str = "sha256") -> DataFrame:
+    """The digest of each group's tree from its leaves."""
+    by = list(by)
+    nodes = _level(leaves.withColumnRenamed("leaf", "_node"), by, algorithm, F.substring("_node", 1, TREE_DIGITS[1]))
+    return _level(nodes, by, algorithm, None).filter("n_rows > 0").select(*by, "digest", "n_rows")
 
 
 def _level(nodes: DataFrame, by: list[str], algorithm: str, above: Column | None) -> DataFrame:
-    """The digests of the nodes, joined in order within the node above, or within the group."""
-    digests = nodes.withColumn("_text", _digest(F.col("_text"), algorithm))
+    """The digest of the nodes' digests, joined in order within the node above, or within the group."""
     keys = [*by, *([above.alias("_above")] if above is not None else [])]
-    joined = digests.groupBy(*keys).agg(_ordered_concat("_text", "_node").alias("_text"), F.sum("n_rows").alias("n_rows"))
-    return joined.withColumnRenamed("_above", "_node")
+    joined = nodes.groupBy(*keys).agg(_ordered_concat("digest", "_node").alias("_text"), F.sum("n_rows").alias("n_rows"))
+    return joined.withColumn("digest", _digest(F.col("_text"), algorithm)).drop("_text").withColumnRenamed("_above", "_node")
 
 
 def _ordered_concat(text: str, key: str) -> Column:

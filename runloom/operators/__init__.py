@@ -41,6 +41,7 @@ from runloom.operators.params import (
     unknown_ui_args,
 )
 from runloom.operators.ranking import first_wins, latest_by_key, stage_durations
+from runloom.operators.renewal import renew_dataset, store_dataset, stored_id
 from runloom.operators.retention import apply_retention, finish_retention, retention_plan
 from runloom.operators.sinks import append_run, read_ledger, replace_prefix, run_id, write_artifacts, write_ledger, write_output
 
@@ -82,6 +83,7 @@ __all__ = [
     "overlay_paths",
     "param_id",
     "parameter_names",
+    "renew_dataset",
     "replace_prefix",
     "retention_plan",
     "run_id",
@@ -93,6 +95,8 @@ __all__ = [
     "show_increments",
     "sort_recent",
     "stage_durations",
+    "store_dataset",
+    "stored_id",
     "unknown_ui_args",
     "write_artifacts",
     "write_ledger",

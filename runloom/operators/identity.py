@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.constants import EMPTY_DATA_ID
-from runloom.functions.hashing import content_hash64, low64, ordered_digest, short_id
+from runloom.functions.hashing import content_hash64, digest_of_leaves, low64, ordered_digest, short_id
 
 
 def file_hashes(files: DataFrame, content: str = "content") -> DataFrame:
@@ -22,7 +22,15 @@ def dataset_id(files: DataFrame, by: Sequence[str] = (), path: str = "path", has
     Without groups it is one id over all files, zeros if there are none. The hash of
     each file stays a row of ``files``; it is never gathered into a map.
     """
-    digest = ordered_digest(files, by, [path], F.col(hash64).cast("string"))
+    return _named(ordered_digest(files, by, [path], F.col(hash64).cast("string")), by)
+
+
+def ids_of_leaves(leaves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same from the leaves of the digest tree."""
+    return _named(digest_of_leaves(leaves, by), by)
+
+
+def _named(digest: DataFrame, by: Sequence[str]) -> DataFrame:
     if by:
         return digest.select(*by, short_id(F.col("digest")).alias("data_id"), F.col("n_rows").alias("n_files"))
     return digest.agg(

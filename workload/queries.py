@@ -150,6 +150,22 @@ def b2_dataset_id(spark, sf_dir):
     return op.dataset_id(hashed, ["base_dir"]).unionByName(everything)
 
 
+@query
+def b2_renewed_id(spark, sf_dir):
+    """The same ids from stored leaves: a dataset of older files is stored, then changed, new and deleted files are taken over."""
+    hashed = op.file_hashes(views.files(spark, sf_dir)).select("base_dir", "path", "hash64", "doc_id")
+    hashed = plans.interface(hashed, "file", "hashes")
+    number = F.col("doc_id")
+    changed, new, gone = number % 10 == 0, number % 7 == 1, number % 13 == 2
+    older = hashed.filter(~new).withColumn("hash64", F.when(changed, F.lit(0).cast("decimal(20,0)")).otherwise(F.col("hash64")))
+    extra = hashed.filter(gone).withColumn("path", F.concat("path", F.lit(".old")))
+    columns = ["base_dir", "path", "hash64"]
+    changes = hashed.filter(changed | new).select(columns).union(extra.withColumn("hash64", F.lit(None).cast("decimal(20,0)")).select(columns))
+    root = op.store_dataset(older.select(columns).union(extra.select(columns)), scratch_dir(spark, "dataset"), ["base_dir"])
+    op.renew_dataset(changes, root, ["base_dir"])
+    return op.stored_id(spark, root, ["base_dir"])
+
+
 @query
 def b3_param_id(spark, sf_dir):
     return op.param_id(views.params(spark, sf_dir))

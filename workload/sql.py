@@ -569,3 +569,4 @@ ORACLE: dict[str, str] = {
     + retention("later", "gone_then")
     + " SELECT ptype, folder, size_bytes FROM later WHERE folder NOT IN (SELECT folder FROM gone_then)",
 }
+ORACLE["b2_renewed_id"] = f"SELECT * FROM ({ORACLE['b2_dataset_id']}) WHERE base_dir <> '*'"
