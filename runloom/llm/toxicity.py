@@ -36,8 +36,9 @@ PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Lengths in bytes of the beginnings of words that are terms as well; inflected forms of an insult share them.
 STEMS = (4, 5, 6, 7)
-#: Words whose terms a task keeps; a word with its terms takes about 500 bytes.
-CACHED_WORDS = 60_000
+#: Words that a task keeps while it scores, at about 150 bytes each; twice as many at most. While it learns a word
+#: comes with all its terms, at about 500 bytes, and a fourth as many are kept.
+CACHED_WORDS = 120_000
 
 
 def hashed(term: bytes) -> int:
@@ -58,16 +59,23 @@ def shouted(text: str) -> list[int]:
 
 
 class _ByWord(dict):
-    """What a function says of a word, kept for words met lately."""
+    """What a function says of a word, kept for words met lately.
 
-    def __init__(self, function):
+    When it is full its words become the older ones; of these only what is met again comes back.
+    """
+
+    def __init__(self, function, most: int):
         super().__init__()
-        self.function = function
+        self.function, self.most, self.older = function, most, {}
 
     def __missing__(self, word: bytes):
-        if len(self) >= CACHED_WORDS:
+        value = self.older.pop(word, None)
+        if value is None:
+            value = self.function(word)
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[word] = self.function(word)
+        self[word] = value
         return value
 
 
@@ -75,7 +83,7 @@ class Terms:
     """The distinct hashed terms of texts, each with the value 1; terms of words are kept as long as this object is."""
 
     def __init__(self):
-        self.known = _ByWord(word_terms)
+        self.known = _ByWord(word_terms, CACHED_WORDS // 4)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         found = {*chain.from_iterable(map(self.known.__getitem__, set(lower_words(text)))), *shouted(text or "")}
@@ -149,7 +157,7 @@ def judge(model: dict[str, np.ndarray]):
     row_of = {k: r for r, k in enumerate(model["known"].tolist())}
     weights = model["weights"]
     vectors, bias = model["vectors"].reshape(len(weights), FACTORS), float(model["bias"][0])
-    rows = _ByWord(lambda word: tuple(row_of[k] for k in word_terms(word) if k in row_of))
+    rows = _ByWord(lambda word: tuple(row_of[k] for k in word_terms(word) if k in row_of), CACHED_WORDS)
 
     def score(text: str | None) -> float:
         found = set(chain.from_iterable(map(rows.__getitem__, set(lower_words(text)))))
