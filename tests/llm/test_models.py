@@ -274,3 +274,91 @@ def test_classifier_edges(llm, documents, module, label):
     for some in (labels.where("false"), labels.where("doc_id = 1")):
         assert module.score(documents(rows), some).count() == len(rows)
     assert module.score(documents([]), labels).count() == 0
+
+
+# --- plain loops beside the vectorised ones ---------------------------------------
+
+
+def plain_machine(y, rows, size, epochs):
+    """A factorization machine, pair by pair and number by number, in the same order of examples."""
+    import math
+
+    draw, k = np.random.default_rng(3), toxicity.FACTORS
+    w, v = [0.0] * size, draw.normal(0, 0.05, (size, k)).tolist()
+    rate = min(max(sum(y) / len(y), 0.01), 0.99)
+    bias, n, n_v, n_b = math.log(rate / (1 - rate)), [1.0] * size, [[1.0] * k for _ in range(size)], 1.0
+    for _ in range(epochs):
+        for e in draw.permutation(len(rows)):
+            terms = rows[e]
+            margin = bias + sum(w[i] for i in terms)
+            margin += sum(sum(v[i][f] * v[j][f] for f in range(k)) for x, i in enumerate(terms) for j in terms[x + 1 :])
+            error = 1 / (1 + math.exp(-margin)) - y[e]
+            n_b += error * error
+            bias -= toxicity.BIAS_RATE * error / math.sqrt(n_b)
+            total = [sum(v[i][f] for i in terms) for f in range(k)]
+            steps = {i: [error * (total[f] - v[i][f]) + toxicity.DECAY * v[i][f] for f in range(k)] for i in terms}
+            for i in terms:
+                g = error + toxicity.DECAY * w[i]
+                n[i] += g * g
+                w[i] -= toxicity.RATE * g / math.sqrt(n[i])
+                for f, g in enumerate(steps[i]):
+                    n_v[i][f] += g * g
+                    v[i][f] -= toxicity.RATE * g / math.sqrt(n_v[i][f])
+    return w, v, bias
+
+
+def test_factorization_machine_equals_a_plain_one():
+    draw = random.Random(8)
+    names = [f"t{k}" for k in range(12)]
+    texts = [" ".join(draw.sample(names, draw.randint(1, 6))) for _ in range(150)]
+    y = np.array([float("t0" in t.split() and "t1" in t.split()) if draw.random() < 0.95 else 1.0 for t in texts])
+    of = toxicity.Terms()
+    examples = [of(t) for t in texts]
+    model = toxicity.learn(y, examples)
+    at = {int(term): k for k, term in enumerate(model["known"])}
+    assert at
+    rows = [[at[int(term)] for term in a if int(term) in at] for a, _ in examples]
+    w, v, bias = plain_machine(y.tolist(), rows, len(at), toxicity.EPOCHS)
+    assert np.allclose(model["weights"], w, atol=1e-9) and np.allclose(model["vectors"], np.ravel(v), atol=1e-9)
+    assert model["bias"][0] == pytest.approx(bias, abs=1e-9)
+    judge = toxicity.judge(model)
+    for text, terms in zip(texts[:20], rows, strict=False):
+        margin = bias + sum(w[i] for i in terms) + sum(sum(p * q for p, q in zip(v[i], v[j], strict=True)) for x, i in enumerate(terms) for j in terms[x + 1 :])
+        assert judge(text) == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9)
+
+
+def test_quality_model_equals_a_plain_follow_the_leader_loop():
+    import math
+
+    draw = random.Random(9)
+    good, bad = [f"good{k}" for k in range(8)], [f"bad{k}" for k in range(8)]
+    texts = [" ".join(draw.choices(good if k % 2 else bad, k=draw.randint(1, 9))) for k in range(120)]
+    y = np.array([float(k % 2) for k in range(120)])
+    of = quality_classifier.Features()
+    examples = [of(t) for t in texts]
+    model = quality_classifier.learn(y, examples)
+    often = {}
+    for a, _ in examples:
+        for term in a.tolist():
+            often[term] = often.get(term, 0) + 1
+    rows = [{**{t: x for t, x in zip(a.tolist(), v.tolist(), strict=True) if often[t] >= quality_classifier.MIN_DOCUMENTS}, "bias": 1.0} for a, v in examples]
+    z, n = {}, {}
+
+    def weight(t):
+        if abs(z.get(t, 0.0)) <= quality_classifier.L1:
+            return 0.0
+        shrunk = z[t] - math.copysign(quality_classifier.L1, z[t])
+        return -shrunk / ((quality_classifier.BETA + math.sqrt(n[t])) / quality_classifier.ALPHA + quality_classifier.L2)
+
+    order = np.random.default_rng(3)
+    for _ in range(quality_classifier.EPOCHS):
+        for e in order.permutation(len(rows)):
+            now = {t: weight(t) for t in rows[e]}
+            error = 1 / (1 + math.exp(-sum(now[t] * x for t, x in rows[e].items()))) - y[e]
+            for t, x in rows[e].items():
+                g, before = error * x, n.get(t, 0.0)
+                z[t] = z.get(t, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / quality_classifier.ALPHA * now[t]
+                n[t] = before + g * g
+    plain = {t: weight(t) for t in z}
+    assert model["bias"][0] == pytest.approx(plain.pop("bias"), abs=1e-9)
+    assert dict(zip(model["known"].tolist(), model["weights"].tolist(), strict=True)) == pytest.approx({t: x for t, x in plain.items() if x}, abs=1e-9)
