@@ -3,6 +3,13 @@
 quality rules -> toxicity -> n-gram Jaccard join -> mixing sources -> BPE. Each stage works on all that the one
 before it kept; its result is written as Parquet and read again as the next one's documents. All but the last
 return the columns of the documents.
+
+Defined results: null and empty texts have too few words, so the first stage rejects them. Documents without an id go
+through all stages; in a group of near copies one with an id stays if there is one. Rows that repeat an id and its text
+count as one document for the join, and the mix may repeat any row. Null sources are a source. Texts of any length are read whole.
+The stages hand on the texts as they are: lines that a rule removes decide about the document only, since the
+documents of a stage are those of the one before it. Columns keep their names, whatever they are. Without rows every
+stage returns none.
 """
 
 from __future__ import annotations
