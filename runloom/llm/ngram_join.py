@@ -3,7 +3,8 @@
 1. Sets: each text becomes a set of 64-bit hashes of its word n-grams. Documents with equal sets are one class
    from here on; copies cost nothing further.
 2. Frequencies: the hashes of all classes are dealt out by value in packed blocks, so that each block
-   counts in how many classes its hashes occur. Only hashes of two classes or more go back to their class.
+   counts in how many classes its hashes occur. Only hashes of two classes or more go back to their class. Hashes that
+   a hundredth of all documents have are known from the first step; they skip the blocks, so none of them gathers in one.
 3. Prefixes: two sets that reach the similarity share one of the rarest n - ceil(s * n) + 1 hashes of each. Hashes of
    one class alone come first in that order, so an unrelated document has no prefix left and drops out.
 4. Stars: classes with the same least hash under a seed are likely similar. Each is compared with one centre of
@@ -16,6 +17,8 @@
 A signature has a bit per hashed position, flipped by every hash that falls there; two signatures differ in at
 most as many bits as the sets differ in hashes, so overlap <= (sizes - differing bits) / 2.
 
+Hashes have 64 bits, of which 48 travel to a block and come back with the block's number; frequent ones keep all.
+
 Defined results: a text with fewer than n words is one n-gram of all its words; null texts and texts without words have an
 empty set and are linked with nothing. A null doc_id is never the smallest unless a component has no other. Repeated rows are copies.
 An empty table gives an empty table; other columns are ignored.
@@ -41,6 +44,9 @@ BLOCK_HASHES, MIN_BLOCKS = 1_000_000, 64
 SIGNATURE_WORDS = 16
 STAR_ROUNDS, STAR_SEEDS = 3, 9
 _SENT_HASHES = 500_000
+#: Hashes of at least this share of all documents are frequent, those of a batch if half as often; the most frequent
+#: ones count, up to a number that bounds what every task is sent.
+FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.01, 8, 100_000
 _KEY = np.dtype("V16")
 
 
@@ -57,18 +63,52 @@ def class_key(found: np.ndarray) -> bytes:
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text_key (a hash of the text), n_shingles, class (null for an empty set)."""
+    """doc_id, text_key (a hash of the text), n_shingles, class (null for an empty set).
+
+    The first row of a batch also has the hashes that are frequent in it, in how many of its classes they are.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             found = [shingles(t.as_py(), n, hashes) for t in batch.column(2)]
             sizes, keys = [len(f) for f in found], [class_key(f) if len(f) else None for f in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "text_key", "n_shingles", "class"])
+            often = _often({k: f for k, f in zip(keys, found, strict=True) if k})
+            rest = [None] * (len(found) - 1)
+            made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *[pa.array([part, *rest][: len(found)], pa.binary()) for part in often]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc_id", "text_key", "n_shingles", "class", "often", "times"])
 
     text = F.col("text").cast("string")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return slim.mapInArrow(apply, "doc_id long, text_key long, n_shingles long, class binary")
+    return slim.mapInArrow(apply, "doc_id long, text_key long, n_shingles long, class binary, often binary, times binary")
+
+
+def _often(sets: dict[bytes, np.ndarray]) -> tuple[bytes | None, bytes | None]:
+    """The hashes that many of the sets have, and how many have them."""
+    values, counts = np.unique(np.concatenate([*sets.values(), np.array([], np.uint64)]), return_counts=True)
+    many = counts >= max(FREQUENT_LEAST, FREQUENT_SHARE / 2 * len(sets))
+    return (values[many].tobytes(), counts[many].astype("<u4").tobytes()) if many.any() else (None, None)
+
+
+def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of at least FREQUENT_SHARE of all documents, sorted, with a step of their frequency. Copies within a batch count once."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for often, times in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(often, "<i8")), pa.array(np.frombuffer(times, "<u4").astype(np.int64))], names=["hash", "n"])
+
+    counts = rows.where("often IS NOT NULL").select("often", "times").mapInArrow(apply, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    least = max(FREQUENT_LEAST, FREQUENT_SHARE * rows.count())
+    found = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "hash").limit(FREQUENT_MOST).collect()
+    hashes, times = (np.array([r[c] for r in found], np.int64) for c in ("hash", "n"))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes.view(np.uint64)[order], _steps(times[order])
+
+
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """A step of the frequency, equal for all classes; it only orders the hashes."""
+    return np.minimum(255, 8 * np.log2(np.maximum(counts, 1))).astype("u1")
 
 
 def _packed(block: np.ndarray, keys: np.ndarray, sizes: np.ndarray, owner: np.ndarray, columns: dict[str, np.ndarray], named: str) -> pa.RecordBatch:
@@ -102,19 +142,35 @@ def _block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
     return ((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
-def _dealt(docs: DataFrame, n: int, blocks: int) -> DataFrame:
-    """The hashes of each class in packed rows by block; 48 bits of a hash travel, the block implies others."""
+def _places(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The place of each hash among the sorted known ones, or -1."""
+    if not len(known):
+        return np.full(len(hashes), -1, np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at, -1)
+
+
+def _dealt(docs: DataFrame, n: int, blocks: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The hashes of each class in packed rows by block; of a frequent one, with its step, by part in blocks below 0."""
+    shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordHashes(), set()
         held: list[np.ndarray] = []
         keys: list[bytes] = []
 
-        def send() -> pa.RecordBatch:
-            sizes = np.array([len(h) for h in held], np.int64)
-            hashes = np.concatenate(held)
-            short = np.ascontiguousarray((hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            return _packed(_block_of(hashes, blocks), np.frombuffer(b"".join(keys), _KEY), sizes, np.repeat(np.arange(len(held)), sizes), {"hashes": short}, "block")
+        known, steps = shared.value
+
+        def send() -> Iterator[pa.RecordBatch]:
+            sizes, names = np.array([len(h) for h in held], np.int64), np.frombuffer(b"".join(keys), _KEY)
+            hashes, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+            at = _places(hashes, known)
+            rare, hot = at < 0, at >= 0
+            short = np.ascontiguousarray((hashes[rare] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+            yield _with_steps(_packed(_block_of(hashes[rare], blocks), names, sizes, owner[rare], {"hashes": short}, "block"))
+            if hot.any():
+                part = _part_of(names, blocks)[owner[hot]]
+                yield _packed(-1 - part, names, sizes, owner[hot], {"hashes": hashes[hot], "steps": steps[at[hot]]}, "block")
 
         total = 0
         for batch in batches:
@@ -131,23 +187,35 @@ def _dealt(docs: DataFrame, n: int, blocks: int) -> DataFrame:
                 keys.append(key)
                 total += len(found)
                 if total >= _SENT_HASHES:
-                    yield send()
+                    yield from send()
                     held, keys, total = [], [], 0
         if held:
-            yield send()
+            yield from send()
 
-    schema = "block long, keys binary, sizes binary, counts binary, hashes binary"
+    schema = "block long, keys binary, sizes binary, counts binary, hashes binary, steps binary"
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(apply, schema)
 
 
+def _with_steps(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], names=[*batch.schema.names, "steps"])
+
+
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (keys.view("<u8").reshape(-1, 2)[:, 0] % np.uint64(parts)).astype(np.int64)
+
+
 def _counted(parts: int):
-    """Of one block: the hashes of two classes and more, packed for their classes."""
+    """Of one block: the hashes of two classes and more, packed for their classes. Frequent ones are packed already."""
 
     def apply(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        if block < 0:
+            part = pa.array([-1 - block] * table.num_rows, pa.int64())
+            return pa.table([part, *table.columns[1:]], names=["part", *table.column_names[1:]])
         keys, sizes, owner, columns = _unpacked(table, {"hashes": "u1"})
         wide = np.zeros((len(owner), 8), np.uint8)
         wide[:, 2:] = columns["hashes"].reshape(-1, 6)
-        hashes = wide.view("<u8").ravel() | np.uint64(table.column("block")[0].as_py() & 0xFFFF)
+        hashes = wide.view("<u8").ravel() | np.uint64(block & 0xFFFF)
         order = np.lexsort((owner, hashes))
         hashes, owner = hashes[order], owner[order]
         new = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))
@@ -155,10 +223,8 @@ def _counted(parts: int):
         values, counts = np.unique(hashes, return_counts=True)
         often = np.repeat(counts, counts)
         hashes, owner, often = hashes[often > 1], owner[often > 1], often[often > 1]
-        # A step of the frequency, equal for all classes; it only orders the hashes.
-        steps = np.minimum(255, 8 * np.log2(np.maximum(often, 1))).astype("u1")
-        part = (keys.view("<u8").reshape(-1, 2)[:, 0] % np.uint64(parts)).astype(np.int64)[owner] if len(owner) else np.array([], np.int64)
-        return pa.Table.from_batches([_packed(part, keys, sizes, owner, {"hashes": hashes, "steps": steps}, "part")])
+        part = _part_of(keys, parts)[owner] if len(owner) else np.array([], np.int64)
+        return pa.Table.from_batches([_packed(part, keys, sizes, owner, {"hashes": hashes, "steps": _steps(often)}, "part")])
 
     return apply
 
@@ -196,11 +262,11 @@ def _prefixes(percent: int):
     return apply
 
 
-def candidates(docs: DataFrame, total: int, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """class, n, shared, sig, prefix, least of the classes that share a prefix hash with another class."""
+def candidates(docs: DataFrame, total: int, often: tuple[np.ndarray, np.ndarray], n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """class, n, shared, sig, prefix, least of the classes that may share a prefix hash with another class."""
     blocks = max(MIN_BLOCKS, -(-total // BLOCK_HASHES))
     sized(docs, 8 * total)
-    counted = _dealt(docs, n, blocks).groupBy("block").applyInArrow(_counted(blocks), "part long, keys binary, sizes binary, counts binary, hashes binary, steps binary")
+    counted = _dealt(docs, n, blocks, often).groupBy("block").applyInArrow(_counted(blocks), "part long, keys binary, sizes binary, counts binary, hashes binary, steps binary")
     made = counted.groupBy("part").applyInArrow(_prefixes(percent), "class binary, n long, shared binary, sig array<long>, prefix array<long>, least array<long>")
     return stored(made, "join-sets")
 
@@ -300,7 +366,7 @@ def near_groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Data
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_key (a hash of the text)."""
     rows = stored(sets_of(docs, n), "join-rows")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    known = linked_classes(candidates(docs, total, n, percent), percent) if total else None
+    known = linked_classes(candidates(docs, total, frequent(rows), n, percent), percent) if total else None
     classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first_id"))
     placed = stored(_with_component(classes, known), "join-classes")
     smallest = stored(placed.groupBy("comp").agg(F.min("first_id").alias("component_id")), "join-smallest")

@@ -97,7 +97,7 @@ def test_exhaustive_tiles_alone_find_all(documents, monkeypatch):
     rows = corpus(3)
     monkeypatch.setattr(ngram_join, "BLOCK_HASHES", 50)
     docs = documents(rows)
-    sets = ngram_join.candidates(docs, 20_000)
+    sets = ngram_join.candidates(docs, 20_000, (np.array([], np.uint64), np.array([], "u1")))
     found = [{(bytes(r.node), bytes(r.component)) for r in ngram_join.linked_classes(sets, star_rounds=n).collect()} for n in (0, 1, 2)]
     assert found[0] == found[1] == found[2] and found[0]
 
@@ -114,6 +114,25 @@ def test_a_large_group_of_near_copies(documents):
     assert {r.component_id for r in got} == {0}
 
 
+def test_a_passage_that_all_share_does_not_gather_in_a_block(documents):
+    passage = " ".join(f"shared{k}" for k in range(30))
+    rows = [(k, f"{passage} " + " ".join(f"own{k}x{i}" for i in range(40))) for k in range(150)]
+    rows += [(200 + k, r[1].replace("x7 ", "y ")) for k, r in enumerate(rows[:20])]
+    rows += [(300 + k, f"{passage} tail{k}") for k in range(12)]
+    docs = documents(rows)
+    often = ngram_join.frequent(ngram_join.sets_of(docs, 5))
+    shared = {int(h) for h in ngram_join.shingles(passage, 5, ngram_join.WordHashes())}
+    assert shared <= set(often[0].tolist()) and list(often[0]) == sorted(often[0])
+    sent = ngram_join._dealt(docs, 5, 64, often).collect()
+    blocks = sum(len(r.hashes) // 6 for r in sent if r.block >= 0)
+    direct = sum(len(r.hashes) // 8 for r in sent if r.block < 0)
+    assert blocks + direct == sum(len(s) for s in {frozenset(shingles(t)) for _, t in rows})
+    # No hash of the passage is in a block, and those that skip the blocks are spread by class.
+    assert direct >= 182 * len(shared) and max(len(r.hashes) // 8 for r in sent if r.block < 0) < direct / 8
+    got = ngram_join.near_groups(docs).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == groups(rows)
+
+
 def test_signature_bounds_the_overlap():
     draw = np.random.default_rng(0)
     for n in (5, 300, 3000):
