@@ -28,7 +28,8 @@ def store_of(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def _spread(folders: DataFrame, rows: int) -> DataFrame:
-    return folders.repartition(max(1, min(-(-rows // FOLDERS_PER_TASK), 1 << 16)), "path")
+    cores = folders.sparkSession.sparkContext.defaultParallelism
+    return folders.repartition(max(2, cores, min(-(-rows // FOLDERS_PER_TASK), 1 << 16)), "path")
 
 
 def list_level(folders: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from workload.sql import ORACLE
 
 
 def test_every_query_is_covered():
-    assert not set(QUERIES) - set(ORACLE)
+    # What a forest learns has no SQL; test_plans holds it against its own trees and an accuracy floor.
+    assert set(QUERIES) - set(ORACLE) == {"g5_importances", "g6_classes"}
     assert set(ORACLE) <= set(QUERIES)
 
 
@@ -22,7 +23,8 @@ def test_query(spark, sf_dir, name):
     assert not any(node in plan for node in ("CartesianProduct", "BroadcastNestedLoopJoin"))
     # The id over everything ends in one row of bounded size.
     assert name == "b2_dataset_id" or "SinglePartition" not in plan
-    assert name == "g2_user_step" or not any(node in plan for node in ("EvalPython", "InPandas", "InArrow"))
+    # User code, and records that tasks read from their folders.
+    assert name in ("g2_user_step", "a3_scan_run_records") or not any(node in plan for node in ("EvalPython", "InPandas", "InArrow"))
     if name in ORACLE:
         con = database(sf_dir)
         assert isinstance(con, duckdb.DuckDBPyConnection)
