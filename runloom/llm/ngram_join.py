@@ -16,6 +16,8 @@
 A signature has a bit per hashed position, flipped by every hash that falls there; two signatures differ in at
 most as many bits as the sets differ in hashes, so overlap <= (sizes - differing bits) / 2.
 
+Hashes have 64 bits, of which 48 travel to a block and come back with the block's number.
+
 Defined results: a text with fewer than n words is one n-gram of all its words; null texts and texts without words have an
 empty set and are linked with nothing. A null doc_id is never the smallest unless a component has no other. Repeated rows are copies.
 An empty table gives an empty table; other columns are ignored.
@@ -103,7 +105,7 @@ def _block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def _dealt(docs: DataFrame, n: int, blocks: int) -> DataFrame:
-    """The hashes of each class in packed rows by block; 48 bits of a hash travel, the block implies others."""
+    """The hashes of each class in packed rows by block; 48 bits of a hash travel."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordHashes(), set()
