@@ -8,7 +8,7 @@ from runloom.sources.datasets import (
     hash_files,
     load_tagged,
 )
-from runloom.sources.files import digest_files, list_files, list_folders
+from runloom.sources.files import digest_files, list_files, list_folders, partition_name, write_small
 from runloom.sources.logs import parse_log, read_log
 from runloom.sources.queue import enqueue, queue_stream, trim
 from runloom.sources.records import RUN_RECORD, RUN_SUMMARY, run_documents, run_folders, scan_run_records, scan_run_summaries
@@ -29,6 +29,7 @@ __all__ = [
     "list_folders",
     "load_tagged",
     "parse_log",
+    "partition_name",
     "profile_uris",
     "queue_stream",
     "read_log",
@@ -37,4 +38,5 @@ __all__ = [
     "scan_run_records",
     "scan_run_summaries",
     "trim",
+    "write_small",
 ]

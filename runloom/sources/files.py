@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import posixpath
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.session import scratch_dir
@@ -102,6 +104,33 @@ def read_small(folders: DataFrame, file: str, count: int) -> DataFrame:
     return _spread(folders, count).select("path").mapInArrow(apply, "path string, content string")
 
 
+def partition_name(value: Column) -> Column:
+    """A value as the name of a partition folder: characters that a path cannot hold as Spark writes them."""
+    return reduce(lambda name, c: F.replace(name, F.lit(c), F.lit(f"%{ord(c):02X}")), "%\"#'*/:=?\\\x7f{[]^", value)
+
+
+def write_small(documents: DataFrame) -> None:
+    """Write each text (``content``) as the file at ``path``, with the folders it lies in.
+
+    Tasks write the files where they belong, and the driver neither moves nor names one. A task that runs again writes the
+    same files.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
+        for batch in batches:
+            for uri, content in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
+                store, path = store_of(uri)
+                store.create_dir(posixpath.dirname(path), recursive=True)
+                with store.open_output_stream(path) as out:
+                    out.write(content.encode())
+                written += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+
+    spread = _spread(documents, documents.count()).select("path", "content")
+    spread.mapInArrow(apply, "files long").write.format("noop").mode("overwrite").save()
+
+
 def _matching(folder: str, file: str) -> list[str]:
     front, _, name = f"{folder.rstrip('/')}/{file}".rpartition("/")
     if "*" not in name:

@@ -190,3 +190,15 @@ def test_levels_are_listed_by_tasks(spark, tmp_path):
     assert rows(found, "path", "size") == sorted((f"{tmp_path}/r/a{a}/b{b}/{a * b}.txt", b) for a in range(30) for b in range(20))
     # The plan reads a written listing, no index of the listed files.
     assert "a1/b1" not in found._jdf.queryExecution().toString()
+
+
+def test_small_files_are_written_by_tasks_where_they_belong(spark, tmp_path):
+    root = f"{tmp_path}/w"
+    name = sources.partition_name(F.concat(F.lit("a/b=%:"), F.col("id").cast("string")))
+    path = F.concat(F.lit(f"{root}/folder="), name, F.lit("/log/record.json"))
+    sources.write_small(spark.range(50).select(F.col("id").cast("string").alias("content"), path.alias("path")))
+    folders = sources.run_folders(spark, root)
+    assert folders.count() == 50 and set(os.listdir(f"{root}/folder=a%2Fb%3D%25%3A7/log")) == {"record.json"}
+    assert sorted(os.listdir(root)) == sorted(f"folder=a%2Fb%3D%25%3A{k}" for k in range(50))
+    with open(f"{root}/folder=a%2Fb%3D%25%3A7/log/record.json") as file:
+        assert file.read() == "7"

@@ -102,15 +102,19 @@ def a3_scan_run_records(spark, sf_dir):
         short_id(F.sha2("c_name", 256)).alias("data_id"),
     )
     root = scratch_dir(spark, "a3")
-    runs = runs.repartition(32, "folder")
-    runs.filter("k % 10 <> 0").drop("k").write.partitionBy("folder").json(root)
-    # Other documents of a run, which are not its record.
-    runs.filter("k % 4 = 0").select("folder", F.lit("output").alias("area"), F.lit("x").alias("id")).write.mode(
-        "append"
-    ).partitionBy("folder", "area").json(root)
-    runs.filter("k % 10 = 0").select("folder", F.lit("name: plan").alias("value")).write.mode("append").partitionBy(
-        "folder"
-    ).text(root)
+    place = F.concat(F.lit(f"{root}/folder="), sources.partition_name(F.col("folder")))
+    record = F.to_json(F.struct(*[c for c in runs.columns if c not in ("k", "folder")]))
+
+    def document(wanted: F.Column, name: str, content: F.Column) -> F.Column:
+        return F.when(wanted, F.struct(F.concat(place, F.lit(f"/{name}")).alias("path"), content.alias("content")))
+
+    documents = [
+        document(F.expr("k % 10 <> 0"), "record.json", record),
+        # Other documents of a run, which are not its record.
+        document(F.expr("k % 4 = 0"), "area=output/other.json", F.lit('{"id":"x"}')),
+        document(F.expr("k % 10 = 0"), "plan.txt", F.lit("name: plan")),
+    ]
+    sources.write_small(runs.select(F.inline(F.array_compact(F.array(*documents)))))
     found = sources.scan_run_records(spark, root, "train", record_path="*.json")
     return found.select(
         "folder",
