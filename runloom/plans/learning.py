@@ -7,15 +7,18 @@ from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from runloom.session import BYTES_PER_PARTITION, input_bytes, scratch_dir
+from runloom.session import scratch_dir
 
 FEATURES, LABEL, PREDICTION, RESULT, PROBABILITIES = "features", "label", "prediction", "predicted", "probabilities"
+WEIGHT = "_weight"
+#: Bins of a number column, and about the rows or blocks of alike rows that a forest grows on.
+BINS, BLOCKS = 32, 1 << 19
 
 
 def select_xy(df: DataFrame, x_columns: Sequence[str], y_column: str | None = None) -> DataFrame:
@@ -26,18 +29,57 @@ def select_xy(df: DataFrame, x_columns: Sequence[str], y_column: str | None = No
     return df.select(*x_columns, *([y_column] if y_column else []))
 
 
-def feature_stages(df: DataFrame, x_columns: Sequence[str]) -> list:
-    """Index text columns and assemble all into one vector."""
+def feature_stages(df: DataFrame, x_columns: Sequence[str], cuts: Mapping[str, Sequence[float]] | None = None) -> list:
+    """Index text columns, put numbers into bins where there are ``cuts`` for them, and assemble all into one vector."""
     texts = [name for name in x_columns if not isinstance(df.schema[name].dataType, NumericType)]
     stages: list = []
     if texts:
         stages.append(
             StringIndexer(inputCols=texts, outputCols=[f"{name}_index" for name in texts], handleInvalid="keep")
         )
-    inputs = [f"{name}_index" if name in texts else name for name in x_columns]
+    binned = [name for name in x_columns if name in (cuts or {})]
+    if binned:
+        ends = [[float("-inf"), *cuts[name], float("inf")] for name in binned]
+        stages.append(Bucketizer(inputCols=binned, outputCols=[f"{name}_bin" for name in binned], splitsArray=ends, handleInvalid="keep"))
+    inputs = [f"{name}_index" if name in texts else f"{name}_bin" if name in binned else name for name in x_columns]
     return [*stages, VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="keep")]
 
 
+def bin_cuts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
+    """Per number column the values that part its bins, of which there are ``BINS`` at most.
+
+    Few different values have a bin each, with cuts halfway between them; others are parted by their quantiles over all rows.
+    """
+    if not columns:
+        return {}
+    numbers = {name: F.when(~F.isnan(F.col(name).cast("double")), F.col(name).cast("double")) for name in columns}
+    shares = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
+    seen = df.agg(
+        *[F.approx_count_distinct(n).alias(f"n{k}") for k, n in enumerate(numbers.values())],
+        *[F.percentile_approx(n, shares, F.lit(10 * BINS * BINS)).alias(f"q{k}") for k, n in enumerate(numbers.values())],
+    ).first()
+    found = {name: seen[f"q{k}"] or [] for k, name in enumerate(columns)}
+    few = [name for k, name in enumerate(columns) if seen[f"n{k}"] <= 2 * BINS]
+    if few:
+        values = df.agg(*[F.sort_array(F.collect_set(numbers[name])).alias(f"v{k}") for k, name in enumerate(few)]).first()
+        for name, each in zip(few, values, strict=True):
+            if len(each) <= BINS:
+                found[name] = [x / 2 + y / 2 for x, y in zip(each, each[1:], strict=False)]
+    # Zero has two signs, and both belong above a cut at zero.
+    return {name: sorted({-0.0 if c == 0 else c for c in cuts if abs(c) != float("inf")}) for name, cuts in found.items()}
+
+
+def _blocks(cells: DataFrame, total: int) -> DataFrame:
+    """Cells of ``_n`` rows each as blocks with a weight; all blocks together weigh as much as there are rows.
+
+    A row is a block up to ``BLOCKS`` rows. Beyond, a block stands for several rows of one cell, so that blocks are no more than
+    ``BLOCKS`` and the cells.
+    """
+    most = F.lit(-(-total // BLOCKS)).cast("bigint")
+    firsts = F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, most)
+    return cells.withColumn("_first", F.explode(firsts)).withColumn(WEIGHT, F.least(most, F.col("_n") - F.col("_first")).cast("double")).drop("_n", "_first")
+
+
 def fit_step(
     df: DataFrame,
     x_columns: Sequence[str],
@@ -48,28 +90,45 @@ def fit_step(
 ) -> PipelineModel:
     """Train a forest of ``n_estimators`` trees and save it below the models area.
 
-    Trees grow level by level over all partitions; only split statistics reach the
-    driver. Training passes over the data many times, so the input is written once, spread over
-    ``partitions``, or over one partition per 128 MiB and two per core at least. A row without a
-    label is an error, never left out.
+    A forest knows of a number only its bin, so that rows of the same bins, texts and label are alike to it. They are counted
+    as cells first, over all rows, and the trees grow level by level over the cells, weighted by their rows. The bootstrap
+    of a tree draws rows, or blocks of alike rows where there are more than ``BLOCKS`` of them. So only a
+    few passes go over the data, which is written once for them; the blocks are spread over ``partitions``, or over two
+    per core. Only cuts and split statistics reach the driver. A row without a label is an error, never left out.
     """
     forest = RandomForestClassifier(
         featuresCol=FEATURES,
         labelCol=LABEL,
         predictionCol=PREDICTION,
+        weightCol=WEIGHT,
+        # A bin more for what is no number.
+        maxBins=BINS + 1,
         numTrees=int(params.get("n_estimators", 100)),
         maxDepth=int(params.get("max_depth", 5)),
         seed=int(params.get("seed", 42)),
     )
+    spark = df.sparkSession
     label = StringIndexer(inputCol=y_column, outputCol=LABEL, stringOrderType="alphabetAsc", handleInvalid="error")
     data = select_xy(df, x_columns, y_column).withColumn(y_column, F.col(y_column).cast("string"))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    path, schema = scratch_dir(df.sparkSession, "training"), data.schema
-    data.repartition(partitions or max(2 * cores, input_bytes(data) // BYTES_PER_PARTITION)).write.parquet(path)
-    data = df.sparkSession.read.schema(schema).parquet(path)
-    if not data.filter(F.col(y_column).isNull()).isEmpty():
+    path, schema = scratch_dir(spark, "training"), data.schema
+    data.write.parquet(path)
+    data = spark.read.schema(schema).parquet(path)
+    counts = data.agg(F.count(F.lit(1)).alias("n"), F.count(y_column).alias("labelled")).first()
+    if counts["labelled"] < counts["n"]:
         raise ValueError(f"training rows without a label in {y_column}")
-    model = Pipeline(stages=[*feature_stages(df, x_columns), label, forest]).fit(data)
+    cuts = bin_cuts(data, [name for name in x_columns if isinstance(schema[name].dataType, NumericType)])
+    *stages, assembler = feature_stages(data, x_columns, cuts)
+    before = Pipeline(stages=[*stages, label]).fit(data).stages
+    features = before[:-1]
+    # Bins are numbers in order; the names that come with them would make them categories.
+    keys = [F.col(c).alias(c, metadata={}) if c.endswith("_bin") else F.col(c) for c in assembler.getInputCols()]
+    cells = PipelineModel(list(before)).transform(data).select(*keys, LABEL).groupBy(*assembler.getInputCols(), LABEL).agg(F.count(F.lit(1)).alias("_n"))
+    spread = partitions or 2 * spark.sparkContext.defaultParallelism
+    blocks_path = scratch_dir(spark, "blocks")
+    _blocks(cells, counts["n"]).repartition(spread).write.parquet(blocks_path)
+    # Read with the metadata of the label, which names its classes.
+    blocks = assembler.transform(spark.read.parquet(blocks_path))
+    model = PipelineModel([*features, assembler, before[-1], forest.fit(blocks)])
     if model_path:
         model.write().overwrite().save(model_path)
     return model

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,16 +62,19 @@ def _nested(tree: dict[int, Node], at: int, leaf: Callable[[tuple[float, ...]],
     return f"CASE WHEN {node.condition} THEN {_nested(tree, node.left, leaf)} ELSE {_nested(tree, node.right, leaf)} END"
 
 
-def _slots(model: PipelineModel) -> list[str]:
-    """The SQL of each entry of the feature vector: a number, or the place of a text among those of training."""
+def _slots(model: PipelineModel) -> list[tuple[str, list[float] | None]]:
+    """Per entry of the feature vector its SQL, a number or the place of a text among those of training, and the ends of its bins if it has some."""
     places = {}
     for stage in model.stages:
         if isinstance(stage, StringIndexerModel) and not (stage.isSet("outputCol") and stage.getOutputCol() == LABEL):
             for name, output, labels in zip(stage.getInputCols(), stage.getOutputCols(), stage.labelsArray, strict=True):
                 cases = " ".join(f"WHEN '{_quoted(text)}' THEN {k}.0" for k, text in enumerate(labels))
-                places[output] = f"CASE CAST({name} AS STRING) {cases} ELSE {len(labels)}.0 END" if cases else "0.0"
+                places[output] = f"CASE CAST({name} AS STRING) {cases} ELSE {len(labels)}.0 END" if cases else "0.0", None
+        if isinstance(stage, Bucketizer):
+            for name, output, ends in zip(stage.getInputCols(), stage.getOutputCols(), stage.getSplitsArray(), strict=True):
+                places[output] = f"CAST({name} AS DOUBLE)", ends
     assembler = next(stage for stage in model.stages if isinstance(stage, VectorAssembler))
-    return [places.get(name, f"CAST({name} AS DOUBLE)") for name in assembler.getInputCols()]
+    return [places.get(name, (f"CAST({name} AS DOUBLE)", None)) for name in assembler.getInputCols()]
 
 
 def read_forest(spark: SparkSession, path: str) -> Forest:
@@ -91,6 +95,16 @@ def read_forest(spark: SparkSession, path: str) -> Forest:
     return Forest(list(labels), [trees[k] for k in sorted(trees)])
 
 
-def _condition(slots: list[str], feature: int, values: list[float], categories: int) -> str:
-    numbers = [f"CAST('{v!r}' AS DOUBLE)" for v in values]
-    return f"{slots[feature]} <= {numbers[0]}" if categories < 0 else f"{slots[feature]} IN ({', '.join(numbers)})"
+def _condition(slots: list[tuple[str, list[float] | None]], feature: int, values: list[float], categories: int) -> str:
+    number, ends = slots[feature]
+    if categories >= 0:
+        return f"{number} IN ({', '.join(_double(v) for v in values)})"
+    if ends is None:
+        return f"{number} <= {_double(values[0])}"
+    # The bins up to this one end before the next one begins; the last one holds infinity, and what is no number lies behind it.
+    after = math.floor(values[0]) + 1
+    return f"{number} < {_double(ends[after])}" if after < len(ends) - 1 else f"{number} <= {_double(math.inf)}"
+
+
+def _double(value: float) -> str:
+    return f"CAST('{'Infinity' if value == math.inf else repr(value)}' AS DOUBLE)"

@@ -178,3 +178,24 @@ def test_model_choice(spark):
         plans.pick_model(train, "t9", "history/train")
     wanted = spark.createDataFrame([("i", "t2"), ("j", "t9")], "folder string, wanted_train_id string")
     assert rows(plans.pick_models(wanted, train, "h"), "folder", "model_path") == [("i", "h/t2/models/"), ("j", None)]
+
+
+def test_forest_grows_on_weighted_cells(spark, tmp_path, monkeypatch):
+    from runloom.plans import learning
+
+    monkeypatch.setattr(learning, "BLOCKS", 500)
+    odd = [(None, 1.0, "p"), (float("nan"), 2.0, "q"), (float("inf"), 0.0, "q"), (float("-inf"), -0.0, "p")]
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 50 != 0, F.col("id") / 7).alias("x"),
+        (F.col("id") % 5).cast("double").alias("few"),
+        F.when(F.col("id") < 8_000, "p").otherwise("q").alias("y"),
+    ).union(spark.createDataFrame(odd, "x double, few double, y string"))
+    cuts = learning.bin_cuts(df, ["x", "few"])
+    assert cuts["few"] == [0.5, 1.5, 2.5, 3.5] and len(cuts["x"]) == 31
+    cells = spark.createDataFrame([(0, 1), (1, 20_003)], "cell int, _n bigint")
+    blocks = learning._blocks(cells, 20_004).groupBy("cell").agg(F.count(F.lit(1)).alias("blocks"), F.sum("_weight").alias("weight"))
+    assert rows(blocks, "cell", "blocks", "weight") == [(0, 1, 1.0), (1, 488, 20_003.0)]
+    plans.fit_step(df.filter("x IS NOT NULL"), ["x", "few"], "y", {"n_estimators": 9, "max_depth": 4}, f"{tmp_path}/m")
+    both = plans.read_forest(spark, f"{tmp_path}/m").add_prediction(plans.score_step(df, f"{tmp_path}/m"), "by_trees")
+    assert both.count() == 20_004 and both.filter("predicted <> by_trees OR by_trees IS NULL").count() == 0
+    assert both.filter("predicted <> y").count() < 700
