@@ -34,7 +34,8 @@ def fill_defaults(
     ``controls`` has rows (plan, key, value). A key that is there keeps its value,
     also NULL. A plan without control keys has one row with a NULL key.
     """
-    wide = controls.groupBy(plan).agg(
+    # Texts are aggregated by sorting; rows are dealt out by plan first, so that no task sorts all that it has read.
+    wide = controls.repartition(plan).groupBy(plan).agg(
         *[F.max(F.when(F.col("key") == key, F.struct(F.col("value").alias("v")))).alias(key) for key in defaults]
     )
     filled = F.array(

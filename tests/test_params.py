@@ -115,3 +115,13 @@ def test_diff_and_merge(spark):
     assert rows(op.merge_plan(both, new)) == rows(new)
     with pytest.raises(ValueError):
         op.merge_plan(both, new, "other")
+
+
+def test_defaults_sort_no_more_than_the_plans_of_a_partition(spark):
+    controls = spark.range(100).selectExpr("id AS plan_id", "'backup_log' AS key", "CAST(id AS string) AS value")
+    filled = op.fill_defaults(controls)
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    # A sort that lies below the exchange takes all rows that a task has read.
+    assert "Sort" in plan.partition("Exchange")[0] and "Sort" not in plan.partition("Exchange")[2]
+    assert filled.filter("key = 'backup_log' AND value = CAST(plan_id AS string) AND NOT defaulted").count() == 100
+    assert filled.filter("defaulted").count() == filled.count() - 100
