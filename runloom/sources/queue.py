@@ -27,6 +27,8 @@ FORMAT = "folder_queue"
 SCHEMA = "key string, value string, partition int, offset bigint, timestamp timestamp"
 #: Records that a task reads at once.
 READ_RECORDS = 1_000
+#: About the bytes that a task sorts to append them, and what a record takes there besides its texts.
+SEGMENT_BYTES, RECORD_BYTES = 1 << 25, 64
 _COMMITS = "_commits"
 
 
@@ -71,31 +73,47 @@ def ends(root: str) -> dict[int, int]:
 def enqueue(records: DataFrame, root: str, order: Sequence[str | Column], partitions: int) -> None:
     """Append the records (key, value) to the queue, each key in one partition and in the given order.
 
-    A partition's records are one segment, written by one task as they come. A task that runs again writes the same file.
-    One producer appends at a time; the number of partitions stays what it was at first.
+    The records are sorted in ranges of about ``SEGMENT_BYTES``, so that no task holds more, however few partitions there
+    are. A task writes a draft for each partition in its range, as the records come. When all are written, the drafts
+    become segments, one after the other, at the offsets that their numbers of records give. No reader sees drafts, so a
+    task that runs again adds nothing twice; those of a call that stopped stay. A call that stops while drafts become
+    segments has appended the first ones. One producer appends at a time; the number of partitions stays what it was at first.
     """
-    known, now = ends(root), datetime.now(UTC).isoformat()
+    known, now, drafts = ends(root), datetime.now(UTC).isoformat(), f"_drafts/{uuid.uuid4().hex}"
     placed = records.select("key", "value", F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int").alias("partition"), *[F.col(c).alias(f"_{k}") if isinstance(c, str) else c.alias(f"_{k}") for k, c in enumerate(order)])
-    counts = {r["partition"]: r["n"] for r in placed.groupBy("partition").agg(F.count(F.lit(1)).alias("n")).collect()}
+    length = F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0)) + RECORD_BYTES
+    ranges = placed.groupBy("partition").agg(F.sum(length).alias("n")).agg(F.sum(F.ceil(F.col("n") / SEGMENT_BYTES))).first()[0]
+    if not ranges:
+        return
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("partition", "key", "value")), strict=True))
-        held = next(rows, None)
+        held, place = next(rows, None), TaskContext.get().partitionId()
         while held is not None:
-            partition = held[0]
+            partition, number = held[0], 0
 
             def lines() -> Iterator[str]:
-                nonlocal held
+                nonlocal held, number
                 while held is not None and held[0] == partition:  # noqa: B023
                     yield json.dumps([held[1], held[2], now])
-                    held = next(rows, None)
+                    held, number = next(rows, None), number + 1
 
-            first = known.get(partition, 0)
-            _write_whole(root, f"{_partition_folder(partition)}/{first:020}-{first + counts[partition]:020}.jsonl", lines())
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64())})
+            name = f"{drafts}/{uuid.uuid4().hex}"
+            _write_whole(root, name, lines())
+            yield pa.RecordBatch.from_pydict({"partition": pa.array([partition], pa.int32()), "place": pa.array([place], pa.int64()), "n": pa.array([number], pa.int64()), "name": [name]})
 
-    sorted_rows = placed.repartition(partitions, "partition").sortWithinPartitions("partition", *[f"_{k}" for k in range(len(order))])
-    sorted_rows.select("partition", "key", "value").mapInArrow(write, "part long").write.format("noop").mode("overwrite").save()
+    # Records of one place in the order are told apart by their hash, so that they need not share a range.
+    sorting = ["partition", *[f"_{k}" for k in range(len(order))], F.xxhash64("key", "value")]
+    sorted_rows = placed.repartitionByRange(int(ranges), *sorting).sortWithinPartitions(*sorting)
+    written = sorted_rows.select("partition", "key", "value").mapInArrow(write, "partition int, place long, n long, name string").collect()
+    store, path = store_of(root)
+    for row in sorted(written, key=lambda r: (r["partition"], r["place"])):
+        partition, first = row["partition"], known.get(row["partition"], 0)
+        known[partition] = first + row["n"]
+        folder = posixpath.join(path, _partition_folder(partition))
+        store.create_dir(folder, recursive=True)
+        store.move(posixpath.join(path, row["name"]), posixpath.join(folder, f"{first:020}-{known[partition]:020}.jsonl"))
+    store.delete_dir(posixpath.join(path, drafts))
 
 
 def committed(root: str) -> dict[str, dict[int, int]]:

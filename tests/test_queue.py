@@ -92,3 +92,17 @@ def test_an_empty_queue(spark, tmp_path):
     put(spark, f"{tmp_path}/queue", range(3))
     drained(spark, f"{tmp_path}/queue", f"{tmp_path}/out")
     assert values(spark, f"{tmp_path}/out") == [0, 1, 2]
+
+
+def test_a_partition_is_appended_in_bounded_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queue, "SEGMENT_BYTES", 2_000)
+    root, target = f"{tmp_path}/queue", f"{tmp_path}/out"
+    put(spark, root, range(300, 0, -1), partitions=1)
+    put(spark, root, range(301, 401), partitions=1)
+    parts = queue._segments(root)[0]
+    assert len(parts) >= 8 and max(end - first for first, end, _ in parts) <= 100
+    assert [first for first, _, _ in parts] == [0, *[end for _, end, _ in parts[:-1]]] and parts[-1][1] == 400
+    assert os.listdir(f"{root}/_drafts") == []
+    drained(spark, root, target)
+    read = spark.read.parquet(f"{target}/rows").orderBy("offset").collect()
+    assert [r["value"] for r in read] == [f"v{n}" for n in range(1, 401)]
