@@ -64,25 +64,23 @@ def parse_requests(requests: DataFrame, ptype: str = "inference") -> DataFrame:
     names is NULL without an error: the plan's last one holds. A bad request is a row like any other, so
     it cannot stop the stream.
     """
-    sections = F.from_json("payload", REQUEST_PAYLOAD)["solution_metadata"]["pipeline"]
-    named = F.from_json("payload", SECTION_KEYS)["solution_metadata"]["pipeline"]
-    wanted = F.filter(sections, lambda section: section["type"] == ptype)
-    keys = F.filter(named, lambda section: section["type"] == ptype)
-    steps = F.transform(wanted, lambda section: F.coalesce(section["parameters"]["selected_user_parameters"], F.array().cast(STEPS)))
+    def of_type(sections: str) -> Column:
+        return F.filter(sections, lambda section: section["type"] == ptype)
 
     def last_named(name: str) -> Column:
-        holders = F.filter(keys, lambda section: F.map_contains_key(section, name))
+        holders = F.filter("_keys", lambda section: F.map_contains_key(section, name))
         return F.try_element_at(F.try_element_at(holders, F.lit(-1)), F.lit(name))
 
-    request = F.struct(
-        F.struct(F.flatten(steps).alias("selected_user_parameters")).alias("parameters"),
-        *[last_named(name).alias(name) for name in PATHS],
-    )
-    parsed = requests.withColumn("request", request).withColumns(
-        {"_readable": sections.isNotNull(), "_named": F.exists(keys, lambda section: F.map_contains_key(section, "dataset_uri"))}
-    )
+    # Columns of their own, so that a payload is parsed once for each of the two and not once for each use.
+    sections, named = F.from_json("payload", REQUEST_PAYLOAD), F.from_json("payload", SECTION_KEYS)
+    read = requests.withColumns({"_sections": sections["solution_metadata"]["pipeline"], "_keys": named["solution_metadata"]["pipeline"]})
+    steps = F.transform(of_type("_sections"), lambda section: F.coalesce(section["parameters"]["selected_user_parameters"], F.array().cast(STEPS)))
+    read = read.select(*requests.columns, F.flatten(steps).alias("_steps"), of_type("_keys").alias("_keys"), F.col("_sections").isNotNull().alias("_readable"))
+    request = F.struct(F.struct(F.col("_steps").alias("selected_user_parameters")).alias("parameters"), *[last_named(name).alias(name) for name in PATHS])
+    parsed = read.withColumns({"request": request, "_named": F.exists("_keys", lambda section: F.map_contains_key(section, "dataset_uri"))})
     unset = F.col("_named") & (F.coalesce(F.col("request.dataset_uri"), F.lit("")) == "")
-    return parsed.withColumn("error_code", F.when(~F.col("_readable"), "E111").when(unset, "E122")).drop("_readable", "_named")
+    coded = parsed.withColumn("error_code", F.when(~F.col("_readable"), "E111").when(unset, "E122"))
+    return coded.drop("_steps", "_keys", "_readable", "_named")
 
 
 def clean_argument(value: Column) -> Column:

@@ -6,6 +6,7 @@ what its requests have set so far. A batch so costs the same however many came b
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ from runloom.streaming.requests import parse_requests, request_arguments
 from runloom.streaming.results import route_failures, success_messages
 
 CHUNK_BITS = 16
+# Of plans in the state of a service. A checkpoint holds for one number only.
+BUCKETS = 1 << 15
 # Before all requests of a batch.
 _FIRST = -(1 << 63)
 # Folders of a batch: what it needs until it is done, and the artifacts it has written.
@@ -101,30 +104,41 @@ def read_requests(requests: DataFrame, service: Service) -> DataFrame:
 def with_earlier(rows: DataFrame, service: Service) -> DataFrame:
     """The rows of a stream, and before those of each plan one with what earlier batches set for it (``is_state``).
 
-    The state of a plan is the newest value of each thing it keeps. Rows pass in pieces, so that a plan with very many
+    The state of a plan is the newest value of each thing it keeps. Plans are kept in ``BUCKETS`` by their hash, since a call per
+    plan takes longer than its rows where a batch has very many plans. Rows pass in pieces, so that a plan with very many
     requests takes no more memory than others. Whole numbers pass as text, since pandas has no nulls among them.
     """
     own = service.own
 
     def remember(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get) if state.exists else [None] * len(own)
-        yield pd.DataFrame([[True, None, None, key[0], None, *kept]], columns=names).astype(object)
-        newest = [(_FIRST - 1, value) for value in kept]
+        kept = {plan: values for plan, *values in json.loads(state.get[0])} if state.exists else {}
+        newest: dict[str | None, list[tuple]] = {}
         for frame in frames:
-            counts = frame[frame["error_code"] != "E111"]
-            order = [int(seq) if isinstance(seq, str) else _FIRST for seq in counts["seq"]]
-            for k, name in enumerate(own):
-                given = [(seq, value) for seq, value in zip(order, counts[name], strict=True) if isinstance(value, str)]
-                newest[k] = max([newest[k], *given], key=lambda found: found[0])
+            met = []
+            for plan, seq, code, *given in zip(*(frame[name] for name in ("plan_id", "seq", "error_code", *own)), strict=True):
+                plan = plan if isinstance(plan, str) else None
+                if plan not in newest:
+                    before = kept.get(plan, [None] * len(own))
+                    met.append([True, None, None, plan, None, *before])
+                    newest[plan] = [(_FIRST - 1, value) for value in before]
+                if code == "E111":
+                    continue
+                found, at = newest[plan], int(seq) if isinstance(seq, str) else _FIRST
+                for k, value in enumerate(given):
+                    if isinstance(value, str) and at > found[k][0]:
+                        found[k] = at, value
+            if met:
+                yield pd.DataFrame(met, columns=names, dtype=object)
             frame.insert(0, "is_state", False)
             yield frame[names]
-        state.update(tuple(value for _, value in newest))
+        kept |= {plan: [value for _, value in found] for plan, found in newest.items()}
+        state.update((json.dumps([[plan, *values] for plan, values in kept.items() if any(v is not None for v in values)]),))
 
     texts = ["request_id", "seq", "plan_id", "error_code", *own]
     names = ["is_state", *texts]
-    as_text = rows.select(*[F.col(name).cast("string") for name in texts])
-    passed = as_text.groupBy("plan_id").applyInPandasWithState(
-        remember, "is_state boolean, " + ", ".join(f"`{n}` string" for n in texts), ", ".join(f"`{n}` string" for n in own), "append", GroupStateTimeout.NoTimeout
+    as_text = rows.select(*[F.col(name).cast("string") for name in texts]).withColumn("_bucket", F.pmod(F.xxhash64("plan_id"), F.lit(BUCKETS)))
+    passed = as_text.groupBy("_bucket").applyInPandasWithState(
+        remember, "is_state boolean, " + ", ".join(f"`{n}` string" for n in texts), "kept string", "append", GroupStateTimeout.NoTimeout
     )
     return passed.select("is_state", *[F.col(name).cast(rows.schema[name].dataType) for name in texts])
 

@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import os
 import statistics
@@ -142,6 +143,26 @@ def test_every_section_counts(spark):
     assert tuple(got.first()) == ("d1", "3", "2")
 
 
+def test_a_payload_is_parsed_twice_whatever_is_read_of_it(spark, tmp_path):
+    asked = spark.createDataFrame([(1, 1, 1, None, payload("s", {"a": "3"}))], streaming.REQUEST_ENVELOPE)
+    plan = serving.read_requests(asked, service(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(solution_metadata") == 2
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_plans_of_a_bucket_keep_apart(spark, tmp_path, monkeypatch, buckets):
+    monkeypatch.setattr(serving, "BUCKETS", buckets)
+    source, root = f"{tmp_path}/in", str(tmp_path)
+    base = spark.createDataFrame([(n, "s", "b", "1") for n in range(9)], "plan_id bigint, step string, name string, value string")
+    answering = dataclasses.replace(service(spark, f"{root}/out"), base=base)
+    for name, numbers in (("0", range(6)), ("1", range(3, 9))):
+        sets = {"a": "7"} if name == "0" else {}
+        land(source, name, [request(10 * int(name) + n, payload("s", sets and {"a": str(n)}), plan=n) for n in numbers])
+        streaming.drain(streaming.serve(streaming.request_stream(spark, source), answering, f"{root}/checkpoint"))
+    first, second = {n: 100 + n for n in range(6)}, {10 + n: 100 + (n if n < 6 else 0) for n in range(3, 9)}
+    assert summary(spark, f"{root}/out") == first | second
+
+
 def test_late_requests_and_kept_datasets(spark, tmp_path):
     source, root = f"{tmp_path}/in", str(tmp_path)
     for name, (number, month, text) in enumerate(
